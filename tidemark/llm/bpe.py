@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import document_rows, with_rest
+from tidemark.llm.common import document_rows, document_schema, with_rest
 
 #: Fixed value: the byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -273,7 +273,6 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, keep_ids: bool =
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = document_rows(docs)
-    more = "ids array<int>, decoded string, " if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary.value)
@@ -304,7 +303,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, keep_ids: bool =
 
     if not keep_ids:
         return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    out = rows.mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, {more}text string, rest {rows.schema['rest'].dataType.simpleString()}")
+    out = rows.mapInArrow(run, document_schema(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"))
     return with_rest(out, docs, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
 
 

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one bucket of documents should hold; it is loaded whole by one task.
 BUCKET_BYTES = 8 << 20
@@ -40,6 +41,11 @@ def with_rest(df: DataFrame, docs: DataFrame, *new: str) -> DataFrame:
     return df.select(*own, *new)
 
 
+def document_schema(rows: DataFrame, new: str) -> StructType:
+    """doc_id, text and rest as in rows, then the columns of the DDL text `new`."""
+    return StructType([rows.schema[c] for c in ("doc_id", "text", "rest")] + StructType.fromDDL(new).fields)
+
+
 def bucketed(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
     """Documents dealt by doc_id into buckets of about BUCKET_BYTES, and the number of buckets.
 

@@ -29,9 +29,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.linededup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that it can express.
