@@ -41,11 +41,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import near_copies
+
+    return near_copies(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: DuckDB SQL for the queries that it can express.
