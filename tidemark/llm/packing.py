@@ -4,8 +4,8 @@ A document's tokens are cut into pieces whose lengths are reciprocals of the cap
 `tail` tokens. A piece's class is k, the number of such pieces that fill a bin: every bin of a class takes exactly k
 pieces, so that workers fill bins independently, without looking at each other's. Pieces left over in a worker are
 pooled by class and filled again; what then remains is fewer than k pieces of each class, a number that the capacity
-bounds (some ten thousand for 2,048), whatever the input. One task packs those, longest first, into sequences whose
-length is the capacity or a power of two where that can be had.
+bounds (some ten thousand for 2,048), whatever the input. One task packs those, longest first, each into the fullest
+sequence that has room.
 """
 
 from __future__ import annotations
@@ -220,7 +220,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     filled = checkpoint(cut.mapInArrow(by_worker, schema))
     left = filled.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
     again = checkpoint(left.groupBy("length").applyInArrow(lambda t: _fill(t, capacity, (1 << 62) + (t["length"][0].as_py() << 44))[0], schema))
-    last = again.where(F.col("sequence_id").isNull()).groupBy(F.lit(1)).applyInArrow(lambda t: _rest(t, capacity, 1 << 61), schema)
+    last = again.where(F.col("sequence_id").isNull()).groupBy((F.col("length") < 0).alias("all")).applyInArrow(lambda t: _rest(t, capacity, 1 << 61), schema)
     return filled.where(F.col("sequence_id").isNotNull()).unionByName(again.where(F.col("sequence_id").isNotNull())).unionByName(last)
 
 
