@@ -29,6 +29,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.topk import top_k
+
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neardup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.linededup import dedup_lines
 
@@ -49,6 +63,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_topk": op2_topk,
+    "op3_near_vectors": op3_near_vectors,
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
@@ -56,4 +72,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op4_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, i, line, lower_ascii AS k
+            FROM (
+                SELECT doc_id, i, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+                FROM (
+                    SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line
+                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+                )
+            )
+        ), f AS (
+            SELECT k, max(doc_id) AS owner FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+        ), m AS (
+            SELECT l.doc_id, l.i, l.line, f.owner IS NOT NULL AND f.owner <> l.doc_id AS dropped FROM l LEFT JOIN f ON l.k = f.k
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
+    "op7_substring_dedup": """
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word, words FROM d
+        ), g AS (
+            SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 12), ' ')) AS h FROM w WHERE i + 12 <= len(words)
+        ), f AS (
+            SELECT h, min(doc_id) AS first_doc FROM g GROUP BY h
+        ), c AS (
+            SELECT DISTINCT doc_id, p FROM (SELECT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN f ON g.h = f.h WHERE f.first_doc < g.doc_id)
+        ), m AS (
+            SELECT w.doc_id, w.i, w.word, c.p IS NOT NULL AS removed FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.i = c.p
+        ), s AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS kept FROM m GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(s.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+    """,
+}
