@@ -18,14 +18,21 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir and reads it from there, so that its lineage ends.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir.
 
-    The setting is read from the session; only where none is given (tests on one machine) a temporary folder is set.
+    Only where none is named (tests on one machine) a temporary folder is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return folder or context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder and reads it from there, so that its lineage ends."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
