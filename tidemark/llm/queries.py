@@ -23,6 +23,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.htmlextract import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good; keep: likelier than not of a grade of at least 1."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.quality import score_quality
+
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") > 0, 1).when(F.col("quality") > 0, 2)
+    scored = score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), grade, 3)
+    return scored.select("doc_id", "held_out", "expected_grade", "tail_probability", "keep")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import packed_documents
 
@@ -72,8 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_near_vectors": op3_near_vectors,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html": op5_html,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
