@@ -25,7 +25,7 @@ from tidemark.llm.text import Hasher, laid_out, mix, text_column
 
 U = np.uint64
 #: Labelled rows that are learned from at most, by label.
-SAMPLE = {1: 2000, 0: 6000}
+SAMPLE = {1: 1200, 0: 2800}
 PREFIXES = (4, 5, 6)
 NEAREST, BLOCK = 15, 64
 THRESHOLD = 0.3
@@ -106,7 +106,7 @@ class Model:
         place = np.searchsorted(self.terms, terms).clip(max=len(self.terms) - 1)
         own = self.terms[place] == terms
         owner, place, count = owner[own], place[own], count[own]
-        value = (1 + np.log(count)) * self.idf[place]
+        value = (1 + np.log(count.astype(np.float64))) * self.idf[place]
         norm = np.bincount(owner, value * value)
         return place, value / np.sqrt(norm[owner]), owner
 
@@ -179,18 +179,20 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
                 bounds = np.searchsorted(owner, np.arange(n + 1))
                 for i in range(n):
                     at = slice(bounds[i], bounds[i + 1])
-                    terms[first + i] = hashes[at].astype("<u8").tobytes() + count[at].astype("<u4").tobytes()
+                    terms[first + i] = hashes[at].astype("<u8").tobytes() + np.minimum(count[at], 65535).astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("label"), batch.column("weight")], ["terms", "label", "weight"])
 
     rows = own.mapInArrow(packed, "terms binary, label int, weight double").dropDuplicates(["terms"]).toArrow()
-    terms, counts, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    terms, counts, owners = [np.zeros(0, U)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
     ranked = rows.take(pa.array(np.argsort(np.array([hash(x) for x in rows["terms"].to_pylist()], np.int64), kind="stable"))) if rows.num_rows else rows
     for i, data in enumerate(ranked["terms"].to_pylist()):
-        k = len(data) // 12
+        k = len(data) // 10
         terms.append(np.frombuffer(data, "<u8", k))
-        counts.append(np.frombuffer(data, "<u4", k, 8 * k).astype(np.int64))
-        owners.append(np.full(k, i))
-    return Model(np.concatenate(owners), np.concatenate(terms), np.concatenate(counts), ranked["label"].to_numpy(), ranked["weight"].to_numpy())
+        counts.append(np.frombuffer(data, "<u2", k, 8 * k))
+        owners.append(np.full(k, i, np.int32))
+    label, weight = ranked["label"].to_numpy(), ranked["weight"].to_numpy()
+    del rows, ranked
+    return Model(np.concatenate(owners), np.concatenate(terms), np.concatenate(counts), label, weight)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sizes: dict[int, int] | None = None) -> DataFrame:
