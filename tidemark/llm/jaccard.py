@@ -2,14 +2,12 @@
 
 Documents with equal shingle sets form a class; only one document of each is joined. Buckets learn how many classes
 hold each of their shingles (shards.py), which gives a global order of shingles, rarest first. A shingle of one class
-only counts for no overlap, so that a class with too many of them links with nothing. The others' sets are cut into
-fragments of the hash space. Candidates share one of the first shingles of the order (prefix filter); each fragment
-counts its part of a candidate pair's overlap, and the parts are summed per pair.
-
-Links matter here for what they connect: star rounds check candidates between a shingle's classes and one of them,
-chosen anew each round; classes that are connected are then no candidates of each other. When few pairs between
-different components remain, all of them are checked, so that no connection is lost and no group is expanded into all
-its pairs.
+only counts for no overlap, so that a class with too many of them links with nothing. Of the others, two can link only
+if they share one of the first shingles of the order (prefix filter); classes connected by such shingles form a cluster.
+
+Clusters are cut into blocks, and pairs of blocks are joined in cells: the hash space is cut into fragments, each
+fragment counts its part of all the pairs' overlaps, and the parts are summed per pair and compared with the exact
+bound. A cell returns stars of its connected classes, not all its pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +25,9 @@ from tidemark.llm.shards import ANSWER, MESSAGE, count_answers, count_classes, c
 from tidemark.llm.text import Hasher, laid_out, text_column
 
 U = np.uint64
-#: Parts of the hash space in which overlaps are counted apart.
-FRAGMENTS = 4
+#: Parts of the order of shingles in which overlaps are counted apart, classes in a block, pairs from which on a
+#: shingle's are counted by a matrix product.
+FRAGMENTS, BLOCK, HEAVY = 4, 512, 4096
 FIRST, SECOND = 101, 102  # seeds of the hashes
 
 
@@ -143,75 +142,84 @@ def _linked_classes(dealt: DataFrame, n: int, classes: DataFrame, k: int, percen
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            token, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc_id, size, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens")), strict=True):
                 shared = np.frombuffer(tokens, "<i8")
-                alone = size - len(shared)  # shingles of this class only come first in the order
-                longest = size - -(-percent * size // 100) + 1 - alone
-                shortest = size - -(-2 * percent * size // (100 + percent)) + 1 - alone  # for the smaller set of a pair
-                part = shared[: max(longest, 0)]
-                for column, value in zip(out, (part, np.full(len(part), doc_id), np.full(len(part), size), np.arange(len(part)) < shortest), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)])) for c in out], ["token", "doc", "n", "small"])
-
-    tokens = checkpoint(left.mapInArrow(prefixes, "token long, doc long, n long, small boolean"))
-    # a token of one class only gives no candidates
-    shared = tokens.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token")
-    tokens = checkpoint(tokens.join(shared, "token"))
-    segments = checkpoint(left.mapInArrow(_segments, "doc long, fragment int, n long, segment binary"))
-    links = None
-    state = tokens.withColumn("comp", F.col("doc"))
-    for turn in range(8):
-        mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("hub")).where("lo < hi")
-        mixed = checkpoint(mixed)
-        rows, pairs = mixed.agg(F.sum("g"), F.sum(F.col("g") * F.col("g") / 2)).first()
-        if not rows or pairs <= 4 * rows:
-            break
-        hubs = mixed.select("token", F.col("hub").alias("other"))
-        star = state.join(hubs, "token").where(F.col("doc") != F.col("other")).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        new = _checked(star, segments, percent)
-        links = checkpoint(new if links is None else links.unionByName(new).distinct())
-        found = components(links)
-        state = tokens.join(found, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "small", F.coalesce("component", "doc").alias("comp"))
-    # all that is left: pairs of different components with a common prefix shingle, the smaller set's in its short prefix
-    if rows:
-        rest = state.join(mixed.select("token"), "token")
-        x, y = rest.where("small").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")), rest.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        within = (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") != F.col("y")))) & (100 * F.col("nx") >= percent * F.col("ny"))
-        pairs = x.join(y, (x["token"] == y["token"]) & within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = _checked(pairs, segments, percent)
-        links = new if links is None else links.unionByName(new)
-    if links is None:
-        return classes.select(F.col("class_id").alias("node"), F.col("class_id").alias("component")).where(F.lit(False))
+                # shingles of this class only come first in the order
+                longest = size - -(-percent * size // 100) + 1 - (size - len(shared))
+                token.append(shared[: max(longest, 0)])
+                doc.append(np.full(len(token[-1]), doc_id))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(doc))], ["token", "doc"])
+
+    tokens = checkpoint(left.mapInArrow(prefixes, "token long, doc long"))
+    # classes that prefix shingles connect, directly or over others, form a cluster; links are within clusters only
+    first = tokens.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("hi")).where("a < hi").select("token", "a")
+    clusters = components(tokens.join(first, "token").select("a", F.col("doc").alias("b")).where("a <> b"))
+    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = clusters.join(blocks, "component").select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), "blocks", block.alias("block"))
+    pair = lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))
+    cells = placed.join(left, "doc_id").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))).select("cluster", "cell", "block", "doc_id", "n", "tokens")
+    links = cells.groupBy("cluster", "cell").applyInArrow(lambda t: _match(t, percent), "a long, b long")
     return components(links)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets cut at fixed places of the hash space, each fragment sorted."""
-    edges = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], U)
-    for batch in batches:
-        doc, fragment, size, segment = [], [], [], []
-        for doc_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens")), strict=True):
-            ranked = np.sort(np.frombuffer(tokens, "<u8"))
-            for i, part in enumerate(np.split(ranked, np.searchsorted(ranked, edges))):
-                doc.append(doc_id)
-                fragment.append(i)
-                size.append(n)
-                segment.append(part.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(fragment, pa.int32()), pa.array(size, pa.int64()), pa.array(segment, pa.binary())], ["doc", "fragment", "n", "segment"])
-
-
-def _checked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted in each fragment, then summed."""
+def overlaps(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """Common elements of sets[:size] with sets[size:], counted fragment by fragment of the hash space and summed.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            both = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(xs, ys, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("size"), pa.array(both, pa.int64())], ["a", "b", "size", "both"])
-
-    one = segments.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
-    two = segments.select(F.col("doc").alias("b"), F.col("fragment").alias("fragment_b"), F.col("n").alias("nb"), F.col("segment").alias("sb"))
-    joined = pairs.join(one, "a").join(two, (pairs["b"] == two["b"]) & (F.col("fragment") == F.col("fragment_b"))).select(pairs["a"], pairs["b"], (F.col("na") + F.col("nb")).alias("size"), "sa", "sb")
-    parts = joined.mapInArrow(count, "a long, b long, size long, both long")
-    return parts.groupBy("a", "b", "size").agg(F.sum("both").alias("both")).where(100 * F.col("both") >= percent * (F.col("size") - F.col("both"))).select("a", "b")
+    Elements of few sets are counted pair by pair, those of many by one product of incidence matrices.
+    """
+    others = len(sets) - size
+    total = np.zeros((size, others), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    edges = np.searchsorted(tokens, np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], U))
+    for part, who in zip(np.split(tokens, edges), np.split(owner, edges), strict=True):
+        if not len(part):
+            continue
+        number = np.cumsum(np.r_[True, part[1:] != part[:-1]]) - 1
+        left = who < size
+        n = number[-1] + 1
+        a, b = np.bincount(number[left], minlength=n), np.bincount(number[~left], minlength=n)
+        many, few = a * b > HEAVY, (a * b > 0) & (a * b <= HEAVY)
+        place = np.cumsum(many) - 1
+        heavy = many[number]
+        for lo in range(0, int(many.sum()), 4096):
+            here = heavy & (place[number] >= lo) & (place[number] < lo + 4096)
+            matrix = np.zeros((len(sets), 4096), np.float32)
+            matrix[who[here], place[number[here]] - lo] = 1
+            total += matrix[:size] @ matrix[size:].T
+        x, y = np.flatnonzero(few[number] & left), np.flatnonzero(few[number] & ~left)
+        if len(x):
+            repeat = b[number[x]]
+            begin = (np.cumsum(b * few) - b * few)[number[x]]
+            at = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat) + np.repeat(begin, repeat)
+            flat = np.repeat(who[x], repeat) * others + who[y[at]] - size
+            total += np.bincount(flat, minlength=size * others).reshape(size, others)
+    return total
+
+
+def _match(cell: pa.Table, percent: int) -> pa.Table:
+    """A cell's links, as stars of its connected classes."""
+    at = cell["cell"][0].as_py()
+    ids, n, block = (cell[c].to_numpy() for c in ("doc_id", "n", "block"))
+    sets = [np.frombuffer(x, "<u8") for x in cell["tokens"].to_pylist()]
+    one, two = np.flatnonzero(block == at["i"]), np.flatnonzero(block == at["j"])
+    if not len(one) or not len(two):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    both = overlaps([sets[i] for i in one] + [sets[i] for i in two], len(one))
+    x, y = np.nonzero(100 * both >= percent * (n[one][:, None] + n[two][None, :] - both))
+    x, y = one[x], two[y]
+    root = np.arange(len(ids))
+    while True:  # smallest place that links reach
+        least = root.copy()
+        np.minimum.at(least, x, root[y])
+        np.minimum.at(least, y, root[x])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    some = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[root[some]], pa.int64())})
