@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one bucket of documents should hold; it is loaded whole by one task.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Documents in a bucket at most, for tables of very short texts.
 BUCKET_ROWS = 20_000
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bucketed, checkpoint
 from tidemark.llm.components import components
 from tidemark.llm.shards import ANSWER, MESSAGE, count_answers, count_classes, count_messages, message_table
-from tidemark.llm.text import Hasher, laid_out, text_column
+from tidemark.llm.text import Hasher, hasher, laid_out, text_column
 
 U = np.uint64
 #: Parts of the order of shingles in which overlaps are counted apart, classes in a block, pairs from which on a
@@ -37,11 +37,11 @@ def shingle_sets(column: pa.Array, k: int, hashers: list[Hasher]) -> Iterator[tu
     for s in laid_out(column):
         count, doc = np.diff(s.bounds), s.doc
         per, at = [], []
-        for hasher in hashers:
-            words = hasher.ranges(s.data, s.starts, s.ends)
+        for own in hashers:
+            words = own.ranges(s.data, s.starts, s.ends)
             parts, begins = [], []
             for n in range(1, k + 1):
-                grams = hasher.grams(words, n)
+                grams = own.grams(words, n)
                 if not len(grams):
                     continue
                 begin = np.flatnonzero(doc[: len(grams)] == doc[n - 1 :]) if n == k else s.bounds[:-1][count == n]
@@ -60,7 +60,7 @@ def shingle_sets(column: pa.Array, k: int, hashers: list[Hasher]) -> Iterator[tu
 def _signatures(bucket: pa.Table, k: int) -> pa.Table:
     """(row doc_id, n_shingles, h1, h2): sets are equal if these are, but for collisions of 128 bits."""
     n, one, two = [], [], []
-    for _, bounds, (a, b) in shingle_sets(text_column(bucket["text"]), k, [Hasher(FIRST, True), Hasher(SECOND, True)]):
+    for _, bounds, (a, b) in shingle_sets(text_column(bucket["text"]), k, [hasher(FIRST, True), hasher(SECOND, True)]):
         n.append(np.diff(bounds))
         for total, out in ((a, one), (b, two)):
             sums = np.r_[np.zeros(1, U), np.cumsum(total)]
@@ -76,7 +76,7 @@ def _sets(bucket: pa.Table, members: pa.Table, k: int) -> tuple[np.ndarray, np.n
     rows = rows[np.unique(ids.take(pa.array(rows)).to_numpy(), return_index=True)[1]] if len(rows) else rows
     own = bucket.take(pa.array(rows))
     sizes, sets = [], []
-    for _, bounds, (a,) in shingle_sets(text_column(own["text"]), k, [Hasher(FIRST, True)]):
+    for _, bounds, (a,) in shingle_sets(text_column(own["text"]), k, [hasher(FIRST, True)]):
         sizes.append(np.diff(bounds))
         sets.append(a)
     size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_rows, document_schema, with_rest
 from tidemark.llm.labelled import LETTER, held_out, letter_runs, sampled
-from tidemark.llm.text import Hasher, Slice, laid_out, mix, text_column
+from tidemark.llm.text import Slice, hasher, laid_out, mix, text_column
 
 U = np.uint64
 DIMENSIONS = 1 << 15
@@ -45,7 +45,7 @@ def shape(s: Slice) -> np.ndarray:
     bars = sums(data == ord("|"))
     lines = sums(data == 10)
     words = np.diff(s.bounds)
-    hashes = Hasher(301, True).ranges(data, s.starts, s.ends)
+    hashes = hasher(301, True).ranges(data, s.starts, s.ends)
     doc = s.doc
     order = np.lexsort((hashes, doc))
     d, h = doc[order], hashes[order]
@@ -60,11 +60,11 @@ def shape(s: Slice) -> np.ndarray:
 
 def text_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of texts: first row, number, and the features' texts, places and values."""
-    hasher = Hasher(302, True)
+    tokens = hasher(302, True)
     for s in laid_out(column):
         n = len(s.begins) - 1
         starts, ends, doc = letter_runs(s)
-        place = (hasher.ranges(s.data, starts, ends) >> U(49)).astype(np.int64)
+        place = (tokens.ranges(s.data, starts, ends) >> U(49)).astype(np.int64)
         key, count = np.unique(doc * DIMENSIONS + place, return_counts=True)
         doc, place, value = key // DIMENSIONS, key % DIMENSIONS, np.sqrt(count)
         value = value / np.sqrt(np.bincount(doc, value * value, minlength=n))[doc]

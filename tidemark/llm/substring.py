@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import bucketed, document_schema, with_rest
 from tidemark.llm.shards import ANSWER, MESSAGE, answer_table, count_answers, count_classes, count_messages, message_table, messages, planes, shard_bounds, unplanes
-from tidemark.llm.text import Hasher, Slice, laid_out, text_column
+from tidemark.llm.text import Hasher, Slice, hasher, laid_out, text_column
 
 U = np.uint64
 #: Fixed value: a difference cover of the period 7; 1 - 0, 3 - 1, 3 - 0 and their negatives give all differences.
@@ -29,15 +29,15 @@ WIDTH = 10 + 8  # bytes of an entry: 80 bits of hash, 64 of doc_id
 NO_ID = (1 << 63) - 1
 
 
-def anchors(words: np.ndarray, s: Slice, hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, s: Slice, own: Hasher, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a document's own anchors begin, and their hashes."""
     at = np.arange(max(len(words) - length + 1, 0))
     if not len(at):
         return at, words[:0]
     doc = s.doc
-    own = at - s.bounds[doc[at]]
-    fits = np.isin(own % PERIOD, COVER) & (doc[at] == doc[at + length - 1])
-    return at[fits], hasher.grams(words, length)[fits]
+    place = at - s.bounds[doc[at]]
+    fits = np.isin(place % PERIOD, COVER) & (doc[at] == doc[at + length - 1])
+    return at[fits], own.grams(words, length)[fits]
 
 
 def distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ class Windows:
     def __init__(self, bucket: pa.Table, answers: pa.Table, shards: int, window: int):
         ids, _ = _doc_keys(bucket)
         length = window - PERIOD + 1
-        first, second = Hasher(FIRST), Hasher(SECOND)
+        first, second = hasher(FIRST), hasher(SECOND)
         self.slices: list[tuple[Slice, np.ndarray]] = []
         found: list[tuple[Slice, np.ndarray, np.ndarray, np.ndarray]] = []
         for s in laid_out(text_column(bucket["text"])):
@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13) -> DataFrame:
     length = window - PERIOD + 1
 
     def send_anchors(bucket: pa.Table) -> pa.Table:
-        first = Hasher(FIRST)
+        first = hasher(FIRST)
         _, own = _doc_keys(bucket)
         hashes, holders = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for s in laid_out(text_column(bucket["text"])):

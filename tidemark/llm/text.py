@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,12 @@ class Hasher:
         return mix(total + U(k))
 
 
+@lru_cache(maxsize=16)
+def hasher(seed: int, lower: bool = False) -> Hasher:
+    """The worker's own hasher of a seed, with its powers."""
+    return Hasher(seed, lower)
+
+
 @dataclass
 class Slice:
     """Some documents: their bytes, each followed by a newline, and their words."""
@@ -92,7 +99,7 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def laid_out(column: pa.Array, words: bool = True, size: int = 1 << 21) -> Iterator[Slice]:
+def laid_out(column: pa.Array, words: bool = True, size: int = 1 << 20) -> Iterator[Slice]:
     """The texts of a column (from text_column) in slices of about `size` bytes; a longer text has its own slice."""
     n = len(column)
     if not n:

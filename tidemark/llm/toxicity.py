@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_rows, document_schema, with_rest
 from tidemark.llm.labelled import held_out, letter_runs, sampled
-from tidemark.llm.text import Hasher, laid_out, mix, text_column
+from tidemark.llm.text import hasher, laid_out, mix, text_column
 
 U = np.uint64
 #: Labelled rows that are learned from at most, by label.
@@ -33,14 +33,14 @@ THRESHOLD = 0.3
 
 def text_terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of texts: the first one's row, their number, each term's text in the slice, and its hash."""
-    hasher = Hasher(201, True)
+    own = hasher(201, True)
     for s in laid_out(column, words=False):
         starts, ends, doc = letter_runs(s)
-        owner, terms = [doc], [hasher.ranges(s.data, starts, ends)]
+        owner, terms = [doc], [own.ranges(s.data, starts, ends)]
         for k in PREFIXES:
             long = ends - starts > k
             owner.append(doc[long])
-            terms.append(mix(hasher.ranges(s.data, starts[long], starts[long] + k) + U(k)))
+            terms.append(mix(own.ranges(s.data, starts[long], starts[long] + k) + U(k)))
         yield s.first, len(s.begins) - 1, np.concatenate(owner), np.concatenate(terms)
 
 
