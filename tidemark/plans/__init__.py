@@ -1 +1,6 @@
-"""See the package README section on plans."""
+"""Queries bound to the test tables."""
+
+from tidemark.plans import kernel_queries, metric_queries, relational_queries  # noqa: F401
+from tidemark.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
