@@ -296,9 +296,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, keep_ids: bool =
                         out["ids"].append(ids[begin:end].astype(np.int32))
                         out["decoded"].append(text)
                     begin = end
-            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(out["n_tokens"], pa.int64())} | {k: pa.array(out[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")}
+            columns = {"doc_id": batch.column("doc_id")}
             if keep_ids:
-                columns |= {"ids": pa.array(out["ids"], pa.list_(pa.int32())), "decoded": pa.array(out["decoded"], pa.string()), "text": texts, "rest": batch.column("rest")}
+                columns |= {"text": texts, "rest": batch.column("rest")}
+            columns |= {"n_tokens": pa.array(out["n_tokens"], pa.int64())} | {k: pa.array(out[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")}
+            if keep_ids:
+                columns |= {"ids": pa.array(out["ids"], pa.list_(pa.int32())), "decoded": pa.array(out["decoded"], pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     if not keep_ids:
