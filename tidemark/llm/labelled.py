@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +48,12 @@ def letter_runs(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(LETTER[s.data], prepend=False))
     starts, ends = edge[::2], edge[1::2]
     return starts, ends, np.searchsorted(s.begins, starts, "right") - 1
+
+
+def give_back() -> None:
+    """Returns memory that training has freed to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

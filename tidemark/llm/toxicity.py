@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_rows, document_schema, with_rest
-from tidemark.llm.labelled import held_out, letter_runs, sampled
+from tidemark.llm.labelled import give_back, held_out, letter_runs, sampled
 from tidemark.llm.text import hasher, laid_out, mix, text_column
 
 U = np.uint64
 #: Labelled rows that are learned from at most, by label.
-SAMPLE = {1: 1200, 0: 2800}
+SAMPLE = {1: 1000, 0: 2000}
 PREFIXES = (4, 5, 6)
 NEAREST, BLOCK = 15, 64
 THRESHOLD = 0.3
@@ -192,7 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
         owners.append(np.full(k, i, np.int32))
     label, weight = ranked["label"].to_numpy(), ranked["weight"].to_numpy()
     del rows, ranked
-    return Model(np.concatenate(owners), np.concatenate(terms), np.concatenate(counts), label, weight)
+    sample = [np.concatenate(x) for x in (owners, terms, counts)]
+    owners.clear(), terms.clear(), counts.clear()
+    model = Model(*sample, label, weight)
+    sample.clear()
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sizes: dict[int, int] | None = None) -> DataFrame:
