@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_rows, document_schema, with_rest
-from tidemark.llm.labelled import LETTER, held_out, letter_runs, sampled
+from tidemark.llm.labelled import LETTER, give_back, held_out, letter_runs, sampled
 from tidemark.llm.text import Slice, hasher, laid_out, mix, text_column
 
 U = np.uint64
@@ -139,7 +139,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, size:
         doc.append(np.full(k, i))
         place.append(np.frombuffer(data, "<u2", k).astype(np.int64))
         value.append(np.frombuffer(data, "<f4", k, 2 * k).astype(np.float64))
-    return Model.fit(*map(np.concatenate, (doc, place, value)), rows["grade"].to_numpy().astype(np.int64), rows["weight"].to_numpy(), grades)
+    model = Model.fit(*map(np.concatenate, (doc, place, value)), rows["grade"].to_numpy().astype(np.int64), rows["weight"].to_numpy(), grades)
+    del rows, doc, place, value
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, *, tail: int = 1, least: float = 0.5, size: int = SAMPLE) -> DataFrame:
