@@ -108,6 +108,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit[scored.toxic == 1].mean() > 0.8 and hit[scored.toxic == 0].mean() < 0.05
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    first = docs.where("text <> ''").orderBy("doc_id").limit(1).crossJoin(spark.range(900000, 900004).withColumnRenamed("id", "copy"))
+    docs = docs.unionByName(first.select(F.col("copy").alias("doc_id"), "text", "lang", "source", "n_chars"))
+    labels = labels.select("doc_id", "toxic").unionByName(spark.range(900000, 900004).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic")))
+    scores = [sorted((r.doc_id, r.score) for r in score_toxicity(d, x).collect()) for d, x in ((docs, labels), (docs.orderBy(F.desc("doc_id")), labels.orderBy(F.desc("doc_id"))))]
+    assert scores[0] == scores[1]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") > 0, 1).otherwise(2)

@@ -12,6 +12,7 @@ toxic rows among the training rows without any.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,7 +169,11 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None) -> Model:
-    """Learns from a bounded sample of the labelled rows that are not held out (labels: doc_id, toxic)."""
+    """Learns from a bounded sample of the labelled rows that are not held out (labels: doc_id, toxic).
+
+    Texts of equal terms are one example, with the largest of their labels; examples are ordered by a digest of their
+    terms, so that every run learns the same model from the same rows.
+    """
     own, _ = sampled(docs, labels, F.when(F.col("toxic") > 0, 1).otherwise(F.when(F.col("toxic") == 0, 0)), sizes or SAMPLE)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
                     terms[first + i] = hashes[at].astype("<u8").tobytes() + np.minimum(count[at], 65535).astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("label"), batch.column("weight")], ["terms", "label", "weight"])
 
-    rows = own.mapInArrow(packed, "terms binary, label int, weight double").dropDuplicates(["terms"]).toArrow()
+    rows = own.mapInArrow(packed, "terms binary, label int, weight double").groupBy("terms").agg(F.max(F.struct("label", "weight")).alias("of")).select("terms", "of.*").toArrow()
     terms, counts, owners = [np.zeros(0, U)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
-    ranked = rows.take(pa.array(np.argsort(np.array([hash(x) for x in rows["terms"].to_pylist()], np.int64), kind="stable"))) if rows.num_rows else rows
+    ranked = rows.take(pa.array(np.argsort(np.array([hashlib.blake2b(x, digest_size=16).hexdigest() for x in rows["terms"].to_pylist()]), kind="stable"))) if rows.num_rows else rows
     for i, data in enumerate(ranked["terms"].to_pylist()):
         k = len(data) // 10
         terms.append(np.frombuffer(data, "<u8", k))
