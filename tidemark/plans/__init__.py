@@ -1,6 +1,6 @@
 """Queries bound to the test tables."""
 
-from tidemark.plans import evidence_queries, kernel_queries, metric_queries, read_queries, relational_queries, resolve_queries  # noqa: F401
+from tidemark.plans import compare_queries, evidence_queries, kernel_queries, metric_queries, read_queries, relational_queries, resolve_queries  # noqa: F401
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

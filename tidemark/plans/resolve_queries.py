@@ -165,8 +165,14 @@ def scene_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("genre", r6(F.abs(F.col("p")[0])).alias("x"), r6(F.abs(F.col("p")[1])).alias("y"))
 
 
-@query("SELECT 'duplicate name' AS fault, NULL AS id WHERE FALSE UNION ALL SELECT 'missing parent', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey = 1")
+@query("""WITH t AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 1 THEN 99 WHEN n_nationkey = 7 THEN 7 WHEN n_nationkey > 4 THEN n_regionkey END AS parent, CASE WHEN n_nationkey = 9 THEN 'NATION_8' ELSE 'NATION_' || n_nationkey END AS name FROM nation),
+    x AS (SELECT id FROM t GROUP BY id HAVING count(*) > 1), n AS (SELECT name FROM t GROUP BY name HAVING count(*) > 1)
+    SELECT 'duplicate id' AS fault, CAST(id AS VARCHAR) AS id FROM x UNION ALL SELECT 'duplicate name', name FROM n
+    UNION ALL SELECT 'missing parent', CAST(id AS VARCHAR) FROM t WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM t)
+    UNION ALL SELECT 'cycle', CAST(a.id AS VARCHAR) FROM t a JOIN t b ON a.parent = b.id WHERE b.parent = a.id OR a.parent = a.id""")
 def taxonomy_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of a taxonomy from which one parent was taken away."""
-    nation = S.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") == 1, 99).when(F.col("n_nationkey") > 4, F.col("n_regionkey")).alias("parent"), F.col("n_name").alias("name"))
-    return E.taxonomy_faults(nation)
+    """Faults of a taxonomy with a missing parent, a name used twice and a category that is its own parent."""
+    k = F.col("n_nationkey")
+    parent = F.when(k == 1, 99).when(k == 7, 7).when(k > 4, F.col("n_regionkey"))
+    name = F.when(k == 9, "NATION_8").otherwise(F.concat(F.lit("NATION_"), k.cast("string")))
+    return E.taxonomy_faults(S.read(spark, sf_dir, "nation").select(k.alias("id"), parent.alias("parent"), name.alias("name")))
