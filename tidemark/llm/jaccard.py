@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucketed, checkpoint
+from tidemark.llm.common import bucketed, checkpoint, trim
 from tidemark.llm.components import components
 from tidemark.llm.shards import ANSWER, MESSAGE, count_answers, count_classes, count_messages, message_table
 from tidemark.llm.text import Hasher, hasher, laid_out, text_column
 
 U = np.uint64
 #: Parts of the order of shingles in which overlaps are counted apart, classes in a block, pairs from which on a
-#: shingle's are counted by a matrix product.
-FRAGMENTS, BLOCK, HEAVY = 4, 512, 4096
+#: shingle's are counted by a matrix product, and pairs that are counted at once.
+FRAGMENTS, BLOCK, HEAVY, PAIRS = 4, 512, 4096, 1 << 19
 FIRST, SECOND = 101, 102  # seeds of the hashes
 
 
@@ -59,6 +59,7 @@ def shingle_sets(column: pa.Array, k: int, hashers: list[Hasher]) -> Iterator[tu
 
 def _signatures(bucket: pa.Table, k: int) -> pa.Table:
     """(row doc_id, n_shingles, h1, h2): sets are equal if these are, but for collisions of 128 bits."""
+    trim()
     n, one, two = [], [], []
     for _, bounds, (a, b) in shingle_sets(text_column(bucket["text"]), k, [hasher(FIRST, True), hasher(SECOND, True)]):
         n.append(np.diff(bounds))
@@ -106,6 +107,7 @@ def _linked_classes(dealt: DataFrame, n: int, classes: DataFrame, k: int, percen
     members = classes.select(F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int").alias("bucket"), F.col("class_id").alias("doc_id"))
 
     def send(bucket: pa.Table, own: pa.Table) -> pa.Table:
+        trim()
         if not bucket.num_rows:
             return message_table([])
         _, _, sets = _sets(bucket, own, k)
@@ -115,12 +117,14 @@ def _linked_classes(dealt: DataFrame, n: int, classes: DataFrame, k: int, percen
         return message_table([*count_messages(number, hashes, count, n), *note])
 
     def answer(received: pa.Table) -> pa.Table:
+        trim()
         if received["shard"][0].as_py() < 0:
             return received.select(["bucket", "shard", "payload"])
         return count_answers(received)
 
     def sets_left(bucket: pa.Table, answers: pa.Table) -> pa.Table:
         """Classes that may link: their size, and their shingles of several classes, in the global order."""
+        trim()
         notes = answers.filter(pa.array(answers["shard"].to_numpy() < 0))
         own = np.frombuffer(notes["payload"][0].as_py(), "<i8") if notes.num_rows else np.zeros(0, np.int64)
         ids, bounds, sets = _sets(bucket, pa.table({"doc_id": pa.array(own)}), k) if bucket.num_rows else (own[:0], np.zeros(1, np.int64), np.zeros(0, U))
@@ -192,17 +196,22 @@ def overlaps(sets: list[np.ndarray], size: int) -> np.ndarray:
             matrix[who[here], place[number[here]] - lo] = 1
             total += matrix[:size] @ matrix[size:].T
         x, y = np.flatnonzero(few[number] & left), np.flatnonzero(few[number] & ~left)
-        if len(x):
-            repeat = b[number[x]]
-            begin = (np.cumsum(b * few) - b * few)[number[x]]
-            at = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat) + np.repeat(begin, repeat)
-            flat = np.repeat(who[x], repeat) * others + who[y[at]] - size
+        begins = np.cumsum(b * few) - b * few
+        ends = np.cumsum(b[number[x]])
+        lo = 0
+        while lo < len(x):  # slices of about PAIRS pairs
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")), lo + 1)
+            own, repeat = x[lo:hi], b[number[x[lo:hi]]]
+            at = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat - begins[number[own]], repeat)
+            flat = np.repeat(who[own], repeat) * others + who[y[at]] - size
             total += np.bincount(flat, minlength=size * others).reshape(size, others)
+            lo = hi
     return total
 
 
 def _match(cell: pa.Table, percent: int) -> pa.Table:
     """A cell's links, as stars of its connected classes."""
+    trim()
     at = cell["cell"][0].as_py()
     ids, n, block = (cell[c].to_numpy() for c in ("doc_id", "n", "block"))
     sets = [np.frombuffer(x, "<u8") for x in cell["tokens"].to_pylist()]

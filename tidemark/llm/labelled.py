@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import trim
 from tidemark.llm.text import Slice
 
 U = np.uint64
@@ -51,9 +50,6 @@ def letter_runs(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def give_back() -> None:
-    """Returns memory that training has freed to the system, where the C library can."""
+    """Returns memory that training has freed to the system."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()

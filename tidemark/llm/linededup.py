@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bucketed, document_schema, with_rest
+from tidemark.llm.common import bucketed, document_schema, trim, with_rest
 from tidemark.llm.shards import answer_table, message_table, messages, planes, unplanes
 from tidemark.llm.text import mix, text_column
 
@@ -99,6 +99,7 @@ def _keys(text: bytes, least: int) -> tuple[list[bytes], dict[int, bytes]]:
 
 def _hashes(bucket: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bucket's distinct line keys: two sorted hashes, number of doc_ids and largest doc_id. Null doc_ids count as one each."""
+    trim()
     first, second, doc = [], [], []
     for row, (doc_id, text) in enumerate(zip(bucket["doc_id"].to_pylist(), text_column(bucket["text"]), strict=True)):
         for key in set(_keys(text.as_py().encode(), least)[1].values()):
@@ -130,6 +131,7 @@ def index(sent: DataFrame) -> DataFrame:
     arrays that it indexes, as little-endian numbers."""
 
     def build(received: pa.Table) -> pa.Table:
+        trim()
         a, b, n, last = (np.concatenate(x) for x in zip(*map(_unpack, received["payload"].to_pylist()), strict=True))
         order = np.lexsort((b, a))
         a, b, n, last = a[order], b[order], n[order], last[order]
@@ -150,6 +152,7 @@ def probe(sent: DataFrame, arrays: DataFrame, least: int) -> DataFrame:
     """(bucket, shard, payload): for each of a bucket's lines that at least `least` documents hold, its two hashes and last owner."""
 
     def look_up(probes: pa.Table, built: pa.Table) -> pa.Table:
+        trim()
         row = built.to_pylist()[0]
         found = PerfectHash(np.frombuffer(row["seeds"], "<i8"), row["n"])
         check, counts, owners = np.frombuffer(row["fingerprints"], "<u8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["owners"], "<i8")
@@ -181,6 +184,7 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 40, least_docs: int = 5)
         return message_table([*messages(bucket["bucket"][0].as_py(), a, n, lambda s: planes(a[s], 8) + planes(b[s], 8) + planes(count[s].astype(U), 4) + planes(last[s].view(U), 8))])
 
     def keep(bucket: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         owner: dict[int, int] = {}
         for payload in found["payload"].to_pylist():
             k = len(payload) // 24

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bucketed, document_schema, with_rest
+from tidemark.llm.common import bucketed, document_schema, trim, with_rest
 from tidemark.llm.shards import ANSWER, MESSAGE, answer_table, count_answers, count_classes, count_messages, message_table, messages, planes, shard_bounds, unplanes
 from tidemark.llm.text import Hasher, Slice, hasher, laid_out, text_column
 
@@ -116,6 +116,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13) -> DataFrame:
     length = window - PERIOD + 1
 
     def send_anchors(bucket: pa.Table) -> pa.Table:
+        trim()
         first = hasher(FIRST)
         _, own = _doc_keys(bucket)
         hashes, holders = [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -126,6 +127,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13) -> DataFrame:
         return message_table([*count_messages(bucket["bucket"][0].as_py(), *distinct(np.concatenate(hashes), np.concatenate(holders)), n)])
 
     def send_windows(bucket: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         number = bucket["bucket"][0].as_py()
         w = Windows(bucket, answers, n, window)
         sent = [*messages(number, w.a, n, lambda s: planes(w.a[s], 8) + planes(w.b[s], 2) + planes(w.least[s].view(U), 8))]
@@ -134,6 +136,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13) -> DataFrame:
 
     def earlier(received: pa.Table) -> pa.Table:
         """Bits: whether another bucket has a smaller doc_id for the window."""
+        trim()
         shard = received["shard"][0].as_py()
         buckets, payloads = received["bucket"].to_pylist(), received["payload"].to_pylist()
         if shard < 0:
@@ -155,6 +158,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13) -> DataFrame:
         return answer_table(out)
 
     def keep(bucket: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         shard = answers["shard"].to_numpy()
         anchor_answers = pa.table({"shard": pa.array(-1 - shard[shard < 0], pa.int32()), "payload": answers.filter(pa.array(shard < 0))["payload"]})
         w = Windows(bucket, anchor_answers, n, window)
