@@ -1,13 +1,16 @@
 """Ledgers, gates, the entity ladder and the demo table on worked rows."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.texts import token_set_score
 from tidemark.operators import compare as C
 from tidemark.operators import demo as D
 from tidemark.operators import entities as N
 from tidemark.operators import resolve as E
+from tidemark.plans import QUERIES
 
 
 def values(df):
@@ -55,6 +58,26 @@ def test_entity_ladder(spark):
     assert N.resolved_posts(posts.where("false"), names, aliases).count() == 0 and N.matched_names(names, aliases.where("false")).where("outcome <> 'no_match'").count() == 0
 
 
+def test_no_name_above_the_floor_is_missed(spark, data):
+    r = random.Random(4)
+    words = ["the", "of", "a", "metallicas", "nightowls", "rivers", "été", "x", "radiohead", "abcabcabcabc"]
+    made = [" ".join(r.choices(words, k=r.randint(1, 5))) for _ in range(60)]
+    edited = lambda t: "".join(r.choice(["", c + r.choice("aez "), r.choice("aez")]) if r.random() < 0.07 else c for c in t)
+    left, right = ["netallicas", "the", "", *map(edited, made)], [*made, *map(edited, made)]
+    names = spark.createDataFrame([(x,) for x in left], "name string")
+    aliases = spark.createDataFrame(list(enumerate(right)), "entity int, alias string")
+    for least in (70.0, 87.0, 90.0):
+        want = {(x, i) for x in left for i, y in enumerate(right) if token_set_score(x, y) >= least}
+        assert {(n.name, n.entity) for n in N.scored_names(names, aliases, least=least).collect()} == want
+    found = {x.c_custkey: (x.s_suppkey, x.score) for x in QUERIES["token_set_match"](spark, data).collect()}
+    suppliers = [(x.s_suppkey, "customer " + x.s_name[-9:]) for x in spark.read.parquet(f"{data}/supplier.parquet").collect()]
+    customers = spark.read.parquet(f"{data}/customer.parquet").collect()
+    assert len(found) == len(customers)
+    for c in customers:
+        score, key = min((-token_set_score(c.c_name, alias), key) for key, alias in suppliers)
+        assert found[c.c_custkey] == ((key, round(-score, 6)) if -score >= 90 else (None, None))
+
+
 def test_direct_links(spark):
     urls = ["https://a.example.org/artist/ab-1?x", "https://example.org/other", "https://bexample.org/artist/c", "https://example.org/artist/a%20b", "::bad", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")

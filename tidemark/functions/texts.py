@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -37,11 +38,15 @@ def _indel(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+def words_of(text: str) -> set[str]:
+    return set(re.sub(r"[\W_]+", " ", text.lower()).split())
+
+
 def token_set_score(a: str | None, b: str | None) -> float | None:
     """Best similarity of the common words, and of them with either text's own words; 100 if one text has no own."""
     if a is None or b is None:
         return None
-    x, y = ({w for w in re.sub(r"[\W_]+", " ", t.lower()).split()} for t in (a, b))
+    x, y = words_of(a), words_of(b)
     if not x or not y:
         return 0.0
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
@@ -56,6 +61,26 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def name_words(text: pd.Series) -> pd.Series:
+    """The distinct words that token_set_ratio compares, sorted."""
+    return text.map(lambda t: sorted(words_of(t or "")))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def name_grams(text: pd.Series) -> pd.Series:
+    """Pairs of neighbouring characters of the sorted words, with a space before, between and after; numbered from 1 if
+    they recur, so that the bag is a set. It does not depend on the order of the words."""
+
+    def grams(t: str | None) -> list[str]:
+        plain, seen = f" {' '.join(sorted(words_of(t or '')))} ", Counter()
+        for pair in zip(plain, plain[1:], strict=False):
+            seen["".join(pair)] += 1
+        return [f"{g}{i}" for g, n in seen.items() for i in range(1, n + 1)]
+
+    return text.map(grams)
+
+
 def host(url: Column) -> Column:
     """Lower-cased host of a URL; NULL where there is none or the URL is malformed."""
     return F.lower(F.try_parse_url(url, F.lit("HOST")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.texts import host_in, token_set_ratio
+from tidemark.functions.texts import host_in, name_grams, name_words, token_set_ratio
 from tidemark.operators.relational import first_by
 
 
@@ -18,24 +18,70 @@ def linked_path(url: Column, hosts: Sequence[str], pattern: str, group: int = 1)
     return F.when(host_in(url, hosts) & (found != ""), F.try_url_decode(found))
 
 
-def _keys(name: str) -> Column:
-    """A name's words and its first three letters: names that share none are not compared."""
-    plain = F.trim(F.regexp_replace(F.lower(name), r"(?U)[\W_]+", " "))
-    return F.array_distinct(F.array_compact(F.concat(F.filter(F.split(plain, " "), lambda w: w != ""), F.array(F.nullif(F.concat(F.lit("^"), F.substring(plain, 1, 3)), F.lit("^"))))))
+def _prepared(texts: DataFrame, column: str) -> DataFrame:
+    """Distinct texts with words, their sorted distinct words, pairs of characters, and length as compared."""
+    own = texts.select(column).distinct().withColumn("words", name_words(column)).withColumn("grams", name_grams(column))
+    return own.withColumn("n", F.length(F.array_join("words", " "))).where("n > 0")
 
 
-def scored_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(name, entity, score): each distinct name with the entities of which an alias shares a word or its beginning,
-    by the best of their aliases (entity, alias). Distinct names and aliases meet, however many posts hold them."""
-    left = names.select("name").where("name is not null").distinct()
+def _rarest_first(texts: DataFrame, column: str, keys: str, held: DataFrame) -> DataFrame:
+    """texts with their keys in the order of held (key, n_held), one order for all texts."""
+    long = texts.select(column, F.explode(keys).alias("key")).join(held, "key", "left")
+    order = long.groupBy(column).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n_held", F.lit(0)).alias("n"), "key"))).alias("_o"))
+    return texts.drop(keys).join(order, column).withColumn(keys, F.transform("_o", lambda x: x["key"])).drop("_o")
+
+
+def _candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, alias): all pairs that can score `least`, by prefix filters; see scored_names."""
+    t = least / 100
+    for keys in ("words", "grams"):
+        held = right.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_held"))
+        left, right = _rarest_first(left, "name", keys, held), _rarest_first(right, "alias", keys, held)
+
+    def typical(df: DataFrame, column: str) -> DataFrame:
+        # the common words have 2 c >= t (c + n): the others, each with a space, are at most n - c long
+        before = F.transform("words", lambda w, i: F.struct(w.alias("w"), F.aggregate(F.slice("words", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("s")))
+        return df.select(column, F.explode(F.filter(before, lambda x: x["s"] <= F.col("n") * (2 * (1 - t) / (2 - t)) + 1e-6)).alias("x")).select(column, F.col("x.w").alias("key"))
+
+    every = lambda df, column: df.select(column, F.explode("words").alias("key"))
+    pairs = typical(left, "name").join(every(right, "alias"), "key").unionByName(every(left, "name").join(typical(right, "alias"), "key")).select("name", "alias")
+
+    def prefixes(df: DataFrame, column: str, own: str, other: str) -> DataFrame:
+        # m common characters of own + other have 2 m >= t (own + other); one that own lacks in other spoils two of its pairs,
+        # one that is put in spoils one
+        lengths = F.sequence(F.ceil(F.col("n") * (t / (2 - t)) - 1e-6), F.floor(F.col("n") * ((2 - t) / t) + 1e-6))
+        df = df.withColumn("o", F.explode(lengths)).withColumn("m", F.ceil((F.col("n") + F.col("o")) * (t / 2) - 1e-6))
+        spoilt = (2 * F.col("n") + F.col("o") - 3 * F.col("m")).cast("int")
+        df = df.where((F.col("m") <= F.col("n")) & (F.col("m") <= F.col("o")))
+        return df.select(column, F.col("n").cast("long").alias(own), F.col("o").alias(other), F.col("grams").alias(f"{column}_grams"), F.explode(F.slice("grams", F.lit(1), spoilt + 1)).alias("key"))
+
+    keyed = prefixes(left, "name", "a", "b").drop("name_grams").join(prefixes(right, "alias", "b", "a").drop("alias_grams"), ["key", "a", "b"]).select("name", "alias", "a", "b").distinct()
+    keyed = keyed.join(left.select("name", F.col("grams").alias("x")), "name").join(right.select("alias", F.col("grams").alias("y")), "alias")
+    m = F.ceil((F.col("a") + F.col("b")) * (t / 2) - 1e-6)
+    near = keyed.where(F.size(F.array_intersect("x", "y")) >= F.col("a") + 1 - (2 * F.col("a") + F.col("b") - 3 * m)).select("name", "alias")
+    return pairs.unionByName(near).distinct()
+
+
+def scored_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -> DataFrame:
+    """(name, entity, score): each distinct name with all entities that score at least `least`, by the best of their
+    aliases (entity, alias). Distinct names and aliases meet, however many posts hold them.
+
+    No such pair is missed. A score comes from common words that make up most of one side, which then has one of its
+    rarest words in the other (a word of all aliases is a key only for names of nothing else); or from two texts of
+    similar length, which then have one of their rarest pairs of characters in common, and enough of all.
+    """
+    if least < 70:
+        raise ValueError("pairs of characters find scores of 70 and more")
+    left = _prepared(names.where("name is not null"), "name")
     right = aliases.select("entity", "alias").where("entity is not null and alias is not null").distinct()
-    pairs = left.withColumn("_k", F.explode(_keys("name"))).join(right.withColumn("_k", F.explode(_keys("alias"))), "_k").select("name", "entity", "alias").distinct()
-    return pairs.withColumn("score", token_set_ratio("name", "alias")).groupBy("name", "entity").agg(F.max("score").alias("score"))
+    pairs = _candidates(left, _prepared(right, "alias"), least).withColumn("score", token_set_ratio("name", "alias")).where(F.col("score") >= least)
+    return pairs.join(right, "alias").groupBy("name", "entity").agg(F.max("score").alias("score"))
 
 
 def matched_names(names: DataFrame, aliases: DataFrame, *, floor: float = 90.0, margin: float = 3.0) -> DataFrame:
-    """(name, entity, score, outcome): resolved, ambiguous if the second entity is within the margin, or no_match."""
-    best = first_by(scored_names(names, aliases), ["name"], [F.col("score").desc(), F.col("entity")], 2)
+    """(name, entity, score, outcome): resolved, ambiguous if the second entity is within the margin, or no_match.
+    Scores below floor - margin cannot change an outcome and are NULL."""
+    best = first_by(scored_names(names, aliases, least=floor - margin - 1e-6), ["name"], [F.col("score").desc(), F.col("entity")], 2)
     top = best.groupBy("name").agg(F.max("score").alias("score"), F.min("score").alias("_low"), F.count(F.lit(1)).alias("_n"), F.min_by("entity", F.struct(-F.col("score"), "entity")).alias("entity"))
     close = (F.col("_n") > 1) & (F.col("score") - F.col("_low") <= margin)
     outcome = F.when(F.coalesce(F.col("score") < floor, F.lit(True)), "no_match").when(close, "ambiguous").otherwise("resolved")
