@@ -269,3 +269,10 @@ def unique_key_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names seen with one id only are promoted to it; the marker row shows that an empty result is one."""
     own = R.unique_match(S.read(spark, sf_dir, "customer").where("c_custkey <= 40"), "c_mktsegment", "c_nationkey").select(F.col("c_mktsegment").alias("s"), F.col("c_nationkey").alias("d"))
     return own.unionByName(S.read(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("#").alias("s"), F.lit(-1).alias("d")))
+
+
+@query("SELECT c_name, min(c_nationkey) AS d FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT c_nationkey) = 1 UNION ALL SELECT p_name, min(p_size) FROM part WHERE p_size IS NOT NULL GROUP BY 1 HAVING count(DISTINCT p_size) = 1")
+def unique_name_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unique_key_promotion over whole tables: customers' names seen with one nation, and parts' with one size."""
+    customers = R.unique_match(S.read(spark, sf_dir, "customer"), "c_name", "c_nationkey").select("c_name", F.col("c_nationkey").alias("d"))
+    return customers.unionByName(R.unique_match(S.read(spark, sf_dir, "part"), "p_name", "p_size").select(F.col("p_name").alias("c_name"), F.col("p_size").alias("d")))
