@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint_folder
-from tidemark.llm.jaccard import near_copies
+from tidemark.llm.jaccard import grouped
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.queries import vocabulary
@@ -33,9 +33,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows without doc_id stay."""
-    away = near_copies(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: one with the smallest doc_id. Rows without doc_id or words stay."""
+    docs_ = docs.withColumn("_text", F.xxhash64("text"))
+    rows = grouped(docs).withColumnRenamed("text_hash", "_text").where("doc_id is not null and component is not null").groupBy("component", "doc_id", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "_text")).alias("_first"))
+    rows = rows.join(first, "component").withColumn("_kept", F.col("_first") == F.struct("doc_id", "_text"))
+    change = rows.where("not _kept or _n > 1").select("doc_id", "_text", "_kept")
+    key = ["doc_id", "_text"]
+    repeated = docs_.join(change.where("_kept"), key, "left_semi").dropDuplicates(key)
+    return docs_.join(change, key, "left_anti").unionByName(repeated).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

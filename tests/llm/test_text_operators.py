@@ -232,6 +232,25 @@ def test_near_copies(spark, documents, monkeypatch, block, heavy):
     assert near_copies(edge(spark)).count() == edge(spark).count()
 
 
+def test_near_copies_of_repeated_doc_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    base = [[f"{c}{r.randint(0, 999)}" for _ in range(60)] for c in "abcd"]
+    rows = [(3, base[0]), (7, base[0]), (7, base[1]), (9, [*base[1][:-1], "x"]), (8, base[2]), (8, base[3]), (12, [*base[3][:-1], "x"]), (11, base[2][1:]), (12, base[0]), (5, base[3][2:]), (3, base[0])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    # brute force over rows: each row is a document of its own number
+    groups = {n: c for n, _, c in plain_groups([(n, t) for n, (_, t) in enumerate(rows)])}
+    least = {c: min(rows[n][0] for n in groups if groups[n] == c) for c in groups.values()}
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (4, None), (4, None)], "doc_id long, text string")
+    found = sorted((x.doc_id, x.component_id) for x in near_copies(df).where("n_shingles > 0 and doc_id is not null").collect())
+    assert found == sorted((rows[n][0], least[c]) for n, c in groups.items())
+    kept = rows_of(corpus_pipeline.jaccard_join(spark, df, ""))
+    assert sorted(i for i, t in kept if t and i is not None) == sorted(least.values())
+    texts = {t: groups[n] for n, (_, t) in enumerate(rows)}
+    assert len({texts[t] for i, t in kept if t and i is not None}) == len(least) and kept.count((4, None)) == 2 and (None, rows[0][1]) in kept
+
+
 def test_overlaps():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 1 << 64, 50, np.uint64) // np.uint64(1 << 59)) for _ in range(9)]

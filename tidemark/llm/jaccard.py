@@ -69,19 +69,24 @@ def _signatures(bucket: pa.Table, k: int) -> pa.Table:
     return pa.table({"doc_id": bucket["doc_id"], "n_shingles": pa.array(np.concatenate(n).astype(np.int64)), "h1": pa.array(np.concatenate(one)), "h2": pa.array(np.concatenate(two))})
 
 
-def _sets(bucket: pa.Table, members: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id, bounds, shingles) of the bucket's documents that stand for a class."""
-    wanted = np.unique(members["doc_id"].to_numpy()) if members.num_rows else np.zeros(0, np.int64)
+def _sets(bucket: pa.Table, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, bounds, shingles) of the bucket's rows that stand for a class: the first of each member's doc_id, number of
+    shingles and h1. members: (doc_id, n_shingles, h1, node)."""
     ids = bucket["doc_id"]
-    rows = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & np.isin(ids.fill_null(0).to_numpy(), wanted))
-    rows = rows[np.unique(ids.take(pa.array(rows)).to_numpy(), return_index=True)[1]] if len(rows) else rows
+    rows = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & np.isin(ids.fill_null(0).to_numpy(), members[:, 0]))
     own = bucket.take(pa.array(rows))
-    sizes, sets = [], []
-    for _, bounds, (a,) in shingle_sets(text_column(own["text"]), k, [hasher(FIRST, True)]):
-        sizes.append(np.diff(bounds))
-        sets.append(a)
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return own["doc_id"].to_numpy(), np.r_[0, np.cumsum(size)], np.concatenate(sets) if sets else np.zeros(0, U)
+    wanted = {(d, n, h): node for d, n, h, node in members.tolist()}
+    nodes, sizes, sets = [], [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    doc = own["doc_id"].to_numpy()
+    for first, bounds, (a,) in shingle_sets(text_column(own["text"]), k, [hasher(FIRST, True)]):
+        n, sums = np.diff(bounds), np.r_[np.zeros(1, U), np.cumsum(a)]
+        h = (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+        found = [wanted.pop(key, None) for key in zip(doc[first : first + len(n)].tolist(), n.tolist(), h.tolist(), strict=True)]
+        here = np.array([x is not None for x in found], bool)
+        nodes += [x for x in found if x is not None]
+        sizes.append(n[here])
+        sets.append(a[np.repeat(here, n)])
+    return np.array(nodes, np.int64), np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(sets)
 
 
 def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -92,28 +97,40 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 75) -> Data
     the smallest doc_id that links reach. Rows of one doc_id are one document if their texts' sets are equal and else
     one for each set; rows without doc_id take no part and have no component.
     """
+    return grouped(docs, shingle=shingle, percent=percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, *, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """near_copies with text_hash and component, which is one number for each group: groups of different texts
+    can have the same component_id if doc_ids repeat. Rows without a set have none."""
     dealt, n = bucketed(docs)
-    signed = checkpoint(dealt.groupBy("bucket").applyInArrow(lambda t: _signatures(t, shingle), "doc_id long, n_shingles long, h1 long, h2 long"))
+    hashed = dealt.withColumn("text_hash", F.xxhash64("text"))
+    sign = lambda t: _signatures(t, shingle).append_column("text_hash", t["text_hash"])
+    signed = checkpoint(hashed.groupBy("bucket").applyInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, text_hash long"))
     keys = ["n_shingles", "h1", "h2"]
-    classes = signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id"))
-    linked = _linked_classes(dealt, n, classes.where("class_id is not null").select("class_id"), shingle, percent)
-    groups = classes.join(linked, F.col("class_id") == F.col("node"), "left").select(*keys, F.coalesce("component", "class_id").alias("component"))
+    # a class is known by a hash of its keys, as a doc_id can stand for several
+    classes = signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id")).withColumn("node", F.xxhash64(*keys))
+    linked = _linked_classes(dealt, n, classes.where("class_id is not null"), shingle, percent)
+    least = linked.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("least"))
+    groups = classes.join(linked.join(least, "component"), "node", "left").select(*keys, F.coalesce("component", "node").alias("component"), F.coalesce("least", "class_id").alias("least"))
     out = signed.join(groups, keys, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def _linked_classes(dealt: DataFrame, n: int, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) for the classes that link with another."""
-    members = classes.select(F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int").alias("bucket"), F.col("class_id").alias("doc_id"))
+    """(node, component) for the classes that link with another: component is the smallest node. Below, doc_id of a
+    class is its node."""
+    members = classes.select(F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int").alias("bucket"), F.col("class_id").alias("doc_id"), "n_shingles", "h1", "node")
+    listed = lambda own: np.stack([own[c].to_numpy() for c in ("doc_id", "n_shingles", "h1", "node")], axis=1).astype("<i8")
 
     def send(bucket: pa.Table, own: pa.Table) -> pa.Table:
         trim()
         if not bucket.num_rows:
             return message_table([])
-        _, _, sets = _sets(bucket, own, k)
+        _, _, sets = _sets(bucket, listed(own), k)
         hashes, count = np.unique(sets, return_counts=True)
         number = bucket["bucket"][0].as_py()
-        note = [(-1 - number, number, own["doc_id"].to_numpy().astype("<i8").tobytes())] if own.num_rows else []
+        note = [(-1 - number, number, listed(own).tobytes())] if own.num_rows else []
         return message_table([*count_messages(number, hashes, count, n), *note])
 
     def answer(received: pa.Table) -> pa.Table:
@@ -126,8 +143,8 @@ def _linked_classes(dealt: DataFrame, n: int, classes: DataFrame, k: int, percen
         """Classes that may link: their size, and their shingles of several classes, in the global order."""
         trim()
         notes = answers.filter(pa.array(answers["shard"].to_numpy() < 0))
-        own = np.frombuffer(notes["payload"][0].as_py(), "<i8") if notes.num_rows else np.zeros(0, np.int64)
-        ids, bounds, sets = _sets(bucket, pa.table({"doc_id": pa.array(own)}), k) if bucket.num_rows else (own[:0], np.zeros(1, np.int64), np.zeros(0, U))
+        own = np.frombuffer(notes["payload"][0].as_py(), "<i8").reshape(-1, 4) if notes.num_rows else np.zeros((0, 4), np.int64)
+        ids, bounds, sets = _sets(bucket, own, k) if bucket.num_rows else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, U))
         known = np.unique(sets)
         kind = count_classes(answers, known, n)[np.searchsorted(known, sets)]
         rows = []
