@@ -101,6 +101,15 @@ def test_pages(spark, data, model):
     assert extract_text(pages.where("false"), model).count() == 0
 
 
+def test_pages_without_end_of_head_and_with_formulas(model):
+    article = "<article><h1>A new day</h1><p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here, they say.</p></article>"
+    want = "A new day\nIt is x=2 here, they say."
+    for start in ("<html><head><title>t</title></head><body>", "<html><head><title>t</title><body>", "<head><meta charset=utf-8><style>p{}</style>\n", "<head><title>t</title> Words"):
+        found = blocks(start + article)
+        assert "\n".join(b.text for b in found).endswith(want), start
+    assert main_text("<html><head><title>t</title><body>" + article, model) == want
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()

@@ -23,8 +23,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 # Fixed values of the HTML standard: elements without end tags, of raw text, that are never shown, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("script style head title noscript template textarea select option datalist iframe noframes noembed xmp svg math canvas audio video object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+HIDDEN = frozenset("script style head title noscript template textarea select option datalist iframe noframes noembed xmp svg canvas audio video object".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math maction annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: What a head may hold: anything else ends a head whose end tag is left out.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section aside main nav div body blockquote".split())
 
@@ -76,6 +78,8 @@ def blocks(page: str) -> list[Block]:
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
+        if stack[-1][0] == "head" and page[at:stop].strip("\t\n\f\r "):
+            stack.pop()
         if stop > at and not stack[-1][2]:
             parts.append(page[at:stop])
             links += (stop - at) * (in_link > 0)
@@ -86,6 +90,8 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         tag, closing, attributes = name.lower(), m[1] or m[4], (m[3] or m[6] or "")
+        if not closing and stack[-1][0] == "head" and tag not in HEAD:
+            stack.pop()
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag not in INLINE:
