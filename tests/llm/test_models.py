@@ -1,16 +1,21 @@
 """Vectors, pages and classifiers: brute force, labelled pages, held-out accuracy."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import neardup
+from tidemark.llm import neardup, quality
 from tidemark.llm.htmlextract import blocks, extract_text, main_text, training_pages, trained
 from tidemark.llm.neardup import near_vectors
 from tidemark.llm.quality import score_quality
-from tidemark.llm.toxicity import score_toxicity
+from tidemark.llm.text import text_column
+from tidemark.llm.toxicity import SAMPLE, score_toxicity, text_terms, train
 from tidemark.llm.topk import top_k
 
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
 LARGER = "/root/testdata/sf0.1"
 ODD = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, float("nan")], 1), (5, [1.0, None], 1), (6, [1.0, 2.0], None), (7, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (8, [2.0, 4.0, 0.0], 1), (None, [1.0, 2.0], 1)]
 
@@ -117,6 +122,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit[scored.toxic == 1].mean() > 0.8 and hit[scored.toxic == 0].mean() < 0.05
 
 
+def test_toxicity_learns_from_all_of_its_sample(spark):
+    # 2,000 toxic texts: more than the sample of 1,000 held
+    words = lambda i, n: " ".join(f"{hashlib.md5(f'{i} {j}'.encode()).hexdigest()}".translate(LETTERS) for j in range(n))
+    rows = [(i, f"{words(i, 6)} {'foulword' if i % 2 else 'kind'}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    foul = next(terms for _, _, _, terms in text_terms(text_column(pa.array(["foulword"]))))
+    assert SAMPLE == {1: 2000, 0: 6000} and quality.SAMPLE == 3000 and np.isin(foul, model.terms).all() and 1000 < model.label.sum() <= 2000
+
+
 def test_toxicity_does_not_depend_on_the_order_of_rows(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     first = docs.where("text <> ''").orderBy("doc_id").limit(1).crossJoin(spark.range(900000, 900004).withColumnRenamed("id", "copy"))

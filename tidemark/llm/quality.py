@@ -22,7 +22,7 @@ from tidemark.llm.text import Slice, hasher, laid_out, mix, text_column
 U = np.uint64
 DIMENSIONS = 1 << 15
 #: Labelled rows that are learned from at most, by grade.
-SAMPLE = 2000
+SAMPLE = 3000
 #: Weight of a text's shape features beside its tokens', which have norm 1.
 SHAPE = 0.7
 

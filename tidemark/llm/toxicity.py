@@ -20,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import document_rows, document_schema, with_rest
+from tidemark.llm.common import checkpoint, document_rows, document_schema, with_rest
 from tidemark.llm.labelled import give_back, held_out, letter_runs, sampled
 from tidemark.llm.text import hasher, laid_out, mix, text_column
 
 U = np.uint64
 #: Labelled rows that are learned from at most, by label.
-SAMPLE = {1: 1000, 0: 2000}
+SAMPLE = {1: 2000, 0: 6000}
 PREFIXES = (4, 5, 6)
 NEAREST, BLOCK = 15, 64
+#: Chosen terms are in so many toxic texts at least, and so many times as often in toxic ones.
+LEAST_TEXTS, RATIO = 5, 8.0
+#: Bands of the min-hash that tells near copies among examples, and rows of each.
+BANDS, BAND_ROWS = 6, 4
 THRESHOLD = 0.3
 
 
@@ -53,13 +57,37 @@ def _counted(owner: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[at], terms[at], np.diff(np.r_[at, len(owner)])
 
 
+def bands(terms: np.ndarray) -> np.ndarray:
+    """Min-hash keys of a text's distinct terms."""
+    keys = []
+    for band in range(BANDS):
+        least = [mix(terms ^ U(1 + 977 * (band * BAND_ROWS + i))).min(keepdims=True) for i in range(BAND_ROWS)]
+        key = least[0]
+        for x in least[1:]:
+            key = mix(key) + x
+        keys.append(key[0])
+    return np.array(keys, U)
+
+
+def different(keys: list[bytes]) -> np.ndarray:
+    """Of near copies (a band in common) the first only: copies would make their rare words look toxic."""
+    keep = np.ones(len(keys), bool)
+    who = np.flatnonzero([len(k) > 0 for k in keys])
+    table = np.frombuffer(b"".join(keys), "<u8").reshape(len(who), BANDS)
+    for band in table.T:
+        first = np.zeros(len(who), bool)
+        first[np.unique(band, return_index=True)[1]] = True
+        keep[who[~first]] = False
+    return keep
+
+
 class Model:
     """Vocabulary, index of examples and calibration."""
 
-    def __init__(self, owner: np.ndarray, terms: np.ndarray, count: np.ndarray, label: np.ndarray, weight: np.ndarray, *, least_texts: int = 5, ratio: float = 8.0, most_terms: int = 4096):
-        """(owner, terms, count): the sample's terms, sorted by text; label and weight: of each text."""
+    def __init__(self, owner: np.ndarray, terms: np.ndarray, count: np.ndarray, label: np.ndarray, weight: np.ndarray, keep: np.ndarray, *, least_texts: int = LEAST_TEXTS, ratio: float = RATIO, most_terms: int = 4096):
+        """(owner, terms, count): the sample's terms, sorted by text, those that cannot be chosen left out or not; label
+        and weight: of each text; keep: texts that are no near copies of earlier ones."""
         n = len(label)
-        keep = self._different(owner, terms, n)
         share = float((label * weight).sum() / weight.sum()) if n else 0.0
         here = keep[owner]
         vocabulary, place = np.unique(terms[here], return_inverse=True)
@@ -82,24 +110,6 @@ class Model:
         self.bare = float((label * weight)[without].sum() + share) / float(weight[without].sum() + 1) if n else 0.0
         self._calibrate(np.searchsorted(some, owner), place, value, label[some], weight[some])
 
-    @staticmethod
-    def _different(owner: np.ndarray, terms: np.ndarray, n: int, bands: int = 6, rows: int = 4) -> np.ndarray:
-        """Of near copies (min-hash bands in common) the first only: copies would make their rare words look toxic."""
-        keep = np.ones(n, bool)
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
-        if not len(starts):
-            return keep
-        who = owner[starts]
-        for band in range(bands):
-            least = [np.minimum.reduceat(mix(terms ^ U(1 + 977 * (band * rows + i))), starts) for i in range(rows)]
-            key = least[0]
-            for x in least[1:]:
-                key = mix(key) + x
-            first = np.zeros(len(who), bool)
-            first[np.unique(key, return_index=True)[1]] = True
-            keep[who[~first]] = False
-        return keep
-
     def vectors(self, owner: np.ndarray, terms: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(term's place, weight, text): unit TF-IDF vectors of the texts that have chosen terms."""
         if not len(self.terms):
@@ -187,19 +197,56 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
                     terms[first + i] = hashes[at].astype("<u8").tobytes() + np.minimum(count[at], 65535).astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("label"), batch.column("weight")], ["terms", "label", "weight"])
 
-    rows = own.mapInArrow(packed, "terms binary, label int, weight double").groupBy("terms").agg(F.max(F.struct("label", "weight")).alias("of")).select("terms", "of.*").toArrow()
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms").to_pylist()
+            digests = [hashlib.blake2b(x, digest_size=16).hexdigest() for x in terms]
+            keys = [bands(np.frombuffer(x, "<u8", len(x) // 10)).astype("<u8").tobytes() if x else b"" for x in terms]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(keys, pa.binary()), *batch.columns], ["digest", "bands", *batch.schema.names])
+
+    examples = own.mapInArrow(packed, "terms binary, label int, weight double").groupBy("terms").agg(F.max(F.struct("label", "weight")).alias("of")).select("terms", "of.*")
+    examples = checkpoint(examples.mapInArrow(described, "digest string, bands binary, terms binary, label int, weight double"))
+    # the driver gets digests, labels and bands of the examples, and of their terms those only that can be chosen
+    head = examples.select("digest", "bands", "label", "weight").toArrow().sort_by("digest")
+    label, weight, keep = head["label"].to_numpy(), head["weight"].to_numpy(), different(head["bands"].to_pylist())
+    place = {d: i for i, d in enumerate(head["digest"].to_pylist())}
+    kept = {d for d, i in place.items() if keep[i]}
+    del head
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, data, y in zip(*(batch.column(c).to_pylist() for c in ("digest", "terms", "label")), strict=True):
+                if digest in kept and data:
+                    found = np.frombuffer(data, "<i8", len(data) // 10)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), y > 0))], ["term", "toxic"])
+
+    of = [float(max(int((keep & own).sum()), 1)) for own in (label > 0, label == 0)]
+    counted = examples.mapInArrow(long, "term long, toxic boolean").groupBy("term").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    odds = (F.col("a") + 0.5) / F.lit(of[0]) / ((F.col("b") + 0.5) / F.lit(of[1]))
+    # a grain below the ratio: the model decides
+    possible = np.sort(counted.where((F.col("a") >= LEAST_TEXTS) & (odds >= RATIO * 0.999)).select("term").toArrow()["term"].to_numpy().view(U))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data in batch.column("terms").to_pylist():
+                k = len(data) // 10
+                found, count = np.frombuffer(data, "<u8", k), np.frombuffer(data, "<u2", k, 8 * k)
+                here = np.isin(found, possible)
+                out.append(found[here].astype("<u8").tobytes() + count[here].astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "terms"])
+
+    rows = examples.mapInArrow(chosen, "digest string, terms binary").toArrow().sort_by("digest")
     terms, counts, owners = [np.zeros(0, U)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
-    ranked = rows.take(pa.array(np.argsort(np.array([hashlib.blake2b(x, digest_size=16).hexdigest() for x in rows["terms"].to_pylist()]), kind="stable"))) if rows.num_rows else rows
-    for i, data in enumerate(ranked["terms"].to_pylist()):
+    for digest, data in zip(rows["digest"].to_pylist(), rows["terms"].to_pylist(), strict=True):
         k = len(data) // 10
         terms.append(np.frombuffer(data, "<u8", k))
         counts.append(np.frombuffer(data, "<u2", k, 8 * k))
-        owners.append(np.full(k, i, np.int32))
-    label, weight = ranked["label"].to_numpy(), ranked["weight"].to_numpy()
-    del rows, ranked
+        owners.append(np.full(k, place[digest], np.int32))
+    del rows
     sample = [np.concatenate(x) for x in (owners, terms, counts)]
     owners.clear(), terms.clear(), counts.clear()
-    model = Model(*sample, label, weight)
+    model = Model(*sample, label, weight, keep)
     sample.clear()
     give_back()
     return model
