@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -257,6 +258,14 @@ def test_overlaps():
     assert jaccard.overlaps(sets, 4).tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
 
 
+def test_links_of_large_sets_are_exact():
+    # 671,097 common of 894,796 distinct shingles are exactly 75 %; one less common is below
+    for common, links in ((671_097, 1), (671_096, 0)):
+        tokens = np.arange(common, dtype="<u8").tobytes()
+        cell = pa.table({"cell": [{"i": 0, "j": 0}] * 2, "block": [0, 0], "doc_id": [1, 2], "n": [common, 894_796], "tokens": [tokens, tokens]})
+        assert jaccard._match(cell, 75).num_rows == links
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (7, 7), (None, 3)]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()

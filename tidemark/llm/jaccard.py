@@ -235,7 +235,7 @@ def _match(cell: pa.Table, percent: int) -> pa.Table:
     one, two = np.flatnonzero(block == at["i"]), np.flatnonzero(block == at["j"])
     if not len(one) or not len(two):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    both = overlaps([sets[i] for i in one] + [sets[i] for i in two], len(one))
+    both = overlaps([sets[i] for i in one] + [sets[i] for i in two], len(one)).astype(np.int64)
     x, y = np.nonzero(100 * both >= percent * (n[one][:, None] + n[two][None, :] - both))
     x, y = one[x], two[y]
     root = np.arange(len(ids))
