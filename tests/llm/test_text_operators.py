@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -12,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import jaccard
-from tidemark.llm.bpe import Coder, decode_ids, encode_documents
+from tidemark.llm import jaccard, packing
+from tidemark.llm.bpe import Automaton, Coder, decode_ids, encode_documents
 from tidemark.llm.components import components
 from tidemark.llm.jaccard import near_copies
 from tidemark.llm.linededup import PerfectHash, dedup_lines
@@ -68,6 +69,39 @@ def test_bpe_equals_the_library():
         assert coder.decode(packed) == t.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_splits_as_the_library_on_every_kind_of_character():
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        coder = Coder(f.read())
+    t = tokenizer("byte_bpe_50k.json")
+    for lo in range(0, 0x110000, 4096):
+        text = "".join(f"a{chr(c)}1 {chr(c)}'ll{chr(c)} !" for c in range(lo, lo + 4096, 1 if lo < 0x4000 or 0x3D000 <= lo < 0x40000 else 7) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == t.encode(text, add_special_tokens=False).ids, hex(lo)
+
+
+def test_automaton_rows():
+    """Each state's row is what the gadgets make, on a small vocabulary built arc by arc."""
+    letters = "abc"
+    merges = ["a b", "a a", "aa b", "b c", "ab a", "bc b", "aa aa", "c ab"]
+    vocab = {t: i for i, t in enumerate([*letters, *dict.fromkeys(m.replace(" ", "") for m in merges)])}
+    data = {"model": {"type": "BPE", "vocab": vocab, "merges": merges}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    own = Automaton(json.dumps(data))
+    arcs, target = [{vocab[c]: 0 for c in letters}], {vocab[c]: 0 for c in letters}
+    for m in merges:
+        u, v = (vocab[x] for x in m.split(" "))
+        w, old = vocab[m.replace(" ", "")], target[vocab[m.split(" ")[0]]]
+        whole = v in arcs[old]
+        copy = {t: to for t, to in arcs[old].items() if t != v}
+        arcs.append(copy)
+        target[u], target[w] = len(arcs) - 1, target[v]
+        for state in arcs:
+            if u in state and whole:
+                state[w] = target[w]
+    for s, state in enumerate(arcs):
+        bits = np.unpackbits(np.frombuffer(own.row(s), np.uint8), bitorder="little", count=len(own.order))
+        assert {own.order[i] for i in np.flatnonzero(bits)} == set(state)
+    assert own.target == target
+
+
 def test_bpe_documents(spark, documents):
     t = tokenizer("byte_bpe_50k.json")
     for df in (documents, edge(spark)):
@@ -93,7 +127,7 @@ def test_cuts():
     assert all(sum(cuts(n)) == n and max(cuts(n), default=0) <= 2048 for n in range(5000))
 
 
-def test_packing(spark, documents):
+def test_packing(spark, documents, monkeypatch):
     t = tokenizer("word_bpe_49k.json")
     for df in (documents, edge(spark).dropDuplicates(["doc_id"])):
         found = packed_documents(df, vocabulary("word_bpe_49k.json")).collect()
@@ -117,6 +151,12 @@ def test_packing(spark, documents):
             assert at <= 2048
         assert len(sequences) <= sum(map(len, ids.values())) / 2048 * 1.05 + 2
     assert packed_documents(documents.where("false"), vocabulary("word_bpe_49k.json")).count() == 0
+    # repeated rows and rows without doc_id are documents of their own
+    some = edge(spark).unionByName(spark.createDataFrame([(None, "a b", 1, None)] * 3 + [(None, None, 1, None)], "doc_id long, text string, bucket int, n_words string"))
+    for fan in (16, 2):
+        monkeypatch.setattr(packing, "FAN", fan)
+        found = packed_documents(some.repartition(7), vocabulary("word_bpe_49k.json")).collect()
+        assert len([r for r in found if r.start == 0]) == some.count() and len({(r.sequence_id, r.offset) for r in found}) == len(found)
     kept = packed_documents(edge(spark), vocabulary("word_bpe_49k.json"), keep_ids=True).collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in kept)
 
@@ -252,6 +292,22 @@ def test_near_copies_of_repeated_doc_ids(spark):
     assert len({texts[t] for i, t in kept if t and i is not None}) == len(least) and kept.count((4, None)) == 2 and (None, rows[0][1]) in kept
 
 
+def test_rows_without_doc_id(spark):
+    line = "this is a long line that many documents hold, here"
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, line)] * 3 + [(None, None)] * 2 + [(1, line + "\n" + words), (2, line), (2, line), (None, words), (None, words)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    lines = dedup_lines(df, least_docs=5)
+    assert sorted((r.doc_id or 0, r.n_dropped, r.text) for r in lines.collect()) == sorted([(0, 1, "")] * 3 + [(0, 0, "")] * 2 + [(1, 1, words), (2, 0, line), (2, 0, line), (0, 0, words), (0, 0, words)])
+    alone = dedup_lines(df.where("doc_id is null"), least_docs=3)
+    assert sorted(r.text for r in alone.collect()) == sorted(["", "", words, words, line, line, line])
+    cut = remove_repeats(df)
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in cut.collect()) == sorted([(0, 10, 0)] * 3 + [(0, 0, 0)] * 2 + [(1, 40, 0), (2, 10, 0), (2, 10, 0), (0, 30, 30), (0, 30, 30)])
+    groups = near_copies(df)
+    assert sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in groups.collect()), key=str) == sorted([(0, 6, None)] * 3 + [(0, 0, None)] * 2 + [(1, 36, 1), (2, 6, 2), (2, 6, 2), (0, 26, None), (0, 26, None)], key=str)
+    assert encode_documents(df, vocabulary("byte_bpe_50k.json"), keep_ids=False).count() == 10
+
+
 def test_overlaps():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 1 << 64, 50, np.uint64) // np.uint64(1 << 59)) for _ in range(9)]
@@ -261,9 +317,24 @@ def test_overlaps():
 def test_links_of_large_sets_are_exact():
     # 671,097 common of 894,796 distinct shingles are exactly 75 %; one less common is below
     for common, links in ((671_097, 1), (671_096, 0)):
-        tokens = np.arange(common, dtype="<u8").tobytes()
-        cell = pa.table({"cell": [{"i": 0, "j": 0}] * 2, "block": [0, 0], "doc_id": [1, 2], "n": [common, 894_796], "tokens": [tokens, tokens]})
-        assert jaccard._match(cell, 75).num_rows == links
+        a, b = np.arange(common, dtype="<u8"), np.arange(894_796, dtype="<u8")
+        counted = []
+        for f, (x, y) in enumerate(zip(np.array_split(a, 3), [b[:99], *np.array_split(b[99:], 2)], strict=True)):
+            parts = ([a, b[:0], b[:0]][f], [b, b[:0], b[:0]][f]) if common % 2 else (x, np.intersect1d(b, x))
+            cell = pa.table({"i": [5] * 2, "j": [6] * 2, "fragment": pa.array([f] * 2, pa.int32()), "block": [5, 6], "doc_id": [1, 2], "n": [common, 894_796], "part": [p.tobytes() for p in parts]})
+            counted.append(jaccard._count(cell))
+        assert jaccard._decide(pa.concat_tables(counted), 75).num_rows == links
+
+
+def test_fragments_cut_the_order():
+    r = np.random.default_rng(7)
+    levels = np.array([0, 5, 9, 0, 6] + [0] * 11)
+    tokens = np.concatenate([np.sort(r.integers(0, 1 << 64, n, np.uint64)) for n in levels])
+    at = [(1, 1 << 63), (2, 0), (2, (1 << 64) - 1)]
+    parts = jaccard.cut(levels, tokens, at)
+    assert np.array_equal(np.concatenate(parts), tokens)
+    keys = [(lv, int(t)) for lv, t in zip(np.repeat(np.arange(16), levels), tokens, strict=True)]
+    assert [len(p) for p in parts] == [sum(sum(k >= e for e in at) == f for k in keys) for f in range(4)]
 
 
 def test_components(spark):

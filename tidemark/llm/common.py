@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bytes of text that one bucket of documents should hold; it is loaded whole by one task.
-BUCKET_BYTES = 4 << 20
-#: Documents in a bucket at most, for tables of very short texts.
-BUCKET_ROWS = 20_000
+#: Bytes of text of a bucket (loaded whole by one task) and of the texts whose hashes a shard takes, at most. Both grow
+#: with the square root of the input up to here, so that buckets x shards, the messages of a round, grow in proportion
+#: to the input; executors with more memory can take more.
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 128 << 20
+#: Square of a bucket's bytes over the input's bytes, and how much larger a shard's share is.
+GRAIN, SHARD = 32 << 10, 4
+#: Documents in a bucket at most, for tables of very short texts; partitions at most, each of several buckets.
+BUCKET_ROWS, PARTITIONS = 20_000, 50_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How many buckets documents are dealt to, partitions that hold them, and shards that divide the hashes."""
+
+    buckets: int
+    partitions: int
+    shards: int
+
+
+def layout(size: int, rows: int, cores: int) -> Layout:
+    """For a table of so many bytes of text and rows."""
+    own = min(max(math.isqrt(size * GRAIN), 1 << 20), BUCKET_BYTES)
+    share = min(max(SHARD * math.isqrt(size * GRAIN), 1 << 20), SHARD_BYTES)
+    least = min(cores, -(-size // (64 << 10)))  # smaller tables do not need every core
+    buckets = max(1, least, -(-size // own), -(-rows // BUCKET_ROWS))
+    return Layout(buckets, min(buckets, PARTITIONS), max(1, least, -(-size // share)))
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -30,15 +54,20 @@ def trim() -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir.
+    """The shared folder that the session names in spark.checkpoint.dir, which checkpoints use too.
 
-    Only where none is named (tests on one machine) a temporary folder is set.
+    Only where none is named and the master is this machine (tests), a temporary folder is set; a cluster without a
+    named folder is an error, as its machines do not see each other's.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return folder or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -64,15 +93,16 @@ def document_schema(rows: DataFrame, new: str) -> StructType:
     return StructType([rows.schema[c] for c in ("doc_id", "text", "rest")] + StructType.fromDDL(new).fields)
 
 
-def bucketed(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-    """Documents dealt by doc_id into buckets of about BUCKET_BYTES, and the number of buckets.
+def bucketed(docs: DataFrame, *columns: str) -> tuple[DataFrame, Layout]:
+    """Documents dealt by doc_id into buckets, and their layout.
 
-    Rows of one doc_id share a bucket; rows without doc_id are dealt by their text. Plans use the result several
-    times; Spark then reads the same shuffle files again (exchange reuse), so that texts are moved once.
+    Rows of one doc_id share a bucket; rows without doc_id are dealt by their text and input partition, so that many
+    equal ones spread. Plans use the result several times; Spark then reads the same shuffle files again (exchange
+    reuse), so that texts are moved once.
     """
     spark = docs.sparkSession
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("text").cast("string")))).first()
-    n = max(parallelism(spark), -(-(size or 0) // BUCKET_BYTES), -(-rows // BUCKET_ROWS))
+    sizes = layout(size or 0, rows, parallelism(spark))
     own = document_rows(docs).select("doc_id", "text", *columns)
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return own.withColumn("bucket", F.pmod(key, F.lit(n)).cast("int")).repartition(n, "bucket"), n
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")), F.spark_partition_id())).otherwise(F.xxhash64("doc_id"))
+    return own.withColumn("bucket", F.pmod(key, F.lit(sizes.buckets)).cast("int")).repartition(sizes.partitions, "bucket"), sizes

@@ -22,9 +22,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Fixed values of the HTML standard: elements without end tags, of raw text, that are never shown, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("script style head title noscript template textarea select option datalist iframe noframes noembed xmp svg canvas audio video object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math maction annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+RAW = frozenset("script style textarea title noembed noframes iframe".split())
+HIDDEN = frozenset("script style head title template textarea select option datalist iframe noframes noembed".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math maction annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg g path circle ellipse line polygon polyline rect defs use text tspan textpath canvas audio video object".split())
 #: What a head may hold: anything else ends a head whose end tag is left out.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -285,6 +285,9 @@ def training_pages(count: int = 400, seed: int = 11) -> list[str]:
 
     def comments() -> str:
         one = lambda: r.choice(["<li>", '<div class="comment">', "<p>"]) + f"<b>{word()}</b> {sentences(1, 3)}"
+        if r.random() < 0.3:
+            inner = "".join(f"<article><p>{sentences(1, 3)}</p></article>" for _ in range(r.randint(1, 4)))
+            return named(r.choice(["div", "section"]), "comments comment-list discussion responses replies", inner)
         inner = f"<h3>{words(1, 2)}</h3>" * (r.random() < 0.6) + "".join(r.choice([one(), f'<div class="comment"><p>{sentences(1, 4)}</p></div>', f"<article><p>{sentences(1, 3)}</p></article>"]) for _ in range(r.randint(1, 5)))
         return named(r.choice(["div", "section", "ol"]), "comments comment-list comments-area discussion responses replies reader-comments", inner)
 
@@ -331,9 +334,10 @@ def main_text(page: str, model: Field) -> str:
 def extract_text(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """The columns of pages with text (of the blocks decoded as text, one a line) and n_chars, its code points.
 
-    White space inside a block becomes one space, character references are decoded, nothing else is dropped or cut. A
-    null or empty html, and a page without text blocks, give an empty text. Columns of pages with the new names are
-    replaced.
+    White space inside a block becomes one space, character references are decoded, nothing else is dropped or cut: only
+    what is never shown as text (scripts, styles, the head, templates, form controls, frames) is no block. A null or
+    empty html, and a page without text blocks, give an empty text. Pages are decoded each for itself: ties and repeated
+    rows give equal results, and very long pages are read whole. Columns of pages with the new names are replaced.
     """
     fitted = pages.sparkSession.sparkContext.broadcast(model or trained())
     others = [c for c in pages.columns if c not in ("text", "n_chars")]

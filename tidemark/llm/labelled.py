@@ -25,7 +25,8 @@ def held_out(doc_id: Column) -> Column:
 def sampled(docs: DataFrame, labels: DataFrame, label: Column, sizes: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
     """(text, label, weight) of at most sizes[label] labelled documents of each label, none of them held out, and the
     labels' numbers of documents. Of a label with more, those with the smallest hash of doc_id are taken, and weight
-    makes up for the rest. A doc_id with several labels counts with the largest."""
+    makes up for the rest. A doc_id with several labels counts with the largest, one with several texts (repeated rows)
+    with the smallest."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", label.cast("int").alias("label")).where(F.col("label").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect() if r["label"] in sizes}
@@ -39,7 +40,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: Column, sizes: dict[int,
         return docs.select("text", F.lit(0).alias("label"), F.lit(1.0).alias("weight")).where(F.lit(False)), totals
     # at most sum(sizes) ids: small enough to send to every executor
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(parts), "doc_id")
-    return own.select("text", "label", "weight").limit(2 * sum(sizes.values())), totals
+    return own.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text")).select("text", "label", "weight"), totals
 
 
 def letter_runs(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -177,11 +177,11 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 40, least_docs: int = 5)
     doc_id count as one document each and never own a line that a document with doc_id holds (if none does, all such
     rows keep it). Columns of docs with the new names are replaced; an empty table gives an empty one.
     """
-    dealt, n = bucketed(docs, "rest")
+    dealt, sizes = bucketed(docs, "rest")
 
     def send(bucket: pa.Table) -> pa.Table:
         a, b, count, last = _hashes(bucket, least_chars)
-        return message_table([*messages(bucket["bucket"][0].as_py(), a, n, lambda s: planes(a[s], 8) + planes(b[s], 8) + planes(count[s].astype(U), 4) + planes(last[s].view(U), 8))])
+        return message_table([*messages(bucket["bucket"][0].as_py(), a, sizes.shards, lambda s: planes(a[s], 8) + planes(b[s], 8) + planes(count[s].astype(U), 4) + planes(last[s].view(U), 8))])
 
     def keep(bucket: pa.Table, found: pa.Table) -> pa.Table:
         trim()

@@ -26,8 +26,11 @@ from tidemark.llm.common import checkpoint
 from tidemark.llm.components import components
 from tidemark.llm.vectors import matrix, packed, unpacked
 
-#: Vectors that the codebooks are trained on at most, lists per label at most, subspaces, codes of each.
-SAMPLE, LISTS, PARTS, CODES = 8192, 64, 8, 64
+#: Vectors that the codebooks are trained on at most, subspaces, codes of each.
+SAMPLE, PARTS, CODES = 16_384, 8, 64
+#: Lists of each label, at least (given as many vectors to train on) and at most; between, a quarter of the square root
+#: of the number of vectors.
+LEAST_LISTS, MOST_LISTS = 64, 1024
 #: Members or visitors of a block.
 BLOCK = 2048
 MARGIN = 1e-6
@@ -51,11 +54,12 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Codebooks:
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, vectors: int):
         n, width = sample.shape
+        lists = min(max(math.isqrt(vectors) // 4, LEAST_LISTS), MOST_LISTS)
         self.width = width
         self.part = -(-width // PARTS)
-        self.coarse = k_means(sample, max(1, min(LISTS, n // 64)))
+        self.coarse = k_means(sample, max(1, min(lists, n // 16)))
         rest = self._parts(sample - self.coarse[distances(sample, self.coarse).argmin(axis=1)])
         self.books = np.stack([_filled(k_means(rest[:, i], CODES), CODES) for i in range(PARTS)])
 
@@ -95,7 +99,8 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
     Vectors of equal labels link if their cosine is at least least_cosine. n_links counts the other rows linked
     directly, component_id is the smallest vec_id that links reach. Null, zero and non-finite vectors, vectors without
     label and rows without vec_id link with nothing (0, their own vec_id, kept). Shorter vectors count as if zeros
-    followed. Repeated rows are separate vectors.
+    followed. Repeated rows are separate vectors; other columns are not kept, whatever their names. An empty table gives an
+    empty one.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
@@ -123,7 +128,7 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
     sample = classes.select("unit").orderBy(F.xxhash64("unit")).limit(SAMPLE).collect()
     if not sample:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    books = classes.sparkSession.sparkContext.broadcast(Codebooks(np.frombuffer(b"".join(bytes(r[0]) for r in sample), "<f8").reshape(-1, width)))
+    books = classes.sparkSession.sparkContext.broadcast(Codebooks(np.frombuffer(b"".join(bytes(r[0]) for r in sample), "<f8").reshape(-1, width), classes.count()))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_books = books.value

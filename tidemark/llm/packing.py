@@ -2,10 +2,10 @@
 
 A document's tokens are cut into pieces whose lengths are reciprocals of the capacity (capacity // k), or at most
 `tail` tokens. A piece's class is k, the number of such pieces that fill a bin: every bin of a class takes exactly k
-pieces, so that workers fill bins independently, without looking at each other's. Pieces left over in a worker are
-pooled by class and filled again; what then remains is fewer than k pieces of each class, a number that the capacity
-bounds (some ten thousand for 2,048), whatever the input. One task packs those, longest first, each into the fullest
-sequence that has room.
+pieces, so that workers fill bins independently, without looking at each other's. The pieces of a worker that fill no
+bin of their class, fewer than k of each, fill sequences together, longest first, each the fullest with room; those of
+sequences that stay open are handed on, some hundred at most, whatever the worker's input. They meet those of FAN - 1
+other workers, what is then open meets those of other groups, and so on, so that no task takes more than a bound.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tidemark.llm.bpe import byte_letters
 from tidemark.llm.common import checkpoint
 
 CAPACITY = 2048
+#: Workers whose open sequences' pieces meet at once, and the part of a sequence's tokens that may stay free.
+FAN, SLACK = 16, 0.01
 #: Chunks of text that a Python worker remembers with their ids; beyond it, those not met lately are forgotten.
 REMEMBERED = 300_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -154,7 +156,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, *, end_id: int = 1, capacity:
 def _fill(table: pa.Table, capacity: int, first: int) -> tuple[pa.Table, int]:
     """Full bins of each class, in order of (class, doc_id, start): sequence_id counts from `first`; null where left over."""
     length = table["length"].to_numpy()
-    table = table.take(pa.array(np.lexsort((table["start"].to_numpy(), table["ids_crc32"].to_numpy(), table["doc_id"].to_numpy(zero_copy_only=False), length))))
+    table = table.take(pa.array(np.lexsort((table["start"].to_numpy(), table["ids_crc32"].to_numpy(), table["doc_id"].fill_null(-1 << 63).to_numpy(), length))))
     length = table["length"].to_numpy()
     begin = np.r_[True, length[1:] != length[:-1]] if len(length) else np.zeros(0, bool)
     group = np.cumsum(begin) - 1
@@ -168,61 +170,93 @@ def _fill(table: pa.Table, capacity: int, first: int) -> tuple[pa.Table, int]:
     return out, int(new.sum())
 
 
-def _rest(table: pa.Table, capacity: int, first: int) -> pa.Table:
-    """Packs the few pieces that no class could fill: longest first into the fullest sequence with room."""
-    order = np.lexsort((table["start"].to_numpy(), table["doc_id"].to_numpy(zero_copy_only=False), -table["length"].to_numpy()))
+def _together(table: pa.Table, capacity: int, first: int, slack: int | None) -> pa.Table:
+    """Packs pieces of all lengths: longest first into the fullest sequence with room. Pieces of sequences with more than
+    slack tokens free get none (sequence_id is null), if slack is given."""
+    order = np.lexsort((table["ids_crc32"].to_numpy(), table["start"].to_numpy(), table["doc_id"].fill_null(-1 << 63).to_numpy(), -table["length"].to_numpy()))
     table = table.take(pa.array(order))
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    used: list[int] = []
+    open_, used = 0, []  # a bit for each number of free tokens that some sequence has
     sequence, offset = [], []
     for n in table["length"].to_pylist():
-        free = next((r for r in range(n, capacity + 1) if room[r]), None)
-        if free is None:
+        fits = open_ >> n
+        if fits:
+            free = n + (fits & -fits).bit_length() - 1
+            s = room[free].pop()
+            if not room[free]:
+                open_ ^= 1 << free
+        else:
             used.append(0)
             free, s = capacity, len(used) - 1
-        else:
-            s = room[free].pop()
-        sequence.append(first + s)
+        sequence.append(s)
         offset.append(used[s])
         used[s] += n
-        room[free - n].append(s)
-    return table.set_column(table.schema.get_field_index("sequence_id"), "sequence_id", pa.array(sequence, pa.int64())).set_column(table.schema.get_field_index("offset"), "offset", pa.array(offset, pa.int64()))
+        if free > n:
+            room[free - n].append(s)
+            open_ |= 1 << (free - n)
+    sequence = np.array(sequence, np.int64)
+    waits = (capacity - np.array(used, np.int64) > slack)[sequence] if slack is not None and len(sequence) else np.zeros(len(sequence), bool)
+    for name, values in (("sequence_id", first + sequence), ("offset", np.array(offset, np.int64))):
+        table = table.set_column(table.schema.get_field_index(name), name, pa.array(values, pa.int64(), mask=waits))
+    return table
 
 
 def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset (gapless from 0 in its sequence).
 
-    cut is as `pieces` returns it. Ties and repeated rows are separate pieces; an empty table gives an empty one. The
-    pieces are written out first, so that a lost executor's work is repeated on the same rows. Sequence ids are unique
-    and not dense: a worker's number is in their upper bits.
+    cut is as `pieces` returns it, with a null doc_id or not. Ties and repeated rows are separate pieces; an empty table
+    gives an empty one. The pieces are written out first, so that a lost executor's work is repeated on the same rows.
+    Sequence ids are unique and not dense: a worker's number is in their upper bits.
     """
     cut = checkpoint(cut)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint, worker int"
+    slack = int(SLACK * capacity)
 
     def by_worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table = None
-        first, worker = 0, TaskContext.get().partitionId() + 1
+        number = TaskContext.get().partitionId()
+        first = (number + 1) << 36
+
+        def named(t: pa.Table) -> list[pa.RecordBatch]:
+            return t.append_column("worker", pa.array(np.full(t.num_rows, number, np.int32))).to_batches()
+
         for batch in batches:  # pieces left over meet those of the next batch
             new = pa.Table.from_batches([batch])
             table = new if table is None else pa.concat_tables([table, new])
             if table.num_rows < 50_000:
                 continue
-            out, n = _fill(table, capacity, (worker << 36) + first)
+            out, n = _fill(table, capacity, first)
             first += n
-            done = out.filter(out["sequence_id"].is_valid())
             table = out.filter(out["sequence_id"].is_null()).drop_columns(["sequence_id", "offset"])
-            yield from done.to_batches()
+            yield from named(out.filter(out["sequence_id"].is_valid()))
         if table is not None:
-            yield from _fill(table, capacity, (worker << 36) + first)[0].to_batches()
+            out, n = _fill(table, capacity, first)
+            yield from named(out.filter(out["sequence_id"].is_valid()))
+            yield from named(_together(out.filter(out["sequence_id"].is_null()), capacity, first + n, slack))
 
     filled = checkpoint(cut.mapInArrow(by_worker, schema))
-    left = filled.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
-    again = checkpoint(left.groupBy("length").applyInArrow(lambda t: _fill(t, capacity, (1 << 62) + (t["length"][0].as_py() << 44))[0], schema))
-    last = again.where(F.col("sequence_id").isNull()).groupBy((F.col("length") < 0).alias("all")).applyInArrow(lambda t: _rest(t, capacity, 1 << 61), schema)
-    return filled.where(F.col("sequence_id").isNotNull()).unionByName(again.where(F.col("sequence_id").isNotNull())).unionByName(last)
+    found = lambda df: df.where(F.col("sequence_id").isNotNull()).drop("worker")
+    done, left, level = found(filled), filled.where(F.col("sequence_id").isNull()), 0
+    workers = (left.agg(F.max("worker")).first()[0] or 0) + 1
+    while True:
+        workers, level = -(-workers // FAN), level + 1
+
+        def meet(t: pa.Table, level: int = level, most: int | None = slack if workers > 1 else None) -> pa.Table:
+            return _together(t, capacity, (1 << 62) + (level << 56) + (t["worker"][0].as_py() << 24), most)
+
+        again = left.withColumn("worker", F.floor(F.col("worker") / FAN).cast("int")).groupBy("worker").applyInArrow(meet, schema)
+        if workers == 1:
+            return done.unionByName(found(again))
+        again = checkpoint(again)
+        done, left = done.unionByName(found(again)), again.where(F.col("sequence_id").isNull())
 
 
 def packed_documents(docs: DataFrame, vocabulary_path: str, *, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """The pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Whole texts are packed, null and empty ones as the one token end_id. Repeated rows, and rows without doc_id, are
+    documents of their own; other columns of docs are not kept, whatever their names. An empty table gives an empty one.
+    """
     return pack(pieces(docs, vocabulary_path, end_id=end_id, capacity=capacity, keep_ids=keep_ids), capacity=capacity)

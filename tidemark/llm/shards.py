@@ -3,7 +3,8 @@
 A bucket sends each shard one message: the sorted distinct hashes that it holds of the shard's range, as byte planes,
 with a number for each. A shard combines the messages of all buckets by whole-array operations and answers each with
 one value per entry. Hot hashes are thereby aggregated before they move: a bucket sends any hash once, however many of
-its documents hold it, and shards divide the hash space evenly.
+its documents hold it, and shards divide the hash space evenly. There are far fewer shards than buckets; sizes of both
+grow with the input (common.layout), so that the number of messages grows in proportion to it.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ HASH_BYTES = 6
 
 def count_messages(bucket: int, hashes: np.ndarray, documents: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes]]:
     """For sorted hashes and the number of the bucket's documents with each. 48 bits of a hash are sent: two different
-    hashes that agree in them count as one, so that counts are upper bounds."""
+    hashes that agree in them count as one, so that counts are upper bounds. A bucket's number is sent up to 255 and a
+    total's logarithm answered up to 15: they order hashes and tell one holder from several, no more."""
     local = np.minimum(documents, 255).astype(np.uint8)
     return messages(bucket, hashes, shards, lambda s: planes(hashes[s] >> U(64 - 8 * HASH_BYTES), HASH_BYTES) + local[s].tobytes())
 

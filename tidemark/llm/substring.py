@@ -112,7 +112,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 13) -> DataFrame:
     """
     if window < PERIOD:
         raise ValueError(f"windows of at least {PERIOD} words are expected")
-    dealt, n = bucketed(docs, "rest")
+    dealt, sizes = bucketed(docs, "rest")
+    n = sizes.shards
     length = window - PERIOD + 1
 
     def send_anchors(bucket: pa.Table) -> pa.Table:

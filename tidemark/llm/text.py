@@ -20,12 +20,16 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U = np.uint64
 
 
+#: The multipliers of a published 64-bit finaliser.
+SPREAD = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
+    x = x * SPREAD[0]
     x = x ^ (x >> U(33))
-    x = x * U(0xC4CEB9FE1A85EC53)
+    x = x * SPREAD[1]
     return x ^ (x >> U(33))
 
 

@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import parallelism
 from tidemark.llm.vectors import matrix
 
-#: Candidates and queries in a cell, about.
-COLUMN, ROW = 4096, 1024
+#: Bytes of a cell's candidates as of its queries, about: vectors are copied once for each cell of their row or column.
+CELL_BYTES = 8 << 20
 EXACT = 1 << 62
 
 
@@ -47,9 +48,10 @@ def accumulate(queries: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]],
 
 
 def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query the places of its k best candidates (ties: smaller id first), its own id left out."""
+    """For each query the places of its k best candidates (ties: smaller id first), its own place left out (-1: none)."""
+    places = np.arange(len(ids))
     for i, row in enumerate(scores):
-        others = np.flatnonzero(ids != own[i])
+        others = places[places != own[i]]
         if len(others) > k:
             best = row[others]
             edge = np.partition(best, len(best) - k)[len(best) - k]
@@ -70,14 +72,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     """(query_id, rank, vec_id, score) from (vec_id, embedding): the k other vectors of highest inner product.
 
     Components count as floor(scale * x); shorter vectors as if zeros followed. Vectors that are null or hold null or
-    non-finite components, and rows without vec_id, take no part; rows of one vec_id are one vector (the smallest). A
-    query is not its own candidate; fewer than k others give fewer ranks. Ties go to the smaller vec_id. Scores beyond
-    64 bits are ranked exactly and returned as the nearest long.
+    non-finite components, and rows without vec_id, take no part. Repeated rows are separate vectors: candidates of each
+    other, and queries with a result each. Fewer than k others give fewer ranks. Ties go to the smaller vec_id. Other
+    columns are not kept, whatever their names. Scores beyond 64 bits are ranked exactly and returned as the nearest long.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    total, asking = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    columns, lines = max(parallelism(spark), -(-total // COLUMN)), max(1, -(-asking // ROW))
+    total, asking, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("embedding"))).first()
+    side = max(CELL_BYTES // (8 * max(width or 1, 1)), 256)
+    columns, lines = max(min(parallelism(spark), -(-total // 256)), -(-total // side), 1), max(1, -(-asking // side))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     offered = rows.select("vec_id", "embedding", F.lit(False).alias("asks"), place(columns).alias("column"), spread(lines).alias("line"))
@@ -88,20 +91,33 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
         good, values = matrix(cell["embedding"])
         ids, asks = cell["vec_id"].to_numpy()[good], cell["asks"].to_numpy(zero_copy_only=False)[good]
         order = np.lexsort((*values.T[::-1], ids, asks)) if len(ids) else np.zeros(0, np.int64)
-        ids, asks, numbers = ids[order], asks[order], quantised(values[order], scale)
-        first = np.r_[True, (ids[1:] != ids[:-1]) | (asks[1:] != asks[:-1])][: len(ids)]
-        ids, asks, numbers = ids[first], asks[first], numbers[first]
-        own, own_numbers = ids[asks], numbers[asks]
-        ids, terms = ids[~asks], postings(numbers[~asks])
-        out: list[tuple[int, int, int]] = []
+        ids, asks, values = ids[order], asks[order], values[order]
+        numbers = quantised(values, scale)
+        mine, of = ids[asks], values[asks]
+        new = np.r_[True, (mine[1:] != mine[:-1]) | (of[1:] != of[:-1]).any(axis=1)][: len(mine)]
+        first = np.flatnonzero(new)
+        times = np.diff(np.r_[first, len(mine)])  # equal rows ask once and are answered each
+        own, asked, whole = mine[first], numbers[asks][first], of[first]
+        ids, offered, candidates = ids[~asks], values[~asks], numbers[~asks]
+        terms = postings(candidates)
+        # a query's own row, or one of those equal to it
+        place = np.full(len(own), -1)
+        for i, at in enumerate(np.searchsorted(ids, own)):
+            while at < len(ids) and ids[at] == own[i] and (offered[at] != whole[i]).any():
+                at += 1
+            if at < len(ids) and ids[at] == own[i]:
+                place[i] = at
+        out: list[tuple[int, int, int, int, int]] = []
         low, high = -(1 << 63), (1 << 63) - 1
         for at in range(0, len(own), 256):
-            scores = accumulate(own_numbers[at : at + 256], terms, len(ids))
-            for i, best in select(scores, ids, own[at : at + 256], k):
-                out += [(int(own[at + i]), int(ids[j]), min(max(int(scores[i, j]), low), high)) for j in best]
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
-
-    found = cells.groupBy("cell").applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            scores = accumulate(asked[at : at + 256], terms, len(ids))
+            for i, best in select(scores, ids, place[at : at + 256], k):
+                key = xxhash.xxh3_64_intdigest(whole[at + i].tobytes()) - (1 << 63)
+                out += [(int(own[at + i]), key, int(times[at + i]), int(ids[j]), min(max(int(scores[i, j]), low), high)) for j in best]
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "key", "times", "vec_id", "score"), columns, strict=True)})
+
+    found = cells.groupBy("cell").applyInArrow(search, "query_id long, key long, times long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    return best.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("query_id", "rank", "vec_id", "score")

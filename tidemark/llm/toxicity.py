@@ -1,22 +1,25 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and weighted votes.
 
-Terms are tokens (runs of letters, A-Z lower-cased) and their prefixes of 4 to 6 bytes. A text is mostly words that say
-nothing about its label, so that the vocabulary is first chosen on the training rows: terms of at least `least_texts`
-toxic texts that are found in them `ratio` times as often as in others. The chosen terms' TF-IDF vectors of the
-training rows are indexed: postings in blocks of examples, with the largest weight of each block. A query bounds every
-block by the sum of its weights times those maxima and scores blocks from the highest bound down, until no block can
-hold a nearer example; the result is that of a full scan. Votes are weighted by nearness; scores are calibrated by
-isotonic regression on the training rows, each scored without itself. A text without chosen terms gets the share of
-toxic rows among the training rows without any.
+Terms are tokens (runs of letters, A-Z lower-cased) and their prefixes; the vocabulary has every term of at least
+LEAST_TEXTS training texts. A text is mostly words that say nothing about its label, so that a term's inverse document
+frequency is multiplied by the square of the logarithm of its odds (toxic to other training texts, smoothed): no term is
+chosen or left out, but those that occur alike under both labels weigh little. The unit vectors of the training texts are
+indexed: postings by term and block of examples, with the largest weight of each. A query bounds every block by the sum
+of its weights times those maxima and scores blocks from the highest bound down, until no block can hold a nearer
+example; the result is that of a full scan. Votes are weighted by nearness; scores are calibrated by isotonic regression
+on the training texts, each scored without itself. A text without any known term gets the share of toxic texts among the
+training texts without any.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +30,11 @@ from tidemark.llm.text import hasher, laid_out, mix, text_column
 U = np.uint64
 #: Labelled rows that are learned from at most, by label.
 SAMPLE = {1: 2000, 0: 6000}
-PREFIXES = (4, 5, 6)
-NEAREST, BLOCK = 15, 64
-#: Chosen terms are in so many toxic texts at least, and so many times as often in toxic ones.
-LEAST_TEXTS, RATIO = 5, 8.0
-#: Bands of the min-hash that tells near copies among examples, and rows of each.
-BANDS, BAND_ROWS = 6, 4
+PREFIXES = (4, 6)
+#: Neighbours that vote, examples of a block, and training texts that a term of the vocabulary is in at least.
+NEAREST, BLOCK, LEAST_TEXTS = 15, 64, 2
+#: Texts of average odds that every term is counted with besides its own.
+SMOOTH = 10.0
 THRESHOLD = 0.3
 
 
@@ -57,98 +59,81 @@ def _counted(owner: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[at], terms[at], np.diff(np.r_[at, len(owner)])
 
 
-def bands(terms: np.ndarray) -> np.ndarray:
-    """Min-hash keys of a text's distinct terms."""
-    keys = []
-    for band in range(BANDS):
-        least = [mix(terms ^ U(1 + 977 * (band * BAND_ROWS + i))).min(keepdims=True) for i in range(BAND_ROWS)]
-        key = least[0]
-        for x in least[1:]:
-            key = mix(key) + x
-        keys.append(key[0])
-    return np.array(keys, U)
+def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each begin and count, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)
 
 
-def different(keys: list[bytes]) -> np.ndarray:
-    """Of near copies (a band in common) the first only: copies would make their rare words look toxic."""
-    keep = np.ones(len(keys), bool)
-    who = np.flatnonzero([len(k) > 0 for k in keys])
-    table = np.frombuffer(b"".join(keys), "<u8").reshape(len(who), BANDS)
-    for band in table.T:
-        first = np.zeros(len(who), bool)
-        first[np.unique(band, return_index=True)[1]] = True
-        keep[who[~first]] = False
-    return keep
+def term_weights(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, smooth: float = SMOOTH) -> np.ndarray:
+    """Inverse document frequency times squared log odds of terms, by the numbers of toxic and other texts with them;
+    the frequency alone if there are texts of one label only."""
+    n = n_toxic + n_other
+    idf = np.log((n + 1) / (toxic + other + 1)) + 1
+    if not n_toxic or not n_other:
+        return idf
+    a = (toxic + smooth * n_toxic / n) / (n_toxic + smooth)
+    b = (other + smooth * n_other / n) / (n_other + smooth)
+    return idf * np.log(a / b) ** 2
 
 
-class Model:
-    """Vocabulary, index of examples and calibration."""
-
-    def __init__(self, owner: np.ndarray, terms: np.ndarray, count: np.ndarray, label: np.ndarray, weight: np.ndarray, keep: np.ndarray, *, least_texts: int = LEAST_TEXTS, ratio: float = RATIO, most_terms: int = 4096):
-        """(owner, terms, count): the sample's terms, sorted by text, those that cannot be chosen left out or not; label
-        and weight: of each text; keep: texts that are no near copies of earlier ones."""
-        n = len(label)
-        share = float((label * weight).sum() / weight.sum()) if n else 0.0
-        here = keep[owner]
-        vocabulary, place = np.unique(terms[here], return_inverse=True)
-        toxic = label[owner[here]] > 0
-        found = np.bincount(place[toxic], minlength=len(vocabulary)), np.bincount(place[~toxic], minlength=len(vocabulary))
-        all_of = max(int((keep & (label > 0)).sum()), 1), max(int((keep & (label == 0)).sum()), 1)
-        odds = (found[0] + 0.5) / all_of[0] / ((found[1] + 0.5) / all_of[1])
-        good = np.flatnonzero((found[0] >= least_texts) & (odds >= ratio))
-        good = good[np.lexsort((vocabulary[good], -found[0][good] * np.log(odds[good])))][:most_terms]
-        self.terms = np.sort(vocabulary[good])
-        texts = np.bincount(np.searchsorted(self.terms, terms[np.isin(terms, self.terms)]), minlength=len(self.terms))
-        self.idf = np.log((n + 1) / (texts + 1)) + 1
-        place, value, owner = self.vectors(owner, terms, count)
-        some = np.unique(owner)
-        self.example, self.label = some, label[some]
-        self._index(np.searchsorted(some, owner), place, value, len(some))
-        without = np.ones(n, bool)
-        without[some] = False
-        self.share = share
-        self.bare = float((label * weight)[without].sum() + share) / float(weight[without].sum() + 1) if n else 0.0
-        self._calibrate(np.searchsorted(some, owner), place, value, label[some], weight[some])
+class Vocabulary:
+    """Sorted term hashes with their weights."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray):
+        self.terms, self.weights = terms, weights
 
     def vectors(self, owner: np.ndarray, terms: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(term's place, weight, text): unit TF-IDF vectors of the texts that have chosen terms."""
+        """(term's place, weight, text): unit TF-IDF vectors of the texts that have known terms."""
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0), owner[:0]
+            return np.zeros(0, np.int32), np.zeros(0, np.float32), owner[:0]
         place = np.searchsorted(self.terms, terms).clip(max=len(self.terms) - 1)
         own = self.terms[place] == terms
         owner, place, count = owner[own], place[own], count[own]
-        value = (1 + np.log(count.astype(np.float64))) * self.idf[place]
-        norm = np.bincount(owner, value * value)
-        return place, value / np.sqrt(norm[owner]), owner
+        value = (1 + np.log(count.astype(np.float64))) * self.weights[place]
+        norm = np.sqrt(np.bincount(owner, value * value))[owner] if len(owner) else value
+        some = norm > 0
+        return place[some].astype(np.int32), (value[some] / norm[some]).astype(np.float32), owner[some]
+
+
+class Index:
+    """Examples' vectors as postings in blocks, with the largest weight of each term in each block."""
 
-    def _index(self, example: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> None:
+    def __init__(self, example: np.ndarray, place: np.ndarray, value: np.ndarray, label: np.ndarray, share: float, terms: int):
         order = np.lexsort((example, place))
-        self.posting, self.weight = example[order], value[order]
-        self.begin = np.searchsorted(place[order], np.arange(len(self.terms) + 1))
-        self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((len(self.terms), max(self.blocks, 1)))
-        np.maximum.at(self.most, (place, example // BLOCK), value)
+        place, self.posting, self.value = place[order], example[order].astype(np.int32), value[order]
+        self.label, self.share = label, share
+        block = self.posting // BLOCK
+        new = np.r_[True, (place[1:] != place[:-1]) | (block[1:] != block[:-1])][: len(place)]
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.r_[self.first, len(place)])
+        self.block = block[self.first]
+        self.most = np.maximum.reduceat(self.value, self.first) if len(self.first) else self.value
+        self.begin = np.searchsorted(place[self.first], np.arange(terms + 1))
+        self.blocks = -(-len(label) // BLOCK)
 
     def nearest(self, place: np.ndarray, value: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines, nearest first (ties: lower number), at most NEAREST."""
-        bound = value @ self.most[place]
-        blocks = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.blocks * BLOCK)
-        ranges = [(self.begin[p], self.begin[p + 1], v) for p, v in zip(place, value, strict=True)]
-        best = np.zeros(0)
-        ids = np.zeros(0, np.int64)
-        step = 8
-        for at in range(0, len(blocks), step):
-            some = blocks[at : at + step]
-            if bound[some[0]] <= 0 or (len(best) == NEAREST and bound[some[0]] < best[-1]):
-                break
-            lows, highs = some * BLOCK, some * BLOCK + BLOCK
-            for lo, hi, v in ranges:
-                own = self.posting[lo:hi]
-                for a, b in zip(lo + np.searchsorted(own, lows), lo + np.searchsorted(own, highs), strict=True):
-                    scores[self.posting[a:b]] += v * self.weight[a:b]
-            new = (lows[:, None] + np.arange(BLOCK)).ravel()
-            new = new[(scores[new] > 0) & (new != without)]
+        counts = self.begin[place + 1] - self.begin[place]
+        entry, own = ranges(self.begin[place], counts), np.repeat(value.astype(np.float64), counts)
+        block = self.block[entry]
+        bound = np.bincount(block, own * self.most[entry], minlength=self.blocks) * (1 + 1e-9)
+        waiting = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        ids, best = np.zeros(0, np.int64), np.zeros(0)
+        wave = 8
+        while len(waiting):
+            if len(best) == NEAREST:
+                waiting = waiting[bound[waiting] >= best[-1]]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[waiting[:wave]] = True
+            waiting, wave = waiting[wave:], wave * 8
+            here = wanted[block]
+            size = self.size[entry[here]]
+            at = ranges(self.first[entry[here]], size)
+            scores = np.bincount(self.posting[at], np.repeat(own[here], size) * self.value[at], minlength=len(self.label))
+            if without >= 0:
+                scores[without] = 0
+            new = np.flatnonzero(scores > 0)
             ids, best = np.r_[ids, new], np.r_[best, scores[new]]
             order = np.lexsort((ids, -best))[:NEAREST]
             ids, best = ids[order], best[order]
@@ -158,32 +143,52 @@ class Model:
         w = near * near
         return float((w @ (self.label[ids] > 0) + 0.25 * self.share) / (w.sum() + 0.25))
 
-    def _calibrate(self, owner: np.ndarray, place: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
-        order = np.argsort(owner, kind="stable")
-        bounds = np.searchsorted(owner[order], np.arange(len(label) + 1))
-        raw = np.array([self.vote(*self.nearest(place[o := order[bounds[i] : bounds[i + 1]]], value[o], i)) for i in range(len(label))])
-        rank = np.argsort(raw, kind="stable")
-        # pooled adjacent violators; each pool starts with a grain of the overall share
+
+@dataclass
+class Calibration:
+    """The score of a vote: isotonic levels between knots; the score of a text without known terms."""
+
+    knots: np.ndarray
+    levels: np.ndarray
+    bare: float
+
+    @classmethod
+    def fit(cls, raw: np.ndarray, label: np.ndarray, weight: np.ndarray, share: float, bare: float) -> Calibration:
+        """Pools adjacent violators; each pool starts with a grain of the overall share."""
         pools: list[list[float]] = []
-        for x, y, w in zip(raw[rank], label[rank] > 0, weight[rank], strict=True):
-            pools.append([w * y, w, x, x])
+        values, at = np.unique(raw, return_inverse=True)
+        ones, all_of = (np.bincount(at, w, minlength=len(values)) for w in (weight * (label > 0), weight))
+        for x, y, w in zip(values.tolist(), ones.tolist(), all_of.tolist(), strict=True):
+            pools.append([y, w, x, x])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
                 last = pools.pop()
                 pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
-        smooth = lambda p: (p[0] + self.share) / (p[1] + 1)
-        self.knots = np.array([v for p in pools for v in (p[2], p[3])] or [0.0])
-        self.levels = np.maximum.accumulate(np.array([smooth(p) for p in pools for _ in range(2)] or [self.share]))
+        levels = [(p[0] + share) / (p[1] + 1) for p in pools for _ in range(2)]
+        return cls(np.array([v for p in pools for v in (p[2], p[3])] or [0.0]), np.maximum.accumulate(np.array(levels or [share])), bare)
 
     def score(self, raw: float) -> float:
         return float(np.interp(raw, self.knots, self.levels))
 
 
+#: A term of a text: 64 bits of hash, 32 bits of count. A term of a vector: its place and its weight.
+TERM, ENTRY = np.dtype([("term", "<u8"), ("count", "<u4")]), np.dtype([("place", "<i4"), ("value", "<f4")])
+
+
+@dataclass
+class Model:
+    vocabulary: Broadcast
+    index: Broadcast
+    calibration: Calibration
+
+
 def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None) -> Model:
     """Learns from a bounded sample of the labelled rows that are not held out (labels: doc_id, toxic).
 
-    Texts of equal terms are one example, with the largest of their labels; examples are ordered by a digest of their
-    terms, so that every run learns the same model from the same rows.
+    Texts of equal terms are one example, with the largest of their labels. Examples are ordered by label, heaviest term
+    and a digest of their terms, so that every run learns the same model from the same rows. The driver gets the
+    vocabulary's counts and the examples' vectors, which the sample bounds.
     """
+    spark = docs.sparkSession
     own, _ = sampled(docs, labels, F.when(F.col("toxic") > 0, 1).otherwise(F.when(F.col("toxic") == 0, 0)), sizes or SAMPLE)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,63 +196,70 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
             terms: list[bytes] = [b""] * batch.num_rows
             for first, n, owner, hashes in text_terms(text_column(batch.column("text"))):
                 owner, hashes, count = _counted(owner, hashes)
+                rows = np.empty(len(hashes), TERM)
+                rows["term"], rows["count"] = hashes, count
                 bounds = np.searchsorted(owner, np.arange(n + 1))
                 for i in range(n):
-                    at = slice(bounds[i], bounds[i + 1])
-                    terms[first + i] = hashes[at].astype("<u8").tobytes() + np.minimum(count[at], 65535).astype("<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("label"), batch.column("weight")], ["terms", "label", "weight"])
+                    terms[first + i] = rows[bounds[i] : bounds[i + 1]].tobytes()
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in terms]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(terms, pa.binary()), batch.column("label"), batch.column("weight")], ["digest", "terms", "label", "weight"])
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = batch.column("terms").to_pylist()
-            digests = [hashlib.blake2b(x, digest_size=16).hexdigest() for x in terms]
-            keys = [bands(np.frombuffer(x, "<u8", len(x) // 10)).astype("<u8").tobytes() if x else b"" for x in terms]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(keys, pa.binary()), *batch.columns], ["digest", "bands", *batch.schema.names])
-
-    examples = own.mapInArrow(packed, "terms binary, label int, weight double").groupBy("terms").agg(F.max(F.struct("label", "weight")).alias("of")).select("terms", "of.*")
-    examples = checkpoint(examples.mapInArrow(described, "digest string, bands binary, terms binary, label int, weight double"))
-    # the driver gets digests, labels and bands of the examples, and of their terms those only that can be chosen
-    head = examples.select("digest", "bands", "label", "weight").toArrow().sort_by("digest")
-    label, weight, keep = head["label"].to_numpy(), head["weight"].to_numpy(), different(head["bands"].to_pylist())
-    place = {d: i for i, d in enumerate(head["digest"].to_pylist())}
-    kept = {d for d, i in place.items() if keep[i]}
-    del head
+    examples = own.mapInArrow(packed, "digest binary, terms binary, label int, weight double")
+    examples = checkpoint(examples.groupBy("digest").agg(F.max(F.struct("label", "weight")).alias("of"), F.max("terms").alias("terms")).select("digest", "terms", "of.*"))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, data, y in zip(*(batch.column(c).to_pylist() for c in ("digest", "terms", "label")), strict=True):
-                if digest in kept and data:
-                    found = np.frombuffer(data, "<i8", len(data) // 10)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), y > 0))], ["term", "toxic"])
-
-    of = [float(max(int((keep & own).sum()), 1)) for own in (label > 0, label == 0)]
-    counted = examples.mapInArrow(long, "term long, toxic boolean").groupBy("term").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
-    odds = (F.col("a") + 0.5) / F.lit(of[0]) / ((F.col("b") + 0.5) / F.lit(of[1]))
-    # a grain below the ratio: the model decides
-    possible = np.sort(counted.where((F.col("a") >= LEAST_TEXTS) & (odds >= RATIO * 0.999)).select("term").toArrow()["term"].to_numpy().view(U))
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for data, y in zip(batch.column("terms").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                found = np.frombuffer(data, TERM)["term"].astype(U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), y > 0))], ["term", "toxic"])
+
+    counted = examples.mapInArrow(long, "term long, toxic boolean").groupBy("term").agg(F.count_if("toxic").cast("int").alias("a"), F.count_if(~F.col("toxic")).cast("int").alias("b"))
+    known = counted.where(F.col("a") + F.col("b") >= LEAST_TEXTS).toArrow()
+    terms, a, b = known["term"].to_numpy().view(U), known["a"].to_numpy(), known["b"].to_numpy()
+    order = np.argsort(terms)
+    n_toxic, n = examples.agg(F.count_if(F.col("label") > 0), F.count(F.lit(1))).first()
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(terms[order], term_weights(a[order], b[order], n_toxic, n - n_toxic)))
+    del known, terms, a, b, order
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, heaviest = [], []
             for data in batch.column("terms").to_pylist():
-                k = len(data) // 10
-                found, count = np.frombuffer(data, "<u8", k), np.frombuffer(data, "<u2", k, 8 * k)
-                here = np.isin(found, possible)
-                out.append(found[here].astype("<u8").tobytes() + count[here].astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], ["digest", "terms"])
-
-    rows = examples.mapInArrow(chosen, "digest string, terms binary").toArrow().sort_by("digest")
-    terms, counts, owners = [np.zeros(0, U)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
-    for digest, data in zip(rows["digest"].to_pylist(), rows["terms"].to_pylist(), strict=True):
-        k = len(data) // 10
-        terms.append(np.frombuffer(data, "<u8", k))
-        counts.append(np.frombuffer(data, "<u2", k, 8 * k))
-        owners.append(np.full(k, place[digest], np.int32))
+                rows = np.frombuffer(data, TERM)
+                place, value, _ = vocabulary.value.vectors(np.zeros(len(rows), np.int64), rows["term"].astype(U), rows["count"])
+                vector = np.empty(len(place), ENTRY)
+                vector["place"], vector["value"] = place, value
+                out.append(vector.tobytes())
+                heaviest.append(int(place[np.argmax(value)]) if len(place) else -1)
+            kept = [batch.column(c) for c in ("digest", "label", "weight")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(heaviest, pa.int32()), pa.array(out, pa.binary())], ["digest", "label", "weight", "heaviest", "vector"])
+
+    placed = checkpoint(examples.mapInArrow(vectors, "digest binary, label int, weight double, heaviest int, vector binary"))
+    rows = placed.toArrow().sort_by([("label", "ascending"), ("heaviest", "ascending"), ("digest", "ascending")])
+    label, weight = rows["label"].to_numpy(), rows["weight"].to_numpy()
+    share = float((label * weight).sum() / weight.sum()) if len(label) else 0.0
+    sizes_ = np.array([len(x) // ENTRY.itemsize for x in rows["vector"].to_pylist()], np.int64)
+    entries = np.frombuffer(b"".join(rows["vector"].to_pylist()), ENTRY)
+    number = {d: i for i, d in enumerate(rows["digest"].to_pylist())}
     del rows
-    sample = [np.concatenate(x) for x in (owners, terms, counts)]
-    owners.clear(), terms.clear(), counts.clear()
-    model = Model(*sample, label, weight, keep)
-    sample.clear()
+    index = spark.sparkContext.broadcast(Index(np.repeat(np.arange(len(label)), sizes_), entries["place"], entries["value"], label, share, len(vocabulary.value.terms)))
+    del entries
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The votes on each example without itself."""
+        for batch in batches:
+            ids = [number[d] for d in batch.column("digest").to_pylist()]
+            found = [np.frombuffer(x, ENTRY) for x in batch.column("vector").to_pylist()]
+            raw = [index.value.vote(*index.value.nearest(x["place"], x["value"], i)) if len(x) else None for i, x in zip(ids, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(raw, pa.float64())], ["number", "raw"])
+
+    known = placed.select("digest", "vector").mapInArrow(votes, "number int, raw double").where("raw is not null").toArrow().sort_by("number")
+    at = known["number"].to_numpy()
+    without = np.ones(len(label), bool)
+    without[at] = False
+    bare = float((label * weight)[without].sum() + share) / float(weight[without].sum() + 1) if len(label) else 0.0
+    model = Model(vocabulary, index, Calibration.fit(known["raw"].to_numpy(), label[at], weight[at], share, bare))
+    del known
     give_back()
     return model
 
@@ -256,33 +268,33 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
     """The columns of docs with held_out, score (0 to 1), predicted (score >= threshold) and evidence.
 
     evidence has, for each of the nearest examples, its cosine and label, nearest first; it is empty for texts without
-    chosen terms, such as null and empty ones. Without any labelled row all scores are 0. Scores depend on texts only:
-    equal texts score alike. Columns of docs with the new names are replaced.
+    known terms, such as null and empty ones. Without any labelled row all scores are 0. Scores depend on texts only:
+    equal texts, repeated rows and rows without doc_id (never held out) score alike, whole texts of any length are
+    read. Columns of docs with the new names are replaced; an empty table gives an empty one.
     """
     rows = document_rows(docs)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sizes))
+    model = train(docs, labels, sizes)
+    vocabulary, index, calibration = model.vocabulary, model.index, model.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
         for batch in batches:
-            score = np.full(batch.num_rows, own.bare)
-            evidence: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            score = np.full(batch.num_rows, calibration.bare)
+            counts = np.zeros(batch.num_rows + 1, np.int32)
+            cosines, voters = [np.zeros(0)], [np.zeros(0, np.int32)]
             for first, n, owner, terms in text_terms(text_column(batch.column("text"))):
-                if len(own.terms):
-                    chosen = own.terms[np.searchsorted(own.terms, terms).clip(max=len(own.terms) - 1)] == terms
-                    owner, terms = owner[chosen], terms[chosen]
-                else:
-                    owner, terms = owner[:0], terms[:0]
-                place, value, owner = own.vectors(*_counted(owner, terms))
+                place, value, owner = vocabulary.value.vectors(*_counted(owner, terms))
                 bounds = np.searchsorted(owner, np.arange(n + 1))
                 for i in np.flatnonzero(np.diff(bounds)):
                     at = slice(bounds[i], bounds[i + 1])
-                    ids, near = own.nearest(place[at], value[at])
-                    score[first + i] = own.score(own.vote(ids, near))
-                    evidence[first + i] = [{"cosine": float(c), "label": int(own.label[j])} for j, c in zip(ids, near, strict=True)]
+                    ids, near = index.value.nearest(place[at], value[at])
+                    score[first + i] = calibration.score(index.value.vote(ids, near))
+                    counts[first + i + 1] = len(ids)
+                    cosines.append(near)
+                    voters.append(index.value.label[ids].astype(np.int32))
             score = score.clip(0, 1)
+            evidence = pa.StructArray.from_arrays([pa.array(np.concatenate(cosines)), pa.array(np.concatenate(voters))], ["cosine", "label"])
             columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "rest": batch.column("rest"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}
-            columns["evidence"] = pa.array(evidence, pa.list_(pa.struct([("cosine", pa.float64()), ("label", pa.int32())])))
+            columns["evidence"] = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), evidence)
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     scored = rows.mapInArrow(run, document_schema(rows, "score double, predicted int, evidence array<struct<cosine: double, label: int>>"))
