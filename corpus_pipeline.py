@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over `documents`: each works on all that its predecessor kept.
 
 Counted as part of tidemark.llm. A stage takes (spark, docs, sf_dir); its result is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents, others that docs has among them. Every stage
+takes an empty table and gives an empty one; null texts count as empty, rows without doc_id as documents of their own.
 """
 
 from __future__ import annotations
@@ -22,18 +23,28 @@ from tidemark.llm.toxicity import score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. Labels are those of the labels table."""
+    """Documents that are not predicted toxic. Labels are those of the labels table.
+
+    Equal texts are kept or rejected alike, also in repeated rows; null texts stay, and null stays null.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; n_chars counts what is left."""
+    """Documents without their repeated lines; n_chars counts what is left.
+
+    A null text becomes an empty one. Rows of one doc_id are one document; of rows without doc_id all are earlier than
+    any document with one.
+    """
     return _measured(dedup_lines(docs), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: one with the smallest doc_id. Rows without doc_id or words stay."""
+    """One row of each group of near copies: one with the smallest doc_id. Rows without doc_id or words stay.
+
+    Of repeated rows of one doc_id and text one stays; rows of one doc_id with different texts are told apart.
+    """
     docs_ = docs.withColumn("_text", F.xxhash64("text"))
     rows = grouped(docs).withColumnRenamed("text_hash", "_text").where("doc_id is not null and component is not null").groupBy("component", "doc_id", "_text").agg(F.count(F.lit(1)).alias("_n"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "_text")).alias("_first"))
@@ -45,12 +56,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that begin in an earlier document; n_chars counts what is left."""
+    """Documents without passages that begin in an earlier document; n_chars counts what is left.
+
+    Words are joined by single spaces; a null text becomes an empty one. Repeated rows of one doc_id do not cut each
+    other; rows without doc_id are later than all documents with one.
+    """
     return _measured(remove_repeats(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2,048 tokens."""
+    """The pieces of all documents and their places in sequences of 2,048 tokens. Null and empty texts, repeated rows and
+    rows without doc_id have pieces like others."""
     return packed_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -71,13 +87,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
+    """Applies the stages to documents, each written to the shared folder and read again; what a stage has read is removed
+    when its own result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+    before = None
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
