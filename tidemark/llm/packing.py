@@ -14,7 +14,7 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +201,11 @@ def _together(table: pa.Table, capacity: int, first: int, slack: int | None) ->
     return table
 
 
+def _meeting(capacity: int, level: int, slack: int | None) -> Callable[[pa.Table], pa.Table]:
+    """What a group of workers does with the pieces that they hand on: its sequences' ids tell level and group."""
+    return lambda t: _together(t, capacity, (1 << 62) + (level << 56) + (t["worker"][0].as_py() << 24), slack)
+
+
 def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset (gapless from 0 in its sequence).
 
@@ -242,11 +247,8 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     workers = (left.agg(F.max("worker")).first()[0] or 0) + 1
     while True:
         workers, level = -(-workers // FAN), level + 1
-
-        def meet(t: pa.Table, level: int = level, most: int | None = slack if workers > 1 else None) -> pa.Table:
-            return _together(t, capacity, (1 << 62) + (level << 56) + (t["worker"][0].as_py() << 24), most)
-
-        again = left.withColumn("worker", F.floor(F.col("worker") / FAN).cast("int")).groupBy("worker").applyInArrow(meet, schema)
+        met = left.withColumn("worker", F.floor(F.col("worker") / FAN).cast("int")).groupBy("worker")
+        again = met.applyInArrow(_meeting(capacity, level, slack if workers > 1 else None), schema)
         if workers == 1:
             return done.unionByName(found(again))
         again = checkpoint(again)
