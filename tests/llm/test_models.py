@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import neardup, quality
+from tidemark.llm import neardup, quality, toxicity
 from tidemark.llm.htmlextract import blocks, extract_text, main_text, training_pages, trained
 from tidemark.llm.neardup import near_vectors
 from tidemark.llm.quality import score_quality
@@ -147,23 +147,26 @@ def test_toxicity_learns_from_all_of_its_sample(spark):
     assert SAMPLE == {1: 2000, 0: 6000} and quality.SAMPLE == 3000 and np.isin(foul, model.vocabulary.value.terms).all() and 1000 < model.index.value.label.sum() <= 2000
 
 
-def test_nearest_examples_are_those_of_a_full_scan():
+def test_nearest_examples_are_those_of_a_full_scan(monkeypatch):
     r = np.random.default_rng(4)
-    n, terms = 700, 400
+    n, terms, queries = 700, 400, 150
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
     example, place = np.nonzero(r.random((n, terms)) < np.linspace(0.3, 0.002, terms))
     value = r.random(len(place)).astype(np.float32) ** 4
     index = Index(example, place.astype(np.int32), value, r.integers(0, 2, n), 0.5, terms)
-    whole = np.zeros((n, terms))
+    assert 0 < len(index.weights) < terms
+    whole, asked = np.zeros((n, terms)), np.zeros((queries, terms))
     whole[example, place] = value
-    for i in range(60):
-        own = np.flatnonzero(r.random(terms) < r.choice([0.01, 0.2])).astype(np.int32)
-        w = (r.random(len(own)) ** 3).astype(np.float32)
-        without = i if i % 2 else -1
-        scores = whole[:, own] @ w.astype(float)
-        scores[without if without >= 0 else slice(0, 0)] = 0
-        want = [j for j in np.lexsort((np.arange(n), -scores)) if scores[j] > 0][:15]
-        ids, near = index.nearest(own, w, without)
-        assert np.allclose(near, scores[want]) and np.allclose(scores[ids], near) and len(set(ids.tolist())) == len(ids)
+    of, own = np.nonzero(r.random((queries, terms)) < r.choice([0.004, 0.2], (queries, 1)))
+    weight = (r.random(len(own)) ** 3).astype(np.float32)
+    asked[of, own] = weight
+    for without in (None, np.arange(queries)):
+        scores = asked @ whole.T
+        if without is not None:
+            scores[np.arange(queries), without] = 0
+        for s, (ids, near) in zip(scores, index.nearest(of, own.astype(np.int32), weight, queries, without), strict=True):
+            want = [j for j in np.lexsort((np.arange(n), -np.round(s, 9))) if round(s[j], 9) > 0][:15]
+            assert ids.tolist() == want and np.allclose(near, s[want])
 
 
 def test_calibration_is_isotonic_regression():

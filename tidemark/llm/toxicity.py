@@ -4,9 +4,9 @@ Terms are tokens (runs of letters, A-Z lower-cased) and their prefixes; the voca
 LEAST_TEXTS training texts. A text is mostly words that say nothing about its label, so that a term's inverse document
 frequency is multiplied by the square of the logarithm of its odds (toxic to other training texts, smoothed): no term is
 chosen or left out, but those that occur alike under both labels weigh little. The unit vectors of the training texts are
-indexed: postings by term and block of examples, with the largest weight of each. A query bounds every block by the sum
-of its weights times those maxima and scores blocks from the highest bound down, until no block can hold a nearer
-example; the result is that of a full scan. Votes are weighted by nearness; scores are calibrated by isotonic regression
+indexed: postings by term, those of frequent terms by blocks of examples with the largest weight of each. A query bounds
+every block by its own weights times those maxima, scores the blocks of the highest bounds, and then those only that can
+still hold a nearer example; the result is that of a full scan. Votes are weighted by nearness; scores are calibrated by isotonic regression
 on the training texts, each scored without itself. A text without any known term gets the share of toxic texts among the
 training texts without any.
 """
@@ -30,9 +30,12 @@ from tidemark.llm.text import hasher, laid_out, mix, text_column
 U = np.uint64
 #: Labelled rows that are learned from at most, by label.
 SAMPLE = {1: 2000, 0: 6000}
-PREFIXES = (4, 6)
+PREFIXES = (5,)
 #: Neighbours that vote, examples of a block, and training texts that a term of the vocabulary is in at least.
-NEAREST, BLOCK, LEAST_TEXTS = 15, 64, 2
+NEAREST, BLOCK, LEAST_TEXTS = 15, 256, 2
+#: Share of the examples (one in so many) from which on a term is frequent, texts that search at once, and decimals of
+#: cosines (sums in different orders agree in them).
+FREQUENT, TEXTS, DIGITS = 12, 128, 9
 #: Texts of average odds that every term is counted with besides its own.
 SMOOTH = 10.0
 THRESHOLD = 0.3
@@ -97,47 +100,71 @@ class Vocabulary:
 
 
 class Index:
-    """Examples' vectors as postings in blocks, with the largest weight of each term in each block."""
+    """Examples' vectors by term. Postings of terms in few examples are short and read whole; those of frequent terms
+    (in at least one of FREQUENT examples) are kept by blocks of examples, with each term's largest weight in a block."""
 
     def __init__(self, example: np.ndarray, place: np.ndarray, value: np.ndarray, label: np.ndarray, share: float, terms: int):
         order = np.lexsort((example, place))
-        place, self.posting, self.value = place[order], example[order].astype(np.int32), value[order]
-        self.label, self.share = label, share
-        block = self.posting // BLOCK
-        new = np.r_[True, (place[1:] != place[:-1]) | (block[1:] != block[:-1])][: len(place)]
-        self.first = np.flatnonzero(new)
-        self.size = np.diff(np.r_[self.first, len(place)])
-        self.block = block[self.first]
-        self.most = np.maximum.reduceat(self.value, self.first) if len(self.first) else self.value
-        self.begin = np.searchsorted(place[self.first], np.arange(terms + 1))
-        self.blocks = -(-len(label) // BLOCK)
-
-    def nearest(self, place: np.ndarray, value: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines, nearest first (ties: lower number), at most NEAREST."""
-        counts = self.begin[place + 1] - self.begin[place]
-        entry, own = ranges(self.begin[place], counts), np.repeat(value.astype(np.float64), counts)
-        block = self.block[entry]
-        bound = np.bincount(block, own * self.most[entry], minlength=self.blocks) * (1 + 1e-9)
-        waiting = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
-        ids, best = np.zeros(0, np.int64), np.zeros(0)
-        wave = 8
-        while len(waiting):
-            if len(best) == NEAREST:
-                waiting = waiting[bound[waiting] >= best[-1]]
-            wanted = np.zeros(self.blocks, bool)
-            wanted[waiting[:wave]] = True
-            waiting, wave = waiting[wave:], wave * 8
-            here = wanted[block]
-            size = self.size[entry[here]]
-            at = ranges(self.first[entry[here]], size)
-            scores = np.bincount(self.posting[at], np.repeat(own[here], size) * self.value[at], minlength=len(self.label))
-            if without >= 0:
-                scores[without] = 0
-            new = np.flatnonzero(scores > 0)
-            ids, best = np.r_[ids, new], np.r_[best, scores[new]]
-            order = np.lexsort((ids, -best))[:NEAREST]
-            ids, best = ids[order], best[order]
-        return ids, best
+        example, place, value = example[order].astype(np.int32), place[order], value[order]
+        self.label, self.share, self.n = label, share, len(label)
+        count = np.bincount(place, minlength=terms)
+        often = count * FREQUENT >= max(self.n, 1)
+        #: Each frequent term's row among them, or -1; their weights by (row, example), and the blocks' maxima.
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.blocks = -(-self.n // BLOCK)
+        self.weights = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        here = often[place]
+        self.weights[self.row[place[here]], example[here]] = value[here]
+        self.most = self.weights.reshape(len(self.weights), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((len(self.weights), 0))
+        self.posting, self.value = example[~here].astype(np.int64), value[~here].astype(np.float64)
+        self.size = np.where(often, 0, count)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def nearest(self, owner: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts (vectors by owner) its examples and cosines (to DIGITS decimals), nearest first (ties: lower
+        number), at most NEAREST of them, none with a cosine of 0, and not the one of its number in `without`."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        bounds = np.searchsorted(owner, np.arange(n + 1))
+        for lo in range(0, n, TEXTS):
+            hi = min(lo + TEXTS, n)
+            at = slice(bounds[lo], bounds[hi])
+            out += self._batch(owner[at] - lo, place[at], value[at].astype(np.float64), hi - lo, None if without is None else without[lo:hi])
+        return out
+
+    def _batch(self, owner: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        width = self.blocks * BLOCK
+        size, begin = self.size[place], self.begin[place]
+        scores = np.zeros((n, width))
+        bounds = np.searchsorted(owner, np.arange(n + 1))
+        for i in range(n):  # text by text, in the processor's cache
+            own = slice(bounds[i], bounds[i + 1])
+            at = ranges(begin[own], size[own])
+            scores[i] = np.bincount(self.posting[at], np.repeat(value[own], size[own]) * self.value[at], minlength=width)
+        query = np.zeros((n, len(self.weights)))
+        often = self.row[place] >= 0
+        query[owner[often], self.row[place[often]]] = value[often]
+        if without is not None:
+            scores[np.arange(n), without] = -np.inf
+        bound = (scores.reshape(n, self.blocks, BLOCK).max(axis=2) + query @ self.most) * (1 + 1e-9) if self.blocks else np.zeros((n, 0))
+        seen = np.zeros(bound.shape, bool)
+        first = max(1, self.blocks // 8)
+        wanted = bound >= np.partition(bound, self.blocks - first, axis=1)[:, [self.blocks - first]] if self.blocks else seen
+        done = np.full(scores.shape, -np.inf)
+        for _ in range(2):  # the blocks of the highest bounds, then those that can still hold a nearer example
+            wanted = wanted & ~seen & (bound > 0)
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                texts, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                done[texts, own] = scores[texts, own] + query[texts] @ self.weights[:, own]
+            seen |= wanted
+            edge = np.partition(done, width - NEAREST, axis=1)[:, [width - NEAREST]] if width > NEAREST else np.full((n, 1), -np.inf)
+            wanted = bound >= edge
+        done = np.round(done, DIGITS)
+        found = []
+        for i, least in enumerate(np.round(edge[:, 0], DIGITS)):
+            ids = np.flatnonzero((done[i] >= least) & (done[i] > 0))
+            ids = ids[np.lexsort((ids, -done[i, ids]))][:NEAREST]
+            found.append((ids, done[i, ids]))
+        return found
 
     def vote(self, ids: np.ndarray, near: np.ndarray) -> float:
         w = near * near
@@ -249,8 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
         """The votes on each example without itself."""
         for batch in batches:
             ids = [number[d] for d in batch.column("digest").to_pylist()]
-            found = [np.frombuffer(x, ENTRY) for x in batch.column("vector").to_pylist()]
-            raw = [index.value.vote(*index.value.nearest(x["place"], x["value"], i)) if len(x) else None for i, x in zip(ids, found, strict=True)]
+            size = np.array([len(x) // ENTRY.itemsize for x in batch.column("vector").to_pylist()], np.int64)
+            entries = np.frombuffer(b"".join(batch.column("vector").to_pylist()), ENTRY)
+            near = index.value.nearest(np.repeat(np.arange(len(ids)), size), entries["place"], entries["value"], len(ids), np.array(ids))
+            raw = [index.value.vote(*x) if k else None for x, k in zip(near, size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(raw, pa.float64())], ["number", "raw"])
 
     known = placed.select("digest", "vector").mapInArrow(votes, "number int, raw double").where("raw is not null").toArrow().sort_by("number")
@@ -283,10 +312,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
             cosines, voters = [np.zeros(0)], [np.zeros(0, np.int32)]
             for first, n, owner, terms in text_terms(text_column(batch.column("text"))):
                 place, value, owner = vocabulary.value.vectors(*_counted(owner, terms))
-                bounds = np.searchsorted(owner, np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(bounds)):
-                    at = slice(bounds[i], bounds[i + 1])
-                    ids, near = index.value.nearest(place[at], value[at])
+                known = np.unique(owner)
+                searched = index.value.nearest(np.searchsorted(known, owner), place, value, len(known))
+                for i, (ids, near) in zip(known.tolist(), searched, strict=True):
                     score[first + i] = calibration.score(index.value.vote(ids, near))
                     counts[first + i + 1] = len(ids)
                     cosines.append(near)
