@@ -183,9 +183,8 @@ def _linked_classes(dealt: DataFrame, sizes: Layout, classes: DataFrame, k: int,
     clusters = components(tokens.join(first, "token").select("a", F.col("doc").alias("b")).where("a <> b"))
     placed = checkpoint(_blocks(clusters, tokens))
     # blocks of a cluster meet if a prefix shingle lies in both, and each meets itself
-    where = placed.select("cluster", "block").distinct()
-    several = where.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("cluster")
-    lies = tokens.join(placed.join(several, "cluster", "left_semi").select(F.col("doc_id").alias("doc"), "block"), "doc").select("token", "block").distinct()
+    where = placed.select("block").distinct()
+    lies = tokens.join(placed.where("not alone").select(F.col("doc_id").alias("doc"), "block"), "doc").select("token", "block").distinct()
     other = lies.select("token", F.col("block").alias("j"))
     pairs = lies.select("token", F.col("block").alias("i")).join(other, "token").where("i < j").select("i", "j").distinct()
     pairs = pairs.unionByName(where.select(F.col("block").alias("i"), F.col("block").alias("j")))
@@ -197,13 +196,13 @@ def _linked_classes(dealt: DataFrame, sizes: Layout, classes: DataFrame, k: int,
 
 
 def _blocks(clusters: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(cluster, doc_id, block): at most about BLOCK classes a block. Classes whose smallest prefix shingle (by its hash)
-    is the same are put together, so that near copies share blocks and few pairs of blocks meet."""
+    """(doc_id, block, alone): at most about BLOCK classes a block; alone: its cluster has no other. Classes whose smallest
+    prefix shingle (by its hash) is the same are put together, so that near copies share blocks and few blocks meet."""
     homes = tokens.groupBy(F.col("doc").alias("node")).agg(F.min("token").alias("home"))
     size = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("wanted"))
-    own = clusters.join(size, "component").join(homes, "node").select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), F.pmod(F.xxhash64("home"), F.col("wanted")).alias("part"))
+    own = clusters.join(size, "component").join(homes, "node").select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), F.pmod(F.xxhash64("home"), F.col("wanted")).alias("part"), "wanted")
     full = own.groupBy("cluster", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("pieces"))
-    return own.join(full, ["cluster", "part"]).select("cluster", "doc_id", F.xxhash64("cluster", "part", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).alias("block"))
+    return own.join(full, ["cluster", "part"]).select("doc_id", F.xxhash64("cluster", "part", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).alias("block"), ((F.col("wanted") == 1) & (F.col("pieces") == 1)).alias("alone"))
 
 
 def pivots(left: DataFrame) -> list[tuple[int, int]]:
