@@ -99,6 +99,12 @@ def test_jaccard_and_cosine(spark):
     assert tuple(r) == (1.0, 1 / 3, None, 0.0, 0.0, 1.0)
 
 
+def test_unicode_fold(spark):
+    texts = ["Ünïcode & Co._ltd", "𝐓𝐞𝐜𝐡𝐧𝐨", "STRASSE straße", "ΣΑΣ", "İx", " R&B / ﬁne ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.unicode_fold(F.col("t"))).collect()] == ["unicode and co ltd", "techno", "strasse strasse", "σασ", "ix", "r and b fine", "", None]
+
+
 def test_interval_holds_the_point(spark):
     df = spark.createDataFrame([(float(x),) for x in range(11)], "x double")
     ci = df.agg(K.interval(F.col("x"), F.lit(50.0)).alias("ci")).first().ci
@@ -112,7 +118,6 @@ def test_islands(spark):
 
 
 def test_texts(spark):
-    assert T.fold_text("Ünïcode & Co._ltd") == "unicode and co ltd"
     assert T.token_set_score("the great band", "Band, great the") == 100.0
     assert T.token_set_score("great band", "great band live") == 100.0
     assert T.token_set_score("", "x") == 0.0 and T.token_set_score(None, "x") is None

@@ -150,3 +150,30 @@ def test_weeks_of_streams_begin_on_mondays(spark, data):
     events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     weeks = [r.week for r in I.weekly(events).select("week").distinct().collect()]
     assert weeks and all(w.weekday() == 0 for w in weeks)
+
+
+def test_cycles_of_any_length(spark):
+    rows = [(1, None, "a"), (2, 1, "b"), (3, 5, "c"), (4, 3, "d"), (5, 4, "e"), (6, 3, "f"), (7, 7, "g"), (8, 99, "h")]
+    faults = E.taxonomy_faults(spark.createDataFrame(rows, "id int, parent int, name string"))
+    assert values(faults) == sorted([("cycle", "3"), ("cycle", "4"), ("cycle", "5"), ("cycle", "7"), ("missing parent", "8")], key=str)
+    assert values(E.taxonomy_faults(spark.createDataFrame(rows[:2], "id int, parent int, name string"))) == []
+
+
+def test_scene_tells_opposites_apart(spark):
+    points = [("a", [3.0, 0.1, 0.0]), ("b", [-3.0, 0.0, 0.1]), ("c", [0.1, 1.0, 0.0]), ("d", [0.0, -1.0, 0.0])]
+    at = {r.genre: (r.x, r.y) for r in E.scene(spark.createDataFrame(points, "genre string, centroid array<double>")).collect()}
+    assert at["a"][0] > 2.9 and at["b"][0] < -2.9 and at["c"][1] > 0.9 and at["d"][1] < -0.9
+    assert E.scene(spark.createDataFrame(points[:2], "genre string, centroid array<double>")).count() == 0
+
+
+def test_receipts_and_manifest(spark):
+    from tidemark.operators import evidence as V
+
+    rows = spark.createDataFrame([(MONDAY, 1, i % 5) for i in range(9)], "week date, genre int, post_id int")
+    long = V.receipts(rows, "post_id")
+    assert long.count() == 5 and values(V.receipt_lists(long, "post_id", 3)) == [(MONDAY, 1, [0, 1, 2], 5)]
+    at = lambda d, h: datetime.datetime(2024, 1, d, h)
+    runs = spark.createDataFrame([("x", at(1, 12), at(3, 6)), ("y", at(2, 0), at(2, 1))], "run_id string, started_at timestamp, finished_at timestamp")
+    events = spark.createDataFrame([(at(1, 11),), (at(1, 12),), (at(2, 0),), (at(2, 0),), (at(3, 6),)], "at timestamp")
+    out = V.manifest(runs, runs.where("run_id = 'y'"), {"events": events})
+    assert values(out.select("run_id", "events")) == [("x", 3), ("y", 2)]

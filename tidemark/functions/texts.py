@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 
@@ -13,17 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 
-def fold_text(text: str | None) -> str | None:
-    """Compatibility form, case folded, accents dropped, & as and, other signs as single spaces."""
-    if text is None:
-        return None
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if unicodedata.category(c) != "Mn")
-    return " ".join(re.sub(r"[\W_]+", " ", plain.replace("&", " and ")).split())
+@F.pandas_udf(StringType())
+def decomposed(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition, then case folding: what styled, accented and plain letters have in common."""
+    return text.str.normalize("NFKD").str.casefold()
 
 
-@F.pandas_udf(StringType())
-def unicode_fold(text: pd.Series) -> pd.Series:
-    return text.map(fold_text)
+def unicode_fold(text: Column) -> Column:
+    """The key under which spellings of a name meet: folded letters and digits without marks, & as the word and, all
+    else as single spaces. NULL for NULL."""
+    bare = F.regexp_replace(F.replace(decomposed(text), F.lit("&"), F.lit(" and ")), r"\p{Mn}", "")
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
 def _indel(a: str, b: str) -> float:

@@ -30,21 +30,33 @@ def supply(credits: DataFrame, memberships: DataFrame) -> DataFrame:
 
 
 def receipts(evidence: DataFrame, unit: str) -> DataFrame:
-    """(week, genre, units): the sorted ids that a cell rests on. A cell's ids are one array: a week of one category."""
-    return evidence.groupBy("week", "genre").agg(F.array_sort(F.collect_set(unit)).alias("units"))
+    """(week, genre, unit): the ids that a cell rests on, one a row, however many there are."""
+    return evidence.select("week", "genre", unit).distinct()
+
+
+def receipt_lists(receipts: DataFrame, unit: str, most: int = 200) -> DataFrame:
+    """(week, genre, units, total): the first ids of each cell in order, for a page of the read surface, and their number."""
+    w = Window.partitionBy("week", "genre")
+    own = receipts.withColumn("_r", F.row_number().over(w.orderBy(unit)))
+    return own.groupBy("week", "genre").agg(F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col(unit)))).alias("units"), F.count(F.lit(1)).alias("total"))
 
 
 def refreshed(receipts: DataFrame, source: DataFrame, unit: str) -> DataFrame:
-    """Receipts taken apart and joined to what the source now says of each unit."""
-    return receipts.select("week", "genre", F.explode("units").alias(unit)).join(source, unit)
+    """Receipts joined to what the source now says of each unit."""
+    return receipts.join(source, unit)
 
 
 def manifest(runs: DataFrame, started: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """The runs' table with newly started runs reset, and counts of the rows that fell into each run's time."""
+    """The runs' table with newly started runs reset, and counts of the rows that fell into each run's time.
+
+    Runs and rows meet by day: a run is sent to each of its days, so that the join is an equal one.
+    """
     kept = runs.join(started.select("run_id"), "run_id", "left_anti").unionByName(started)
+    days = kept.select("run_id", "started_at", "finished_at", F.explode(F.sequence(F.to_date("started_at"), F.to_date("finished_at"))).alias("day"))
     for name, df in tables.items():
-        count = kept.join(df.select("at"), (F.col("at") >= F.col("started_at")) & (F.col("at") < F.col("finished_at"))).groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
-        kept = kept.join(count, "run_id", "left").na.fill(0, [name])
+        per = df.groupBy("at").agg(F.count(F.lit(1)).alias("_n")).withColumn("day", F.to_date("at"))
+        inside = per.join(days, "day").where((F.col("at") >= F.col("started_at")) & (F.col("at") < F.col("finished_at")))
+        kept = kept.join(inside.groupBy("run_id").agg(F.sum("_n").alias(name)), "run_id", "left").na.fill(0, [name])
     return kept
 
 

@@ -75,6 +75,12 @@ def recent(df: DataFrame, week: str, n: int) -> DataFrame:
     return df.join(F.broadcast(weeks), week, "left_semi").orderBy(week)
 
 
+def later_weeks(df: DataFrame, week: str, n: int) -> DataFrame:
+    """Each row once for each of the n weeks after its own, which `week` then names: what has a range of weeks for a
+    join condition becomes an equal join."""
+    return df.withColumn(week, F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.date_add(week, i * 7))))
+
+
 def unique_match(names: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) of the keys that were seen with exactly one value."""
     return names.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(value), F.countDistinct(value).alias("_n")).where("_n = 1").drop("_n")
@@ -95,7 +101,8 @@ def fingerprint(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def ordered_digest(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """(rows, digest): md5 over the rows' JSON in order, NULLs included. One row is built of all: for small tables."""
+    """(rows, digest): md5 over the rows' JSON in order, NULLs included. One row is built of all: for dimensions only;
+    `fingerprint` takes tables of any size."""
     row = F.struct(*(F.col(c) for c in order), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_j"))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_j"]), "").cast("binary")).alias("digest"))
 

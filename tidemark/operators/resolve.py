@@ -63,11 +63,34 @@ def agreement(df: DataFrame, strata: Sequence[str], predicted: str, actual: str)
 
 
 def taxonomy_faults(taxonomy: DataFrame) -> DataFrame:
-    """(fault, id) of a dimension (id, parent, name): duplicate ids and names, missing parents, a parent that is a child
-    of its child. Few rows by definition."""
+    """(fault, id) of a dimension (id, parent, name): duplicate ids and names, missing parents, cycles of any length.
+
+    Few rows by definition. Every id's ancestor is doubled in distance until it is farther than there are rows: paths
+    that have not ended by then are in a cycle, and the ancestors that they have reached are its members.
+    """
     twice = lambda c: taxonomy.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(f"duplicate {c}").alias("fault"), F.col(c).cast("string").alias("id"))
-    parents = taxonomy.select(F.col("id").alias("p"), F.col("parent").alias("pp"))
     own = taxonomy.where("parent is not null")
-    orphan = own.join(parents, F.col("parent") == F.col("p"), "left_anti").select(F.lit("missing parent"), F.col("id").cast("string"))
-    cycle = own.join(parents, (F.col("parent") == F.col("p")) & ((F.col("pp") == F.col("id")) | (F.col("parent") == F.col("id")))).select(F.lit("cycle"), F.col("id").cast("string"))
+    orphan = own.join(taxonomy.select(F.col("id").alias("p")), F.col("parent") == F.col("p"), "left_anti").select(F.lit("missing parent"), F.col("id").cast("string"))
+    rows = taxonomy.count()
+    jump = own.groupBy("id").agg(F.min("parent").alias("up"))
+    for _ in range(max(rows, 1).bit_length()):
+        jump = jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select("id", F.col("upper").alias("up"))
+    cycle = jump.select(F.lit("cycle"), F.col("up").cast("string")).distinct()
     return twice("id").union(twice("name")).union(orphan).union(cycle)
+
+
+def scene(categories: DataFrame) -> DataFrame:
+    """(genre, x, y): places of categories (genre, centroid) by their two principal components; of fewer than three
+    categories none. A component's direction is the one in which its largest loading is positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    kind = categories.schema["genre"].dataType.simpleString()
+    if categories.limit(3).count() < 3:
+        return categories.sparkSession.createDataFrame([], f"genre {kind}, x double, y double")
+    own = categories.withColumn("v", array_to_vector("centroid"))
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(own)
+    loadings = model.pc.toArray()
+    signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
+    out = model.transform(own).withColumn("p", vector_to_array("p"))
+    return out.select("genre", (F.col("p")[0] * signs[0]).alias("x"), (F.col("p")[1] * signs[1]).alias("y"))

@@ -36,7 +36,7 @@ def conversation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVIDENCE + " SELECT e.week, e.genre, e.post_id, o_totalprice FROM e JOIN orders ON o_orderkey = e.post_id WHERE mature")
 def receipts_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts of mature posts, taken apart and joined to their orders."""
+    """Receipts of mature posts, joined to their orders."""
     source = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), "o_totalprice")
     return V.refreshed(V.receipts(evidence(spark, sf_dir).where("mature"), "post_id"), source, "post_id").select("week", "genre", "post_id", "o_totalprice")
 

@@ -39,15 +39,17 @@ POLLS = f""", polls AS (SELECT e.event_id, max(CASE WHEN h BETWEEN 18 AND 36 THE
 POLLS = "WITH " + POLLS.lstrip(", ")
 
 
+HOUR = 3_600_000_000
+
+
 def polled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their age at a fixed time, and whether the same user had later events in the 24 h and 72 h windows."""
     events = S.read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    later = events.select(F.col("user_id").alias("u"), F.col("ts").alias("later"))
-    h = R.hours_between(F.col("ts"), F.col("later"))
-    near = events.join(later, (F.col("user_id") == F.col("u")) & (F.col("later") > F.col("ts")) & (F.col("later") <= F.col("ts") + F.expr("interval 84 hours")))
-    polls = near.groupBy("event_id").agg(F.max(F.when(h.between(18, 36), 1).otherwise(0)).alias("p24"), F.max(F.when(h.between(60, 84), 1).otherwise(0)).alias("p72"))
+    own = Window.partitionBy("user_id").orderBy(F.unix_micros("ts"))
+    has = lambda a, b: (F.count(F.lit(1)).over(own.rangeBetween(a * HOUR, b * HOUR)) > 0).cast("int")
     age = R.hours_between(F.col("ts"), F.lit("2024-01-28 00:00:00").cast("timestamp"))
-    return events.where("event_type <> 'view'").join(polls, "event_id", "left").select("event_id", "user_id", "ts", age.alias("age"), F.coalesce("p24", F.lit(0)).alias("p24"), F.coalesce("p72", F.lit(0)).alias("p72"))
+    out = events.select("event_id", "user_id", "ts", "event_type", age.alias("age"), has(18, 36).alias("p24"), has(60, 84).alias("p72"))
+    return out.where("event_type <> 'view'").drop("event_type")
 
 
 STATUS = """CASE WHEN p72 = 1 THEN 'complete' WHEN p24 = 0 AND age < 36 THEN 'awaiting_24h' WHEN p24 = 0 AND age < 60 THEN 'overdue_24h' WHEN age < 84 THEN 'awaiting_72h' ELSE 'overdue_72h' END"""
@@ -74,10 +76,10 @@ def overdue_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.sql("conv", """SELECT c.genre, c.week, count(h.week) AS weeks, """ + s6("median(h.conv)") + " AS mid, " + s6("min(h.conv)") + " AS least, " + s6("max(h.conv)") + """ AS most
     FROM conv c LEFT JOIN conv h ON h.genre = c.genre AND h.week < c.week AND h.week >= c.week - 84 GROUP BY c.genre, c.week"""))
 def range_history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each week's statistics over the twelve calendar weeks before it: an equi join by category, the range beside it."""
+    """Each week's statistics over the twelve calendar weeks before it: every week is sent to the twelve after it."""
     conv = S.conversation(spark, sf_dir)
-    past = conv.select(F.col("genre").alias("g"), F.col("week").alias("past"), F.col("conv").alias("c"))
-    own = conv.join(past, (F.col("genre") == F.col("g")) & (F.col("past") < F.col("week")) & (F.col("past") >= F.date_sub("week", 84)), "left")
+    past = R.later_weeks(conv.select("genre", "week", F.col("week").alias("past"), F.col("conv").alias("c")), "week", 12)
+    own = conv.join(past, ["genre", "week"], "left")
     return own.groupBy("genre", "week").agg(F.count("past").alias("weeks"), r6(F.median("c")).alias("mid"), r6(F.min("c")).alias("least"), r6(F.max("c")).alias("most"))
 
 
@@ -143,12 +145,15 @@ def semi_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS version FROM orders)
-    SELECT o_orderkey, o_totalprice FROM v WHERE version = 'v2'""")
+    SELECT 'active' AS view, o_orderkey, o_totalprice FROM v WHERE version = 'v2' UNION ALL SELECT 'legacy', o_orderkey, o_totalprice + 1 FROM orders""")
 def active_or_legacy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with an active version, and with none."""
     orders = S.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     versioned = orders.withColumn("version", F.when(F.col("o_orderkey") % 2 == 0, "v1").otherwise("v2"))
+    legacy = orders.withColumn("o_totalprice", F.col("o_totalprice") + 1)
     versions = spark.createDataFrame([("v1", False), ("v2", True)], "version string, active boolean")
-    return R.active_or_legacy(versioned, versions, orders.where("o_orderkey < 0"))
+    view = lambda name, known: R.active_or_legacy(versioned, known, legacy).select(F.lit(name).alias("view"), "o_orderkey", "o_totalprice")
+    return view("active", versions).unionByName(view("legacy", versions.withColumn("active", F.lit(False))))
 
 
 @query("""WITH old AS (SELECT o_orderkey, o_totalprice AS claim FROM orders), new AS (SELECT l_orderkey, sum(l_extendedprice) AS claim FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
@@ -264,11 +269,10 @@ def stratified_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stratified(S.read(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 300).select("c_custkey", "c_mktsegment", "c_nationkey")
 
 
-@query("SELECT s, d FROM (SELECT c_mktsegment AS s, min(c_nationkey) AS d, count(DISTINCT c_nationkey) AS n FROM customer WHERE c_custkey <= 40 GROUP BY 1) WHERE n = 1 UNION ALL SELECT '#', -1 FROM region WHERE r_regionkey = 0")
+@query("SELECT p_retailprice AS s, min(p_brand) AS d FROM part WHERE p_brand IS NOT NULL GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def unique_key_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names seen with one id only are promoted to it; the marker row shows that an empty result is one."""
-    own = R.unique_match(S.read(spark, sf_dir, "customer").where("c_custkey <= 40"), "c_mktsegment", "c_nationkey").select(F.col("c_mktsegment").alias("s"), F.col("c_nationkey").alias("d"))
-    return own.unionByName(S.read(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("#").alias("s"), F.lit(-1).alias("d")))
+    """Keys seen with one value only are promoted to it, others are not: prices of one brand."""
+    return R.unique_match(S.read(spark, sf_dir, "part"), "p_retailprice", "p_brand").select(F.col("p_retailprice").alias("s"), F.col("p_brand").alias("d"))
 
 
 @query("SELECT c_name, min(c_nationkey) AS d FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1 HAVING count(DISTINCT c_nationkey) = 1 UNION ALL SELECT p_name, min(p_size) FROM part WHERE p_size IS NOT NULL GROUP BY 1 HAVING count(DISTINCT p_size) = 1")

@@ -95,7 +95,7 @@ def token_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unicode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names between quotation marks, folded: no SQL; tested on worked texts."""
     names = S.read(spark, sf_dir, "documents").where(F.col("text").contains('"') | F.col("text").contains("“")).select("doc_id", F.explode(T.quoted_names("text")).alias("name"))
-    return names.select("doc_id", "name", T.unicode_fold("name").alias("folded"))
+    return names.select("doc_id", "name", T.unicode_fold(F.col("name")).alias("folded"))
 
 
 @query(CENT + f""", n AS (SELECT a.genre, b.genre AS other, list_cosine_similarity(a.centroid, b.centroid) AS s FROM c a JOIN c b ON a.genre <> b.genre)
@@ -124,9 +124,8 @@ def brief_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaders of a week's listening whose supply is not above its own recent median."""
     grid = S.grid(spark, sf_dir)
     top = grid.where("listen is not null").withColumn("t", F.ntile(10).over(Window.partitionBy("week").orderBy(F.col("listen").desc(), "genre"))).where("t = 1")
-    past = grid.select(F.col("genre").alias("g"), F.col("week").alias("past"), F.col("releases").alias("r"))
-    own = top.join(past, (F.col("genre") == F.col("g")) & (F.col("past") < F.col("week")) & (F.col("past") >= F.date_sub("week", 56)), "left")
-    own = own.groupBy("genre", "week", "listen", "releases").agg(F.count("past").alias("weeks"), F.median("r").alias("mid"))
+    past = R.later_weeks(grid.select("genre", "week", F.col("week").alias("past"), F.col("releases").alias("r")), "week", 8)
+    own = top.join(past, ["genre", "week"], "left").groupBy("genre", "week", "listen", "releases").agg(F.count("past").alias("weeks"), F.median("r").alias("mid"))
     return own.where("releases is null or mid is null or releases <= mid").select("genre", "week", r6("listen").alias("listen"), "weeks", r6("mid").alias("mid"))
 
 
@@ -157,23 +156,19 @@ def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def scene_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories in two dimensions by principal components: no SQL; tested for its rows and for being deterministic."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Categories in two dimensions by principal components: no SQL; tested on vectors of known components."""
+    return E.scene(_centroids(spark, sf_dir)).select("genre", r6("x").alias("x"), r6("y").alias("y"))
 
-    own = _centroids(spark, sf_dir).withColumn("v", array_to_vector("centroid"))
-    out = PCA(k=2, inputCol="v", outputCol="p").fit(own).transform(own).withColumn("p", vector_to_array("p"))
-    return out.select("genre", r6(F.abs(F.col("p")[0])).alias("x"), r6(F.abs(F.col("p")[1])).alias("y"))
 
-
-@query("""WITH t AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 1 THEN 99 WHEN n_nationkey = 7 THEN 7 WHEN n_nationkey > 4 THEN n_regionkey END AS parent, CASE WHEN n_nationkey = 9 THEN 'NATION_8' ELSE 'NATION_' || n_nationkey END AS name FROM nation),
+@query("""WITH RECURSIVE t AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 1 THEN 99 WHEN n_nationkey = 7 THEN 7 WHEN n_nationkey IN (10, 11) THEN n_nationkey + 1 WHEN n_nationkey = 12 THEN 10 WHEN n_nationkey > 4 THEN n_regionkey END AS parent, CASE WHEN n_nationkey = 9 THEN 'NATION_8' ELSE 'NATION_' || n_nationkey END AS name FROM nation),
+    up AS (SELECT id, parent AS top FROM t WHERE parent IS NOT NULL UNION SELECT up.id, t.parent FROM up JOIN t ON t.id = up.top WHERE t.parent IS NOT NULL),
     x AS (SELECT id FROM t GROUP BY id HAVING count(*) > 1), n AS (SELECT name FROM t GROUP BY name HAVING count(*) > 1)
     SELECT 'duplicate id' AS fault, CAST(id AS VARCHAR) AS id FROM x UNION ALL SELECT 'duplicate name', name FROM n
     UNION ALL SELECT 'missing parent', CAST(id AS VARCHAR) FROM t WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM t)
-    UNION ALL SELECT 'cycle', CAST(a.id AS VARCHAR) FROM t a JOIN t b ON a.parent = b.id WHERE b.parent = a.id OR a.parent = a.id""")
+    UNION ALL SELECT 'cycle', CAST(id AS VARCHAR) FROM up WHERE id = top""")
 def taxonomy_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of a taxonomy with a missing parent, a name used twice and a category that is its own parent."""
+    """Faults of a taxonomy with a missing parent, a name used twice, a category that is its own parent and a cycle of three."""
     k = F.col("n_nationkey")
-    parent = F.when(k == 1, 99).when(k == 7, 7).when(k > 4, F.col("n_regionkey"))
+    parent = F.when(k == 1, 99).when(k == 7, 7).when(k.isin(10, 11), k + 1).when(k == 12, 10).when(k > 4, F.col("n_regionkey"))
     name = F.when(k == 9, "NATION_8").otherwise(F.concat(F.lit("NATION_"), k.cast("string")))
     return E.taxonomy_faults(S.read(spark, sf_dir, "nation").select(k.alias("id"), parent.alias("parent"), name.alias("name")))
