@@ -88,3 +88,30 @@ def publish(rows: DataFrame, path: str, version: str, violations: DataFrame) ->
         return False
     rows.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
     return True
+
+
+def resampled(units: DataFrame, keys: Sequence[str], unit: Column, weight: Column, draws: int) -> DataFrame:
+    """(keys, k, value): the cells' sums in each draw of a Poisson bootstrap of their units, by the units' own numbers.
+
+    A unit is sent to every draw and aggregated before it moves, so that cells of many units stay small.
+    """
+    own = units.select(*keys, unit.alias("_u"), weight.alias("_w")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return own.groupBy(*keys, "k").agg(F.sum(F.col("_w") * K.poisson_one(K.draw(F.col("_u"), F.col("k")))).cast("double").alias("value"))
+
+
+def redrawn(cells: dict[str, DataFrame], grid: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
+    """The grid once for each draw, with every axis's value (name: frame of keys, k, value) in it; NULL where the grid has
+    none, 0 where a draw took no unit."""
+    out = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    for name, drawn in cells.items():
+        out = out.join(drawn.withColumnRenamed("value", "_d"), [*keys, "k"], "left").withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce("_d", F.lit(0.0)))).drop("_d")
+    return out
+
+
+def banded(points: DataFrame, drawn: DataFrame, keys: Sequence[str], names: Sequence[str], confidence: float = 0.9) -> DataFrame:
+    """(keys, metric, value, lower, upper): each metric's point with the quantiles of its draws, widened to hold it. A band
+    is made only where point and draws are there."""
+    long = lambda df, *more: df.unpivot([*keys, *more], list(names), "metric", "value").where(F.col("value").isNotNull())
+    samples = long(drawn, "k").withColumnRenamed("value", "_s")
+    own = long(points).join(samples, [*keys, "metric"]).groupBy(*keys, "metric", "value").agg(K.interval(F.col("_s"), F.col("value"), confidence).alias("_i"))
+    return own.select(*keys, "metric", "value", "_i.lower", "_i.upper")
