@@ -177,3 +177,31 @@ def test_receipts_and_manifest(spark):
     events = spark.createDataFrame([(at(1, 11),), (at(1, 12),), (at(2, 0),), (at(2, 0),), (at(3, 6),)], "at timestamp")
     out = V.manifest(runs, runs.where("run_id = 'y'"), {"events": events})
     assert values(out.select("run_id", "events")) == [("x", 3), ("y", 2)]
+
+
+def test_music_rules(spark):
+    from tidemark.operators import classify as C
+
+    cases = [
+        ("new song", ["https://x.bandcamp.com/a", "https://soundcloud.com/b"], None, ["link:bandcamp.com", "link:soundcloud.com"]),
+        ("look", ["https://NHL.com]", "https://mybandcamp.com", None], None, []),
+        ("#NowPlaying x #nowplaying", [], ["#NewMusic"], ["hashtag:#newmusic", "hashtag:#nowplaying"]),
+        ("No problem #np", None, None, []),
+        ("a#np b", None, None, []),
+        ("Listening  to it, ON REPEAT", None, None, ["intent:listening_to", "intent:on_repeat"]),
+        ("she's a new single", None, None, []),
+        ("a new single, just dropped", None, None, ["intent:new_single", "intent:just_dropped"]),
+        ("just dropped the ball", None, None, []),
+        (None, None, None, []),
+    ]
+    df = spark.createDataFrame([(i, t, x, h) for i, (t, x, h, _) in enumerate(cases)], "i int, text string, links array<string>, given array<string>")
+    found = df.select("i", C.rules(F.col("text"), F.col("links"), C.tags(F.col("text"), F.col("given"))).alias("r")).orderBy("i").collect()
+    assert [x.r for x in found] == [c[3] for c in cases]
+
+
+def test_feed(spark):
+    from tidemark.operators import classify as C
+
+    cases = [("x", ["link:last.fm"], True), ("a song", ["link:youtu.be"], True), ("a songbird", ["link:youtu.be"], False), ("A - B", ["hashtag:#np"], False), ("Ab - Bc", ["hashtag:#np"], True), ("x #music", ["hashtag:#np"], True), ("listening to The Band", ["intent:listening_to"], True), ("listening to rain", ["intent:listening_to"], False), (None, ["link:youtube.com"], False), ("x", [], False)]
+    df = spark.createDataFrame([(i, t, r) for i, (t, r, _) in enumerate(cases)], "i int, text string, rules array<string>")
+    assert [x.f for x in df.select("i", C.in_feed(F.col("text"), F.col("rules")).alias("f")).orderBy("i").collect()] == [c[2] for c in cases]
