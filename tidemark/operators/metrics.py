@@ -115,3 +115,43 @@ def banded(points: DataFrame, drawn: DataFrame, keys: Sequence[str], names: Sequ
     samples = long(drawn, "k").withColumnRenamed("value", "_s")
     own = long(points).join(samples, [*keys, "metric"]).groupBy(*keys, "metric", "value").agg(K.interval(F.col("_s"), F.col("value"), confidence).alias("_i"))
     return own.select(*keys, "metric", "value", "_i.lower", "_i.upper")
+
+
+CONTEXTS = ("global", "peer_family")
+METRICS = ("conversation", "listening", "supply", "opportunity", "gap")
+
+
+def in_contexts(grid: DataFrame) -> DataFrame:
+    """(week, genre, family, context, scope, metric, value): five metrics of the eligible cells (all three axes there), in
+    comparison with all categories and with those of the family.
+
+    Counts are shrunk in two levels, categories within families, and standardised within the week, or week and family.
+    scope is the group that a cell is compared in: the family, or -1.
+    """
+    own = grid.where("conv is not null and listen is not null and releases is not null").select("week", "genre", "family", "conv", "listen", "releases")
+    own = K.hierarchical_beta_binomial(own.withColumn("_c2", 2 * F.col("conv")), "_c2", ["week"], "family").withColumn("_c", F.ln(1 + F.col("posterior_count") / 2)).drop("posterior", "posterior_count", "weight")
+    own = K.hierarchical_gamma_poisson(own, "releases", ["week"], "family").withColumn("_s", F.ln(1 + F.col("posterior"))).withColumn("_l", F.ln(1 + F.col("listen")))
+    out = None
+    for context, by, scope in zip(CONTEXTS, (["week"], ["week", "family"]), (F.lit(-1), F.col("family")), strict=True):
+        df = own
+        for value, name in (("_c", "conversation"), ("_l", "listening"), ("_s", "supply")):
+            df = K.zscores(df, value, by, name)
+        df = df.withColumn("opportunity", (F.col("conversation") + F.col("listening")) / 2 - F.col("supply")).withColumn("gap", F.col("listening") - F.col("conversation"))
+        df = df.withColumn("context", F.lit(context)).withColumn("scope", scope.cast("int"))
+        long = df.unpivot(["week", "genre", "family", "context", "scope"], list(METRICS), "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def followed(long: DataFrame) -> DataFrame:
+    """Adds to in_contexts' rows their trend, and whether they leave it by far (spike): residuals are compared within the
+    week, metric and scope."""
+    keys = ["genre", "context", "metric"]
+    return K.spikes(K.ewma(long, "value", keys, "week", out="trend"), "value", "trend", ["week", "context", "scope", "metric"])
+
+
+def breakouts_in_contexts(long: DataFrame) -> DataFrame:
+    """(week, genre, context, breakout): listening in the upper tail of its scope while conversation is below its median."""
+    keys = ["week", "genre", "context", "scope"]
+    wide = long.where(F.col("metric").isin("conversation", "listening")).groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("conversation", "listening")))
+    return K.breakouts(wide, "listening", "conversation", ["week", "context", "scope"]).select("week", "genre", "context", "breakout")

@@ -109,3 +109,35 @@ def bootstrap_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, drawn = draws(spark, sf_dir)
     points, drawn = K.ewma(points, "opportunity", ["genre"], "week", out="trend"), K.ewma(drawn, "opportunity", ["genre", "k"], "week", out="trend")
     return _rounded(M.banded(points, drawn, KEYS, ["trend"]))
+
+
+CONTEXT = (
+    ", el AS (SELECT week, genre, family, conv, 2 * conv AS c2, listen, releases FROM grid WHERE listen IS NOT NULL AND releases IS NOT NULL), fc AS (SELECT week, family, sum(c2) AS f FROM el GROUP BY week, family),"
+    + BB.format(pre="va", src="fc", c="f", w="PARTITION BY week", p="f_", out="vf") + "," + BB.format(pre="vb", src="el", c="c2", w="PARTITION BY week, family", p="w_", out="vw")
+    + ", fs AS (SELECT week, family, avg(releases) AS f FROM el GROUP BY week, family)," + GP.format(pre="vg", src="fs", c="f", w="PARTITION BY week", mean="avg(f) OVER (PARTITION BY week)", p="g_", out="vo")
+    + ", vj AS (SELECT el.*, g_post FROM el JOIN vo USING (week, family))," + GP.format(pre="vh", src="vj", c="releases", w="PARTITION BY week, family", mean="g_post", p="h_", out="vs")
+    + """, vx AS (SELECT vw.week, vw.genre, vw.family, ln(1 + f_post * w_post * sum(vw.c2) OVER (PARTITION BY vw.week) / 2) AS xc, ln(1 + vw.listen) AS xl, ln(1 + h_post) AS xs
+        FROM vw JOIN vf USING (week, family) JOIN vs ON vs.week = vw.week AND vs.genre = vw.genre),"""
+    + ", ".join(f"""z{t} AS (SELECT week, genre, family, {", ".join(f"{Z(x, by)} AS {n}" for x, n in (("xc", "c"), ("xl", "l"), ("xs", "s")))} FROM vx),
+    k{t} AS (SELECT week, genre, '{name}' AS context, CAST({scope} AS INTEGER) AS scope, c - avg(c) OVER (PARTITION BY {by}) AS conversation, l - avg(l) OVER (PARTITION BY {by}) AS listening, s - avg(s) OVER (PARTITION BY {by}) AS supply FROM z{t})"""
+        for t, name, scope, by in (("g", "global", "-1", "week"), ("p", "peer_family", "family", "week, family")))
+    + """, kk AS (SELECT *, (conversation + listening) / 2 - supply AS opportunity, listening - conversation AS gap FROM (SELECT * FROM kg UNION ALL SELECT * FROM kp)),
+    lo AS (SELECT genre || '/' || context || '/' || metric AS key, genre, context, scope, metric, week, value FROM kk UNPIVOT (value FOR metric IN (conversation, listening, supply, opportunity, gap)))"""
+)
+FOLLOWED = EWMA_SQL.format(key="key", nk="n.key", x="value", src="lo", a=ALPHA, on="n.key = e.key") + """,
+    rs AS (SELECT lo.*, e.o AS trend, lo.value - e.o AS r FROM lo JOIN e USING (key, week))"""
+
+
+@query(_recursive(S.sql("grid", CONTEXT + FOLLOWED + f""" SELECT week, genre, context, metric, {s6('value')} AS value, {s6('trend')} AS trend,
+    coalesce(count(r) OVER w >= 2 AND stddev_pop(r) OVER w > 1e-12 AND r > 2.5 * stddev_pop(r) OVER w, FALSE) AS spike FROM rs WINDOW w AS (PARTITION BY week, context, scope, metric)""")))
+def estimates_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five metrics in two contexts with their trends and spikes, in long form."""
+    df = M.followed(M.in_contexts(S.grid(spark, sf_dir)))
+    return df.select("week", "genre", "context", "metric", r6("value").alias("value"), r6("trend").alias("trend"), "spike")
+
+
+@query(S.sql("grid", CONTEXT + """, th AS (SELECT week, context, scope, quantile_cont(listening, 0.9) AS hi, median(conversation) AS mid FROM kk GROUP BY 1, 2, 3)
+    SELECT week, genre, context, listening >= hi AND conversation < mid AS breakout FROM kk JOIN th USING (week, context, scope)"""))
+def context_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakouts among all categories and among those of a family."""
+    return M.breakouts_in_contexts(M.in_contexts(S.grid(spark, sf_dir)))
