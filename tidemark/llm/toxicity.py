@@ -150,20 +150,24 @@ class Index:
         first = max(1, self.blocks // 8)
         wanted = bound >= np.partition(bound, self.blocks - first, axis=1)[:, [self.blocks - first]] if self.blocks else seen
         done = np.full(scores.shape, -np.inf)
-        for _ in range(2):  # the blocks of the highest bounds, then those that can still hold a nearer example
+        edge = np.zeros((n, 1))
+        for again in (False, True):  # the blocks of the highest bounds, then those that can still hold a nearer example
             wanted = wanted & ~seen & (bound > 0)
             for b in np.flatnonzero(wanted.any(axis=0)):
                 texts, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                 done[texts, own] = scores[texts, own] + query[texts] @ self.weights[:, own]
-            seen |= wanted
-            edge = np.partition(done, width - NEAREST, axis=1)[:, [width - NEAREST]] if width > NEAREST else np.full((n, 1), -np.inf)
-            wanted = bound >= edge
-        done = np.round(done, DIGITS)
+            if not again:
+                seen |= wanted
+                if width > NEAREST:  # the last of the nearest so far: none that is farther can be among them
+                    edge = np.maximum(np.partition(done, width - NEAREST, axis=1)[:, [width - NEAREST]], 0)
+                wanted = bound >= edge
         found = []
-        for i, least in enumerate(np.round(edge[:, 0], DIGITS)):
-            ids = np.flatnonzero((done[i] >= least) & (done[i] > 0))
-            ids = ids[np.lexsort((ids, -done[i, ids]))][:NEAREST]
-            found.append((ids, done[i, ids]))
+        for row, least in zip(done, edge[:, 0] - 0.1**DIGITS, strict=True):
+            ids = np.flatnonzero(row >= max(least, 0))
+            near = np.round(row[ids], DIGITS)
+            best = np.lexsort((ids, -near))[:NEAREST]
+            best = best[near[best] > 0]
+            found.append((ids[best], near[best]))
         return found
 
     def vote(self, ids: np.ndarray, near: np.ndarray) -> float:
