@@ -104,25 +104,34 @@ class Index:
     (in at least one of FREQUENT examples) are kept by blocks of examples, with each term's largest weight in a block."""
 
     def __init__(self, example: np.ndarray, place: np.ndarray, value: np.ndarray, label: np.ndarray, share: float, terms: int):
-        order = np.lexsort((example, place))
-        example, place, value = example[order].astype(np.int32), place[order], value[order]
+        """Vectors' entries in the order of their examples. They are kept and sent in single precision, as they come, and
+        widened where they are used."""
+        order = np.argsort(place, kind="stable")
+        example, place, value = example[order].astype(np.int32), place[order], value[order].astype(np.float32)
+        del order
         self.label, self.share, self.n = label, share, len(label)
         count = np.bincount(place, minlength=terms)
         often = count * FREQUENT >= max(self.n, 1)
         #: Each frequent term's row among them, or -1; their weights by (row, example), and the blocks' maxima.
-        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         self.blocks = -(-self.n // BLOCK)
-        self.weights = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.weights = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
         here = often[place]
         self.weights[self.row[place[here]], example[here]] = value[here]
-        self.most = self.weights.reshape(len(self.weights), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((len(self.weights), 0))
-        self.posting, self.value = example[~here].astype(np.int64), value[~here].astype(np.float64)
+        self.most = self.weights.reshape(len(self.weights), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((len(self.weights), 0), np.float32)
+        self.posting, self.value = example[~here], value[~here]
         self.size = np.where(often, 0, count)
         self.begin = np.cumsum(self.size) - self.size
 
+    def widened(self) -> None:
+        if self.posting.dtype != np.int64:
+            self.posting = self.posting.astype(np.int64)
+            self.weights, self.most, self.value = (x.astype(np.float64) for x in (self.weights, self.most, self.value))
+
     def nearest(self, owner: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of n texts (vectors by owner) its examples and cosines (to DIGITS decimals), nearest first (ties: lower
         number), at most NEAREST of them, none with a cosine of 0, and not the one of its number in `without`."""
+        self.widened()
         out: list[tuple[np.ndarray, np.ndarray]] = []
         bounds = np.searchsorted(owner, np.arange(n + 1))
         for lo in range(0, n, TEXTS):
@@ -250,7 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
     order = np.argsort(terms)
     n_toxic, n = examples.agg(F.count_if(F.col("label") > 0), F.count(F.lit(1))).first()
     vocabulary = spark.sparkContext.broadcast(Vocabulary(terms[order], term_weights(a[order], b[order], n_toxic, n - n_toxic)))
+    known_terms = len(terms)
     del known, terms, a, b, order
+    give_back()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,12 +280,15 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
     rows = placed.toArrow().sort_by([("label", "ascending"), ("heaviest", "ascending"), ("digest", "ascending")])
     label, weight = rows["label"].to_numpy(), rows["weight"].to_numpy()
     share = float((label * weight).sum() / weight.sum()) if len(label) else 0.0
-    sizes_ = np.array([len(x) // ENTRY.itemsize for x in rows["vector"].to_pylist()], np.int64)
-    entries = np.frombuffer(b"".join(rows["vector"].to_pylist()), ENTRY)
     number = {d: i for i, d in enumerate(rows["digest"].to_pylist())}
+    data = rows["vector"].to_pylist()
     del rows
-    index = spark.sparkContext.broadcast(Index(np.repeat(np.arange(len(label)), sizes_), entries["place"], entries["value"], label, share, len(vocabulary.value.terms)))
-    del entries
+    owner = np.repeat(np.arange(len(label), dtype=np.int32), [len(x) // ENTRY.itemsize for x in data])
+    entries = np.frombuffer(b"".join(data), ENTRY)
+    del data
+    index = spark.sparkContext.broadcast(Index(owner, entries["place"], entries["value"], label, share, known_terms))
+    del entries, owner
+    give_back()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The votes on each example without itself."""
