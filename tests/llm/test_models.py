@@ -210,6 +210,28 @@ def test_quality_on_held_out_rows(spark):
     assert means[1] > means[0] + 1
 
 
+def test_ordinal_regression_is_at_the_least_of_its_objective():
+    r = np.random.default_rng(6)
+    n, k, grades = 200, 5, 3
+    x = r.normal(size=(n, k)) * (r.random((n, k)) < 0.7)
+    grade = np.digitize(x @ np.array([1.5, -1, 0.5, 0, 2]) + r.logistic(size=n), [-0.5, 1.0])
+    weight = r.random(n) + 0.5
+    doc, place = np.nonzero(x)
+    model = quality.Model.fit(doc, place, x[doc, place], grade, weight, grades, rounds=3000, penalty=1e-2, rate=0.02)
+
+    def objective(w, t):
+        up = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        p = np.c_[np.ones(n), up][np.arange(n), grade] - np.c_[up, np.zeros(n)][np.arange(n), grade]
+        return -(weight / weight.sum() * np.log(p)).sum() + 0.5e-2 * (w @ w)
+
+    w, t = model.weights[:k], model.thresholds
+    assert (np.diff(t) > 0).all() and not model.weights[k:].any()
+    at, h = np.r_[w, t], 1e-4
+    slope = [(objective(*np.split(at + h * e, [k])) - objective(*np.split(at - h * e, [k]))) / (2 * h) for e in np.eye(k + len(t))]
+    assert np.abs(slope).max() < 2e-3
+    assert np.allclose(model.above(x @ w), 1 / (1 + np.exp(-((x @ w)[:, None] - t))))
+
+
 def test_classifiers_of_odd_rows(spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (2, "", 5), (None, "a b", 5)], "doc_id long, text string, score int")

@@ -27,3 +27,22 @@ def test_stages(spark, data, tmp_path):
             assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {i for i, _ in before}
         docs = out
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_stages_of_odd_tables(spark, data):
+    """Nulls, empty texts, repeated rows, rows without doc_id, clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    line = "this is a long line that many documents hold, here it is"
+    rows = [(None, line), (None, None), (None, None), (1, None), (2, ""), (2, ""), (3, line), (3, line), (4, line + "\nown words of the fourth document"), (5, " "), (6, "x y " * 3000)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, "a", 1, 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component string, bucket int, score double")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        found = out.collect()
+        if name == "packing":
+            assert len([r for r in found if r.start == 0]) == len(rows)
+        else:
+            assert out.columns == docs.columns and {r.component for r in found} == {"a"}
+            assert len(found) == (len(rows) - 1 if name == "jaccard_join" else len(rows)) or name == "toxicity", name
+            assert {r.doc_id for r in found} <= {i for i, _ in rows}
+        assert stage(spark, docs.where("false"), data).count() == 0, name
