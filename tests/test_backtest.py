@@ -79,7 +79,8 @@ def test_scores_choice_and_missing(spark):
 def test_next_up_bounds_and_breakouts_only(spark):
     now = spark.createDataFrame([("a", True, 1.0, 0.5, 1.5, 0.2, 0.1, 0.4), ("b", False, 1.0, 0.5, 1.5, 0.2, 0.1, 0.4), ("c", True, None, None, None, 0.2, 0.1, 0.4), ("d", True, 0.0, -0.5, 0.5, 0.2, 0.1, 0.4)], "genre string, breakout boolean, opportunity double, opportunity_low double, opportunity_high double, supply double, supply_low double, supply_high double")
     axis = spark.createDataFrame([(g, 2.0, 1.0, 3.0) for g in "abcd"], "genre string, predicted double, low double, high double")
-    got = B.next_up(now, [axis, axis], ["genre"]).orderBy("place").collect()
+    now, axis = (df.withColumn("origin", F.lit(1)) for df in (now, axis))
+    got = B.next_up(now, [axis, axis], ["genre", "origin"], "origin").orderBy("place").collect()
     assert [(r.genre, r.place) for r in got] == [("d", 1), ("a", 2)]
     r = got[1]
     assert [r.predicted, r.low, r.high, r.gain, r.gain_low, r.gain_high] == pytest.approx([1.8, 0.6, 2.9, 0.8, -0.9, 2.4])

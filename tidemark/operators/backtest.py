@@ -34,6 +34,7 @@ def features(df: DataFrame, by: str, week: str, target: str, carried: Sequence[s
     top = df.where(F.col(embedding).isNotNull()).withColumn("_p", place).where(F.col("_p") <= best)
     mean = top.select(week, F.posexplode(embedding).alias("_i", "_x")).groupBy(week, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
     mean = mean.groupBy(week).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_c"))
+    # categories are a dimension: one short window numbers them
     ids = df.select(by).distinct().withColumn("category_code", (F.row_number().over(Window.orderBy(by)) - 1).cast("double"))
     out = out.join(mean, week, "left").join(ids, by)
     goal = F.date_add(week, 7 * horizon)
@@ -148,8 +149,8 @@ def chosen(fine: DataFrame, coarse: DataFrame, by: Sequence[str], group: Sequenc
     return fine.select(*by).distinct().join(best, list(by), "left").select(*by, F.coalesce("_b.model", F.lit("naive")).alias("model"), F.col("_b.mase").alias("mase"), F.when(F.col("_b").isNull(), "no_skill").otherwise("skill").alias("skill"))
 
 
-def next_up(current: DataFrame, axes: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Ranks the breakouts by predicted gain in opportunity.
+def next_up(current: DataFrame, axes: Sequence[DataFrame], keys: Sequence[str], origin: str) -> DataFrame:
+    """Ranks the breakouts of each origin (one of the keys) by predicted gain in opportunity.
 
     current: (keys, breakout, opportunity, opportunity_low, opportunity_high, supply, supply_low, supply_high); axes: two
     frames of (keys, predicted, low, high). Bounds are those of the worst and best case, and hold their points.
@@ -161,4 +162,4 @@ def next_up(current: DataFrame, axes: Sequence[DataFrame], keys: Sequence[str])
     own = own.withColumn("low", F.least("predicted", mean("low") - F.col("supply_high"))).withColumn("high", F.greatest("predicted", mean("high") - F.col("supply_low")))
     own = own.withColumn("gain", F.col("predicted") - F.col("opportunity"))
     own = own.withColumn("gain_low", F.least("gain", F.col("low") - F.col("opportunity_high"))).withColumn("gain_high", F.greatest("gain", F.col("high") - F.col("opportunity_low")))
-    return own.select(*keys, F.row_number().over(Window.orderBy(F.col("gain").desc(), *keys)).alias("place"), "predicted", "low", "high", "gain", "gain_low", "gain_high")
+    return own.select(*keys, F.row_number().over(Window.partitionBy(origin).orderBy(F.col("gain").desc(), *keys)).alias("place"), "predicted", "low", "high", "gain", "gain_low", "gain_high")
