@@ -46,3 +46,15 @@ def test_thirds_and_common_keys(spark):
     assert got["h", 9] == "high" and got["n", 10] is None
     key = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
     assert [r.k for r in V.common_keys([key(1, 1, 2), key(1, 2), key(1), key(1, 3)], ["k"]).collect()] == [1]
+
+
+def test_routes_at_the_latest_week(spark):
+    from tidemark.operators import reads as A
+
+    rows = spark.createDataFrame([(1, 1, D(2024, 1, 1), "ready"), (1, 1, D(2024, 1, 8), "ready"), (2, 1, D(2024, 1, 8), "unsupported")], "genre int, family int, week date, state string")
+    assert [(r.genre, r.week) for r in A.coverage(rows).collect()] == [(1, D(2024, 1, 8)), (2, D(2024, 1, 8))]
+    assert [r.genre for r in A.coverage(rows, state="unsupported").collect()] == [2]
+    assert A.coverage(rows, week=D(2024, 1, 1)).count() == 1 and A.coverage(rows.limit(0)).count() == 0
+    assert A.macro_families(rows.where("genre = 1"), weeks=1).first().week == D(2024, 1, 8)
+    with pytest.raises(ValueError):
+        A.macro_families(rows, weeks=0)

@@ -95,3 +95,26 @@ def health(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias(name))
         out = one if out is None else out.crossJoin(one)
     return out.join(runs.orderBy(F.col("started_at").desc()).limit(1), F.lit(True), "left")
+
+
+def at_week(rows: DataFrame, week: datetime.date | None = None, name: str = "week") -> DataFrame:
+    """The rows of a week, or of the latest one there is; the latest is one row, joined back."""
+    if week is not None:
+        return rows.where(F.col(name) == F.lit(week))
+    return rows.join(F.broadcast(rows.agg(F.max(name).alias(name))), name)
+
+
+def coverage(rows: DataFrame, *, week: datetime.date | None = None, family: int | None = None, state: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    return page(optional(at_week(rows, week), family=family, state=state), [F.col("genre")], limit, offset)
+
+
+def forecasts(rows: DataFrame, *, axis: str, horizon: int, genre=None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Forecasts of the latest origin that fits, by category and model."""
+    return page(at_week(optional(rows, axis=axis, horizon=horizon, genre=genre), name="origin"), [F.col("genre"), F.col("model")], limit, offset)
+
+
+def macro_families(rows: DataFrame, *, family: int | None = None, weeks: int = 52) -> DataFrame:
+    """Every family's latest weeks, or one family's."""
+    if not 1 <= weeks <= 260:
+        raise ValueError("1 to 260 weeks are expected")
+    return first_by(optional(rows, family=family), ["family"], [F.col("week").desc()], weeks)
