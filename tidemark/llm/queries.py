@@ -84,6 +84,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_read(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import audit_sources
+
+    return audit_sources(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.filteraudit import audit_filters
+
+    return audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm import score_texts
+
+    scored = score_texts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_topk": op2_topk,
@@ -95,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_divergence": op11_divergence,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 #: DuckDB SQL for the queries that it can express.
@@ -191,4 +213,71 @@ ORACLES: dict[str, str] = {
         )
         SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
     """,
+    "op11_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), w AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM d
+        ), k AS (
+            SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+        ), v AS (
+            SELECT lang, 5 * count(*) AS v FROM k GROUP BY lang
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term
+        ), g AS (
+            SELECT d.lang, d.source, coalesce(any_value(s.n), 0) AS n FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) AS s USING (lang, source) GROUP BY d.lang, d.source
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (g.n + v.v) AS p
+            FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), q AS (
+            SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(p.n) + 5)) // (any_value(t.n) + any_value(v.v)) AS q
+            FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS n FROM g GROUP BY lang) AS t USING (lang) GROUP BY lang, term
+        ), a AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source
+            LEFT JOIN (
+                SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+            ) AS s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+            UNION ALL
+            SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM a
+        )
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+    """,
+    "op12_filter_audit": """
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), l AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+        ), f AS (
+            SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+                + (CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) THEN 4 ELSE 0 END)
+                + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask
+            FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+        ), c AS (
+            SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask
+        ), x AS (
+            SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(f, bit)
+        ), o AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), s AS (
+            SELECT filter_order, i AS step, bits[i] AS bit, CAST(coalesce(list_sum(list_slice(bits, 1, i - 1)), 0) AS INTEGER) AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM o)
+        ), m AS (
+            SELECT part, filter_order, step, bit,
+                sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM m
+    """,
 }

@@ -61,6 +61,10 @@ class Hasher:
         up, down = self.powers.to(len(data) + 1)
         total = np.zeros(len(data) + 1, U)
         np.cumsum(self.values[data] * up[: len(data)], out=total[1:])
+        return self.mixed(total, down, starts, ends)
+
+    def mixed(self, total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of start:end, from running sums over the data."""
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
