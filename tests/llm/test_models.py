@@ -1,5 +1,6 @@
 """Vectors, pages and classifiers: brute force, labelled pages, held-out accuracy."""
 
+import time
 import hashlib
 
 import numpy as np
@@ -83,6 +84,13 @@ def test_near_vectors_of_odd_vectors(odd):
     assert near_vectors(odd.where("false")).count() == 0 and near_vectors(odd.where("vec_id < 5")).count() == 4
 
 
+def test_near_vectors_of_one_vec_id(spark):
+    """Rows of one vec_id with different vectors have their own links and components."""
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.01], 1), (9, [0.01, 1.0], 1), (10, [0.0, 2.0], 1), (3, [0.0, 3.0], 2), (7, [1.0, 0.0], 2), (3, [1.0, 0.0], 2)]
+    found = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert found == sorted([(7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (10, 2, 7, False), (3, 0, 3, True), (3, 1, 3, True), (7, 1, 3, False)])
+
+
 @pytest.fixture(scope="module")
 def model():
     return trained()
@@ -109,6 +117,39 @@ def test_pages(spark, data, model):
     assert extract_text(pages.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("names", ["has-sidebar", "sidebar-right", "comments-open", "header-fixed", "with-ads", "newsletter-popup-enabled", "single has-sidebar sidebar-right no-banner"])
+def test_pages_whose_outer_elements_name_other_parts(model, names):
+    text = ["The first words of the day came from the town.", "They say that it is well, and so it is.", "It ends here, as it must."]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    menu, end = "<nav><a href=x>Home</a></nav>", "<footer>&copy; x</footer>"
+    for page in (
+        f'<body class="{names}"><article>{inner}</article>{end}',
+        f'<body class="{names}">{menu}<article>{inner}</article>',
+        f'<body><div class="{names}"><main>{inner}</main></div></body>',
+        f'<body><div class="{names}">{menu}<div class="entry-content">{inner}</div></div>{end}',
+        f'<body class="{names}"><div class="{names} entry-content">{inner}</div>{end}',
+        f'<body class="{names}">{menu}<div class="entry-content">{inner}</div>',
+    ):
+        assert main_text(page, model) == "\n".join(text), page
+    comments = f'<body class="{names}"><article><h1>One new day</h1><p>{text[0]}</p></article><section class="comments"><ol>{"<li>" + text[1] + "</li>" + "<li>" + text[2] + "</li>"}</ol></section>'
+    assert main_text(comments, model) == "One new day\n" + text[0]
+
+
+def test_a_last_paragraph_that_is_a_link(model):
+    assert main_text("<body><article><p>It is well, they say.</p><p><a>See the full list of towns</a></p></article><footer>&copy; x.</footer>", model).endswith("\nSee the full list of towns")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "</b>" * 8000, "<span>" * 8000 + "</i>" * 8000, "<a b" * 20000, "<b>" + "<div>" * 8000 + "</b>" * 8000, "<x-y>" * 8000 + "a</div>" * 8000, "<span>" * 8000 + "a</div>" * 8000, "</script" * 20000])
+def test_long_malformed_pages_take_linear_time(page):
+    def took(times):
+        began = time.process_time()
+        blocks(page * times)
+        return time.process_time() - began
+
+    took(1)
+    assert took(8) < 40 * took(1) + 0.5
+
+
 def test_pages_without_end_of_head_and_with_formulas(model):
     article = "<article><h1>A new day</h1><p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here, they say.</p></article>"
     want = "A new day\nIt is x=2 here, they say."

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th
 SCOPES = frozenset("ul ol dl table article section aside main nav div body blockquote".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+COMMENT = re.compile(r"<!--.*", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-label|data-keep)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 SPACES = re.compile(r"\s+")
@@ -58,12 +60,25 @@ def _attributes(text: str) -> tuple[list[str], bool | None]:
     return words, label
 
 
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    words: list[str]
+    hidden: bool
+    label: bool
+    block: str  # tag of the innermost element that is not inline, itself included
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool, bool]] = [("#", frozenset(), False, False)]  # tag, features, hidden, label
+    """The leaf blocks of a page in order; time grows with the page's length, also where tags are never closed."""
+    out: list[tuple[str, int, int]] = []  # text, element, characters in links
+    elements = [Element("#", -1, [], False, False, "#")]
+    stack = [0]
+    opened: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
     links, in_link, at, end = 0, 0, 0, len(page)
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal links
@@ -71,35 +86,47 @@ def blocks(page: str) -> list[Block]:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                inner = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "#")
-                out.append(Block(text, stack[-1][1], stack[-1][3], links, inner))
+                out.append((text, stack[-1], links))
         links = 0
 
+    def cut(depth: int) -> None:
+        for e in stack[depth:]:
+            opened[elements[e].tag] -= 1
+        del stack[depth:]
+
     while at < end:
-        m = TOKEN.search(page, at)
+        # without a later > only a comment can follow
+        m = TOKEN.search(page, at) if at <= last else COMMENT.search(page, at)
         stop = m.start() if m else end
-        if stack[-1][0] == "head" and page[at:stop].strip("\t\n\f\r "):
-            stack.pop()
-        if stop > at and not stack[-1][2]:
+        top = elements[stack[-1]]
+        if top.tag == "head" and page[at:stop].strip("\t\n\f\r "):
+            cut(len(stack) - 1)
+            top = elements[stack[-1]]
+        if stop > at and not top.hidden:
             parts.append(page[at:stop])
             links += (stop - at) * (in_link > 0)
         if not m:
             break
+        name = (m[2] or m[5]) if at <= last else None
         at = m.end()
-        name = m[2] or m[5]
         if not name:
             continue
         tag, closing, attributes = name.lower(), m[1] or m[4], (m[3] or m[6] or "")
-        if not closing and stack[-1][0] == "head" and tag not in HEAD:
-            stack.pop()
+        if not closing and top.tag == "head" and tag not in HEAD:
+            cut(len(stack) - 1)
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag not in INLINE:
                 flush()
             elif tag == "a":
                 in_link = max(in_link - 1, 0)
-            if depth and not (tag in INLINE and any(s[0] not in INLINE for s in stack[depth + 1 :])):
-                del stack[depth:]
+            if opened[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    own = elements[stack[i]].tag
+                    if own == tag:
+                        cut(i)
+                        break
+                    if tag in INLINE and own not in INLINE:  # an inline tag's end closes no block
+                        break
         elif tag in VOID:
             if tag == "br":
                 parts.append(" ")
@@ -108,28 +135,61 @@ def blocks(page: str) -> list[Block]:
         else:
             if tag not in INLINE:
                 flush()
-                while stack[-1][0] in INLINE:
-                    stack.pop()
+                while elements[stack[-1]].tag in INLINE:
+                    cut(len(stack) - 1)
                 in_link = 0
                 closes = CLOSED_BY.get(tag, "" if tag in ("tbody", "thead", "tfoot") else "p").split()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in closes:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
+                if any(opened[c] > 0 for c in closes):
+                    for i in range(len(stack) - 1, 0, -1):
+                        own = elements[stack[i]].tag
+                        if own in closes:
+                            cut(i)
+                            break
+                        if own in SCOPES:
+                            break
             elif tag == "a":
                 in_link += 1
             words, label = _attributes(attributes)
-            parent = stack[-1]
-            features = parent[1] if tag in INLINE and not words else parent[1] | {f"tag={tag}", *words}
-            stack.append((tag, features, parent[2] or tag in HIDDEN, parent[3] if label is None else label))
+            parent = elements[stack[-1]]
+            elements.append(Element(tag, stack[-1], words, parent.hidden or tag in HIDDEN, parent.label if label is None else label, parent.block if tag in INLINE else tag))
+            stack.append(len(elements) - 1)
+            opened[tag] += 1
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if at <= last else None
                 at = close.end() if close else end
-                stack.pop()
+                cut(len(stack) - 1)
     flush()
-    return out
+    own = _element_features(elements, out)
+    return [Block(text, own[e], elements[e].label, linked, elements[e].block) for text, e, linked in out]
+
+
+def _element_features(elements: list[Element], out: list[tuple[str, int, int]]) -> list[frozenset[str]]:
+    """Tags and words of each element and its ancestors.
+
+    Words on html and body, and on an element that holds most of the page's text around another such element (one with
+    words of its own, an article or a main part), tell about the page, not about the block: they are left out.
+    """
+    size = [0] * len(elements)
+    for text, e, _ in out:
+        size[e] += len(text)
+    total = sum(size)
+    for e in range(len(elements) - 1, 0, -1):
+        size[elements[e].parent] += size[e]
+    wide = [e for e in range(1, len(elements)) if 2 * size[e] > total and elements[e].tag not in INLINE]  # each inside the one before
+    inner = max((e for e in wide if elements[e].words or elements[e].tag in ("article", "main")), default=0)
+    around = {e for e in wide if e < inner}
+    found = [frozenset[str]()]
+    for e in range(1, len(elements)):
+        x = elements[e]
+        above = found[x.parent]
+        if x.tag in INLINE and not x.words:
+            found.append(above)
+            continue
+        own = {f"tag={x.tag}"}
+        if e not in around and x.tag not in ("html", "body"):
+            own.update(x.words)
+        found.append(above if own <= above else above | own)
+    return found
 
 
 def features(block: Block) -> list[str]:
@@ -233,6 +293,10 @@ def training_pages(count: int = 400, seed: int = 11) -> list[str]:
     items = lambda a, b: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(a, b))) + "</ul>"
     named = lambda tag, names, inner: f'<{tag}{r.choice([" class=", " id="])}"{r.choice(names.split())}">{inner}</{tag}>'
 
+    contents = "content article article-body post post-content entry-content story main main-content text body-text"
+    # what a page has besides, as themes write it on an element around the text
+    states = "has-sidebar sidebar-right sidebar-left no-sidebar comments-open comments-closed header-fixed with-ads no-banner newsletter-popup-enabled single menu-open footer-widgets"
+
     def prose() -> str:
         kind = r.random()
         if kind < 0.66:
@@ -249,6 +313,8 @@ def training_pages(count: int = 400, seed: int = 11) -> list[str]:
             return f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 4)}</td></tr><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>"
         if kind < 0.95:
             return f"<pre>{words(3, 20)}</pre>"
+        if kind < 0.965:
+            return f'<p><a href="/{word()}">{words(2, 8)}</a></p>'
         return f"<p>{sentence()} {link()} {sentence()}</p>"
 
     def story() -> str:
@@ -273,7 +339,11 @@ def training_pages(count: int = 400, seed: int = 11) -> list[str]:
         elif kind < 0.78:
             out = f"<{(k := r.choice(['div', 'section']))}>{inner}</{k}>"
         else:
-            out = named("div", "content article article-body post post-content entry-content story main main-content text body-text", inner)
+            out = named("div", contents, inner)
+            if r.random() < 0.4:
+                own = [r.choice(contents.split()), *r.sample(states.split(), r.randint(1, 3))]
+                r.shuffle(own)
+                out = f'<div class="{" ".join(own)}">{inner}</div>'
         return re.sub(r"^<(\w+)", r'<\1 data-keep="1"', out)
 
     def notice() -> str:

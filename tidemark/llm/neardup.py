@@ -99,7 +99,7 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
     Vectors of equal labels link if their cosine is at least least_cosine. n_links counts the other rows linked
     directly, component_id is the smallest vec_id that links reach. Null, zero and non-finite vectors, vectors without
     label and rows without vec_id link with nothing (0, their own vec_id, kept). Shorter vectors count as if zeros
-    followed. Repeated rows are separate vectors; other columns are not kept, whatever their names. An empty table gives an
+    followed. Repeated rows are separate vectors, also those of one vec_id with different vectors; other columns are not kept, whatever their names. An empty table gives an
     empty one.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
@@ -124,7 +124,8 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
     signed = checkpoint(rows.mapInArrow(units, "vec_id long, label string, unit binary, h1 long, h2 long"))
     part = signed.where("unit is not null and label is not null and vec_id is not null")
     key = ["label", "h1", "h2"]
-    classes = checkpoint(part.groupBy(*key).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.min("unit").alias("unit")))
+    # a class is known by a hash of its keys, as a vec_id can stand for several
+    classes = checkpoint(part.groupBy(*key).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.min("unit").alias("unit")).withColumn("node", F.xxhash64(*key)))
     sample = classes.select("unit").orderBy(F.xxhash64("unit")).limit(SAMPLE).collect()
     if not sample:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -139,14 +140,14 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
             probed &= np.arange(probed.shape[1]) > own[:, None]  # of two lists, the vector of the lower visits the higher
             row, other = np.nonzero(probed)
             at = pa.array(np.r_[np.arange(len(x)), row])
-            taken = [batch.column(c).take(at) for c in ("label", "class_id", "weight", "unit")]
+            taken = [batch.column(c).take(at) for c in ("label", "node", "weight", "unit")]
             member = np.r_[np.ones(len(x), bool), np.zeros(len(row), bool)]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(np.r_[own, other].astype(np.int32)), pa.array(member), pa.array([c.tobytes() for c in codes], pa.binary()).take(at), pa.array(error).take(at)], ["label", "class_id", "weight", "unit", "list", "member", "codes", "error"])
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(np.r_[own, other].astype(np.int32)), pa.array(member), pa.array([c.tobytes() for c in codes], pa.binary()).take(at), pa.array(error).take(at)], ["label", "node", "weight", "unit", "list", "member", "codes", "error"])
 
-    listed = checkpoint(classes.mapInArrow(lists, "label string, class_id long, weight long, unit binary, list int, member boolean, codes binary, error double"))
+    listed = checkpoint(classes.mapInArrow(lists, "label string, node long, weight long, unit binary, list int, member boolean, codes binary, error double"))
     blocks = listed.groupBy("label", "list").agg((F.ceil(F.count_if("member") / BLOCK)).cast("int").alias("mb"), F.ceil(F.count_if(~F.col("member")) / BLOCK).cast("int").alias("vb")).where("mb > 0")
     placed = listed.join(blocks, ["label", "list"])
-    own_block = F.pmod(F.xxhash64("class_id"), F.when(F.col("member"), F.col("mb")).otherwise(F.col("vb"))).cast("int")
+    own_block = F.pmod(F.xxhash64("node"), F.when(F.col("member"), F.col("mb")).otherwise(F.col("vb"))).cast("int")
     # a member's block meets itself and every other once; a visitor's block meets every block of members
     numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     member_cells = F.concat(
@@ -159,7 +160,7 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
     def match(cell: pa.Table) -> pa.Table:
         own_books = books.value
         at = cell["cell"][0].as_py()
-        ids, weight, error = (cell[c].to_numpy() for c in ("class_id", "weight", "error"))
+        ids, weight, error = (cell[c].to_numpy() for c in ("node", "weight", "error"))
         x, codes = unpacked(cell["unit"], width), np.frombuffer(b"".join(cell["codes"].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64)
         member, block = cell["member"].to_numpy(zero_copy_only=False), cell["block"].to_numpy()
         if at["kind"] == "v":
@@ -203,8 +204,9 @@ def near_vectors(vectors: DataFrame, *, least_cosine: float = 0.98) -> DataFrame
     matched = checkpoint(cells.groupBy("label", "list", "cell").applyInArrow(match, "a long, b long, links long"))
     counts = matched.groupBy("a").agg(F.sum("links").alias("links"))
     found = components(matched.select("a", "b"))
-    classes = classes.join(counts, F.col("class_id") == F.col("a"), "left").join(found, F.col("class_id") == F.col("node"), "left")
-    per_class = classes.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "class_id").alias("component"))
+    least = found.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("least"))
+    grouped = classes.join(counts, F.col("node") == F.col("a"), "left").join(found.join(least, "component"), "node", "left")
+    per_class = grouped.select(*key, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("least", "class_id").alias("component"))
     out = signed.withColumn("searched", F.col("unit").isNotNull() & F.col("vec_id").isNotNull()).drop("unit").join(per_class, key, "left")
     own = F.when(F.col("searched"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("searched"), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
