@@ -48,7 +48,7 @@ class Block:
 
 
 def _attributes(text: str) -> tuple[list[str], bool | None]:
-    """Words of class, id and role; the training label, if the tag carries one."""
+    """Words of class, id and role, and names of several words as a whole; the training label, if the tag carries one."""
     words, label = [], None
     if "=" in text:
         for name, value in NAMED.findall(text):
@@ -56,7 +56,11 @@ def _attributes(text: str) -> tuple[list[str], bool | None]:
             if name.lower() == "data-keep":
                 label = value == "1"
             else:
-                words += [f"word={w.lower()}" for w in WORD.findall(html.unescape(value))]
+                for one in html.unescape(value).split():
+                    own = [w.lower() for w in WORD.findall(one)]
+                    words += [f"word={w}" for w in own]
+                    if len(own) > 1:
+                        words.append(f"name={'-'.join(own)}")
     return words, label
 
 
@@ -340,7 +344,7 @@ def training_pages(count: int = 400, seed: int = 11) -> list[str]:
             out = f"<{(k := r.choice(['div', 'section']))}>{inner}</{k}>"
         else:
             out = named("div", contents, inner)
-            if r.random() < 0.4:
+            if r.random() < 0.3:
                 own = [r.choice(contents.split()), *r.sample(states.split(), r.randint(1, 3))]
                 r.shuffle(own)
                 out = f'<div class="{" ".join(own)}">{inner}</div>'

@@ -73,6 +73,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine is a weighted one: a term's inverse document frequency is multiplied by its squared log odds among the
+    labelled examples."""
     from tidemark.llm.toxicity import score_toxicity
 
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
