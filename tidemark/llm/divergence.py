@@ -31,6 +31,8 @@ SLICE_BYTES, MERGE_ROWS = 4 << 20, 1 << 20
 #: Kept terms of a range, and sources of a block; cells of a matrix of terms x sources.
 RANGE_TERMS, BLOCK_SOURCES, MATRIX = 4096, 512, 1 << 20
 SCALE, PRIOR = 1_000_000_000, 5
+#: Languages whose sizes are sent to every executor (some bytes each); with more, Spark joins them as it does any table.
+SMALL = 100_000
 
 OCCURRENCES = "lang string, term string, source string, documents long, occurrences long"
 KEPT = "lang string, term string, source string, occurrences long, opens int"
@@ -284,16 +286,20 @@ def audit_sources(docs: DataFrame, *, least_docs: int = 30, top: int = 50, range
     counted = own.mapInArrow(count_terms, OCCURRENCES).repartition(tasks, "lang", "term").sortWithinPartitions("lang", "term", "source")
     kept = checkpoint(counted.mapInArrow(lambda batches: kept_runs(batches, least_docs), KEPT))
     totals = kept.groupBy("lang", "source").agg(F.sum("occurrences").alias("n"), F.sum("opens").alias("v"))
-    by_lang = totals.groupBy("lang").agg(F.sum("n").alias("whole"), F.sum("v").alias("terms"))
-    groups = own.select("lang", "source").distinct().join(totals.select("lang", "source", "n"), ["lang", "source"], "left").join(by_lang, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    of_lang, zero = Window.partitionBy("lang"), F.lit(0).cast("long")
+    groups = own.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
+    # a row for each group; a language's groups meet in its pairs anyway
+    groups = groups.select("lang", "source", F.coalesce("n", zero).alias("n"), F.coalesce(F.sum("n").over(of_lang), zero).alias("whole"), F.coalesce(F.sum("v").over(of_lang), zero).alias("terms"), F.count(F.lit(1)).over(of_lang).alias("sources"))
+    groups = checkpoint(groups.select("*", F.ceil(F.col("sources") / block_sources).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("terms") / range_terms)).cast("int").alias("ranges")))
+    sizes = groups.select("lang", "blocks", "ranges").distinct()
+    if sizes.count() <= SMALL:
+        sizes = F.broadcast(sizes)
     under = PRIOR * F.col("terms")
-    sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.max("terms").alias("v")).select("lang", F.ceil(F.col("sources") / block_sources).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("v") / range_terms)).cast("int").alias("ranges"))
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    heads = groups.join(sizes, "lang").select("*", blocks).select("*", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)).alias("range"))
+    heads = groups.select("*", blocks).select("*", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)).alias("range"))
     heads = heads.select("lang", "block", "range", F.lit(None).cast("string").alias("term"), "source", (F.col("n") + under).alias("occurrences"), (F.col("whole") + under).alias("whole"), "terms")
-    # a term's range is that of its hash; sizes has a row for each language
-    rows = kept.join(sizes, "lang").select("*", blocks).select("lang", "block", F.pmod(F.xxhash64("term"), F.col("ranges")).cast("int").alias("range"), "term", "source", "occurrences", F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("terms"))
+    # a term's range is that of its hash
+    rows = kept.join(sizes, "lang").select("*", blocks).select("lang", "block", F.pmod(F.xxhash64("term"), F.col("ranges")).cast("int").alias("range"), "term", "source", "occurrences", zero.alias("whole"), zero.alias("terms"))
     dealt = heads.unionByName(rows).repartition(tasks, "lang", "block", "range").sortWithinPartitions("lang", "block", "range", F.col("term").asc_nulls_first(), "source")
     partial = checkpoint(dealt.mapInArrow(lambda batches: compared(batches, top, block_sources), PARTIAL))
     pairs = partial.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
