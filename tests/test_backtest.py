@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import smoothing as E
 from tidemark.operators import backtest as B
+from tidemark.operators import forecast as P
 
 FIRST = datetime.date(2024, 1, 1)
 
@@ -96,3 +98,59 @@ def test_features_of_an_origin(spark):
     assert (r.target_week, r.week_of_year, r.category_code, r.opportunity) == (monday(4), 5.0, 0.0, None)
     assert r.trend_similarity == 0.0 and got["b", monday(3)].trend_similarity == 1.0 and got["c", monday(3)].trend_similarity == 0.0
     assert got["a", monday(0)].trend_similarity == 1.0
+
+
+def season_series(n, seed=4, cycle=52):
+    """Values of the recursion itself with known parameters, and those parameters."""
+    p = E.Parameters(0.35, 0.05, 0.25, 0.95)
+    r = np.random.default_rng(seed)
+    season = [2 * np.sin(2 * np.pi * i / cycle) + 0.5 * np.cos(6 * np.pi * i / cycle) for i in range(cycle)]
+    level, trend, y = 10.0, 0.05, []
+    terms = list(season)
+    for i in range(n):
+        base = level + p.damping * trend
+        v = base + terms[i] + r.normal(0, 0.1)
+        new = p.level * (v - terms[i]) + (1 - p.level) * base
+        trend = p.trend * (new - level) + (1 - p.trend) * p.damping * trend
+        level = new
+        terms.append(p.season * (v - base) + (1 - p.season) * terms[i])
+        y.append(float(v))
+    return y, p
+
+
+def test_smoothing_recovers_planted_parameters():
+    y, p = season_series(364)
+    found = E.parameters(E.fitted(y, 52))
+    assert abs(found.level - p.level) < 0.12 and abs(found.season - p.season) < 0.15
+    own, best = E.path(y, found, 52), E.path(y, p, 52)
+    assert sum((np.array(y) - own.ahead) ** 2) <= 1.001 * sum((np.array(y) - best.ahead) ** 2)
+    for h in (1, 2, 52, 60):  # the latest known cycle's term
+        i = 300
+        assert own.point(i, h, found.damping) == pytest.approx(own.levels[i] + own.trends[i] * sum(found.damping**k for k in range(1, h + 1)) + own.terms[i + h - (0 if h <= 52 else 52)])
+
+
+def test_smoothing_backtest_equals_a_fit_of_every_origin(spark):
+    y, _ = season_series(24, cycle=6)
+    got = {(r.origin, r.horizon): r for r in B.smoothed(series(spark, a=y, b=[1.0] * 5), ["genre"], "week", "x", [1, 2], season=6, refit=1).collect()}
+    assert len(got) == 16 + 15
+    start = None
+    for o in range(7, 23):
+        cycle = 6 if o + 1 >= 12 else 0
+        start = E.fitted(y[: o + 1], cycle, start)
+        p = E.parameters(start)
+        own = E.path(y[: o + 1], p, cycle)
+        want = E.interval(own.point(o, 1, p.damping), np.array(y[: o + 1]) - np.array(own.ahead), 1)
+        r = got[monday(o), 1]
+        assert (r.predicted, r.low, r.high) == pytest.approx(want) and r.actual == y[o + 1] and r.training_weeks == o + 1
+
+
+def test_season_beats_naive(spark):
+    y, _ = season_series(260)
+    df = series(spark, a=y)
+    records = B.persistent(df, ["genre"], "week", "x", [2]).unionByName(B.smoothed(df, ["genre"], "week", "x", [2], refit=26))
+    late = records.where(F.col("origin") >= F.lit(monday(120)))
+    scores = {r.model: r for r in B.scored(late, ["model"], ["horizon", "origin"]).collect()}
+    assert scores["ets"].mase < 0.9 and 0.65 < scores["ets"].coverage
+    last = P.holt(df, ["genre"], "week", "x", 2).first()
+    season = [v for i, v in enumerate(y) if i % 52 == (len(y) + 1) % 52]
+    assert abs(last.predicted - season[-1]) < 1.0 and last.low <= last.predicted <= last.high

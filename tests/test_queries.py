@@ -8,7 +8,7 @@ import pytest
 from tidemark import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NO_SQL = {"entity_outcomes", "ets_backtest", "ets_forecast", "gbm_forecast", "token_set_match", "unicode_fold", "scene_projection"}
+NO_SQL = {"entity_outcomes", "ets_backtest", "ets_forecast", "gbm_forecast", "model_backtest", "token_set_match", "unicode_fold", "scene_projection"}
 
 
 @pytest.fixture(scope="module")

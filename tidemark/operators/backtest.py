@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.functions import smoothing as E
+from tidemark.operators import boosting
 from tidemark.operators.forecast import lags
 
 RECORD = ["horizon", "model", "origin", "target", "training_weeks", "predicted", "low", "high", "actual"]
@@ -125,6 +127,78 @@ def damped(df: DataFrame, by: Sequence[str], week: str, value: str, horizons: Se
     return runs.groupBy(*by).applyInPandas(one, schema)
 
 
+def smoothed(df: DataFrame, by: Sequence[str], week: str, value: str, horizons: Sequence[int], *, minimum: int = 8, season: int = 52, refit: int = 13) -> DataFrame:
+    """Backtest records of exponential smoothing with a damped trend and, from two whole seasons on, a season: model ets.
+
+    Parameters are fitted anew every `refit` origins of a run (and when the season comes in), from what was known then,
+    and hold until the next fit; states run on. Errors that make the interval are those up to the origin.
+    """
+    runs = K.islands(df.where(F.col(value).isNotNull()).select(*by, week, value), by, week)
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+    names = [*by, *RECORD]
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        part = part.sort_values(week)
+        known = dict(zip(part[week], part[value], strict=True))
+        for _, run in part.groupby("run"):
+            y, weeks = run[value].tolist(), list(run[week])
+            found, path, since = None, None, 0
+            for i in range(minimum - 1, len(y)):
+                cycle = season if i + 1 >= 2 * season else 0
+                if path is None or i - since >= refit or cycle != path.cycle:
+                    found, since = E.fitted(y[: i + 1], cycle, found), i
+                    # states do not depend on where a run is cut
+                    best, path = E.parameters(found), E.path(y, E.parameters(found), cycle)
+                    errors = np.array(y) - np.array(path.ahead)
+                for h in horizons:
+                    target = weeks[i] + pd.Timedelta(days=7 * h)
+                    if target in known:
+                        rows.append([*key, h, "ets", weeks[i], target, i + 1, *E.interval(path.point(i, h, best.damping), errors[: i + 1], h), known[target]])
+        return pd.DataFrame(rows, columns=names)
+
+    schema = f"{kinds}, horizon int, model string, origin date, target date, training_weeks int, predicted double, low double, high double, actual double"
+    return runs.groupBy(*by).applyInPandas(one, schema)
+
+
+POOLED = ["lag_1", "lag_2", "lag_3", "lag_4", "cycle", "mean_4", "family_mean", "family_size", "week_of_year", "category_code", "family_code"]
+
+
+def pooled_examples(df: DataFrame, category: str, family: str, axis: str, week: str, value: str, horizons: Sequence[int], *, season: int = 52) -> DataFrame:
+    """(category, family, axis, horizon, origin, target, training_weeks, POOLED, actual): what is known at every origin with a
+    value, and the target's value (NULL if it has none). Lags are calendar weeks; family_mean and family_size are those of
+    the origin's week; codes are numbers of the names in order."""
+    known = [category, family, axis]
+    own = trained_weeks(df, known, week, value)
+    wide = lags(own, known, week, value, [*range(4), *(season - h for h in horizons)])
+    peers = Window.partitionBy(family, axis, week)
+    wide = wide.withColumn("family_mean", F.avg(value).over(peers)).withColumn("family_size", F.count(value).over(peers).cast("double"))
+    # names are dimensions: one short window numbers each
+    code = lambda c, name: df.select(c).distinct().withColumn(name, (F.row_number().over(Window.orderBy(c)) - 1).cast("double"))
+    wide = wide.join(code(category, "category_code"), category).join(code(family, "family_code"), family)
+    four = [F.col(f"{value}_lag_{k}") for k in range(4)]
+    held = sum((F.coalesce(x, F.lit(0.0)) for x in four[1:]), F.coalesce(four[0], F.lit(0.0)))
+    count = sum((x.isNotNull().cast("int") for x in four[1:]), four[0].isNotNull().cast("int"))
+    out = None
+    for h in horizons:
+        goal = F.date_add(week, 7 * h)
+        rows = wide.select(*known, F.lit(h).alias("horizon"), F.col(week).alias("origin"), goal.alias("target"), "training_weeks", *(x.alias(f"lag_{k + 1}") for k, x in enumerate(four)), F.col(f"{value}_lag_{season - h}").alias("cycle"), (held / F.nullif(count, F.lit(0))).alias("mean_4"), "family_mean", "family_size", F.weekofyear(goal).cast("double").alias("week_of_year"), "category_code", "family_code")
+        out = rows if out is None else out.unionByName(rows)
+    actual = own.select(*known, F.col(week).alias("target"), F.col(value).alias("actual"))
+    return out.join(actual, [*known, "target"], "left")
+
+
+def boosted(examples: DataFrame, cuts: Sequence, by: Sequence[str], axis: str, *, minimum: int = 8, **parameters) -> DataFrame:
+    """Backtest records of pooled quantile boosting, model gbm: each origin is forecast by the models fitted at the last
+    cut that is not after it, from examples whose targets were known by then. One model for each axis, horizon and cut;
+    categories are pooled. An example is copied for every cut from its target on."""
+    own = examples.withColumn("_cut", F.explode(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.col("target") <= c)))
+    keys = [axis, "horizon", "_cut"]
+    fitted = boosting.fit(own.where(F.col("training_weeks") >= minimum), keys, POOLED, "actual", **parameters)
+    asked = examples.where((F.col("training_weeks") >= minimum) & F.col("actual").isNotNull()).withColumn("_cut", boosting.last_cut(cuts, F.col("origin"))).where(F.col("_cut").isNotNull())
+    return boosting.forecast(asked, fitted).select(*by, *(F.lit("gbm").alias(c) if c == "model" else F.col(c) for c in RECORD))
+
+
 def scored(records: DataFrame, by: Sequence[str], pair: Sequence[str], expected: DataFrame | None = None) -> DataFrame:
     """(by, origins, mae, naive_mae, mase, coverage, width, status) of the records that naive has too, by `pair`.
 

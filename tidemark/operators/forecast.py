@@ -40,22 +40,16 @@ def residual_interval(df: DataFrame, by: Sequence[str], confidence: float = 0.8)
     return df.groupBy(*by).agg(F.coalesce(F.percentile(r, F.lit(lo)), F.lit(0.0)).alias("low"), F.coalesce(F.percentile(r, F.lit(hi)), F.lit(0.0)).alias("high"))
 
 
-def holt(series: DataFrame, by: Sequence[str], week: str, value: str, horizon: int) -> DataFrame:
-    """(by, origin, target, predicted, low, high): additive damped trend from each series' end, fitted on a grid of
-    smoothing parameters by one-step squared error. A series is one key's weeks; keys are spread over tasks."""
+def holt(series: DataFrame, by: Sequence[str], week: str, value: str, horizon: int, *, season: int = 52) -> DataFrame:
+    """(by, origin, target, predicted, low, high): additive damped trend from each series' end, with an additive season
+    from two whole seasons of values on; parameters of least squared one-step error. A series is one key's weeks, 8 with a
+    value at least; keys are spread over tasks."""
     import numpy as np
     import pandas as pd
 
-    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in by)
+    from tidemark.functions import smoothing as E
 
-    def run(y: np.ndarray, a: float, b: float, phi: float) -> tuple[np.ndarray, float, float]:
-        level, trend, out = y[0], y[1] - y[0], np.empty(len(y))
-        for i, v in enumerate(y):
-            out[i] = level + phi * trend
-            new = a * v + (1 - a) * out[i]
-            trend = b * (new - level) + (1 - b) * phi * trend
-            level = new
-        return out, level, trend
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in by)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(week)
@@ -64,13 +58,11 @@ def holt(series: DataFrame, by: Sequence[str], week: str, value: str, horizon: i
         names = [*by, "origin", "target", "predicted", "low", "high"]
         if len(y) < 8:
             return pd.DataFrame(columns=names)
-        grid = [(a, b, p) for a in (0.1, 0.3, 0.5, 0.8) for b in (0.05, 0.2) for p in (0.8, 0.95)]
-        best = min(grid, key=lambda g: float(((y - run(y, *g)[0])[1:] ** 2).sum()))
-        fitted, level, trend = run(y, *best)
-        point = level + sum(best[2] ** k for k in range(1, horizon + 1)) * trend
-        q = np.quantile(y - fitted, [0.1, 0.9]) * np.sqrt(horizon)
+        cycle = season if len(y) >= 2 * season else 0
+        best = E.parameters(E.fitted(y.tolist(), cycle))
+        path = E.path(y.tolist(), best, cycle)
         origin = part[week].iloc[-1]
-        row = [*key, origin, origin + pd.Timedelta(days=7 * horizon), point, min(point, point + q[0]), max(point, point + q[1])]
+        row = [*key, origin, origin + pd.Timedelta(days=7 * horizon), *E.interval(path.point(len(y) - 1, horizon, best.damping), y - np.array(path.ahead), horizon)]
         return pd.DataFrame([row], columns=names)
 
     return series.select(*by, week, value).groupBy(*by).applyInPandas(fit, f"{kinds}, origin date, target date, predicted double, low double, high double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
+from tidemark.operators import boosting as G
 from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
 
@@ -82,3 +85,44 @@ def ets_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = B.persistent(df, KEYS, "week", "x", [1, 2]).unionByName(B.damped(df, KEYS, "week", "x", [1, 2]))
     out = B.scored(rec, [*KEYS, "horizon", "model"], PAIR)
     return out.select("genre", "axis", "horizon", "model", *shown(out))
+
+
+def cuts(df: DataFrame, every: int) -> list:
+    """Mondays `every` weeks apart from the first week of a series on, those within it: one small job."""
+    first, last = df.agg(F.min("week"), F.max("week")).first()
+    return [] if first is None else [first + datetime.timedelta(days=7 * i) for i in range(every, (last - first).days // 7, every)]
+
+
+def pooled(spark: SparkSession, sf_dir: str, horizons: list[int], every: int) -> tuple[DataFrame, DataFrame]:
+    """Backtest records of naive, seasonal, smoothing and boosting."""
+    df = series(spark, sf_dir)
+    boosted = B.boosted(B.pooled_examples(df, *KEYS, "week", "x", horizons), cuts(df, every), KEYS, "axis", rounds=8)
+    return df, B.persistent(df, KEYS, "week", "x", horizons).unionByName(B.smoothed(df, KEYS, "week", "x", horizons, refit=52)).unionByName(boosted)
+
+
+@query(None)
+def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All models from every origin, scored by category beside naive, and the one chosen at both grains: no SQL; each model
+    is tested against plain loops. Boosting is fitted once a year, on all categories."""
+    _, rec = pooled(spark, sf_dir, [1, 2], 52)
+    rec = rec.persist()
+    fine, coarse = B.scored(rec, [*KEYS, "horizon", "model"], PAIR), B.scored(rec, ["family", "axis", "horizon", "model"], PAIR)
+    best = B.chosen(fine, coarse, [*KEYS, "horizon"], ["family", "axis", "horizon"]).select("genre", "axis", "horizon", F.col("model").alias("_best"))
+    out = fine.join(best, ["genre", "axis", "horizon"])
+    return out.select("genre", "axis", "horizon", "model", *shown(out), (F.col("model") == F.col("_best")).alias("chosen"))
+
+
+HALF = """ , l AS (SELECT *, ln(1 + conv) AS x FROM grid WHERE conv IS NOT NULL),
+    y AS (SELECT a.genre, a.week, a.x AS lag, b.x AS y FROM l a JOIN l b ON b.genre = a.genre AND b.week = a.week + 7),
+    e AS (SELECT list_distinct(quantile_disc(lag, [0.25, 0.5, 0.75])) AS edges, quantile_disc(y, 0.5) AS half FROM y)"""
+
+
+@query(S.sql("grid", HALF + " SELECT CAST(1 + len(list_filter(edges, lambda q: q < lag)) AS INTEGER) AS bin, count(*) AS n, CAST(count(*) FILTER (WHERE y < half) AS BIGINT) AS below FROM y, e GROUP BY 1"))
+def boosting_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first histogram of the median's first tree: examples of next week's conversation by quartile of this week's, and
+    those below the median."""
+    x = S.grid(spark, sf_dir).where("conv is not null").select("genre", "week", F.ln(1 + F.col("conv")).alias("lag"))
+    rows = x.join(x.select("genre", F.date_sub("week", 7).alias("week"), F.col("lag").alias("y")), ["genre", "week"])
+    edges = rows.agg(F.percentile_approx("lag", [0.25, 0.5, 0.75], 1_000_000).alias("edges"), F.percentile_approx("y", 0.5, 1_000_000).alias("half"))
+    state = rows.crossJoin(F.broadcast(edges)).select(F.lit(1).alias("node"), (F.col("y") < F.col("half")).alias("below"), F.array((F.size(F.filter(F.array_distinct("edges"), lambda q: q < F.col("lag"))) + 1)).alias("codes"))
+    return G.histogram(state, ["node"]).select("bin", "n", "below")
