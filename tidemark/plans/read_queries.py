@@ -78,7 +78,7 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The stream's files and checkpoint are written to the shared folder of spark.checkpoint.dir.
     """
-    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{X.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = S.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.withColumn("part", F.col("event_id") % 3).write.partitionBy("part").parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
@@ -93,20 +93,10 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("week", "event_type", "s.n", r6("s.value").alias("value"))
 
 
-def shared(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is named and the master is this machine."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return folder or tempfile.mkdtemp(prefix="streams-")
-
-
 @query("SELECT event_id, user_id, list_filter([CASE WHEN value > 50 THEN 'strong' END, CASE WHEN event_type = 'purchase' THEN 'buys' END, CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'keyed' END], lambda x: x IS NOT NULL) AS rules FROM events WHERE value > 50 OR event_type = 'purchase' OR json_extract_string(props, '$.k') IS NOT NULL")
 def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of JSON files, classified batch by batch; a batch that is repeated replaces itself."""
-    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{X.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = S.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(4, "event_id").write.json(f"{folder}/in")
     stream = I.classified(I.file_stream(spark, f"{folder}/in", files=2))

@@ -10,6 +10,7 @@ from tidemark.functions import texts as T
 from tidemark.operators import entities as N
 from tidemark.operators import relational as R
 from tidemark.operators import resolve as E
+from tidemark.operators import scene as M
 from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
 from tidemark.plans.relational_queries import MEMBERS, memberships
@@ -160,6 +161,26 @@ def scene_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.scene(_centroids(spark, sf_dir)).select("genre", r6("x").alias("x"), r6("y").alias("y"))
 
 
+NEAR = """WITH v AS (SELECT vec_id AS genre, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    d AS (SELECT a.genre, b.genre AS other, greatest(1 - list_cosine_similarity(a.e, b.e), 0) AS distance FROM v a JOIN v b ON a.genre <> b.genre)
+    SELECT genre, CAST(row_number() OVER (PARTITION BY genre ORDER BY distance, other) AS INTEGER) AS rank, round(distance, 6) + 0.0 AS distance FROM d QUALIFY rank <= 15"""
+
+
+@query(NEAR)
+def scene_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene map's graph over all vectors: each one's 15 nearest by cosine, by rank and distance."""
+    near = M.neighbours(S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("genre"), "embedding"), "genre", "embedding", M.NEIGHBOURS)
+    return near.select("genre", "rank", r6("distance").alias("distance"))
+
+
+@query(None)
+def scene_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories in two dimensions by their neighbours, with the latest week's conversation: no SQL; tested on planted
+    clusters."""
+    places = M.scene_map(_centroids(spark, sf_dir))
+    return M.with_latest(places, S.grid(spark, sf_dir), ["conv"]).select("genre", "week", r6("x").alias("x"), r6("y").alias("y"), r6("conv").alias("conv"))
+
+
 @query("""WITH RECURSIVE t AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 1 THEN 99 WHEN n_nationkey = 7 THEN 7 WHEN n_nationkey IN (10, 11) THEN n_nationkey + 1 WHEN n_nationkey = 12 THEN 10 WHEN n_nationkey > 4 THEN n_regionkey END AS parent, CASE WHEN n_nationkey = 9 THEN 'NATION_8' ELSE 'NATION_' || n_nationkey END AS name FROM nation),
     up AS (SELECT id, parent AS top FROM t WHERE parent IS NOT NULL UNION SELECT up.id, t.parent FROM up JOIN t ON t.id = up.top WHERE t.parent IS NOT NULL),
     x AS (SELECT id FROM t GROUP BY id HAVING count(*) > 1), n AS (SELECT name FROM t GROUP BY name HAVING count(*) > 1)
