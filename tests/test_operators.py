@@ -205,3 +205,27 @@ def test_feed(spark):
     cases = [("x", ["link:last.fm"], True), ("a song", ["link:youtu.be"], True), ("a songbird", ["link:youtu.be"], False), ("A - B", ["hashtag:#np"], False), ("Ab - Bc", ["hashtag:#np"], True), ("x #music", ["hashtag:#np"], True), ("listening to The Band", ["intent:listening_to"], True), ("listening to rain", ["intent:listening_to"], False), (None, ["link:youtube.com"], False), ("x", [], False)]
     df = spark.createDataFrame([(i, t, r) for i, (t, r, _) in enumerate(cases)], "i int, text string, rules array<string>")
     assert [x.f for x in df.select("i", C.in_feed(F.col("text"), F.col("rules")).alias("f")).orderBy("i").collect()] == [c[2] for c in cases]
+
+
+def test_music_rules_beyond_ascii_and_strict_urls(spark):
+    from tidemark.operators import classify as C
+
+    def of(text, *links):
+        df = spark.createDataFrame([(text, list(links))], "text string, links array<string>")
+        return df.select(C.rules(F.col("text"), F.col("links"), C.tags(F.col("text"), F.array().cast("array<string>")))).first()[0]
+
+    assert of("listening\u00a0to this") == ["intent:listening_to"]
+    assert of("\u00e9#np hi") == [] and of("(#np hi") == ["hashtag:#np"]
+    assert of("on\u2003REPEAT") == ["intent:on_repeat"] and of("\u00e9on repeat") == []
+    for link, host in {
+        "https://bandcamp.com/a b|c": "bandcamp.com",
+        "https://www.youtube.com/watch?v={1}": "youtube.com",
+        "https://last.fm/music/100%": "last.fm",
+        "//youtu.be/1": "youtu.be",
+        " HTTPS://user:pw@x@Artist.BandCamp.com.:8080/y": "bandcamp.com",
+        "https://soundcloud.com#x": "soundcloud.com",
+        "https:\n//last.fm/1": "last.fm",
+    }.items():
+        assert of("x", link) == [f"link:{host}"], link
+    for link in ("https://NHL.com]", "https://[last.fm/x", "last.fm/music", "https:///last.fm", "mailto:x@last.fm", "https://x.org/?u=//last.fm", ""):
+        assert of("x", link) == [], link

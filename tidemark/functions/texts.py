@@ -81,8 +81,15 @@ def name_grams(text: pd.Series) -> pd.Series:
 
 
 def host(url: Column) -> Column:
-    """Lower-cased host of a URL; NULL where there is none or the URL is malformed."""
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """Lower-cased host of a URL, of whatever characters; NULL where there is none or its brackets do not pair.
+
+    What stands between // and the next /, ? or #, without user and port. (try_parse_url wants a strict URI.)
+    """
+    plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    place = F.regexp_extract(plain, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    own = F.regexp_replace(place, "^.*@", "")
+    name = F.when(own.startswith("["), F.regexp_extract(own, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(own, "^([^:]*)", 1))
+    return F.when(place.contains("[") != place.contains("]"), None).otherwise(F.nullif(F.lower(name), F.lit("")))
 
 
 def host_in(url: Column, suffixes: Sequence[str]) -> Column:

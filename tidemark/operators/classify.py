@@ -34,7 +34,7 @@ TRUSTED = (
     "hashtag:#nowplaying", "hashtag:#newmusic", "hashtag:#newrelease",
     "intent:on_repeat", "intent:new_album", "intent:new_ep", "intent:new_single", "intent:just_dropped",
 )
-#: Wording that a post needs beside a weaker rule, in lower case or as written.
+# Wording that a post needs beside a weaker rule, in lower case or as written.
 VIDEO_WORDS = "(^|[^a-z])(song|music|album|ep|track|band|artist|listen|listening|lyric|lyrics|chorus|record|playlist|earworm|sing|concert)([^a-z]|$)"
 TAGGED_MUSIC = "#music([^a-z]|$)"
 PAIR = r"^[^\n]{2,80} - [^\n]{2,80}"
@@ -42,14 +42,15 @@ LISTENED = "[Ll]istening\\s+to\\s+(the\\s+)?[A-Z0-9][A-Za-z0-9&.'’_-]*"
 
 
 def _words(text: Column, pattern: str) -> Column:
-    """Whether the text has the pattern in letters of either case; a missing text has none."""
-    return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
+    """Whether the text has the pattern in letters of either case, with Unicode's white space, letters and word ends; a
+    missing text has none."""
+    return F.coalesce(text.rlike(f"(?iuU){pattern}"), F.lit(False))
 
 
 def tags(text: Column, given: Column) -> Column:
     """A post's tags, given ones first, without their sign; each once, as first written."""
     bare = F.filter(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda t: F.regexp_replace(t, "^#", "")), lambda t: t != "")
-    written = F.coalesce(F.regexp_extract_all(text, F.lit(r"(?<![\w])#([A-Za-z0-9_]+)\b"), F.lit(1)), F.array().cast("array<string>"))
+    written = F.coalesce(F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w])#([A-Za-z0-9_]+)\b"), F.lit(1)), F.array().cast("array<string>"))
     return F.array_distinct(F.concat(bare, written))
 
 
