@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -126,3 +127,29 @@ def test_texts(spark):
     assert [r[0] for r in df.select(T.host_in(F.col("u"), ["example.org"])).collect()] == [True, False, False]
     names = spark.createDataFrame([('say "One Two," and “Drei” and "One Two,"',), (None,)], "t string").select(T.quoted_names("t")).collect()
     assert [r[0] for r in names] == [["One Two", "Drei"], []]
+
+
+def test_draws_of_tasks_are_those_of_columns(spark):
+    units = [f"u/{i}" for i in range(30)]
+    df = spark.createDataFrame([(u, k) for u in units for k in range(11)], "u string, k int")
+    rows = {(r.u, r.k): r.n for r in df.select("u", "k", K.poisson_one(K.draw(F.col("u"), F.col("k"))).alias("n")).collect()}
+    found = K.draws_of(units, 11)
+    assert all(found[i, k] == rows[u, k] for i, u in enumerate(units) for k in range(11))
+    many = K.draws_of(units, 4000)
+    assert abs(many.mean() - 1) < 0.02 and abs(many.var() - 1) < 0.05
+    # draws of one digest are as independent as others
+    assert abs(np.corrcoef(many[:, ::4].ravel(), many[:, 1::4].ravel())[0, 1]) < 0.02
+
+
+def test_resampled_cells(spark, monkeypatch):
+    from tidemark.operators import metrics as M
+
+    rows = [(i % 5 if i % 11 else None, "x" if i % 2 else "y", i, float(i % 7) if i % 13 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string, u int, w double").repartition(3)
+    out = {(r.a, r.b, r.k): r.value for r in M.resampled(df, ["a", "b"], F.col("u"), F.col("w"), 9).collect()}
+    want = {}
+    for (a, b, u, w), times in zip(rows, K.draws_of([str(r[2]) for r in rows], 9), strict=True):
+        for k in range(9):
+            want[a, b, k] = want.get((a, b, k), 0.0) + (w or 0.0) * times[k]
+    assert out == want
+    assert M.resampled(df.where("false"), ["a", "b"], F.col("u"), F.col("w"), 9).count() == 0

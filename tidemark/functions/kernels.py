@@ -6,9 +6,11 @@ windows and aggregations over the given group columns, so that they partition by
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,17 +184,34 @@ def islands(df: DataFrame, by: Sequence[str], week: str, out: str = "run") -> Da
 
 
 def draw(unit: Column, number: Column) -> Column:
-    """A uniform number in [0, 1) from the md5 of a unit and a draw: equal everywhere and on every run."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", unit.cast("string"), number.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    """A uniform number in [0, 1) from the md5 of a unit and a fourth of a draw's number: equal everywhere and on every
+    run. A digest's 32 digits make four draws."""
+    digest = F.md5(F.concat_ws(":", unit.cast("string"), F.floor(number / 4).cast("string")))
+    return F.conv(digest.substr((number % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / 4294967296.0
 
 
-def poisson_one(u: Column, most: int = 6) -> Column:
-    """The Poisson(1) quantile of a uniform number: how often a unit is drawn in a Poisson bootstrap."""
-    total, out = 0.0, F.lit(most)
-    levels = []
+def draws_of(units: Sequence[str], draws: int) -> np.ndarray:
+    """How often each unit is drawn in each draw of a Poisson bootstrap (a row a unit): poisson_one of draw."""
+    many = -(-draws // 4)
+    digests = b"".join(hashlib.md5(f"{u}:{k}".encode(), usedforsecurity=False).digest() for u in units for k in range(many))
+    uniform = np.frombuffer(digests, ">u4").reshape(len(units), 4 * many)[:, :draws] / 4294967296.0
+    return np.searchsorted(POISSON_LEVELS, uniform, "right")
+
+
+def _levels(most: int) -> list[float]:
+    total, out = 0.0, []
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)
-        levels.append(total)
-    for k in reversed(range(most)):
-        out = F.when(u < levels[k], F.lit(k)).otherwise(out)
+        out.append(total)
+    return out
+
+
+POISSON_LEVELS = _levels(6)
+
+
+def poisson_one(u: Column) -> Column:
+    """The Poisson(1) quantile of a uniform number: how often a unit is drawn in a Poisson bootstrap, 6 at most."""
+    out = F.lit(len(POISSON_LEVELS))
+    for k, level in reversed(list(enumerate(POISSON_LEVELS))):
+        out = F.when(u < level, F.lit(k)).otherwise(out)
     return out

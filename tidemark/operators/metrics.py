@@ -5,12 +5,15 @@ A claim is only made where all of its evidence is there; whatever is missing sta
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.sources.tables import settled
 
 
 def dense(weeks: DataFrame, categories: DataFrame) -> DataFrame:
@@ -90,13 +93,50 @@ def publish(rows: DataFrame, path: str, version: str, violations: DataFrame) ->
     return True
 
 
+#: Cells whose sums a task holds before it gives them out.
+HELD_CELLS = 4096
+
+
 def resampled(units: DataFrame, keys: Sequence[str], unit: Column, weight: Column, draws: int) -> DataFrame:
     """(keys, k, value): the cells' sums in each draw of a Poisson bootstrap of their units, by the units' own numbers.
 
-    A unit is sent to every draw and aggregated before it moves, so that cells of many units stay small.
+    A unit is never copied: tasks add all draws of their units up in arrays, one for each cell that they have met, and the
+    arrays are summed. Weights that are not there count as 0.
     """
-    own = units.select(*keys, unit.alias("_u"), weight.alias("_w")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return own.groupBy(*keys, "k").agg(F.sum(F.col("_w") * K.poisson_one(K.draw(F.col("_u"), F.col("k")))).cast("double").alias("value"))
+    own = units.select(F.struct(*keys).alias("key"), unit.cast("string").alias("unit"), F.coalesce(weight.cast("double"), F.lit(0.0)).alias("weight"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, cells, sums = None, {}, []
+
+        def given() -> pa.RecordBatch:
+            flat = pa.array(np.concatenate(sums)) if sums else pa.array([], pa.float64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * draws), flat)
+            return pa.RecordBatch.from_arrays([pa.array([dict(k) for k in cells], kind), lists], ["key", "sums"])
+
+        for batch in batches:
+            kind = batch["key"].type
+            of = [tuple(k.items()) for k in batch["key"].to_pylist()]
+            for lo in range(0, batch.num_rows, 2048):
+                rows = slice(lo, lo + 2048)
+                at = np.empty(len(of[rows]), np.int64)
+                for i, k in enumerate(of[rows]):
+                    if k not in cells:
+                        cells[k] = len(cells)
+                        sums.append(np.zeros(draws))
+                    at[i] = cells[k]
+                times = K.draws_of(batch["unit"].slice(lo, len(at)).to_pylist(), draws) * batch["weight"].slice(lo, len(at)).to_numpy()[:, None]
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+                for cell, total in zip(at[order][first], np.add.reduceat(times[order], first), strict=True):
+                    sums[cell] += total
+                if len(cells) > HELD_CELLS:
+                    yield given()
+                    cells, sums = {}, []
+        if cells:
+            yield given()
+
+    partial = own.mapInArrow(add, f"key {own.schema['key'].dataType.simpleString()}, sums array<double>")
+    return partial.select("key.*", F.posexplode("sums").alias("k", "_v")).groupBy(*keys, "k").agg(F.sum("_v").alias("value"))
 
 
 def redrawn(cells: dict[str, DataFrame], grid: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
@@ -121,28 +161,54 @@ CONTEXTS = ("global", "peer_family")
 METRICS = ("conversation", "listening", "supply", "opportunity", "gap")
 
 
-def in_contexts(grid: DataFrame) -> DataFrame:
-    """(week, genre, family, context, scope, metric, value): five metrics of the eligible cells (all three axes there), in
-    comparison with all categories and with those of the family.
+def wide_contexts(grid: DataFrame, by: Sequence[str] = ("week",)) -> DataFrame:
+    """(by, genre, family, context, scope, METRICS): five metrics of the eligible cells (all three axes there), in comparison
+    with all categories and with those of the family. by is the week, or the week and a draw.
 
-    Counts are shrunk in two levels, categories within families, and standardised within the week, or week and family.
+    Counts are shrunk in two levels, categories within families, and standardised within `by`, or `by` and family.
     scope is the group that a cell is compared in: the family, or -1.
     """
-    own = grid.where("conv is not null and listen is not null and releases is not null").select("week", "genre", "family", "conv", "listen", "releases")
-    own = K.hierarchical_beta_binomial(own.withColumn("_c2", 2 * F.col("conv")), "_c2", ["week"], "family").withColumn("_c", F.ln(1 + F.col("posterior_count") / 2)).drop("posterior", "posterior_count", "weight")
-    own = K.hierarchical_gamma_poisson(own, "releases", ["week"], "family").withColumn("_s", F.ln(1 + F.col("posterior"))).withColumn("_l", F.ln(1 + F.col("listen")))
+    by = list(by)
+    own = grid.where("conv is not null and listen is not null and releases is not null").select(*by, "genre", "family", "conv", "listen", "releases")
+    own = K.hierarchical_beta_binomial(own.withColumn("_c2", 2 * F.col("conv")), "_c2", by, "family").withColumn("_c", F.ln(1 + F.col("posterior_count") / 2)).drop("posterior", "posterior_count", "weight")
+    own = K.hierarchical_gamma_poisson(own, "releases", by, "family").withColumn("_s", F.ln(1 + F.col("posterior"))).withColumn("_l", F.ln(1 + F.col("listen")))
+    if len(by) > 1:  # draws are many rows: both contexts read what was shrunk once
+        own, _ = settled(own.select(*by, "genre", "family", "_c", "_l", "_s"), "drawn")
     out = None
-    for context, by, scope in zip(CONTEXTS, (["week"], ["week", "family"]), (F.lit(-1), F.col("family")), strict=True):
+    for context, among, scope in zip(CONTEXTS, (by, [*by, "family"]), (F.lit(-1), F.col("family")), strict=True):
         df = own
         for value, name in (("_c", "conversation"), ("_l", "listening"), ("_s", "supply")):
-            df = K.zscores(df, value, by, name)
+            df = K.zscores(df, value, among, name)
         df = df.withColumn("opportunity", (F.col("conversation") + F.col("listening")) / 2 - F.col("supply")).withColumn("gap", F.col("listening") - F.col("conversation"))
-        df = df.withColumn("context", F.lit(context)).withColumn("scope", scope.cast("int"))
-        long = df.unpivot(["week", "genre", "family", "context", "scope"], list(METRICS), "metric", "value")
-        out = long if out is None else out.unionByName(long)
+        df = df.select(*by, "genre", "family", F.lit(context).alias("context"), scope.cast("int").alias("scope"), *METRICS)
+        out = df if out is None else out.unionByName(df)
     return out
 
 
+def in_contexts(grid: DataFrame) -> DataFrame:
+    """(week, genre, family, context, scope, metric, value): wide_contexts in long form."""
+    return wide_contexts(grid).unpivot(["week", "genre", "family", "context", "scope"], list(METRICS), "metric", "value")
+
+
+def banded_contexts(grid: DataFrame, drawn: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """(week, genre, context, metric, value, lower, upper): every metric of wide_contexts with the quantiles of its draws
+    (redrawn's grid), which are shrunk and standardised anew in both contexts; the band holds the value."""
+    keys = ["week", "genre", "context"]
+    lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
+    quantiles = wide_contexts(drawn, ["week", "k"]).groupBy(*keys).agg(*(F.percentile(m, F.array(F.lit(lo), F.lit(hi))).alias(f"_{m}") for m in METRICS))
+    both = wide_contexts(grid).join(quantiles, keys)
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.least(F.col(m), F.col(f"_{m}")[0]).alias("lower"), F.greatest(F.col(m), F.col(f"_{m}")[1]).alias("upper")) for m in METRICS))).alias("r")
+    return both.select(*keys, rows).select(*keys, "r.*").where("value is not null")
+
+
+def macro_scopes(grid: DataFrame, by: Sequence[str] = ("week",)) -> DataFrame:
+    """The grid with families in place of categories (genre and family are the family): sums of the axes of the cells that
+    have all three, so that wide_contexts compares families with each other."""
+    own = grid.where("conv is not null and listen is not null and releases is not null")
+    own = own.groupBy(*by, "family").agg(F.sum("conv").alias("conv"), F.sum("listen").alias("listen"), F.sum("releases").alias("releases")).withColumn("genre", F.col("family"))
+    return settled(own, "macro")[0] if len(by) > 1 else own
+
+
 def followed(long: DataFrame) -> DataFrame:
     """Adds to in_contexts' rows their trend, and whether they leave it by far (spike): residuals are compared within the
     week, metric and scope."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.operators import metrics as M
 from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
 
@@ -162,7 +163,7 @@ def contiguous_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(S.sql("post eng", """, u AS (SELECT genre, post_id, 1 + 0.5 * likes + 1.5 * reposts + replies AS w FROM post JOIN eng USING (post_id)),
-    d AS (SELECT genre, w, k, CAST(('0x' || substr(md5(CAST(post_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM u, range(200) r(k)),
+    d AS (SELECT genre, w, k, CAST(('0x' || substr(md5(CAST(post_id AS VARCHAR) || ':' || CAST(k // 4 AS VARCHAR)), 1 + 8 * (k % 4), 8)) AS BIGINT) / 4294967296.0 AS u FROM u, range(200) r(k)),
     s AS (SELECT genre, k, sum(w * CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END) AS t FROM d GROUP BY genre, k),
     p AS (SELECT genre, sum(w) AS point FROM u GROUP BY genre)
     SELECT genre, """ + s6("any_value(point)") + " AS point, " + s6("least(quantile_cont(t, 0.05), any_value(point))") + " AS lower, " + s6("greatest(quantile_cont(t, 0.95), any_value(point))") + " AS upper FROM s JOIN p USING (genre) GROUP BY genre"))
@@ -170,8 +171,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """90 % intervals of the posts' weighted score by a Poisson bootstrap of 200 draws, from md5 numbers."""
     w = 1 + 0.5 * F.col("likes") + 1.5 * F.col("reposts") + F.col("replies")
     units = S.posts(spark, sf_dir).join(S.engagement(spark, sf_dir), "post_id").select("genre", "post_id", w.alias("w"))
-    draws = units.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    sums = draws.groupBy("genre", "k").agg(F.sum(F.col("w") * K.poisson_one(K.draw(F.col("post_id"), F.col("k")))).alias("t"))
+    sums = M.resampled(units, ["genre"], F.col("post_id"), F.col("w"), 200).withColumnRenamed("value", "t")
     points = units.groupBy("genre").agg(F.sum("w").alias("point"))
     out = sums.join(points, "genre").groupBy("genre", "point").agg(K.interval(F.col("t"), F.col("point")).alias("ci"))
     return out.select("genre", r6("point").alias("point"), r6("ci.lower").alias("lower"), r6("ci.upper").alias("upper"))

@@ -11,13 +11,13 @@ from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
 from tidemark.plans.kernel_queries import ALPHA, BB, EWMA_SQL, GP, Z, _recursive
 
-DRAWS = 24
+DRAWS = 200
 KEYS = ["week", "genre"]
 AXES = ["conversation_index", "listening_index", "supply_index"]
 CLAIMS = ["demand", "opportunity", "gap"]
 
 POISSON = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"
-UNIFORM = "CAST(('0x' || substr(md5(CAST({unit} AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
+UNIFORM = "CAST(('0x' || substr(md5(CAST({unit} AS VARCHAR) || ':' || CAST(k // 4 AS VARCHAR)), 1 + 8 * (k % 4), 8)) AS BIGINT) / 4294967296.0"
 
 
 def drawn_sql(name: str, source: str, unit: str, weight: str) -> str:
@@ -61,9 +61,9 @@ def bands_sql(points: str, draws: str, names: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The grid's indices and claims, and those of every draw."""
-    grid = S.grid(spark, sf_dir).select(*KEYS, "conv", "listen", "releases")
+def grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The grid, and the grid of every draw."""
+    grid = S.grid(spark, sf_dir).select(*KEYS, "family", "conv", "listen", "releases")
     posts = S.posts(spark, sf_dir).join(S.engagement(spark, sf_dir), "post_id")
     pairs = S.deltas(spark, sf_dir).where("status = 'valid_weekly'")
     suppliers = S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("genre"))
@@ -74,8 +74,14 @@ def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "listen": M.resampled(pairs, KEYS, named("segment"), (F.col("plays") - F.col("last_plays")) + 5 * (F.col("listeners") - F.col("last_listeners")), DRAWS),
         "releases": M.resampled(released, KEYS, named("l_partkey"), F.lit(1.0), DRAWS),
     }
-    claims = lambda df, by: M.claims(M.indices(df, by), F.lit(True))
-    return claims(grid, ["week"]), claims(M.redrawn(cells, grid, KEYS, DRAWS), ["week", "k"])
+    return grid, M.redrawn(cells, grid, KEYS, DRAWS)
+
+
+def draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The grid's indices and claims, and those of every draw."""
+    grid, drawn = grids(spark, sf_dir)
+    claims = lambda df, by: M.claims(M.indices(df.drop("family"), by), F.lit(True))
+    return claims(grid, ["week"]), claims(drawn, ["week", "k"])
 
 
 def _rounded(bands: DataFrame) -> DataFrame:
@@ -111,19 +117,28 @@ def bootstrap_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.banded(points, drawn, KEYS, ["trend"]))
 
 
-CONTEXT = (
-    ", el AS (SELECT week, genre, family, conv, 2 * conv AS c2, listen, releases FROM grid WHERE listen IS NOT NULL AND releases IS NOT NULL), fc AS (SELECT week, family, sum(c2) AS f FROM el GROUP BY week, family),"
-    + BB.format(pre="va", src="fc", c="f", w="PARTITION BY week", p="f_", out="vf") + "," + BB.format(pre="vb", src="el", c="c2", w="PARTITION BY week, family", p="w_", out="vw")
-    + ", fs AS (SELECT week, family, avg(releases) AS f FROM el GROUP BY week, family)," + GP.format(pre="vg", src="fs", c="f", w="PARTITION BY week", mean="avg(f) OVER (PARTITION BY week)", p="g_", out="vo")
-    + ", vj AS (SELECT el.*, g_post FROM el JOIN vo USING (week, family))," + GP.format(pre="vh", src="vj", c="releases", w="PARTITION BY week, family", mean="g_post", p="h_", out="vs")
-    + """, vx AS (SELECT vw.week, vw.genre, vw.family, ln(1 + f_post * w_post * sum(vw.c2) OVER (PARTITION BY vw.week) / 2) AS xc, ln(1 + vw.listen) AS xl, ln(1 + h_post) AS xs
-        FROM vw JOIN vf USING (week, family) JOIN vs ON vs.week = vw.week AND vs.genre = vw.genre),"""
-    + ", ".join(f"""z{t} AS (SELECT week, genre, family, {", ".join(f"{Z(x, by)} AS {n}" for x, n in (("xc", "c"), ("xl", "l"), ("xs", "s")))} FROM vx),
-    k{t} AS (SELECT week, genre, '{name}' AS context, CAST({scope} AS INTEGER) AS scope, c - avg(c) OVER (PARTITION BY {by}) AS conversation, l - avg(l) OVER (PARTITION BY {by}) AS listening, s - avg(s) OVER (PARTITION BY {by}) AS supply FROM z{t})"""
-        for t, name, scope, by in (("g", "global", "-1", "week"), ("p", "peer_family", "family", "week, family")))
-    + """, kk AS (SELECT *, (conversation + listening) / 2 - supply AS opportunity, listening - conversation AS gap FROM (SELECT * FROM kg UNION ALL SELECT * FROM kp)),
+def context_sql(source: str, by: str, out: str, t: str) -> str:
+    """The five metrics of a grid in both contexts, by week or by week and draw; t begins the names of the steps."""
+    on = f"USING ({by}, family)"
+    w, ww = f"PARTITION BY {by}", f"PARTITION BY {by}, family"
+    same = " AND ".join(f"{t}vs.{c} = {t}vw.{c}" for c in [*by.split(", "), "genre"])
+    columns = lambda x: ", ".join(f"{x}.{c}" for c in by.split(", "))
+    return (
+        f"{t}el AS (SELECT {by}, genre, family, conv, 2 * conv AS c2, listen, releases FROM {source} WHERE listen IS NOT NULL AND releases IS NOT NULL), {t}fc AS (SELECT {by}, family, sum(c2) AS f FROM {t}el GROUP BY {by}, family),"
+        + BB.format(pre=f"{t}va", src=f"{t}fc", c="f", w=w, p="f_", out=f"{t}vf") + "," + BB.format(pre=f"{t}vb", src=f"{t}el", c="c2", w=ww, p="w_", out=f"{t}vw")
+        + f", {t}fs AS (SELECT {by}, family, avg(releases) AS f FROM {t}el GROUP BY {by}, family)," + GP.format(pre=f"{t}vg", src=f"{t}fs", c="f", w=w, mean=f"avg(f) OVER ({w})", p="g_", out=f"{t}vo")
+        + f", {t}vj AS (SELECT {t}el.*, g_post FROM {t}el JOIN {t}vo {on})," + GP.format(pre=f"{t}vh", src=f"{t}vj", c="releases", w=ww, mean="g_post", p="h_", out=f"{t}vs")
+        + f""", {t}vx AS (SELECT {columns(f"{t}vw")}, {t}vw.genre, {t}vw.family, ln(1 + f_post * w_post * sum({t}vw.c2) OVER (PARTITION BY {columns(f"{t}vw")}) / 2) AS xc, ln(1 + {t}vw.listen) AS xl, ln(1 + h_post) AS xs
+        FROM {t}vw JOIN {t}vf {on} JOIN {t}vs ON {same}),"""
+        + ", ".join(f"""{t}z{n} AS (SELECT {by}, genre, family, {", ".join(f"{Z(x, among)} AS {a}" for x, a in (("xc", "c"), ("xl", "l"), ("xs", "s")))} FROM {t}vx),
+    {t}k{n} AS (SELECT {by}, genre, '{name}' AS context, CAST({scope} AS INTEGER) AS scope, c - avg(c) OVER (PARTITION BY {among}) AS conversation, l - avg(l) OVER (PARTITION BY {among}) AS listening, s - avg(s) OVER (PARTITION BY {among}) AS supply FROM {t}z{n})"""
+            for n, name, scope, among in (("g", "global", "-1", by), ("p", "peer_family", "family", f"{by}, family")))
+        + f", {out} AS (SELECT *, (conversation + listening) / 2 - supply AS opportunity, listening - conversation AS gap FROM (SELECT * FROM {t}kg UNION ALL SELECT * FROM {t}kp))"
+    )
+
+
+CONTEXT = ", " + context_sql("grid", "week", "kk", "") + """,
     lo AS (SELECT genre || '/' || context || '/' || metric AS key, genre, context, scope, metric, week, value FROM kk UNPIVOT (value FOR metric IN (conversation, listening, supply, opportunity, gap)))"""
-)
 FOLLOWED = EWMA_SQL.format(key="key", nk="n.key", x="value", src="lo", a=ALPHA, on="n.key = e.key") + """,
     rs AS (SELECT lo.*, e.o AS trend, lo.value - e.o AS r FROM lo JOIN e USING (key, week))"""
 
@@ -141,3 +156,34 @@ def estimates_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breakouts among all categories and among those of a family."""
     return M.breakouts_in_contexts(M.in_contexts(S.grid(spark, sf_dir)))
+
+
+def context_bands_sql(points: str, drawn: str) -> str:
+    return " UNION ALL ".join(f"""SELECT week, genre, context, '{m}' AS metric, {s6(f'any_value(p.{m})')} AS value, {s6(f'least(any_value(p.{m}), quantile_cont(d.{m}, 0.05))')} AS lower, {s6(f'greatest(any_value(p.{m}), quantile_cont(d.{m}, 0.95))')} AS upper
+        FROM {points} p JOIN {drawn} d USING (week, genre, context) WHERE p.{m} IS NOT NULL GROUP BY week, genre, context""" for m in M.METRICS)
+
+
+def _in_contexts(bands: DataFrame) -> DataFrame:
+    return bands.select("week", "genre", "context", "metric", *(r6(c).alias(c) for c in ("value", "lower", "upper")))
+
+
+#: The draws' grid with families, as the queries below shrink within them.
+FAMILIES = ", fg AS (SELECT gd.*, n_regionkey AS family FROM gd JOIN nation ON n_nationkey = genre)"
+
+
+@query(S.sql("grid post eng delta", UNITS + FAMILIES + ", " + context_sql("grid", "week", "kk", "") + ", " + context_sql("fg", "week, k", "kd", "d_") + " " + context_bands_sql("kk", "kd")))
+def estimates_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five metrics in both contexts with 90 % bands: every draw is shrunk and standardised anew, among all categories and
+    among those of the family."""
+    return _in_contexts(M.banded_contexts(*grids(spark, sf_dir)))
+
+
+MACRO = "{out} AS (SELECT {by}, family AS genre, family, sum(conv) AS conv, sum(listen) AS listen, sum(releases) AS releases FROM {source} WHERE listen IS NOT NULL AND releases IS NOT NULL GROUP BY {by}, family)"
+
+
+@query(S.sql("grid post eng delta", UNITS + FAMILIES + ", " + MACRO.format(out="mg", by="week", source="grid") + ", " + MACRO.format(out="md", by="week, k", source="fg") + ", " + context_sql("mg", "week", "kk", "") + ", " + context_sql("md", "week, k", "kd", "d_")
+    + " SELECT * FROM (" + context_bands_sql("kk", "kd") + ") WHERE context = 'global'"))
+def macro_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of whole families, compared with each other."""
+    grid, drawn = grids(spark, sf_dir)
+    return _in_contexts(M.banded_contexts(M.macro_scopes(grid), M.macro_scopes(drawn, ["week", "k"])).where("context = 'global'"))
