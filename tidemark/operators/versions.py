@@ -63,3 +63,45 @@ def cut_in_three(df: DataFrame, value: str, by: Sequence[str], tie: Sequence[str
 def common_keys(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Keys that every frame has, once each. Frames of known small size should come first."""
     return reduce(lambda a, b: a.join(b, list(keys), "left_semi"), [df.select(*keys) for df in frames]).distinct()
+
+
+def range_tree(df: DataFrame, ranges: Column, columns: Sequence[str], *, fanout: int = 16, levels: int | None = None) -> DataFrame:
+    """(level, node, rows, digest): a hash tree over ordered ranges of a table.
+
+    ranges numbers each row's range from 0 on, in the order that the table has (a key divided by a width). A leaf's digest
+    is that of its number, its count of rows and the sums of the rows' digests: ranges are summed where their rows lie, and
+    a range or row that a third of the table holds is no task of its own. A node of the next level has `fanout` children
+    in order; with `levels` left open the tree ends in one root. Partitioning and order of rows change nothing; NULLs count.
+    """
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    lanes = [F.sum(F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    leaves = df.select(ranges.cast("long").alias("node"), F.md5(text.cast("binary")).alias("_d")).groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *(x.cast("string") for x in lanes)).alias("_s"))
+    now = leaves.select(F.lit(0).alias("level"), "node", "rows", F.sha2(F.concat_ws("/", F.col("node").cast("string"), F.col("rows").cast("string"), "_s"), 256).alias("digest"))
+    if levels is None:
+        last = df.agg(F.max(ranges.cast("long"))).first()[0] or 0
+        levels = 0
+        while last:
+            last, levels = last // fanout, levels + 1
+    out = now
+    for level in range(1, levels + 1):
+        # `fanout` children at most
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat_ws("=", x["node"].cast("string"), x["digest"])), ",")
+        now = now.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(F.sum("rows").alias("rows"), F.sha2(children, 256).alias("digest")).select(F.lit(level).alias("level"), "node", "rows", "digest")
+        out = out.unionByName(now)
+    return out
+
+
+def differing_ranges(new: DataFrame, stored: DataFrame, *, fanout: int = 16) -> DataFrame:
+    """(node, change): leaves of two trees that are not equal: added, removed or changed. Only children of nodes that differ
+    are compared, level by level from the highest that both have."""
+    tops = [t.agg(F.max("level")).first()[0] for t in (new, stored)]
+    # trees of different heights are compared from the lower one's top on
+    top = min((t for t in tops if t is not None), default=0)
+    found = None
+    for level in range(top, -1, -1):
+        a, b = (t.where(F.col("level") == level).select("node", F.col("digest").alias(c)) for t, c in ((new, "_a"), (stored, "_b")))
+        if found is not None:
+            parents = found.select(F.col("node").alias("_p"))
+            a, b = (t.join(parents, F.floor(F.col("node") / fanout) == F.col("_p"), "left_semi") for t in (a, b))
+        found = a.join(b, "node", "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return found.select("node", F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("changed").alias("change"))
