@@ -96,8 +96,9 @@ def test_pending_and_activation(spark):
 
 
 def test_demo_faults(spark):
-    df = D.weekly(spark, 4, 3, datetime.date(2024, 1, 1))
+    cells = lambda first, weeks, genres: spark.createDataFrame([(first + datetime.timedelta(days=7 * i), g) for i in range(weeks) for g in range(genres)], "week date, genre int")
+    df = D.weekly(cells(datetime.date(2024, 1, 1), 4, 3))
     names = ["conv", "listen", "releases"]
-    assert tuple(D.faults(df, 4, 3, names).first()) == (0, 0, 0, 0)
-    assert tuple(D.faults(df.unionAll(df.limit(1)).withColumn("conv", F.lit(None).cast("double")), 4, 3, names).first()) == (1, 1, 13, 0)
-    assert D.faults(D.weekly(spark, 2, 1, datetime.date(2024, 1, 2)), 2, 1, names).first().not_mondays == 2
+    assert tuple(D.faults(df, 12, names).first()) == (0, 0, 0, 0)
+    assert tuple(D.faults(df.unionAll(df.limit(1)).withColumn("conv", F.lit(None).cast("double")), 12, names).first()) == (1, 1, 13, 0)
+    assert D.faults(D.weekly(cells(datetime.date(2024, 1, 2), 2, 1)), 2, names).first().not_mondays == 2

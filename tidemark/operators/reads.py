@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import datetime
+import hashlib
 import json
 from collections.abc import Sequence
 
@@ -28,7 +29,7 @@ def band(point: str, lower: str, upper: str) -> Column:
 
 
 def cursor(state: dict) -> str:
-    return base64.urlsafe_b64encode(json.dumps(state, sort_keys=True).encode()).decode()
+    return base64.urlsafe_b64encode(json.dumps(state, sort_keys=True, default=str).encode()).decode()
 
 
 def state(text: str) -> dict:
@@ -40,6 +41,64 @@ def has_more(rows: Sequence, limit: int) -> tuple[Sequence, bool]:
     return rows[:limit], len(rows) > limit
 
 
+def token(route: str, parameters: dict, after: Sequence) -> str:
+    """Where a page ended, bound to its route and parameters."""
+    return cursor({"route": route, "of": hashlib.sha256(cursor(parameters).encode()).hexdigest()[:16], "after": list(after)})
+
+
+def resumed(text: str, route: str, parameters: dict, keys: int) -> list:
+    """The last row's keys of a token; ValueError if it is none, or one of another route or other parameters."""
+    try:
+        found = state(text)
+        after = found["after"]
+        fits = (found["route"], found["of"]) == (route, state(token(route, parameters, ()))["of"]) and isinstance(after, list) and len(after) == keys
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError("not a cursor") from e
+    if not fits:
+        raise ValueError("the cursor belongs to another request")
+    return after
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], limit: int, after: Sequence | None = None) -> DataFrame:
+    """limit + 1 rows behind a row's keys in an order of (column, descending) that tells all rows apart: the one more shows
+    whether others follow. Ordering columns are not NULL. Rows that come or go before a page move no later page."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("1 to 1000 rows are expected")
+    if after is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for (c, descending), value in zip(order, after, strict=True):
+            at = F.lit(value).cast(df.schema[c].dataType)
+            behind = behind | (equal & (F.col(c) < at if descending else F.col(c) > at))
+            equal = equal & (F.col(c) == at)
+        df = df.where(behind)
+    return df.orderBy(*(F.col(c).desc() if descending else F.col(c).asc() for c, descending in order)).limit(limit + 1)
+
+
+def feed(posts: DataFrame, *, limit: int = 50, after: Sequence | None = None) -> DataFrame:
+    """A page of the feed (week, post_id, likes): newest week first, then most liked, then post."""
+    return page_after(posts, [("week", True), ("likes", True), ("post_id", False)], limit, after)
+
+
+def ecosystem(rows: DataFrame, *, family: int | None = None, weeks: int = 52) -> DataFrame:
+    """The latest weeks of a family, or of each."""
+    if not 1 <= weeks <= 260:
+        raise ValueError("1 to 260 weeks are expected")
+    return first_by(optional(rows, family=family), ["family"], [F.col("week").desc()], weeks)
+
+
+def taxonomy(categories: DataFrame, *, family: int | None = None) -> DataFrame:
+    """Families with their categories (genre, name) in the order of names."""
+    own = optional(categories, family=family)
+    return own.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("name", "genre"))), lambda x: x["genre"]).alias("genres"))
+
+
+def briefs(rows: DataFrame, evidence: DataFrame, *, week: datetime.date | None = None) -> DataFrame:
+    """Candidates (genre, week) of a week, or of the latest, each with its evidence (genre, kind, id, score) in order."""
+    own = at_week(rows, week)
+    order = F.array_sort(F.collect_list(F.struct("kind", (-F.col("score")).alias("s"), "id")))
+    return own.join(evidence.join(own.select("genre"), "genre", "left_semi").groupBy("genre").agg(F.transform(order, lambda x: F.concat_ws(":", x["kind"], x["id"].cast("string"))).alias("evidence")), "genre", "left")
+
+
 def closed(df: DataFrame, as_of: Column) -> DataFrame:
     """Rows of weeks that ended before as_of."""
     return df.where(F.col("week") < F.trunc(as_of, "week"))

@@ -186,18 +186,23 @@ def training_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("genre", F.col("week").alias("origin"), "target", "run", *(r6(c).alias(c) for c in ("x_lag_0", "x_lag_1", "x_lag_3", "y")))
 
 
-WEEKS, GENRES = 104, 25
-DEMO = f"""WITH i AS (SELECT CAST(w.range AS INTEGER) AS i, CAST(g.range AS INTEGER) AS genre FROM range({WEEKS}) w, range({GENRES}) g)
-    SELECT DATE '2024-01-01' + 7 * i AS week, genre, {s6('50 + 3 * genre + 0.25 * CAST(i AS DOUBLE) + 10 * sin(i / 4.0::DOUBLE + genre)')} AS conv, {s6('400 + 20 * genre + 2 * CAST(i AS DOUBLE) + 80 * cos(i / 6.0::DOUBLE + genre / 2.0::DOUBLE)')} AS listen,
+DEMO = f"""WITH p AS ({S.SQL['post']}), c AS (SELECT DISTINCT week, genre FROM p), i AS (SELECT week, genre, (week - min(week) OVER ()) // 7 AS i FROM c)
+    SELECT week, genre, {s6('50 + 3 * genre + 0.25 * CAST(i AS DOUBLE) + 10 * sin(i / 4.0::DOUBLE + genre)')} AS conv, {s6('400 + 20 * genre + 2 * CAST(i AS DOUBLE) + 80 * cos(i / 6.0::DOUBLE + genre / 2.0::DOUBLE)')} AS listen,
     CAST(floor(6 + 5 * sin(CAST(i AS DOUBLE) * (2 * pi() / 52) + genre) ** 2) AS BIGINT) AS releases FROM i"""
 
 
+def demo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cells = S.posts(spark, sf_dir).select("week", "genre").distinct()
+    return cells, D.weekly(cells)
+
+
 @query(DEMO)
 def demo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = D.weekly(spark, WEEKS, GENRES, datetime.date(2024, 1, 1))
-    return own.select("week", "genre", r6("conv").alias("conv"), r6("listen").alias("listen"), "releases")
+    """Synthetic readings for every week and category that has orders."""
+    return demo(spark, sf_dir)[1].select("week", "genre", r6("conv").alias("conv"), r6("listen").alias("listen"), "releases")
 
 
-@query(f"WITH d AS ({DEMO}) SELECT abs(count(*) - {WEEKS * GENRES}) AS wrong_rows, count(*) - count(DISTINCT (week, genre)) AS repeated, count(*) FILTER (WHERE coalesce(conv < 0 OR listen < 0 OR releases < 0, TRUE)) AS bad_values, count(*) FILTER (WHERE isodow(week) <> 1) AS not_mondays FROM d")
+@query(f"WITH d AS ({DEMO}) SELECT abs(count(*) - (SELECT count(*) FROM (SELECT DISTINCT week, genre FROM ({S.SQL['post']})))) AS wrong_rows, count(*) - count(DISTINCT (week, genre)) AS repeated, count(*) FILTER (WHERE coalesce(conv < 0 OR listen < 0 OR releases < 0, TRUE)) AS bad_values, count(*) FILTER (WHERE isodow(week) <> 1) AS not_mondays FROM d")
 def demo_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.faults(D.weekly(spark, WEEKS, GENRES, datetime.date(2024, 1, 1)), WEEKS, GENRES, ["conv", "listen", "releases"])
+    cells, df = demo(spark, sf_dir)
+    return D.faults(df, cells.count(), ["conv", "listen", "releases"])
