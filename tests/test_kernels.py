@@ -153,3 +153,14 @@ def test_resampled_cells(spark, monkeypatch):
             want[a, b, k] = want.get((a, b, k), 0.0) + (w or 0.0) * times[k]
     assert out == want
     assert M.resampled(df.where("false"), ["a", "b"], F.col("u"), F.col("w"), 9).count() == 0
+
+
+@given(st.text("abcd é", max_size=24), st.text("abcd é", max_size=24))
+@settings(max_examples=150, deadline=None)
+def test_common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    assert T._common(a, b) == row[-1]

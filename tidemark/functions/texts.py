@@ -25,16 +25,22 @@ def unicode_fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of its table is the bits of one number, a step is one addition."""
+    at: dict[str, int] = {}
+    for i, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
+
+
 def _indel(a: str, b: str) -> float:
     """Similarity 2 LCS / (len a + len b) in per cent."""
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * _common(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
 def words_of(text: str) -> set[str]:

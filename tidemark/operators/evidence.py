@@ -67,6 +67,22 @@ def ecosystem(df: DataFrame, value: str, k: int, scope: str | None = None) -> Da
     return concentration(df, value, ["week", scope] if scope else ["week"], k, "genre")
 
 
+CONCENTRATION = ("entropy", "hhi", "top_share")
+
+
+def banded_ecosystem(grid: DataFrame, drawn: DataFrame, value: str, k: int, scope: str | None = None, confidence: float = 0.9) -> DataFrame:
+    """(week, [scope], measure, value, lower, upper): ecosystem's measures with the quantiles of their draws (redrawn's grid,
+    with the draw in k); the band holds the value."""
+    from tidemark.functions.kernels import concentration
+
+    by = ["week", scope] if scope else ["week"]
+    lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
+    quantiles = concentration(drawn, value, [*by, "k"], k, "genre").groupBy(*by).agg(*(F.percentile(m, F.array(F.lit(lo), F.lit(hi))).alias(f"_{m}") for m in CONCENTRATION))
+    both = concentration(grid, value, by, k, "genre").join(quantiles, by)
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), F.least(F.col(m), F.col(f"_{m}")[0]).alias("lower"), F.greatest(F.col(m), F.col(f"_{m}")[1]).alias("upper")) for m in CONCENTRATION))).alias("r")
+    return both.select(*by, rows).select(*by, "r.*")
+
+
 def change_of(df: DataFrame, by: list[str], week: str, value: str, weeks: int) -> DataFrame:
     """Adds value's change against the same key `weeks` calendar weeks before."""
     w = Window.partitionBy(*by).orderBy(F.datediff(F.col(week), F.lit("1970-01-05").cast("date")))

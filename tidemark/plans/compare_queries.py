@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

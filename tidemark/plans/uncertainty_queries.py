@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.operators import evidence as V
 from tidemark.operators import metrics as M
 from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
+from tidemark.sources.tables import settled
 from tidemark.plans.kernel_queries import ALPHA, BB, EWMA_SQL, GP, Z, _recursive
 
 DRAWS = 200
@@ -187,3 +189,25 @@ def macro_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of whole families, compared with each other."""
     grid, drawn = grids(spark, sf_dir)
     return _in_contexts(M.banded_contexts(M.macro_scopes(grid), M.macro_scopes(drawn, ["week", "k"])).where("context = 'global'"))
+
+
+def ecosystem_sql(source: str, by: str, t: str) -> str:
+    return f"""{t}p AS (SELECT {by}, coalesce(conv / nullif(sum(conv) OVER w, 0), 0) AS p, row_number() OVER (PARTITION BY {by} ORDER BY conv DESC, genre) AS r FROM {source} WHERE conv IS NOT NULL WINDOW w AS (PARTITION BY {by})),
+    {t}e AS (SELECT {by}, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS entropy, sum(p * p) AS hhi, sum(CASE WHEN r <= 3 THEN p ELSE 0 END) AS top_share FROM {t}p GROUP BY {by})"""
+
+
+def ecosystem_bands_sql(points: str, drawn: str, by: str, scope: str) -> str:
+    return " UNION ALL ".join(f"""SELECT week, {scope} AS family, '{m}' AS measure, {s6(f'any_value(p.{m})')} AS value, {s6(f'least(any_value(p.{m}), quantile_cont(d.{m}, 0.05))')} AS lower, {s6(f'greatest(any_value(p.{m}), quantile_cont(d.{m}, 0.95))')} AS upper
+        FROM {points} p JOIN {drawn} d USING ({by}) GROUP BY {by}""" for m in V.CONCENTRATION)
+
+
+@query(S.sql("grid post eng delta", UNITS + FAMILIES + ", " + ", ".join(ecosystem_sql(source, by, t) for source, by, t in (("grid", "week", "ea"), ("fg", "week, k", "eb"), ("grid", "week, family", "ec"), ("fg", "week, family, k", "ed")))
+    + " " + ecosystem_bands_sql("eae", "ebe", "week", "CAST(NULL AS INTEGER)") + " UNION ALL " + ecosystem_bands_sql("ece", "ede", "week, family", "family")))
+def ecosystem_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy, concentration and the three largest categories' share of every week's conversation with 90 % bands, among all
+    categories and within each family."""
+    grid, drawn = grids(spark, sf_dir)
+    drawn, _ = settled(drawn.select("week", "genre", "family", "k", "conv"), "drawn")
+    whole = V.banded_ecosystem(grid, drawn, "conv", 3).select("week", F.lit(None).cast("int").alias("family"), "measure", "value", "lower", "upper")
+    out = whole.unionByName(V.banded_ecosystem(grid, drawn, "conv", 3, "family"))
+    return out.select("week", "family", "measure", *(r6(c).alias(c) for c in ("value", "lower", "upper")))
