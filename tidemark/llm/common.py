@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,6 +55,26 @@ def trim() -> None:
         release(0)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """A worker's one large object of its own: made when first asked for, given up when another is."""
+    if name not in _KEPT:
+        give_up()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_up() -> None:
+    """Drops what an operator has kept in this worker. Workers outlive their tasks and serve other operators next, whose
+    memory would come on top."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        trim()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir, which checkpoints use too.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, kept
 
 CAPACITY = 2048
 #: Workers whose open sequences' pieces meet at once, and the part of a sequence's tokens that may stay free.
@@ -96,14 +96,8 @@ class Encoder:
         return b"".join(found)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(vocabulary)
-    return _ENCODERS[key]
+    return kept("encoder-" + hashlib.sha256(vocabulary.encode()).hexdigest(), lambda: Encoder(vocabulary))
 
 
 def cuts(n: int, capacity: int = CAPACITY, tail: int = 32) -> list[int]:

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, document_rows, document_schema, with_rest
+from tidemark.llm.common import checkpoint, document_rows, document_schema, give_up, with_rest
 from tidemark.llm.labelled import give_back, held_out, letter_runs, sampled
 from tidemark.llm.text import hasher, laid_out, mix, text_column
 
@@ -232,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
     own, _ = sampled(docs, labels, F.when(F.col("toxic") > 0, 1).otherwise(F.when(F.col("toxic") == 0, 0)), sizes or SAMPLE)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for batch in batches:
             terms: list[bytes] = [b""] * batch.num_rows
             for first, n, owner, hashes in text_terms(text_column(batch.column("text"))):
@@ -292,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = Non
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The votes on each example without itself."""
+        give_up()
         for batch in batches:
             ids = [number[d] for d in batch.column("digest").to_pylist()]
             size = np.array([len(x) // ENTRY.itemsize for x in batch.column("vector").to_pylist()], np.int64)
@@ -324,6 +326,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
     vocabulary, index, calibration = model.vocabulary, model.index, model.calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for batch in batches:
             score = np.full(batch.num_rows, calibration.bare)
             counts = np.zeros(batch.num_rows + 1, np.int32)
