@@ -72,7 +72,7 @@ def give_up() -> None:
     if _KEPT:
         _KEPT.clear()
         gc.collect()
-        trim()
+    trim()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.common import checkpoint, kept
+from tidemark.llm.common import checkpoint, kept, trim
 
 CAPACITY = 2048
 #: Workers whose open sequences' pieces meet at once, and the part of a sequence's tokens that may stay free.
@@ -87,6 +87,10 @@ class Encoder:
             self.young[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        """Gives up the chunks, at a task's end; words stay known."""
+        self.young, self.old = {}, {}
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         chunks = text.split(" ")
@@ -142,6 +146,10 @@ def pieces(docs: DataFrame, vocabulary_path: str, *, end_id: int = 1, capacity:
             if keep_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+            del columns, rows, ids
+            batch = text = view = part = packed = None
+        own.forget()
+        trim()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, PIECE + ", ids array<int>" * keep_ids)

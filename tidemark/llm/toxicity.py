@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, document_rows, document_schema, give_up, with_rest
+from tidemark.llm.common import checkpoint, document_rows, document_schema, give_up, trim, with_rest
 from tidemark.llm.labelled import give_back, held_out, letter_runs, sampled
 from tidemark.llm.text import hasher, laid_out, mix, text_column
 
@@ -345,6 +345,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
             columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "rest": batch.column("rest"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}
             columns["evidence"] = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), evidence)
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+            del columns, evidence
+            cosines = voters = batch = None
+            trim()
 
     scored = rows.mapInArrow(run, document_schema(rows, "score double, predicted int, evidence array<struct<cosine: double, label: int>>"))
     scored = scored.withColumn("held_out", held_out(F.col("doc_id")))
