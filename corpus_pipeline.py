@@ -2,7 +2,7 @@
 
 Counted as part of tidemark.llm. A stage takes (spark, docs, sf_dir); its result is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents, others that docs has among them. Every stage
-takes an empty table and gives an empty one; null texts count as empty, rows without doc_id as documents of their own.
+first returns what the driver has freed to the system, takes an empty table and gives an empty one; null texts count as empty, rows without doc_id as documents of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint_folder
 from tidemark.llm.jaccard import grouped
+from tidemark.llm.labelled import give_back
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.queries import vocabulary
@@ -27,6 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal texts are kept or rejected alike, also in repeated rows; null texts stay, and null stays null.
     """
+    give_back()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
@@ -37,6 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes an empty one. Rows of one doc_id are one document; of rows without doc_id all are earlier than
     any document with one.
     """
+    give_back()
     return _measured(dedup_lines(docs), docs)
 
 
@@ -45,6 +48,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Of repeated rows of one doc_id and text one stays; rows of one doc_id with different texts are told apart.
     """
+    give_back()
     docs_ = docs.withColumn("_text", F.xxhash64("text"))
     rows = grouped(docs).withColumnRenamed("text_hash", "_text").where("doc_id is not null and component is not null").groupBy("component", "doc_id", "_text").agg(F.count(F.lit(1)).alias("_n"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "_text")).alias("_first"))
@@ -61,12 +65,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Words are joined by single spaces; a null text becomes an empty one. Repeated rows of one doc_id do not cut each
     other; rows without doc_id are later than all documents with one.
     """
+    give_back()
     return _measured(remove_repeats(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2,048 tokens. Null and empty texts, repeated rows and
     rows without doc_id have pieces like others."""
+    give_back()
     return packed_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
