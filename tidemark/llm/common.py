@@ -6,6 +6,7 @@ import ctypes
 import gc
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -98,6 +99,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a table to a new place in the checkpoint folder and read from there, and the place. Unlike a checkpoint,
+    which keeps the plan's estimate, its size is known from the files: estimates of joins that are iterated multiply until
+    the driver computes with numbers of millions of digits."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text, rest): rest holds the other columns, whatever their names, as one struct."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
