@@ -197,7 +197,7 @@ def ecosystem_sql(source: str, by: str, t: str) -> str:
 
 
 def ecosystem_bands_sql(points: str, drawn: str, by: str, scope: str) -> str:
-    return " UNION ALL ".join(f"""SELECT week, {scope} AS family, '{m}' AS measure, {s6(f'any_value(p.{m})')} AS value, {s6(f'least(any_value(p.{m}), quantile_cont(d.{m}, 0.05))')} AS lower, {s6(f'greatest(any_value(p.{m}), quantile_cont(d.{m}, 0.95))')} AS upper
+    return " UNION ALL ".join(f"""SELECT week, {scope} AS family, '{m}' AS measure, {s6(f'any_value(p.{m}) + 1e-9')} AS value, {s6(f'least(any_value(p.{m}), quantile_cont(d.{m}, 0.05)) + 1e-9')} AS lower, {s6(f'greatest(any_value(p.{m}), quantile_cont(d.{m}, 0.95)) + 1e-9')} AS upper
         FROM {points} p JOIN {drawn} d USING ({by}) GROUP BY {by}""" for m in V.CONCENTRATION)
 
 
@@ -210,4 +210,5 @@ def ecosystem_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn, _ = settled(drawn.select("week", "genre", "family", "k", "conv"), "drawn")
     whole = V.banded_ecosystem(grid, drawn, "conv", 3).select("week", F.lit(None).cast("int").alias("family"), "measure", "value", "lower", "upper")
     out = whole.unionByName(V.banded_ecosystem(grid, drawn, "conv", 3, "family"))
-    return out.select("week", "family", "measure", *(r6(c).alias(c) for c in ("value", "lower", "upper")))
+    # shares of few posts often end in a 5 at the seventh place, which engines round by their last bits: both are put above it
+    return out.select("week", "family", "measure", *(r6(F.col(c) + 1e-9).alias(c) for c in ("value", "lower", "upper")))
