@@ -141,6 +141,18 @@ def test_draws_of_tasks_are_those_of_columns(spark):
     assert abs(np.corrcoef(many[:, ::4].ravel(), many[:, 1::4].ravel())[0, 1]) < 0.02
 
 
+def test_draws_of_every_length_are_digested_together(monkeypatch):
+    import hashlib
+
+    md5 = hashlib.md5
+    units = ["x" * n for n in range(70)] + ["é" * n for n in range(1, 27)] + ["", "1995-01-02/3/17"]
+    want = [[np.searchsorted(K.POISSON_LEVELS, int(md5(f"{u}:{k // 4}".encode()).hexdigest()[8 * (k % 4) :][:8], 16) / 2**32, "right") for k in range(45)] for u in units]
+    assert K.draws_of(units, 45).tolist() == want and K.draws_of([], 45).shape == (0, 45)
+    # no digest is made alone where messages fit a block
+    monkeypatch.setattr(K.hashlib, "md5", None)
+    assert K.draws_of(units[:53], 45).tolist() == want[:53]
+
+
 def test_resampled_cells(spark, monkeypatch):
     from tidemark.operators import metrics as M
 
@@ -155,6 +167,16 @@ def test_resampled_cells(spark, monkeypatch):
     assert M.resampled(df.where("false"), ["a", "b"], F.col("u"), F.col("w"), 9).count() == 0
 
 
+def test_resampled_sums_hold_many_cells(spark):
+    from tidemark.operators import metrics as M
+
+    # 5,000 cells that alternate: each comes out once, whatever the order and the parts
+    df = spark.range(15000).select((F.col("id") % 5000).alias("a"), F.col("id").alias("u"), (F.col("id") % 3).cast("double").alias("w"))
+    out = {r.a: list(r.sums) for r in M.resampled_sums(df.repartition(2), ["a"], F.col("u"), F.col("w"), 4).collect()}
+    times = K.draws_of([str(u) for u in range(15000)], 4) * (np.arange(15000) % 3)[:, None]
+    assert len(out) == 5000 and all(out[a] == times[a::5000].sum(axis=0).tolist() for a in range(5000))
+
+
 @given(st.text("abcd é", max_size=24), st.text("abcd é", max_size=24))
 @settings(max_examples=150, deadline=None)
 def test_common_subsequence(a, b):

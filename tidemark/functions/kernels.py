@@ -190,12 +190,78 @@ def draw(unit: Column, number: Column) -> Column:
     return F.conv(digest.substr((number % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / 4294967296.0
 
 
+#: md5's additive constants and rotations (RFC 1321); units that are digested together.
+MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+MD5_TURNS = [r for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for _ in range(4) for r in four]
+DIGESTED = 256
+
+
+def _digests(blocks: np.ndarray) -> np.ndarray:
+    """(n, 4) big-endian words of the md5 of padded messages of one block: blocks holds its 16 words, a row each of n
+    messages, or of one number where a word is the same for all."""
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    n = max(len(b) for b in blocks)
+    a, b, c, d = (np.full(n, x, np.uint32) for x in start)
+    f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word = blocks[(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16]
+        f += a
+        f += word + np.uint32(MD5_ADDED[i])
+        np.left_shift(f, np.uint32(MD5_TURNS[i]), out=g), np.right_shift(f, np.uint32(32 - MD5_TURNS[i]), out=f)
+        f |= g
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return np.stack([x + y for x, y in zip((a, b, c, d), start, strict=True)], axis=1).byteswap()
+
+
+def _numbers(units: Sequence[str], many: int) -> np.ndarray:
+    """(units, 4 * many): the words of the md5 of each unit with each number below `many`. Messages of one block are digested
+    together by length, longer ones one by one."""
+    plain = [u.encode() for u in units]
+    lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+    out = np.empty((len(plain), many, 4), np.uint32)
+    tails = [f":{k}".encode() for k in range(many)]
+    for length in np.unique(lengths):
+        of = np.flatnonzero(lengths == length)
+        for size in sorted({len(t) for t in tails}):
+            these = [k for k in range(many) if len(tails[k]) == size]
+            whole = int(length) + size
+            if whole > 55:
+                digests = b"".join(hashlib.md5(plain[i] + tails[k], usedforsecurity=False).digest() for i in of for k in these)
+                out[of[:, None], these] = np.frombuffer(digests, ">u4").reshape(len(of), len(these), 4)
+                continue
+            # the number, the end and the length, which all units share; bytes of unit and tail do not overlap
+            tail = np.zeros((len(these), 64), np.uint8)
+            tail[:, length:whole] = np.frombuffer(b"".join(tails[k] for k in these), np.uint8).reshape(len(these), size)
+            tail[:, whole] = 0x80
+            tail = tail.view("<u4")
+            for lo in range(0, len(of), DIGESTED):
+                rows = of[lo : lo + DIGESTED]
+                head = np.zeros((len(rows), 64), np.uint8)
+                head[:, :length] = np.frombuffer(b"".join(plain[i] for i in rows), np.uint8).reshape(len(rows), length)
+                head = head.view("<u4")
+                words = [(head[:, i, None] | tail[None, :, i]).ravel() for i in range(whole // 4 + 1)]
+                words += [np.array([x], np.uint32) for x in [0] * (14 - len(words)) + [8 * whole, 0]]
+                out[rows[:, None], these] = _digests(words).reshape(len(rows), len(these), 4)
+    return out.reshape(len(plain), 4 * many)
+
+
 def draws_of(units: Sequence[str], draws: int) -> np.ndarray:
     """How often each unit is drawn in each draw of a Poisson bootstrap (a row a unit): poisson_one of draw."""
-    many = -(-draws // 4)
-    digests = b"".join(hashlib.md5(f"{u}:{k}".encode(), usedforsecurity=False).digest() for u in units for k in range(many))
-    uniform = np.frombuffer(digests, ">u4").reshape(len(units), 4 * many)[:, :draws] / 4294967296.0
-    return np.searchsorted(POISSON_LEVELS, uniform, "right")
+    numbers = _numbers(units, -(-draws // 4))[:, :draws]
+    # number / 2^32 reaches a level where the number reaches the level's multiple, rounded up
+    times = np.zeros(numbers.shape, np.int8)
+    for level in POISSON_LEVELS:
+        times += numbers >= np.uint32(math.ceil(level * 4294967296))
+    return times
 
 
 def _levels(most: int) -> list[float]:

@@ -93,59 +93,86 @@ def publish(rows: DataFrame, path: str, version: str, violations: DataFrame) ->
     return True
 
 
-#: Cells whose sums a task holds before it gives them out.
-HELD_CELLS = 4096
+#: Units whose draws a task holds at once; cells that it gives out at once.
+UNITS, GIVEN = 1024, 1024
 
 
-def resampled(units: DataFrame, keys: Sequence[str], unit: Column, weight: Column, draws: int) -> DataFrame:
-    """(keys, k, value): the cells' sums in each draw of a Poisson bootstrap of their units, by the units' own numbers.
+def _codes(key: pa.StructArray) -> np.ndarray:
+    """A number for each row's key, equal within the batch where keys are."""
+    out = np.zeros(len(key), np.int64)
+    for column in key.flatten():
+        own = column.dictionary_encode()
+        out = np.unique(out * (len(own.dictionary) + 1) + own.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1, return_inverse=True)[1]
+    return out
+
+
+def _given(keys: pa.StructArray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(keys), GIVEN):
+        own = sums[lo : lo + GIVEN]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * sums.shape[1]), pa.array(own.ravel()))
+        yield pa.RecordBatch.from_arrays([keys.slice(lo, GIVEN), lists], ["key", "sums"])
+
+
+def resampled_sums(units: DataFrame, keys: Sequence[str], unit: Column, weight: Column, draws: int) -> DataFrame:
+    """(keys, sums): the cells' sums in each draw of a Poisson bootstrap of their units, as an array, by the units' own numbers.
 
-    A unit is never copied: tasks add all draws of their units up in arrays, one for each cell that they have met, and the
-    arrays are summed. Weights that are not there count as 0.
+    A unit is never copied: tasks sort their units by cell and add all draws of a cell up in one array; the arrays are dealt
+    by cell and summed. A task holds one cell's sums from batch to batch. Weights that are not there count as 0.
     """
     own = units.select(F.struct(*keys).alias("key"), unit.cast("string").alias("unit"), F.coalesce(weight.cast("double"), F.lit(0.0)).alias("weight"))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, cells, sums = None, {}, []
+    def runs(batch: pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, np.diff(_codes(batch["key"])) != 0])
 
-        def given() -> pa.RecordBatch:
-            flat = pa.array(np.concatenate(sums)) if sums else pa.array([], pa.float64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * draws), flat)
-            return pa.RecordBatch.from_arrays([pa.array([dict(k) for k in cells], kind), lists], ["key", "sums"])
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, np.ndarray]]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, UNITS):
+                part = batch.slice(lo, UNITS)
+                first = runs(part)
+                times = K.draws_of(part["unit"].to_pylist(), draws) * part["weight"].to_numpy()[:, None]
+                yield part["key"].take(pa.array(first)), np.add.reduceat(times, first)
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, np.ndarray]]:
         for batch in batches:
-            kind = batch["key"].type
-            of = [tuple(k.items()) for k in batch["key"].to_pylist()]
-            for lo in range(0, batch.num_rows, 2048):
-                rows = slice(lo, lo + 2048)
-                at = np.empty(len(of[rows]), np.int64)
-                for i, k in enumerate(of[rows]):
-                    if k not in cells:
-                        cells[k] = len(cells)
-                        sums.append(np.zeros(draws))
-                    at[i] = cells[k]
-                times = K.draws_of(batch["unit"].slice(lo, len(at)).to_pylist(), draws) * batch["weight"].slice(lo, len(at)).to_numpy()[:, None]
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-                for cell, total in zip(at[order][first], np.add.reduceat(times[order], first), strict=True):
-                    sums[cell] += total
-                if len(cells) > HELD_CELLS:
-                    yield given()
-                    cells, sums = {}, []
-        if cells:
-            yield given()
-
-    partial = own.mapInArrow(add, f"key {own.schema['key'].dataType.simpleString()}, sums array<double>")
-    return partial.select("key.*", F.posexplode("sums").alias("k", "_v")).groupBy(*keys, "k").agg(F.sum("_v").alias("value"))
+            if batch.num_rows:
+                first = runs(batch)
+                yield batch["key"].take(pa.array(first)), np.add.reduceat(batch["sums"].flatten().to_numpy().reshape(-1, draws), first)
+
+    def joined(parts: Iterator[tuple[pa.StructArray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        # the last cell of a part may go on in the next
+        last, held = None, None
+        for key, sums in parts:
+            if last is not None:
+                if last.to_pylist() == key.slice(0, 1).to_pylist():
+                    sums[0] += held[0]
+                else:
+                    yield from _given(last, held)
+            yield from _given(key.slice(0, len(key) - 1), sums[:-1])
+            last, held = key.slice(len(key) - 1), sums[-1:].copy()
+        if last is not None:
+            yield from _given(last, held)
+
+    kind = f"key {own.schema['key'].dataType.simpleString()}, sums array<double>"
+    partial = own.sortWithinPartitions("key").mapInArrow(lambda batches: joined(drawn(batches)), kind)
+    whole = partial.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: joined(dealt(batches)), kind)
+    return whole.select("key.*", "sums")
+
+
+def resampled(units: DataFrame, keys: Sequence[str], unit: Column, weight: Column, draws: int) -> DataFrame:
+    """(keys, k, value): resampled_sums with a row a draw."""
+    return resampled_sums(units, keys, unit, weight, draws).select(*keys, F.posexplode("sums").alias("k", "value"))
 
 
 def redrawn(cells: dict[str, DataFrame], grid: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
-    """The grid once for each draw, with every axis's value (name: frame of keys, k, value) in it; NULL where the grid has
-    none, 0 where a draw took no unit."""
-    out = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    """The grid once for each draw, with every axis's value (name: resampled_sums' frame) in it; NULL where the grid has
+    none, 0 where a draw took no unit. Cells meet before they are multiplied by the draws."""
+    out = grid
     for name, drawn in cells.items():
-        out = out.join(drawn.withColumnRenamed("value", "_d"), [*keys, "k"], "left").withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce("_d", F.lit(0.0)))).drop("_d")
-    return out
+        out = out.join(drawn.withColumnRenamed("sums", f"_{name}"), [*keys], "left")
+    out = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    for name in cells:
+        out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce(F.col(f"_{name}")[F.col("k")], F.lit(0.0))))
+    return out.drop(*(f"_{name}" for name in cells))
 
 
 def banded(points: DataFrame, drawn: DataFrame, keys: Sequence[str], names: Sequence[str], confidence: float = 0.9) -> DataFrame:

@@ -37,11 +37,20 @@ def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("post_id")).agg(F.sum("l_quantity").alias("likes"), F.countDistinct("l_suppkey").alias("reposts"), F.count(F.lit(1)).alias("replies"))
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(week, genre, family, post_id, score): weighted engagement of the posts that have any reading."""
+    score = 1 + 0.5 * F.col("likes") + 1.5 * F.col("reposts") + F.col("replies")
+    return posts(spark, sf_dir).join(engagement(spark, sf_dir), "post_id").select("week", "genre", "family", "post_id", score.alias("score"))
+
+
+def summed(posts: DataFrame) -> DataFrame:
+    """(week, genre, family, conv, posts) of scored posts."""
+    return posts.groupBy("week", "genre", "family").agg(F.sum("score").alias("conv"), F.count(F.lit(1)).alias("posts"))
+
+
 def conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(week, genre, family, conv, posts): weighted engagement of the posts that have any reading."""
-    score = 1 + 0.5 * F.col("likes") + 1.5 * F.col("reposts") + F.col("replies")
-    own = posts(spark, sf_dir).join(engagement(spark, sf_dir), "post_id")
-    return own.groupBy("week", "genre", "family").agg(F.sum(score).alias("conv"), F.count(F.lit(1)).alias("posts"))
+    return summed(scored(spark, sf_dir))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,17 +73,32 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("status", status)
 
 
+def gained(pairs: DataFrame) -> DataFrame:
+    """(week, genre, listen) of valid pairs."""
+    gain = (F.col("plays") - F.col("last_plays")) + 5 * (F.col("listeners") - F.col("last_listeners"))
+    return pairs.groupBy("week", "genre").agg(F.sum(gain).cast("double").alias("listen"))
+
+
 def listening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(week, genre, listen): weighted increases of the valid pairs."""
-    gain = (F.col("plays") - F.col("last_plays")) + 5 * (F.col("listeners") - F.col("last_listeners"))
-    return deltas(spark, sf_dir).where("status = 'valid_weekly'").groupBy("week", "genre").agg(F.sum(gain).cast("double").alias("listen"))
+    return gained(deltas(spark, sf_dir).where("status = 'valid_weekly'"))
 
 
-def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(week, genre, releases)"""
+def released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(week, genre, l_partkey), each once."""
     suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("genre"))
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", week(F.col("l_shipdate")).alias("week"))
-    return lines.join(suppliers, "l_suppkey").groupBy("week", "genre").agg(F.countDistinct("l_partkey").cast("double").alias("releases"))
+    return lines.join(suppliers, "l_suppkey").select("week", "genre", "l_partkey").distinct()
+
+
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(week, genre, releases)"""
+    return counted(released(spark, sf_dir))
+
+
+def counted(parts: DataFrame) -> DataFrame:
+    """(week, genre, releases) of released parts."""
+    return parts.groupBy("week", "genre").agg(F.count("l_partkey").cast("double").alias("releases"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,17 +64,17 @@ def bands_sql(points: str, draws: str, names: list[str]) -> str:
 
 
 def grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The grid, and the grid of every draw."""
-    grid = S.grid(spark, sf_dir).select(*KEYS, "family", "conv", "listen", "releases")
-    posts = S.posts(spark, sf_dir).join(S.engagement(spark, sf_dir), "post_id")
-    pairs = S.deltas(spark, sf_dir).where("status = 'valid_weekly'")
-    suppliers = S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("genre"))
-    released = S.read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", S.week(F.col("l_shipdate")).alias("week")).join(suppliers, "l_suppkey").select("week", "genre", "l_partkey").distinct()
+    """The grid, and the grid of every draw. Both read the same units, which are joined and made distinct once."""
+    posts, _ = settled(S.scored(spark, sf_dir), "posts")
+    pairs, _ = settled(S.deltas(spark, sf_dir).where("status = 'valid_weekly'"), "pairs")
+    released, _ = settled(S.released(spark, sf_dir), "released")
+    grid = S.summed(posts).join(S.gained(pairs), KEYS, "left").join(S.counted(released), KEYS, "left")
+    grid, _ = settled(grid.select(*KEYS, "family", "conv", "listen", "releases"), "grid")
     named = lambda c: F.concat_ws("/", F.col("week").cast("string"), F.col("genre").cast("string"), F.col(c).cast("string"))
     cells = {
-        "conv": M.resampled(posts, KEYS, F.col("post_id"), 1 + 0.5 * F.col("likes") + 1.5 * F.col("reposts") + F.col("replies"), DRAWS),
-        "listen": M.resampled(pairs, KEYS, named("segment"), (F.col("plays") - F.col("last_plays")) + 5 * (F.col("listeners") - F.col("last_listeners")), DRAWS),
-        "releases": M.resampled(released, KEYS, named("l_partkey"), F.lit(1.0), DRAWS),
+        "conv": M.resampled_sums(posts, KEYS, F.col("post_id"), F.col("score"), DRAWS),
+        "listen": M.resampled_sums(pairs, KEYS, named("segment"), (F.col("plays") - F.col("last_plays")) + 5 * (F.col("listeners") - F.col("last_listeners")), DRAWS),
+        "releases": M.resampled_sums(released, KEYS, named("l_partkey"), F.lit(1.0), DRAWS),
     }
     return grid, M.redrawn(cells, grid, KEYS, DRAWS)
 
