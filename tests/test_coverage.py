@@ -46,6 +46,31 @@ def test_counts_overlap_history_and_rungs(spark):
     assert empty.stale and empty.state == "unsupported" and empty.tags is None and empty.history is None
 
 
+def test_ambiguities_date_their_own_categories(spark):
+    # two names of one post: each one's date belongs to its own categories
+    sources = found(spark)
+    artists = spark.createDataFrame([("Ann", "x1", ["techno"], 1, 1, D(2024, 1, 8)), ("Bo", None, ["us garage"], 1, 1, D(2024, 1, 8))], sources["artists"].schema)
+    doubt = spark.createDataFrame([("p2", "Ann", None, D(2024, 1, 10)), ("p2", "Bo", None, D(2024, 1, 12)), ("p2", "Ann", None, D(2024, 1, 9))], sources["ambiguities"].schema)
+    got = cells(spark, sources | {"artists": artists, "ambiguities": doubt, "releases": sources["releases"].limit(0), "links": sources["links"].limit(0)})
+    assert [(got[g, "2024-01-08"].attempts, got[g, "2024-01-08"].latest) for g in (1, 3)] == [(1, D(2024, 1, 10)), (1, D(2024, 1, 12))]
+
+
+def test_coverage_is_counted_once_for_all_reads(spark, tmp_path):
+    # the report and its latest week read finished cells: what the sources are read from may be gone
+    import shutil
+
+    from tidemark.operators import reads as A
+
+    place = {n: f"{tmp_path}/{n}" for n in found(spark)}
+    for n, df in found(spark).items():
+        df.write.parquet(place[n])
+    categories, labels = spark.createDataFrame([(1, "techno")], "genre int, name string"), spark.createDataFrame([("techno", 1)], "label string, genre int")
+    df = C.coverage(categories, labels, {n: spark.read.parquet(p) for n, p in place.items()}, FEW, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    for p in place.values():
+        shutil.rmtree(p)
+    assert [(r.genre, r.posts) for r in A.coverage(df).collect()] == [(1, 1)]
+
+
 @pytest.mark.parametrize("change, state", [({"artists": 3}, "insufficient_listening"), ({"posts": 2}, "insufficient_conversation"), ({"releases": 2}, "insufficient_supply"), ({"resolution_rate": 0.6}, "insufficient_resolution"), ({"overlap_artists": 3}, "insufficient_resolution"), ({"max_age_days": 3}, "unsupported")])
 def test_each_threshold(spark, change, state):
     t = C.Thresholds(**{**FEW.__dict__, **change})

@@ -1,8 +1,8 @@
 """Coverage of categories by week: what each source saw, how the sources meet, and whether a cell is fit for claims.
 
-All evidence becomes long rows (genre, week, kinds, item, artist, at), which are merged by item and by artist before they
-are counted, so that a category or week that holds a third of all rows is aggregated where it lies. kinds is a set of
-bits, so that one row can say several things. What was not seen is NULL, not 0.
+An artist or post that belongs to many categories stays one row with the array of its categories until all that counts
+once is merged; only then are the categories unfolded, and counted in the same task, so that what is sent grows with the
+evidence and not with its product with the categories. kinds is a set of bits. What was not seen is NULL, not 0.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import first_by, unique_match
+from tidemark.sources.tables import settled
 
 Fold = Callable[[Column], Column]
 CELL = ["genre", "week"]
 COUNTS = ("tags", "artists", "valid_artists", "releases", "posts", "attempts")
-TAG, ARTIST, VALID, RELEASE, POST, ATTEMPT = (1 << i for i in range(len(COUNTS)))
-SOURCES = ARTIST | RELEASE | POST
+ARTIST, RELEASE, POST = 1, 2, 4
 
 
 @dataclass(frozen=True)
@@ -72,13 +72,18 @@ def _week(at: str) -> Column:
 
 
 def _mapped(df: DataFrame, labels: str, index: DataFrame, fold: Fold) -> DataFrame:
-    """Rows once for each category that their labels name."""
-    own = df.withColumn("alias", F.explode(F.array_distinct(F.transform(labels, lambda x: fold(x)))))
-    return own.join(index, "alias").drop("alias", labels).distinct()
+    """Rows once for each label that names a category; the index is a dimension."""
+    return df.withColumn("alias", F.explode(F.array_distinct(F.transform(labels, lambda x: fold(x))))).join(F.broadcast(index), "alias").drop("alias", labels)
+
+
+def _united(arrays: str) -> Column:
+    """Aggregate: the distinct members of a group's arrays."""
+    return F.array_distinct(F.flatten(F.collect_set(arrays)))
 
 
 def evidence(labels: DataFrame, tags: DataFrame, artists: DataFrame, releases: DataFrame, posts: DataFrame, links: DataFrame, ambiguities: DataFrame, fold: Fold = plain) -> tuple[DataFrame, DataFrame]:
-    """(rows, weeks): the long rows, and all weeks in which any source saw something, with a category or without.
+    """(cells, weeks): COUNTS, latest, overlap_artists and overlap_rate by genre and week, and all weeks in which any source
+    saw something, with a category or without.
 
     tags (tag, at); artists (name, id, labels, listeners, plays, at), of which the last of an artist's week counts;
     releases (release, released, labels, name, id, at), one row a credit, without a full date left out; posts (post,
@@ -87,46 +92,69 @@ def evidence(labels: DataFrame, tags: DataFrame, artists: DataFrame, releases: D
     name.
     """
     index = alias_index(labels, fold)
-    ids = known_ids([x.select("name", "id") for x in (artists, releases, links, ambiguities)], fold)
-    row = lambda df, kinds, item, artist: df.select(*CELL, kinds.cast("int").alias("kinds"), F.col(item).cast("string").alias("item"), artist.cast("string").alias("artist"), F.col("at").cast("timestamp").alias("at"))
+    # who is cited, each name and id once
+    who, _ = settled(links.select("name", "id").unionByName(ambiguities.select("name", "id")).distinct(), "who")
+    ids, _ = settled(known_ids([artists.select("name", "id").distinct(), releases.select("name", "id").distinct(), who], fold), "ids")
+    at = F.col("at").cast("timestamp")
+    latest = F.max("at").alias("latest")
 
-    told = tags.select(_week("at").alias("week"), fold(F.col("tag")).alias("alias"), "at")
-    tag = row(told.join(index, "alias"), F.lit(TAG), "alias", F.lit(None))
+    told = tags.select(_week("at").alias("week"), fold(F.col("tag")).alias("alias"), at.alias("at"))
+    tagged = told.groupBy("alias", "week").agg(F.max("at").alias("at")).join(F.broadcast(index), "alias").groupBy(*CELL).agg(F.count("alias").alias("tags"), latest)
 
-    seen = keyed(artists.withColumn("week", _week("at")), ids, fold)
+    # dealt by artist once: an artist's weeks and all that follows stay there
+    seen = keyed(artists.select("name", "id", "labels", "listeners", "plays", "at", _week("at").alias("week")), ids, fold).repartition("artist")
     last = first_by(seen, ["artist", "week"], [F.col("at").desc(), F.col("plays").desc(), F.col("listeners").desc(), F.col("name")])
     order = Window.partitionBy("artist").orderBy("week")
     grown = (F.datediff("week", F.lag("week").over(order)) == 7) & (F.col("listeners") >= F.lag("listeners").over(order)) & (F.col("plays") >= F.lag("plays").over(order))
-    heard = _mapped(last.select("artist", "name_key", "week", "at", "labels", F.coalesce(grown, F.lit(False)).alias("grown")), "labels", index, fold)
+    heard = _mapped(last.select("artist", "name_key", "week", at.alias("at"), "labels", F.coalesce(grown, F.lit(False)).alias("grown")), "labels", index, fold)
+    heard, _ = settled(heard.groupBy("artist", "name_key", "week", "at", "grown").agg(F.collect_set("genre").alias("genres")), "heard")
+    listened = heard.select("week", "at", "grown", F.explode("genres").alias("genre")).groupBy(*CELL).agg(F.count(F.lit(1)).alias("artists"), F.count_if("grown").alias("valid_artists"), latest)
 
     full = releases.where("released is not null").withColumn("week", _week("released"))
-    issued = _mapped(keyed(full, ids, fold).select("release", "artist", "name_key", "week", "at", "labels"), "labels", index, fold)
+    issued, _ = settled(keyed(_mapped(full.select("release", "name", "id", "labels", "week", at.alias("at")), "labels", index, fold), ids, fold).select("release", "artist", "name_key", "week", "at", "genre"), "issued")
+    supplied = issued.groupBy(*CELL, "release").agg(F.max("at").alias("at")).groupBy(*CELL).agg(F.count("release").alias("releases"), latest)
+
+    of = [heard.groupBy("artist", "name_key").agg(_united("genres").alias("genres")), issued.groupBy("artist", "name_key").agg(F.collect_set("genre").alias("genres"))]
+    of = of[0].unionByName(of[1])
+    member, _ = settled(of.select("genres", F.explode(F.array("artist", "name_key")).alias("key")).groupBy("key").agg(_united("genres").alias("genres")), "member")
 
-    of = lambda df: df.select("genre", F.explode(F.array("artist", "name_key")).alias("key"))
-    member = of(heard).unionByName(of(issued)).distinct()
+    # the categories of its own key, else of its name
+    by = lambda key, genres: member.select(F.col("key").alias(key), F.col("genres").alias(genres))
+    who = keyed(who, ids, fold).join(by("artist", "_g"), "artist", "left").join(by("name_key", "_n"), "name_key", "left")
+    who = who.select(F.col("name").alias("_name"), F.col("id").alias("_id"), "artist", F.coalesce("_g", "_n").alias("genres")).where("genres is not null")
 
-    said = posts.select("post", F.col("created_at").alias("_created"), F.col("at").alias("_at"), _week("created_at").alias("week"))
+    said = posts.select("post", _week("created_at").alias("week"), F.col("at").alias("_at")).repartition("post").groupBy("post", "week").agg(F.max("_at").alias("_at"))
     cited = links.select("post", "name", "id", "at", (F.lower("kind") == "mbid").alias("_strong"), "score", F.lit(True).alias("_link"))
     cited = cited.unionByName(ambiguities.select("post", "name", "id", "at", F.lit(None).cast("boolean").alias("_strong"), F.lit(None).cast(links.schema["score"].dataType).alias("score"), F.lit(False).alias("_link")))
     # of a post's links the best one counts; its ambiguities count, all of them, where it has no link
     own = Window.partitionBy("post").orderBy(F.col("_link").desc(), F.col("_strong").desc_nulls_last(), F.col("score").desc_nulls_last(), F.col("at").desc_nulls_last(), F.col("name"), F.col("id"))
     cited = cited.withColumn("_n", F.row_number().over(own)).withColumn("_any", F.first("_link").over(own)).where("_n = 1 or not _any")
-    ways = F.array_distinct(F.array(F.struct(F.lit(0).alias("rank"), F.col("artist").alias("key")), F.struct(F.lit(1).alias("rank"), F.col("name_key").alias("key"))))
-    placed = keyed(cited, ids, fold).join(said, "post").withColumn("_w", F.explode(ways)).select("post", "week", "artist", "_link", "_w.rank", "_w.key", F.greatest("at", "_at").alias("at")).join(member, "key")
-    placed = placed.withColumn("_best", F.min("rank").over(Window.partitionBy("post", "artist"))).where("rank = _best")
-
-    rows = [
-        row(heard, F.when(F.col("grown"), ARTIST | VALID).otherwise(ARTIST), "artist", F.col("artist")),
-        row(issued, F.lit(RELEASE), "release", F.col("artist")),
-        row(placed, F.when(F.col("_link"), POST | ATTEMPT).otherwise(ATTEMPT), "post", F.when(F.col("_link"), F.col("artist"))),
-    ]
+    cited = cited.join(said, "post").select("post", "week", "name", "id", "_link", F.greatest("at", "_at").cast("timestamp").alias("at"))
+    placed = cited.join(who, F.col("name").eqNullSafe(F.col("_name")) & F.col("id").eqNullSafe(F.col("_id"))).select("post", "week", "_link", "artist", "genres", "at")
+    # the post of a link is in one row a week; one of ambiguities is in several
+    placed, _ = settled(placed, "placed")
+    linked = placed.where("_link")
+    counted = linked.select("week", "at", F.explode("genres").alias("genre")).groupBy(*CELL).agg(F.count(F.lit(1)).alias("posts"), F.count(F.lit(1)).alias("attempts"), latest)
+    tried = placed.where("not _link").repartition("post", "week").select("post", "week", "at", F.explode("genres").alias("genre")).groupBy(*CELL, "post").agg(F.max("at").alias("at"))
+    tried = tried.groupBy(*CELL).agg(F.count(F.lit(1)).alias("attempts"), latest)
+
+    as_kind = lambda df, kind: df.select("artist", "week", "genres", F.lit(kind).alias("kind"))
+    met = as_kind(heard, ARTIST).unionByName(as_kind(issued.groupBy("artist", "week").agg(F.collect_set("genre").alias("genres")), RELEASE)).unionByName(as_kind(linked.select("artist", "week", "genres").distinct(), POST))
+    # dealt by artist and week with their arrays: kinds are united where the rows lie
+    met = met.repartition("artist", "week").select("artist", "week", F.explode("genres").alias("genre"), "kind").groupBy(*CELL, "artist").agg(F.bit_or("kind").alias("kinds"))
+    met = met.groupBy(*CELL).agg(F.bit_or("kinds").alias("_kinds"), F.count_if(F.bit_count("kinds") >= 2).alias("_twice"), F.count(F.lit(1)).alias("_artists"))
+
+    cells = tagged
+    for df in (listened, supplied, counted, tried, met):
+        cells = cells.unionByName(df, allowMissingColumns=True)
+    several = F.bit_count(F.max("_kinds")) >= 2
+    cells = cells.groupBy(*CELL).agg(*(F.nullif(F.sum(name), F.lit(0)).alias(name) for name in COUNTS), F.max("latest").alias("latest"), F.when(several, F.max("_twice")).alias("overlap_artists"), F.when(several, F.max("_twice") / F.nullif(F.max("_artists"), F.lit(0))).alias("overlap_rate"))
+
     weeks = told.select("week").distinct()
-    for df in (artists.select(_week("at").alias("week")), full.select("week"), said.select("week")):
+    for df in (artists.select(_week("at").alias("week")), full.select("week"), posts.select(_week("created_at").alias("week"))):
         weeks = weeks.unionByName(df.distinct())
-    out = tag
-    for df in rows:
-        out = out.unionByName(df)
-    return out, weeks.where("week is not null").distinct()
+    # both have a row a week, or a week and a category: whoever reads them twice does not count again
+    return settled(cells, "cells")[0], settled(weeks.where("week is not null").distinct(), "weeks")[0]
 
 
 def week_range(weeks: DataFrame, lookback: int, start=None, end=None) -> DataFrame:
@@ -144,21 +172,12 @@ def week_range(weeks: DataFrame, lookback: int, start=None, end=None) -> DataFra
     return ends.select(F.explode(F.expr("sequence(start, last, interval 7 days)")).alias("week"))
 
 
-def measured(rows: DataFrame, weeks: DataFrame, categories: DataFrame) -> DataFrame:
+def measured(cells: DataFrame, weeks: DataFrame, categories: DataFrame) -> DataFrame:
     """Adds to every category and week the counts of its evidence, history (weeks so far with a tag or an artist),
     resolution_rate, overlap_artists, overlap_rate and latest.
 
     Weeks and categories are dimensions: their product is the report.
     """
-    fact = lambda what, x, kinds: F.struct(F.lit(what).alias("what"), x.alias("x"), kinds.alias("kinds"))
-    facts = F.array(fact("item", F.col("item"), F.col("kinds")), fact("artist", F.col("artist"), F.col("kinds").bitwiseAND(F.lit(SOURCES))))
-    facts = rows.select(*CELL, "at", F.explode(facts).alias("f")).select(*CELL, "at", "f.*").where("x is not null and kinds <> 0")
-    one = facts.groupBy(*CELL, "what", "x").agg(F.bit_or("kinds").alias("kinds"), F.max("at").alias("at"))
-    item, artist = F.col("what") == "item", F.col("what") == "artist"
-    count = lambda i: F.nullif(F.count_if(item & (F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0)), F.lit(0))
-    twice = F.count_if(artist & (F.bit_count("kinds") >= 2))
-    met = F.bit_count(F.bit_or(F.when(artist, F.col("kinds")))) >= 2
-    cells = one.groupBy(*CELL).agg(*(count(i).alias(name) for i, name in enumerate(COUNTS)), F.max("at").alias("latest"), F.when(met, twice).alias("overlap_artists"), F.when(met, twice / F.nullif(F.count_if(artist), F.lit(0))).alias("overlap_rate"))
     grid = weeks.crossJoin(categories).withColumn("_own", F.lit(True))
     so_far = F.count(F.when(F.col("tags").isNotNull() | F.col("artists").isNotNull(), 1)).over(Window.partitionBy("genre").orderBy("week"))
     out = grid.join(cells, CELL, "full").withColumn("history", F.nullif(so_far, F.lit(0))).where("_own").drop("_own")
@@ -186,5 +205,5 @@ def laddered(df: DataFrame, t: Thresholds, as_of: Column, unfit: Column | None =
 
 def coverage(categories: DataFrame, labels: DataFrame, sources: Mapping[str, DataFrame], thresholds: Thresholds, as_of: Column, *, unfit: Column | None = None, start=None, end=None, fold: Fold = plain) -> DataFrame:
     """One row for each category (genre, ...) and week; labels of unfit categories should be left out of `labels`."""
-    rows, weeks = evidence(labels, *(sources[n] for n in ("tags", "artists", "releases", "posts", "links", "ambiguities")), fold=fold)
-    return laddered(measured(rows, week_range(weeks, thresholds.lookback_weeks, start, end), categories), thresholds, as_of, unfit)
+    cells, weeks = evidence(labels, *(sources[n] for n in ("tags", "artists", "releases", "posts", "links", "ambiguities")), fold=fold)
+    return laddered(measured(cells, week_range(weeks, thresholds.lookback_weeks, start, end), categories), thresholds, as_of, unfit)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import coverage as C
 from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
+from tidemark.sources.tables import settled
 
 AS_OF, FLOOR = "1999-06-01 00:00:00", C.Thresholds(lookback_weeks=40, artists=3, valid_artists=1, posts=4, attempts=4, resolution_rate=0.4, overlap_artists=1, overlap_rate=0.01, max_age_days=240)
 END = datetime.date(1999, 5, 31)
@@ -34,6 +35,8 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dic
     artists = told.select(name(F.col("c_custkey")).alias("name"), mbid(F.col("c_custkey")).alias("id"), F.array(F.col("n_name"), alias(F.col("c_custkey"))).alias("labels"), F.floor("o_totalprice").cast("long").alias("listeners"), F.col("o_orderkey").alias("plays"), F.col("o_orderdate").alias("at"))
     releases = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("released"), F.max("l_shipdate").alias("at")).join(part, "l_partkey")
     releases = releases.select(F.col("l_partkey").alias("release"), "released", F.array(F.concat(F.lit("a"), F.col("p_size").cast("string"))).alias("labels"), name(F.col("l_suppkey")).alias("name"), mbid(F.col("l_suppkey")).alias("id"), "at")
+    # both are read by several steps
+    artists, releases = settled(artists, "artists")[0], settled(releases, "releases")[0]
     posts = orders.select(F.col("o_orderkey").alias("post"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("at"))
     link = lines.select(F.col("l_orderkey").alias("post"), name(F.col("l_suppkey")).alias("name"), mbid(F.col("l_suppkey")).alias("id"), F.when(F.col("l_returnflag") == "R", "mbid").otherwise("name").alias("kind"), F.col("l_quantity").alias("score"), F.col("l_shipdate").alias("at"), "l_linestatus")
     return categories, labels, {"tags": tags, "artists": artists, "releases": releases, "posts": posts, "links": link.where("l_linestatus = 'F'").drop("l_linestatus"), "ambiguities": link.where("l_linestatus <> 'F'").select("post", "name", "id", "at")}
