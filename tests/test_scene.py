@@ -78,3 +78,15 @@ def test_few_categories(spark):
     assert M.scene_map(four, steps=3).count() == 4
     with pytest.raises(ValueError):
         M.scene_map(four.unionByName(spark.createDataFrame([("z", [1.0])], four.schema)))
+
+
+def test_neighbours_meet_once(spark):
+    # a vector is sent once to each other block, not once for asking and once for being asked; ties go to the smaller key
+    df = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(40)], "genre int, centroid array<double>")
+    for block in (7, 512):
+        near = M.neighbours(df, "genre", "centroid", 3, block=block).collect()
+        found = {}
+        for r in near:
+            found.setdefault(r.genre, []).append((r["rank"], r.other))
+        assert all([o for _, o in sorted(x)] == [j for j in range(40) if j != i and j % 3 == i % 3][:3] for i, x in found.items()) and len(found) == 40
+    assert M.BLOCK >= 4096

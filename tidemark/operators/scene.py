@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.resolve import scene
 from tidemark.sources.tables import remove, settled
 
-#: Neighbours of a category at most; categories that a task compares with as many others.
-NEIGHBOURS, BLOCK = 15, 512
+#: Neighbours of a category at most; categories that a task compares with as many others, and how many of them at once.
+NEIGHBOURS, BLOCK, STRIP = 15, 8192, 512
 #: The curve 1 / (1 + a d^(2 b)) that stands for a least distance of 0.1.
 CURVE = 1.577, 0.895
 LEAST = 3
@@ -28,27 +28,51 @@ LEAST = 3
 
 def neighbours(df: DataFrame, key: str, vector: str, k: int, *, block: int = BLOCK) -> DataFrame:
     """(key, other, distance, rank): the k others of least cosine distance (ties to the smaller key). NULL, empty, zero and
-    non-finite vectors have no neighbours. Categories are dealt into blocks; every task compares two blocks and keeps k for each row."""
-    own = df.select(F.col(key).alias("a"), F.col(vector).cast("array<double>").alias("v"))
+    non-finite vectors have no neighbours. Categories are dealt into blocks; every task compares two blocks in strips and keeps k for each
+    row of both. The work is quadratic in the categories, what is sent grows with them times the number of blocks."""
+    own = df.select(F.col(key).alias("a"), F.col(vector).alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     own = own.where(F.col("a").isNotNull() & fine)
     blocks = max(1, -(-own.count() // block))
     own = own.withColumn("b", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    # a pair of blocks meets once, and both sides keep what they find
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = own.select("*", F.explode(F.concat(F.transform(every, lambda j: F.struct(F.lit(True).alias("asks"), F.col("b").alias("i"), j.alias("j"))), F.transform(every, lambda i: F.struct(F.lit(False).alias("asks"), i.alias("i"), F.col("b").alias("j"))))).alias("c")).select("a", "v", "c.*")
+    cells = own.select("*", F.explode(F.transform(every, lambda j: F.struct(F.least("b", j).alias("i"), F.greatest("b", j).alias("j")))).alias("c")).select("a", "v", "b", "c.*")
+
+    def unit(vectors: pd.Series, width: int) -> np.ndarray:
+        lengths = vectors.map(len).to_numpy()
+        m = np.zeros((len(vectors), width))
+        m[np.arange(width) < lengths[:, None]] = np.concatenate([*vectors]) if len(vectors) else 0
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def nearest(asking: pd.DataFrame, asked: pd.DataFrame) -> list[pd.DataFrame]:
+        # the k best of every strip of the other block are kept; what is farther than the k-th is not sorted
+        names, others, found = asking.a.to_numpy(), asked.a.to_numpy(), []
+        x, y = np.stack(asking.v), np.stack(asked.v)
+        for lo in range(0, len(asking), STRIP):
+            far = x[lo : lo + STRIP] @ y.T
+            np.subtract(1, far, out=far), np.maximum(far, 0.0, out=far)
+            if asking is asked:  # a key lies in one block
+                far[names[lo : lo + STRIP, None] == others[None, :]] = np.inf
+            if len(others) > k:
+                # nothing farther than the k-th of a part of the others is among the k; ties go to the smaller key
+                few = far[:, : max(k, len(others) // 8)]
+                row, col = np.nonzero(far <= np.partition(few, k - 1, axis=1)[:, k - 1 : k])
+            else:
+                row, col = np.divmod(np.arange(far.size), max(len(others), 1))
+            part = pd.DataFrame({"a": names[lo : lo + STRIP][row], "other": others[col], "distance": far[row, col], "row": row})
+            part = part[np.isfinite(part.distance)].sort_values(["row", "distance", "other"])
+            found.append(part[part.groupby("row").cumcount() < k].drop(columns="row"))
+        return found
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
-        asking, asked = part[part.asks], part[~part.asks].sort_values("a")
-        if asking.empty or asked.empty:
-            return pd.DataFrame({"a": asking.a[:0], "other": asked.a[:0], "distance": np.zeros(0)})
-        width = max(part.v.map(len))
-        unit = lambda col: (m := np.array([np.pad(np.asarray(x, float), (0, width - len(x))) for x in col])) / np.linalg.norm(m, axis=1, keepdims=True)
-        far = np.maximum(1 - unit(asking.v) @ unit(asked.v).T, 0.0)
-        far[asking.a.to_numpy()[:, None] == asked.a.to_numpy()[None, :]] = np.inf
-        best = np.argsort(far, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(asking)), best.shape[1])
-        out = pd.DataFrame({"a": asking.a.to_numpy()[row], "other": asked.a.to_numpy()[best.ravel()], "distance": far[row, best.ravel()]})
-        return out[np.isfinite(out.distance)]
+        part = part[["a", "b", "i", "j"]].assign(v=list(unit(part.v, max(part.v.map(len)))))
+        one, two = part[part.b == part.i], part[part.b == part.j]
+        if part.i.iloc[0] == part.j.iloc[0]:
+            found = nearest(one, one)
+        else:
+            found = nearest(one, two) + nearest(two, one) if len(one) and len(two) else []
+        return pd.concat([pd.DataFrame({"a": part.a[:0], "other": part.a[:0], "distance": np.zeros(0)}), *found])
 
     kind = own.schema["a"].dataType.simpleString()
     found = cells.groupBy("i", "j").applyInPandas(near, f"a {kind}, other {kind}, distance double")
