@@ -78,6 +78,16 @@ def test_no_name_above_the_floor_is_missed(spark, data):
         assert found[c.c_custkey] == ((key, round(-score, 6)) if -score >= 90 else (None, None))
 
 
+def test_numbered_names_meet_few_others(spark):
+    # names that differ by their numbers share most pairs of characters; only those that a digit parts are compared
+    numbers = [f"customer {i:09d}" for i in range(400)]
+    left = N._prepared(spark.createDataFrame([(x,) for x in numbers], "name string"), "name")
+    right = N._prepared(spark.createDataFrame([(x,) for x in numbers], "alias string"), "alias")
+    found = {tuple(r) for r in N._candidates(left, right, 90.0).collect()}
+    want = {(x, y) for x in numbers for y in numbers if token_set_score(x, y) >= 90}
+    assert want <= found and len(found) <= 1.05 * len(want), (len(found), len(want))
+
+
 def test_direct_links(spark):
     urls = ["https://a.example.org/artist/ab-1?x", "https://example.org/other", "https://bexample.org/artist/c", "https://example.org/artist/a%20b", "::bad", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")

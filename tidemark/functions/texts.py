@@ -86,6 +86,24 @@ def name_grams(text: pd.Series) -> pd.Series:
     return text.map(grams)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def name_cuts(text: pd.Series) -> pd.Series:
+    """The words of token_set_ratio, sorted and joined, and the same less any one character: of a word, or of a space between
+    any two words. Two texts, whatever words they have in common, that a character less on each side makes equal share one."""
+
+    def cuts(t: str | None) -> list[str]:
+        words = sorted(words_of(t or ""))
+        joined = lambda *w: " ".join(sorted(filter(None, w)))
+        out = {joined(*words)}
+        for i, w in enumerate(words):
+            rest = words[:i] + words[i + 1 :]
+            out |= {joined(*rest, w[:j] + w[j + 1 :]) for j in range(len(w))}
+            out |= {joined(*rest[:j], *rest[j + 1 :], w + x) for j, x in enumerate(rest)}
+        return sorted(out)
+
+    return text.map(cuts)
+
+
 def host(url: Column) -> Column:
     """Lower-cased host of a URL, of whatever characters; NULL where there is none or its brackets do not pair.
 

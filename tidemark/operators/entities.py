@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.texts import host_in, name_grams, name_words, token_set_ratio
+from tidemark.functions.texts import host_in, name_cuts, name_grams, name_words, token_set_ratio
 from tidemark.operators.relational import first_by
 
 
@@ -52,14 +52,17 @@ def _candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         lengths = F.sequence(F.ceil(F.col("n") * (t / (2 - t)) - 1e-6), F.floor(F.col("n") * ((2 - t) / t) + 1e-6))
         df = df.withColumn("o", F.explode(lengths)).withColumn("m", F.ceil((F.col("n") + F.col("o")) * (t / 2) - 1e-6))
         spoilt = (2 * F.col("n") + F.col("o") - 3 * F.col("m")).cast("int")
-        df = df.where((F.col("m") <= F.col("n")) & (F.col("m") <= F.col("o")))
+        # where a character less on each side makes equal, the cuts below find the pair
+        df = df.where((F.col("m") <= F.col("n")) & (F.col("m") <= F.col("o")) & ((F.col("n") - F.col("m") > 1) | (F.col("o") - F.col("m") > 1)))
         return df.select(column, F.col("n").cast("long").alias(own), F.col("o").alias(other), F.col("grams").alias(f"{column}_grams"), F.explode(F.slice("grams", F.lit(1), spoilt + 1)).alias("key"))
 
     keyed = prefixes(left, "name", "a", "b").drop("name_grams").join(prefixes(right, "alias", "b", "a").drop("alias_grams"), ["key", "a", "b"]).select("name", "alias", "a", "b").distinct()
     keyed = keyed.join(left.select("name", F.col("grams").alias("x")), "name").join(right.select("alias", F.col("grams").alias("y")), "alias")
     m = F.ceil((F.col("a") + F.col("b")) * (t / 2) - 1e-6)
     near = keyed.where(F.size(F.array_intersect("x", "y")) >= F.col("a") + 1 - (2 * F.col("a") + F.col("b") - 3 * m)).select("name", "alias")
-    return pairs.unionByName(near).distinct()
+    cut = lambda df, column: df.select(column, F.explode(name_cuts(column)).alias("key"))
+    one = cut(left, "name").join(cut(right, "alias"), "key").select("name", "alias")
+    return pairs.unionByName(near).unionByName(one).distinct()
 
 
 def scored_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -> DataFrame:
@@ -68,7 +71,8 @@ def scored_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -
 
     No such pair is missed. A score comes from common words that make up most of one side, which then has one of its
     rarest words in the other (a word of all aliases is a key only for names of nothing else); or from two texts of
-    similar length, which then have one of their rarest pairs of characters in common, and enough of all.
+    similar length, which then are equal less a character each, or, where more may differ, have one of their rarest pairs of
+    characters in common, and enough of all.
     """
     if least < 70:
         raise ValueError("pairs of characters find scores of 70 and more")
