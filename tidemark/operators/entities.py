@@ -78,7 +78,9 @@ def scored_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -
         raise ValueError("pairs of characters find scores of 70 and more")
     left = _prepared(names.where("name is not null"), "name")
     right = aliases.select("entity", "alias").where("entity is not null and alias is not null").distinct()
-    pairs = _candidates(left, _prepared(right, "alias"), least).withColumn("score", token_set_ratio("name", "alias")).where(F.col("score") >= least)
+    # pairs are few bytes and much work: a given number of parts is not joined into fewer
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _candidates(left, _prepared(right, "alias"), least).repartition(parts, "name", "alias").withColumn("score", token_set_ratio("name", "alias")).where(F.col("score") >= least)
     return pairs.join(right, "alias").groupBy("name", "entity").agg(F.max("score").alias("score"))
 
 
