@@ -154,3 +154,19 @@ def test_season_beats_naive(spark):
     last = P.holt(df, ["genre"], "week", "x", 2).first()
     season = [v for i, v in enumerate(y) if i % 52 == (len(y) + 1) % 52]
     assert abs(last.predicted - season[-1]) < 1.0 and last.low <= last.predicted <= last.high
+
+
+def test_models_share_one_settled_series(spark, data):
+    """The posts are counted once, and no table passes through the driver for that, however many models and jobs follow."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import backtest_queries as Q
+    from tidemark.plans import substrate as S
+
+    df, rec = Q.pooled(spark, data, [1], 10_000)
+    assert df.inputFiles() and all("series-" in f for f in [*df.inputFiles(), *rec.inputFiles()])
+    rows = lambda d: sorted((r.genre, r.axis, r.week, round(r.x, 9)) for r in d.where("x is not null").collect())
+    of = S.grid(spark, data).select("genre", "week", F.ln(1 + F.col("conv")).alias("conversation"), F.ln(1 + F.col("listen")).alias("listening"))
+    assert rows(df) == rows(of.unpivot(["genre", "week"], ["conversation", "listening"], "axis", "x"))
+    plan = S.conversation(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [author" not in plan and "BroadcastHashJoin [post_id" not in plan

@@ -11,6 +11,7 @@ from tidemark.operators import backtest as B
 from tidemark.operators import boosting as G
 from tidemark.plans import substrate as S
 from tidemark.plans.catalog import query, r6, s6
+from tidemark.sources.tables import settled
 
 KEYS = ["genre", "family", "axis"]
 PAIR = [*KEYS, "horizon", "origin"]
@@ -18,7 +19,7 @@ PAIR = [*KEYS, "horizon", "origin"]
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(genre, family, axis, week, x): both axes as logarithms."""
-    x = S.grid(spark, sf_dir).select("genre", "family", "week", F.ln(1 + F.col("conv")).alias("conversation"), F.ln(1 + F.col("listen")).alias("listening"))
+    x = S.demand(spark, sf_dir).select("genre", "family", "week", F.ln(1 + F.col("conv")).alias("conversation"), F.ln(1 + F.col("listen")).alias("listening"))
     return x.unpivot(["genre", "family", "week"], ["conversation", "listening"], "axis", "x")
 
 
@@ -95,7 +96,8 @@ def cuts(df: DataFrame, every: int) -> list:
 
 def pooled(spark: SparkSession, sf_dir: str, horizons: list[int], every: int) -> tuple[DataFrame, DataFrame]:
     """Backtest records of naive, seasonal, smoothing and boosting."""
-    df = series(spark, sf_dir)
+    # a row for each category, axis and week: every model and every job of the fit would count the posts again
+    df, _ = settled(series(spark, sf_dir), "series")
     boosted = B.boosted(B.pooled_examples(df, *KEYS, "week", "x", horizons), cuts(df, every), KEYS, "axis", rounds=8)
     return df, B.persistent(df, KEYS, "week", "x", horizons).unionByName(B.smoothed(df, KEYS, "week", "x", horizons, refit=52)).unionByName(boosted)
 
@@ -105,7 +107,7 @@ def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models from every origin, scored by category beside naive, and the one chosen at both grains: no SQL; each model
     is tested against plain loops. Boosting is fitted once a year, on all categories."""
     _, rec = pooled(spark, sf_dir, [1, 2], 52)
-    rec = rec.persist()
+    rec, _ = settled(rec, "records")
     fine, coarse = B.scored(rec, [*KEYS, "horizon", "model"], PAIR), B.scored(rec, ["family", "axis", "horizon", "model"], PAIR)
     best = B.chosen(fine, coarse, [*KEYS, "horizon"], ["family", "axis", "horizon"]).select("genre", "axis", "horizon", F.col("model").alias("_best"))
     out = fine.join(best, ["genre", "axis", "horizon"])
