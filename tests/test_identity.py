@@ -125,3 +125,18 @@ def test_any_model_embeds(spark):
             assert r.embedding[0] == 2 * r.i and r.embedding[1] <= 8 and r.embedding[2] == 1  # loaded once in a worker
     zero, one, same = (np.array(r.embedding) for r in M.embedded(spark.createDataFrame([(0, ""), (1, "a b a"), (2, "b a  a")], "i int, t string"), "t", arguments=(8,)).orderBy("i").collect())
     assert not zero.any() and np.linalg.norm(one) == pytest.approx(1) and (one == same).all()
+
+
+def test_differing_ranges_hash_each_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(k, k % 7, None) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k long, x long, y string")
+    of = lambda d: V.range_tree(d.mapInArrow(counted, d.schema), F.floor(F.col("k") / 4), ["k", "x", "y"], fanout=4, levels=3)
+    found = V.differing_ranges(of(df), of(df.where("k <> 9")), fanout=4).collect()
+    assert [(r.node, r.change) for r in found] == [(2, "changed")] and read.value == 1999

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import settled
+
 
 def fingerprinted(df: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:
     """(keys, fingerprint): an order-free digest of each key's distinct rows of items. Repeated rows count once; the digest
@@ -74,8 +76,11 @@ def range_tree(df: DataFrame, ranges: Column, columns: Sequence[str], *, fanout:
     in order; with `levels` left open the tree ends in one root. Partitioning and order of rows change nothing; NULLs count.
     """
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    lanes = [F.sum(F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    leaves = df.select(ranges.cast("long").alias("node"), F.md5(text.cast("binary")).alias("_d")).groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *(x.cast("string") for x in lanes)).alias("_s"))
+    # sums of a lane's two halves as longs hold for 2**47 rows of a range, and cost less than sums of decimals
+    lane = lambda i: F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("long").alias(f"_l{i}")
+    rows = df.select(ranges.cast("long").alias("node"), F.md5(text.cast("binary")).alias("_d")).select("node", *map(lane, range(4)))
+    high, low = (lambda i: F.sum(F.shiftright(f"_l{i}", 16)).cast("decimal(20,0)")), (lambda i: F.sum(F.col(f"_l{i}").bitwiseAND(0xFFFF)))
+    leaves = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *((high(i) * 65536 + low(i)).cast("string") for i in range(4))).alias("_s"))
     now = leaves.select(F.lit(0).alias("level"), "node", "rows", F.sha2(F.concat_ws("/", F.col("node").cast("string"), F.col("rows").cast("string"), "_s"), 256).alias("digest"))
     if levels is None:
         last = df.agg(F.max(ranges.cast("long"))).first()[0] or 0
@@ -93,7 +98,9 @@ def range_tree(df: DataFrame, ranges: Column, columns: Sequence[str], *, fanout:
 
 def differing_ranges(new: DataFrame, stored: DataFrame, *, fanout: int = 16) -> DataFrame:
     """(node, change): leaves of two trees that are not equal: added, removed or changed. Only children of nodes that differ
-    are compared, level by level from the highest that both have."""
+    are compared, level by level from the highest that both have. Trees are settled first: every level reads them, and a
+    tree that is not yet computed would hash its table again for each."""
+    new, stored = settled(new, "tree")[0], settled(stored, "tree")[0]
     tops = [t.agg(F.max("level")).first()[0] for t in (new, stored)]
     # trees of different heights are compared from the lower one's top on
     top = min((t for t in tops if t is not None), default=0)
