@@ -229,3 +229,12 @@ def test_music_rules_beyond_ascii_and_strict_urls(spark):
         assert of("x", link) == [f"link:{host}"], link
     for link in ("https://NHL.com]", "https://[last.fm/x", "last.fm/music", "https:///last.fm", "mailto:x@last.fm", "https://x.org/?u=//last.fm", ""):
         assert of("x", link) == [], link
+
+
+def test_posts_are_dealt_to_tasks_and_matched_once(spark, data):
+    from tidemark.plans import QUERIES
+
+    for name in ("music_feed", "music_rules"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("new\\s+album") == 1, name
+        assert plan.index("new\\s+album") < plan.index("Exchange"), name

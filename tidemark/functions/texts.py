@@ -111,9 +111,14 @@ def host(url: Column) -> Column:
     """
     plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
     place = F.regexp_extract(plain, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
-    own = F.regexp_replace(place, "^.*@", "")
-    name = F.when(own.startswith("["), F.regexp_extract(own, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(own, "^([^:]*)", 1))
-    return F.when(place.contains("[") != place.contains("]"), None).otherwise(F.nullif(F.lower(name), F.lit("")))
+
+    def named(place: Column) -> Column:
+        own = F.regexp_replace(place, "^.*@", "")
+        name = F.when(own.startswith("["), F.regexp_extract(own, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(own, "^([^:]*)", 1))
+        return F.when(place.contains("[") != place.contains("]"), None).otherwise(F.nullif(F.lower(name), F.lit("")))
+
+    # as an element the place is found once, however often it is named
+    return F.get(F.transform(F.array(place), named), F.lit(0))
 
 
 def host_in(url: Column, suffixes: Sequence[str]) -> Column:

@@ -7,6 +7,7 @@ and tables are classified alike.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,17 +61,16 @@ def rules(text: Column, links: Column, hashtags: Column, *, hosts: Sequence[str]
     none = F.array().cast("array<string>")
     allowed = F.array(*map(F.lit, hosts))
 
-    def of_link(url: Column) -> Column:
-        name = F.regexp_replace(host(url), r"\.+$", "")
-        return F.element_at(F.concat(F.filter(allowed, lambda a: (name == a) | name.endswith(F.concat(F.lit("."), a))), F.array(F.lit(None).cast("string"))), 1)
-
-    found = F.transform(F.coalesce(links, none), of_link)
+    # names are elements before they are compared: written inside the filter they would be parsed again for every host
+    names = F.transform(F.coalesce(links, none), lambda url: F.regexp_replace(host(url), r"\.+$", ""))
+    found = F.transform(names, lambda name: F.get(F.filter(allowed, lambda a: (name == a) | name.endswith(F.concat(F.lit("."), a))), F.lit(0)))
     by_link = F.transform(F.filter(found, lambda h: h.isNotNull()), lambda h: F.concat(F.lit("link:"), h))
     lower = F.filter(F.transform(F.coalesce(hashtags, none), F.lower), lambda t: t.isin(*music_tags))
     by_tag = F.transform(lower, lambda t: F.concat(F.lit("hashtag:#"), t))
     by_wording = F.array_compact(F.array(*(F.when(_words(text, p), F.lit(n)) for n, p in wordings.items())))
-    vetoed = F.array_compact(F.array(*(F.when(_words(text, p), F.lit(n)) for n, p in vetoes.items())))
-    return F.array_except(F.array_distinct(F.concat(by_link, by_tag, by_wording)), vetoed)
+    # a veto is looked for only where its rule holds
+    vetoed = lambda rule: reduce(lambda c, x: c.when(rule == x[0], _words(text, x[1])), vetoes.items(), F.when(F.lit(False), False)).otherwise(False)
+    return F.filter(F.array_distinct(F.concat(by_link, by_tag, by_wording)), lambda rule: ~vetoed(rule))
 
 
 def in_feed(text: Column, found: Column) -> Column:
