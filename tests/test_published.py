@@ -165,3 +165,44 @@ def test_unread_polls(spark, tmp_path):
     whole = spark.createDataFrame([r for part in rows for r in part], kind)
     batch = T.unread_by(whole.where("kind = 'post'").select("uri", F.col("at").alias("created_at")), whole.where("kind = 'reading'").select("uri", "target", "at"), F.lit(day(18)))
     assert {(r.uri, r.target): r.due_at for r in batch.collect()} == found
+
+
+def test_weeks_that_close_together_cost_one_state_call_each_way():
+    class Value:
+        calls, value = [], (5, 1, None)
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    pairs = T.WeeklyPairs()
+    pairs.init(Handle())
+    rows = [{"week": day(d).date(), "at_us": d, "plays": d, "listeners": None} for d in (15, 8, 29)]
+    found = [(r["week"].day, r["last_at_us"], r["last_plays"]) for r in pairs.handleInputRows(("a",), iter(rows), None)]
+    assert found == [(8, 5, 1), (15, 8, 8), (29, 15, 15)] and Value.calls == ["get", "update"] and pairs.last.value == (29, 29, None)
+
+
+def test_arriving_parts_read_the_rows_a_fixed_number_of_times(spark):
+    from tidemark.plans import stream_queries as Q
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, day(1 + i % 30)) for i in range(300)], "n long, at timestamp")
+    stream, folder = Q.arriving(spark, rows.mapInArrow(counted, rows.schema), "at", "n")
+    # the first time, the rows, and those that come again; not once more for each of the four or five parts
+    assert read.value == 900 and set(stream.columns) == {"n", "at"}
+    whole = spark.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(f"{folder}/in")
+    assert whole.distinct().exceptAll(rows).count() == 0 and whole.select("n").distinct().count() == 300

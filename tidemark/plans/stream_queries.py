@@ -26,10 +26,11 @@ def arriving(spark: SparkSession, rows: DataFrame, at: str, key: str) -> tuple[D
     again = rows.where(F.pmod(F.xxhash64(key), F.lit(10)) == 0)
     both = rows.withColumn("_arrives", late(1)).unionByName(again.withColumn("_arrives", late(2)))
     first = rows.agg(F.min(at)).first()[0]
-    both = both.withColumn("_part", F.floor(F.datediff("_arrives", F.lit(first)) / DAYS).cast("int"))
-    parts = [r[0] for r in both.select("_part").distinct().orderBy("_part").collect()]
+    # dealt to parts once: a part read from its own folder leaves the other rows alone
+    both.withColumn("_part", F.floor(F.datediff("_arrives", F.lit(first)) / DAYS).cast("int")).drop("_arrives").write.partitionBy("_part").parquet(f"{folder}/parts")
+    parts = [r[0] for r in spark.read.parquet(f"{folder}/parts").select("_part").distinct().orderBy("_part").collect()]
     for part in parts:
-        both.where(F.col("_part") == part).drop("_arrives", "_part").write.parquet(f"{folder}/in/{part:04d}")
+        spark.read.schema(rows.schema).parquet(f"{folder}/parts/_part={part}").write.parquet(f"{folder}/in/{part:04d}")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     return stream, folder
 

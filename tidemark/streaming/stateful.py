@@ -6,11 +6,9 @@ delay, come in any order, and come again.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -18,79 +16,46 @@ from pyspark.sql.types import StructType
 from tidemark.functions import kernels as K
 
 PAIR = "key string, week date, at timestamp, plays long, listeners long, last_at timestamp, last_plays long, last_listeners long"
-WEEK_MS = 7 * 86_400_000
-#: The epoch is a Thursday; the Monday before it, in milliseconds.
-MONDAY_MS = -3 * 86_400_000
+CLOSED = ["key", "week", "at_us", "plays", "listeners", "last_at_us", "last_plays", "last_listeners"]
 
 
-class WeeklyReadings(StatefulProcessor):
-    """Keeps the latest reading of each open week; when the watermark passes a week's end, pairs it with that of the last
-    week before it that had one. State for a key: its open weeks, and one reading."""
+class WeeklyPairs(StatefulProcessor):
+    """Pairs the reading of each closed week of a key with that of the last week before it that had one. Weeks come once, and
+    none after a later one. State for a key: one reading, fetched and stored once however many weeks come together."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        reading = "at_us long, plays long, listeners long"
-        self.handle = handle
-        self.open = handle.getMapState("open", "week long", reading)
-        self.last = handle.getValueState("last", reading)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        latest: dict[int, tuple] = {}
-        for part in rows:
-            for at, plays, listeners in zip(part["at"], part["plays"], part["listeners"], strict=True):
-                us = at.value // 1000
-                week = (us // 1000 - MONDAY_MS) // WEEK_MS
-                reading = (us, None if pd.isna(plays) else int(plays), None if pd.isna(listeners) else int(listeners))
-                if MONDAY_MS + (week + 1) * WEEK_MS > passed and (week not in latest or _later(reading, latest[week])):
-                    latest[week] = reading
-        for week, reading in latest.items():
-            known = self.open.containsKey((week,))
-            if not known or _later(reading, tuple(self.open.getValue((week,)))):
-                self.open.updateValue((week,), reading)
-            if not known:
-                self.handle.registerTimer(MONDAY_MS + (week + 1) * WEEK_MS)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        closed = sorted(w for (w,) in self.open.keys() if MONDAY_MS + (w + 1) * WEEK_MS <= passed)
-        out = []
-        for week in closed:
-            now = tuple(self.open.getValue((week,)))
-            before = tuple(self.last.get()) if self.last.exists() else (None, None, None)
-            day = datetime.date(1970, 1, 1) + datetime.timedelta(milliseconds=MONDAY_MS + week * WEEK_MS)
-            out.append([key[0], day, _time(now[0]), *now[1:], _time(before[0]), *before[1:]])
-            self.last.update(now)
-            self.open.removeKey((week,))
-        if out:
-            frame = pd.DataFrame(out, columns=["key", "week", "at", "plays", "listeners", "last_at", "last_plays", "last_listeners"])
-            for c in ("plays", "listeners", "last_plays", "last_listeners"):
-                frame[c] = frame[c].astype("Int64")
-            for c in ("at", "last_at"):
-                frame[c] = pd.to_datetime(frame[c])
-            yield frame
+        self.last = handle.getValueState("last", "at_us long, plays long, listeners long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before, out = self.last.get() or (None, None, None), []
+        for row in sorted(rows, key=lambda r: r["week"]):
+            now = (row["at_us"], row["plays"], row["listeners"])
+            out.append(Row(**dict(zip(CLOSED, (key[0], row["week"], *now, *before), strict=True))))
+            before = now
+        self.last.update(before)
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
-def _later(a: tuple, b: tuple) -> bool:
-    """By time, then by the counters; NULL is least."""
-    rank = lambda r: [(x is not None, x or 0) for x in r]
-    return rank(a) > rank(b)
-
-
-def _time(us: int | None):
-    return None if us is None else pd.Timestamp(us, unit="us")
-
-
 def weekly_readings(readings: DataFrame, delay: str = "2 days") -> DataFrame:
-    """PAIR for a stream of (key, at, plays, listeners): one row for each key and closed week with a reading."""
+    """PAIR for a stream of (key, at, plays, listeners): one row for each key and closed week with a reading.
+
+    Spark keeps the latest reading of each open week, by time, then by the counters (NULL is least); only weeks that the
+    watermark has passed go on to the state of their key.
+    """
     spark: SparkSession = readings.sparkSession
-    # timers and maps of keys need the store on disk
+    # values of keys need the store on disk
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own = readings.select(F.col("key").cast("string").alias("key"), "at", "plays", "listeners").withWatermark("at", delay)
-    return own.groupBy("key").transformWithStateInPandas(WeeklyReadings(), StructType.fromDDL(PAIR), "Append", "EventTime")
+    own = readings.select(F.col("key").cast("string").alias("key"), "at", F.struct("at", "plays", "listeners").alias("r")).withWatermark("at", delay)
+    week = F.window("at", "7 days", startTime="4 days")  # the epoch is a Thursday
+    latest = own.groupBy("key", week.alias("w")).agg(F.max("r").alias("r"))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86_400).cast("int"))
+    closed = latest.select("key", day.alias("week"), F.unix_micros("r.at").alias("at_us"), "r.plays", "r.listeners")
+    kind = "key string, week date, at_us long, plays long, listeners long, last_at_us long, last_plays long, last_listeners long"
+    pairs = closed.groupBy("key").transformWithState(WeeklyPairs(), StructType.fromDDL(kind), "Append", "None")
+    return pairs.select("key", "week", F.timestamp_micros("at_us").alias("at"), "plays", "listeners", F.timestamp_micros("last_at_us").alias("last_at"), "last_plays", "last_listeners")
 
 
 def weekly_pairs(readings: DataFrame) -> DataFrame:
