@@ -107,7 +107,7 @@ def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models from every origin, scored by category beside naive, and the one chosen at both grains: no SQL; each model
     is tested against plain loops. Boosting is fitted once a year, on all categories."""
     _, rec = pooled(spark, sf_dir, [1, 2], 52)
-    rec, _ = settled(rec, "records")
+    rec = rec.persist()
     fine, coarse = B.scored(rec, [*KEYS, "horizon", "model"], PAIR), B.scored(rec, ["family", "axis", "horizon", "model"], PAIR)
     best = B.chosen(fine, coarse, [*KEYS, "horizon"], ["family", "axis", "horizon"]).select("genre", "axis", "horizon", F.col("model").alias("_best"))
     out = fine.join(best, ["genre", "axis", "horizon"])
