@@ -167,6 +167,37 @@ def test_unread_polls(spark, tmp_path):
     assert {(r.uri, r.target): r.due_at for r in batch.collect()} == found
 
 
+def test_unread_polls_keep_a_row_for_each_bucket_and_equal_the_batch_form(spark, tmp_path):
+    kind = "kind string, uri long, target int, at timestamp"
+    micro, hour = datetime.timedelta(microseconds=1), datetime.timedelta(hours=1)
+    rows = []
+    for n in range(400):
+        at = day(1) + n * datetime.timedelta(minutes=72)  # 20 days
+        rows.append(("post", n, 0, at))
+        if n % 11 == 0:
+            rows.append(("post", n, 0, at + hour))  # repeated later: the earliest counts
+        for target in (24, 72):
+            # before the post, with it, at the last moment, after it, not at all, twice, or both before and after
+            met = [[-micro], [0 * hour], [target * hour], [target * hour + micro], [], [hour, hour], [-micro, target * hour + micro]][n * target // 24 % 7]
+            rows.extend(("reading", n, target, at + x) for x in met)
+    rows += [("reading", 1, 48, day(2)), ("reading", 5000, 24, day(3)), ("reading", None, 24, day(2)), ("post", None, 0, day(2)), ("post", None, 0, day(2)), ("post", 6000, 0, None)]
+    rows += [("post", 7000, 0, day(25)), ("reading", 7000, 24, day(25, 5))]
+    batches = [[r for r in rows if (r[3] or day(1)) < day(8)], [r for r in rows if r[3] and day(8) <= r[3] < day(15)], [r for r in rows if r[3] and r[3] >= day(15)]]
+    # readings come a batch before their posts, posts a day late
+    moved = [r for r in batches[1] if r[0] == "reading" and r[3] < day(9)]
+    late = [r for r in batches[0] if r[0] == "post" and r[3] and r[3] >= day(7)]
+    batches = [[r for r in batches[0] if r not in late] + moved, [r for r in batches[1] if r not in moved] + late, batches[2]]
+    posts, readings = (lambda s: (s.where("kind = 'post'").select("uri", F.col("at").alias("created_at")), s.where("kind = 'reading'").select("uri", "target", "at")))(stream_of(spark, tmp_path, batches, kind))
+    query = I.write(T.unread(posts, readings, delay="4 days"), str(tmp_path / "state"), I.append_once(str(tmp_path / "out")))
+    query.awaitTermination()
+    found = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select("uri", "target", "due_at").collect()))
+    whole = spark.createDataFrame([r for part in batches for r in part], kind)
+    batch = T.unread_by(whole.where("kind = 'post'").select("uri", F.col("at").alias("created_at")), whole.where("kind = 'reading'").select("uri", "target", "at"), F.lit(day(21)))
+    assert len(found) > 300 and found == sorted(map(str, batch.select("uri", "target", "due_at").collect()))
+    # hundreds of posts and their readings wait: joins kept several rows for each
+    assert max(sum(o.numRowsTotal for o in p.stateOperators) for p in query.recentProgress) <= 513
+
+
 def test_weeks_that_close_together_cost_one_state_call_each_way():
     class Value:
         calls, value = [], (5, 1, None)

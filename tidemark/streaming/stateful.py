@@ -6,17 +6,22 @@ delay, come in any order, and come again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.functions import kernels as K
 
 PAIR = "key string, week date, at timestamp, plays long, listeners long, last_at timestamp, last_plays long, last_listeners long"
 CLOSED = ["key", "week", "at_us", "plays", "listeners", "last_at_us", "last_plays", "last_listeners"]
+HOUR = 3_600_000_000
 
 
 class WeeklyPairs(StatefulProcessor):
@@ -73,24 +78,60 @@ def with_status(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("status", status)
 
 
-def unread(posts: DataFrame, readings: DataFrame, hours: tuple[int, ...] = (24, 72), delay: str = "6 hours") -> DataFrame:
+def unread(posts: DataFrame, readings: DataFrame, hours: tuple[int, ...] = (24, 72), delay: str = "6 hours", buckets: int = 512) -> DataFrame:
     """(uri, target, due_at): polls of streams posts (uri, created_at) and readings (uri, target, at) that fell due without
     a reading of that target from the post on until then.
 
-    Outer joins of two streams: a post waits, once for each target, until both watermarks have passed its due time, and is
-    given out if no reading has met it. Repeated posts count once, repeated readings change nothing.
+    A post waits until both watermarks have passed its last due time, a reading until none that it could meet waits. Posts and
+    readings of a bucket of uris share one state, so that a batch costs a call for each bucket, not for each post; memory
+    holds one bucket's rows at a time. A checkpoint belongs to its number of buckets. Repeated posts count once, at the
+    earliest of their times; repeated readings change nothing.
     """
-    once = posts.select("uri", "created_at").withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["uri"])
-    every = readings.select(F.col("uri").alias("_uri"), "target", F.col("at").alias("_at")).withWatermark("_at", delay)
-    out = None
-    for h in hours:
-        # one join for each target: its bound tells Spark when a post need not wait any longer. The filter names the time, so
-        # that it stays above the watermark, which all readings move
-        read = every.where(F.when(F.col("_at").isNotNull(), F.col("target") == h).otherwise(False)).select("_uri", "_at")
-        inside = (F.col("_uri") == F.col("uri")) & (F.col("_at") >= F.col("created_at")) & (F.col("_at") <= F.col("created_at") + F.expr(f"interval {h} hours"))
-        own = once.join(read, inside, "left_outer").where("_uri is null").select("uri", F.lit(h).alias("target"), (F.col("created_at") + F.expr(f"interval {h} hours")).alias("due_at"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    uri = posts.schema["uri"].dataType
+    own = posts.select("uri", F.lit(0).cast("long").alias("target"), F.col("created_at").alias("at"), F.lit(True).alias("post")).withWatermark("at", delay)
+    read = readings.select(F.col("uri").cast(uri).alias("uri"), F.coalesce(F.col("target").cast("long"), F.lit(0)).alias("target"), "at", F.lit(False).alias("post")).withWatermark("at", delay)
+    # posts without a uri have a bucket to themselves, where no reading counts
+    bucket = F.when(F.col("uri").isNull(), -1).otherwise(F.pmod(F.xxhash64("uri"), F.lit(buckets))).cast("int")
+    rows = own.unionByName(read).where("at is not null").select(bucket.alias("bucket"), F.coalesce("uri", F.lit("0").cast(uri)).alias("uri"), "target", "at", F.unix_micros("at").alias("us"), "post")
+    kind = StructType.fromDDL("bucket int, target int, due_us long").add("uri", uri)
+    due = rows.groupBy("bucket").applyInPandasWithState(_falling_due(hours), kind, "seen_us long, rows binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return due.select(F.when(F.col("bucket") >= 0, F.col("uri")).alias("uri"), "target", F.timestamp_micros("due_us").alias("due_at"))
+
+
+def _falling_due(hours: tuple[int, ...]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """State for a bucket: the watermark that it has seen, and its rows (uri, target, us, post) that wait, as an Arrow stream."""
+
+    def falling(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        seen, old = state.get if state.exists else (-(2**63), None)
+        waiting = [] if old is None else [pa.ipc.open_stream(old).read_pandas()]
+        rows = pd.concat([*waiting, *(b[["uri", "target", "us", "post"]] for b in batches)], ignore_index=True)
+        post = rows["post"].to_numpy(dtype=bool)
+        posts = rows[post].sort_values("us").drop_duplicates("uri")
+        read = rows[~post & rows["target"].isin(hours).to_numpy() & (key[0] >= 0)].drop_duplicates()
+        target = np.repeat(np.array(hours, dtype=np.int64), len(posts))
+        ends = np.tile(posts["us"].to_numpy(), len(hours)) + target * HOUR
+        falls = (ends < now) & (ends >= seen)  # what was due before has been given out
+        if falls.any():
+            due = pd.DataFrame({"bucket": key[0], "uri": np.tile(posts["uri"].to_numpy(), len(hours))[falls], "target": target[falls], "due_us": ends[falls], "n": np.arange(falls.sum())})
+            met = due.merge(read[["uri", "target", "us"]], on=["uri", "target"])
+            met = met["n"][(met["us"] <= met["due_us"]) & (met["us"] >= met["due_us"] - met["target"] * HOUR)]
+            yield due.drop(index=met.unique())[["bucket", "target", "due_us", "uri"]]
+        last = read["us"] + read["target"] * HOUR
+        kept = pd.concat([posts[posts["us"].to_numpy() + max(hours) * HOUR >= now], read[last >= now]])
+        if kept.empty:
+            state.remove()
+            return
+        table = pa.Table.from_pandas(kept, preserve_index=False)
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            state.update((now, sink.getvalue().to_pybytes()))
+        # called again when the watermark has passed the next due time, or the last of readings that no post waits for
+        later = ends[ends >= now]
+        state.setTimeoutTimestamp(max(int(later.min() if len(later) else last.max()) // 1000, 1))
+
+    return falling
 
 
 def unread_by(posts: DataFrame, readings: DataFrame, until: Column, hours: tuple[int, ...] = (24, 72)) -> DataFrame:
