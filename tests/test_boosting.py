@@ -127,3 +127,27 @@ def test_rolling_origins_learn_nothing_of_the_future(spark):
     records = naive.unionByName(run(df))
     scores = {r.horizon: r.mase for r in B.scored(records, ["model", "horizon"], [*by, "horizon", "origin"]).where("model = 'gbm'").collect()}
     assert scores[2] < 1  # turning points are learned from the pool
+
+
+def test_few_examples_need_no_passes(spark):
+    """Models of few examples are grown within tasks, the same as by passes; those of many in tasks that their examples are
+    worth, however many parts they come in."""
+    r = np.random.default_rng(8)
+    rows = [(i % 3, float(a), float(b), float(2 * a + (b > 0.5) + r.normal(0, 0.2))) for i, (a, b) in enumerate(r.normal(size=(900, 2)))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double").repartition(12)
+    tracker = spark.sparkContext.statusTracker()
+    done = lambda: set(tracker.getJobIdsForGroup(None))
+    shape = {"rounds": 3, "depth": 2}
+    before = done()
+    one = G.fit(df, ["k"], ["a", "b"], "y", **shape)
+    jobs = len(done() - before)
+    assert jobs <= 8, jobs  # stages may be jobs of their own
+    many = G.fit(df, ["k"], ["a", "b"], "y", **shape, whole=0)
+    mixed = G.fit(df.where("k <> 1 or a > 0"), ["k"], ["a", "b"], "y", **shape, whole=200)
+    assert set(one.trees) == set(many.trees) == set(mixed.trees) == {(0,), (1,), (2,)}
+    for a, b, keys in ((one, many, [(0,), (1,), (2,)]), (one, mixed, [(0,), (2,)])):
+        for key in keys:
+            for x, y in zip(a.trees[key], b.trees[key], strict=True):
+                assert len(x) == len(y) == 3
+                for s, t in zip(x, y, strict=True):
+                    assert (s.feature == t.feature).all() and (s.edge == t.edge).all() and s.leaf == pytest.approx(t.leaf, abs=1e-12)

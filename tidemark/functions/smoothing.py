@@ -71,6 +71,31 @@ def path(y: Sequence[float], p: Parameters, cycle: int = 0) -> Path:
     return Path(ahead, levels, trends, terms, cycle)
 
 
+def squared_error(y: Sequence[float], p: Parameters, cycle: int = 0) -> float:
+    """The squares of path's one-step errors in sum, without the path: a search asks for it some hundred times."""
+    level, trend, terms = first_states(y, cycle)
+    a, b, g, d = p.level, p.trend, p.season, p.damping
+    left_a, left_b, left_g = 1 - a, 1 - b, 1 - g
+    errors = []
+    if cycle:
+        for i, v in enumerate(y):
+            s = terms[i]
+            base = level + d * trend
+            errors.append((v - (base + s)) ** 2)
+            new = a * (v - s) + left_a * base
+            trend = b * (new - level) + left_b * d * trend
+            level = new
+            terms.append(g * (v - base) + left_g * s)
+    else:
+        for v in y:
+            base = level + d * trend
+            errors.append((v - base) ** 2)
+            new = a * v + left_a * base
+            trend = b * (new - level) + left_b * d * trend
+            level = new
+    return sum(errors)
+
+
 def simplex(f: Callable[[list[float]], float], start: Sequence[float], *, step: float = 1.0, rounds: int = 160, tolerance: float = 1e-7) -> list[float]:
     """Nelder and Mead's search for a minimum; the same start gives the same end."""
     n = len(start)
@@ -114,7 +139,7 @@ def fitted(y: Sequence[float], cycle: int = 0, start: Sequence[float] | None = N
     """The search's numbers of least squared one-step error over a series."""
 
     def loss(x: list[float]) -> float:
-        return sum((v - a) ** 2 for v, a in zip(y, path(y, parameters(x), cycle).ahead, strict=True))
+        return squared_error(y, parameters(x), cycle)
 
     first = [0.0, -2.0, -1.0, 1.0] if cycle else [0.0, -2.0, 1.0]
     if start is None or len(start) != len(first):

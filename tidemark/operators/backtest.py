@@ -70,10 +70,14 @@ def persistent(df: DataFrame, by: Sequence[str], week: str, value: str, horizons
         own = own.withColumn("_e_naive", F.col(value) - F.col("_origin")).withColumn("_e_seasonal", F.col(value) - F.col("_cycle"))
         own = own.withColumn("_q_naive", _known_errors(own, by, "_e_naive", 7 * h)).withColumn("_q_seasonal", _known_errors(own, by, "_e_seasonal", 7 * h))
         own = own.where(F.col("_training") >= minimum)
+        # both models from one row: windows are worked out once
+        both = []
         for model, point in (("naive", "_origin"), ("seasonal", "_cycle")):
             low, high = (F.col(point) + F.coalesce(F.col(f"_q_{model}")[i], F.lit(0.0)) for i in (0, 1))
-            rows = own.where(F.col(point).isNotNull()).select(*by, F.lit(h).alias("horizon"), F.lit(model).alias("model"), F.date_sub(week, 7 * h).alias("origin"), F.col(week).alias("target"), F.col("_training").alias("training_weeks"), F.col(point).alias("predicted"), F.least(point, low).alias("low"), F.greatest(point, high).alias("high"), F.col(value).alias("actual"))
-            out = rows if out is None else out.unionByName(rows)
+            both.append(F.struct(F.lit(model).alias("model"), F.col(point).alias("predicted"), F.least(point, low).alias("low"), F.greatest(point, high).alias("high")))
+        rows = own.select(*by, F.lit(h).alias("horizon"), F.date_sub(week, 7 * h).alias("origin"), F.col(week).alias("target"), F.col("_training").alias("training_weeks"), F.col(value).alias("actual"), F.explode(F.array(*both)).alias("_m"))
+        rows = rows.where("_m.predicted is not null").select(*by, "horizon", "_m.model", "origin", "target", "training_weeks", "_m.predicted", "_m.low", "_m.high", "actual")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -199,13 +203,20 @@ def boosted(examples: DataFrame, cuts: Sequence, by: Sequence[str], axis: str, *
     return boosting.forecast(asked, fitted).select(*by, *(F.lit("gbm").alias(c) if c == "model" else F.col(c) for c in RECORD))
 
 
+def paired(records: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """Records that naive has too, by `pair`, with both errors."""
+    error = F.abs(F.col("actual") - F.col("predicted"))
+    naive = records.where("model = 'naive'").select(*pair, error.alias("_e0"))
+    return records.withColumn("_e", error).join(naive, list(pair))
+
+
 def scored(records: DataFrame, by: Sequence[str], pair: Sequence[str], expected: DataFrame | None = None) -> DataFrame:
     """(by, origins, mae, naive_mae, mase, coverage, width, status) of the records that naive has too, by `pair`.
 
-    MASE is NULL where naive makes no error. Expected keys without a pair get a row of NULLs, status missing.
+    MASE is NULL where naive makes no error. Expected keys without a pair get a row of NULLs, status missing. Records may
+    be paired already.
     """
-    naive = records.where("model = 'naive'").select(*pair, F.abs(F.col("actual") - F.col("predicted")).alias("_e0"))
-    own = records.withColumn("_e", F.abs(F.col("actual") - F.col("predicted"))).join(naive, list(pair))
+    own = records if "_e0" in records.columns else paired(records, pair)
     inside = F.when((F.col("low") <= F.col("actual")) & (F.col("actual") <= F.col("high")), 1.0).otherwise(0.0)
     out = own.groupBy(*by).agg(F.count(F.lit(1)).alias("origins"), F.avg("_e").alias("mae"), F.avg("_e0").alias("naive_mae"), F.avg(inside).alias("coverage"), F.avg(F.col("high") - F.col("low")).alias("width"))
     if expected is not None:

@@ -98,8 +98,12 @@ def pooled(spark: SparkSession, sf_dir: str, horizons: list[int], every: int) ->
     """Backtest records of naive, seasonal, smoothing and boosting."""
     # a row for each category, axis and week: every model and every job of the fit would count the posts again
     df, _ = settled(series(spark, sf_dir), "series")
-    boosted = B.boosted(B.pooled_examples(df, *KEYS, "week", "x", horizons), cuts(df, every), KEYS, "axis", rounds=8)
-    return df, B.persistent(df, KEYS, "week", "x", horizons).unionByName(B.smoothed(df, KEYS, "week", "x", horizons, refit=52)).unionByName(boosted)
+    # as files, small tables are read in few tasks
+    examples, _ = settled(B.pooled_examples(df, *KEYS, "week", "x", horizons), "series-examples")
+    boosted = B.boosted(examples, cuts(df, every), KEYS, "axis", rounds=8)
+    # series are few bytes and much work: a given number of parts is not joined into fewer
+    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+    return df, B.persistent(dealt, KEYS, "week", "x", horizons).unionByName(B.smoothed(dealt, KEYS, "week", "x", horizons, refit=52)).unionByName(boosted)
 
 
 @query(None)
@@ -107,7 +111,9 @@ def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models from every origin, scored by category beside naive, and the one chosen at both grains: no SQL; each model
     is tested against plain loops. Boosting is fitted once a year, on all categories."""
     _, rec = pooled(spark, sf_dir, [1, 2], 52)
-    rec = rec.persist()
+    # settled before they are paired: both sides would be forecast anew
+    rec, _ = settled(rec, "records")
+    rec = B.paired(rec, PAIR).persist()
     fine, coarse = B.scored(rec, [*KEYS, "horizon", "model"], PAIR), B.scored(rec, ["family", "axis", "horizon", "model"], PAIR)
     best = B.chosen(fine, coarse, [*KEYS, "horizon"], ["family", "axis", "horizon"]).select("genre", "axis", "horizon", F.col("model").alias("_best"))
     out = fine.join(best, ["genre", "axis", "horizon"])
