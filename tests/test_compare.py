@@ -88,6 +88,29 @@ def test_numbered_names_meet_few_others(spark):
     assert want <= found and len(found) <= 1.05 * len(want), (len(found), len(want))
 
 
+def test_keys_of_names_do_not_pass_through_the_driver(spark):
+    # a name has some twenty keys, and Spark takes all of them together for as few bytes as the names
+    numbers = spark.range(400).selectExpr("format_string('customer %09d', id) as name")
+    left, right = N._prepared(numbers, "name"), N._prepared(numbers.withColumnRenamed("name", "alias"), "alias")
+    assert "Broadcast" not in N._candidates(left, right, 90.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_names_are_the_first_of_all_scores(spark):
+    r = random.Random(6)
+    words = ["the", "night", "owls", "rivers", "00012", "00021", "radiohead", "été"]
+    made = [" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(50)]
+    edited = ["".join(c for c in t if r.random() > 0.05) + r.choice(["", "", " x", "s"]) for t in made]
+    names = spark.createDataFrame([(x,) for x in [*made, *edited, "", None]], "name string")
+    # several entities share an alias, some have several, some none
+    aliases = spark.createDataFrame([(i % 40, x) for i, x in enumerate([*made, *edited, *edited])] + [(None, made[0]), (3, None)], "entity int, alias string")
+    for least in (75.0, 90.0):
+        every = {}
+        for n in N.scored_names(names, aliases, least=least).collect():
+            every[n.name] = min(every.get(n.name, (0.0, 0)), (-n.score, n.entity))
+        assert every and {n.name: (-n.score, n.entity) for n in N.best_names(names, aliases, least=least).collect()} == every
+    assert N.best_names(names.where("false"), aliases, least=90.0).count() == 0 == N.best_names(names, aliases.where("false"), least=90.0).count()
+
+
 def test_direct_links(spark):
     urls = ["https://a.example.org/artist/ab-1?x", "https://example.org/other", "https://bexample.org/artist/c", "https://example.org/artist/a%20b", "::bad", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 @F.pandas_udf(StringType())
@@ -27,6 +28,14 @@ def unicode_fold(text: Column) -> Column:
 
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence: a row of its table is the bits of one number, a step is one addition."""
+    end, most = 0, min(len(a), len(b))
+    while end < most and a[end] == b[end]:
+        end += 1
+    tail = 0
+    while tail < most - end and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    # equal ends belong to a longest one
+    a, b = a[end : len(a) - tail], b[end : len(b) - tail]
     at: dict[str, int] = {}
     for i, y in enumerate(b):
         at[y] = at.get(y, 0) | 1 << i
@@ -35,7 +44,7 @@ def _common(a: str, b: str) -> int:
     for x in a:
         hit = row & at.get(x, 0)
         row = (row + hit | row - hit) & whole
-    return len(b) - row.bit_count()
+    return end + tail + len(b) - row.bit_count()
 
 
 def _indel(a: str, b: str) -> float:
@@ -51,19 +60,27 @@ def token_set_score(a: str | None, b: str | None) -> float | None:
     """Best similarity of the common words, and of them with either text's own words; 100 if one text has no own."""
     if a is None or b is None:
         return None
-    x, y = words_of(a), words_of(b)
+    return _word_score(words_of(a), words_of(b))
+
+
+def _word_score(x: set[str], y: set[str]) -> float:
     if not x or not y:
         return 0.0
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not left or not right):
+    if not both:
+        return _indel(left, right)
+    if not left or not right:
         return 100.0
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    return max(_indel(one, two), *((_indel(both, one), _indel(both, two)) if both else (0.0,)))
+    # the common words, a space, own words: what both begin with is common, and the common words alone are in either whole
+    n, one, two = len(both), len(both) + 1 + len(left), len(both) + 1 + len(right)
+    return max(200.0 * (n + 1 + _common(left, right)) / (one + two), 200.0 * n / (n + one), 200.0 * n / (n + two))
 
 
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    # a text comes in many pairs
+    words = {t: words_of(t) for s in (a, b) for t in s.unique() if t is not None}
+    return pd.Series([None if x is None or y is None else _word_score(words[x], words[y]) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -86,22 +103,59 @@ def name_grams(text: pd.Series) -> pd.Series:
     return text.map(grams)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def name_cuts(text: pd.Series) -> pd.Series:
-    """The words of token_set_ratio, sorted and joined, and the same less any one character: of a word, or of a space between
-    any two words. Two texts, whatever words they have in common, that a character less on each side makes equal share one."""
-
-    def cuts(t: str | None) -> list[str]:
-        words = sorted(words_of(t or ""))
-        joined = lambda *w: " ".join(sorted(filter(None, w)))
-        out = {joined(*words)}
-        for i, w in enumerate(words):
-            rest = words[:i] + words[i + 1 :]
-            out |= {joined(*rest, w[:j] + w[j + 1 :]) for j in range(len(w))}
-            out |= {joined(*rest[:j], *rest[j + 1 :], w + x) for j, x in enumerate(rest)}
-        return sorted(out)
-
-    return text.map(cuts)
+#: Numbers of keys are whole and not negative as a long.
+BITS = (1 << 62) - 1
+
+
+def _number(word: str) -> int:
+    """A number that stands for a word, 0 for none; the sum of some stands for their bag. Squares, as checksums of words that
+    differ alike differ alike."""
+    code = crc32(word.encode("utf-8", "surrogatepass"))
+    return code * (code + 0x9E3779B97F4A7C15)
+
+
+def cuts_of(words: set[str]) -> set[int]:
+    """A number for the bag of words, and one for each that is less any one character: of a word, or of a space between any two
+    words. Two texts, whatever words they have in common, that a character less on each side makes equal share one."""
+    numbers = {w: _number(w) for w in words}
+    total = sum(numbers.values())
+    out = {total & BITS}
+    for w, own in numbers.items():
+        rest = total - own
+        out |= {rest + _number(w[:j] + w[j + 1 :]) & BITS for j in range(len(w))}
+        out |= {rest - other + _number(w + x) & BITS for x, other in numbers.items() if x != w}
+    return out
+
+
+def typical_of(words: set[str], held: dict[str, int], least: float) -> list[str]:
+    """A text's words, those that few hold first, as far as one of them must be common to two texts whose common words make up
+    enough of this one to score `least`. held: counts of the words that many hold."""
+    t, n, before, out = least / 100, sum(map(len, words)) + len(words) - 1, 0, []
+    for w in sorted(words, key=lambda w: (held.get(w, 0), w)):
+        # the common words have 2 c >= t (c + n): the others, each with a space, are at most n - c long
+        if before > n * (2 * (1 - t) / (2 - t)) + 1e-6:
+            break
+        out.append(w)
+        before += len(w) + 1
+    return out
+
+
+def name_typical(text: Column, held: dict[str, int], least: float) -> Column:
+    """typical_of a text's words."""
+    return F.pandas_udf(lambda x: x.map(lambda t: typical_of(words_of(t or ""), held, least)), ArrayType(StringType()))(text)
+
+
+def name_keys(text: Column, own: str, other: str, held: dict[str, int], least: float, *, asked: set[str] | None = None, cuts: bool = True) -> Column:
+    """Numbers by which two texts meet: of typical words, marked `own`, with any words, marked `other`; and of cuts. Of the words
+    that many hold, any words are those of `asked` only. Different keys may by chance have one number."""
+
+    def keys(t: str | None) -> list[int]:
+        words = words_of(t or "")
+        out = {_number(f"{own} {w}") & BITS for w in typical_of(words, held, least)}
+        out |= {_number(f"{other} {w}") & BITS for w in words if asked is None or w not in held or w in asked}
+        return list(out | cuts_of(words) if cuts else out)
+
+    return F.pandas_udf(lambda x: x.map(keys), ArrayType(LongType()))(text)
 
 
 def host(url: Column) -> Column:

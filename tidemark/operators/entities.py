@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.texts import host_in, name_cuts, name_grams, name_words, token_set_ratio
+from tidemark.functions.texts import host_in, name_grams, name_keys, name_typical, name_words, token_set_ratio
 from tidemark.operators.relational import first_by
+from tidemark.sources.tables import settled
+
+#: Words, and pairs of characters, whose counts are known to all tasks, those that most aliases hold; the others count as
+#: equally rare.
+FREQUENT = 10_000
 
 
 def linked_path(url: Column, hosts: Sequence[str], pattern: str, group: int = 1) -> Column:
@@ -18,51 +23,75 @@ def linked_path(url: Column, hosts: Sequence[str], pattern: str, group: int = 1)
     return F.when(host_in(url, hosts) & (found != ""), F.try_url_decode(found))
 
 
-def _prepared(texts: DataFrame, column: str) -> DataFrame:
-    """Distinct texts with words, their sorted distinct words, pairs of characters, and length as compared."""
-    own = texts.select(column).distinct().withColumn("words", name_words(column)).withColumn("grams", name_grams(column))
-    return own.withColumn("n", F.length(F.array_join("words", " "))).where("n > 0")
+def _prepared(texts: DataFrame, column: str, *carried: str) -> DataFrame:
+    """Distinct texts with what they carry, and their length as compared: that of their sorted distinct words."""
+    own = texts.select(column, *carried).distinct().withColumn("n", F.length(F.array_join(name_words(column), " ")))
+    return own.where("n > 0")
 
 
 def _rarest_first(texts: DataFrame, column: str, keys: str, held: DataFrame) -> DataFrame:
-    """texts with their keys in the order of held (key, n_held), one order for all texts."""
+    """texts with their keys in the order of held (key, n_held; others before them), one order for all texts."""
     long = texts.select(column, F.explode(keys).alias("key")).join(held, "key", "left")
     order = long.groupBy(column).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n_held", F.lit(0)).alias("n"), "key"))).alias("_o"))
     return texts.drop(keys).join(order, column).withColumn(keys, F.transform("_o", lambda x: x["key"])).drop("_o")
 
 
-def _candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(name, alias): all pairs that can score `least`, by prefix filters; see scored_names."""
+def _by_words(left: DataFrame, right: DataFrame, least: float, *, cuts: bool) -> DataFrame:
+    """(name, columns of right): pairs with a typical word of one side among the words of the other, or with a cut in common;
+    some more than once, and by chance others."""
+    words = right.select(F.explode(name_words("alias")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    held = {r["word"]: r["n"] for r in words.where("n > 1").orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()}
+    # a word that most names hold, and that is typical of no alias, would bring them all to one task for nothing
+    asked = {r["word"] for r in right.select(F.explode(name_typical(F.col("alias"), held, least)).alias("word")).where(F.col("word").isin(list(held))).distinct().collect()} if held else set()
+    # names are few bytes and much work: a given number of parts is not joined into fewer
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = lambda df, keys: df.drop("n").repartition(parts).select("*", F.explode(keys).alias("key"))
+    mine, theirs = key(left, name_keys(F.col("name"), "<", ">", held, least, asked=asked, cuts=cuts)), key(right, name_keys(F.col("alias"), ">", "<", held, least, cuts=cuts))
+    # keys are many times their names, and Spark takes them for as few: never through the driver
+    return mine.hint("merge").join(theirs.hint("merge"), "key").drop("key")
+
+
+def _by_grams(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, columns of right): pairs with rare pairs of characters in common, and enough of all; those lengths apart of which
+    two texts may differ by more than a character each."""
     t = least / 100
-    for keys in ("words", "grams"):
-        held = right.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_held"))
-        left, right = _rarest_first(left, "name", keys, held), _rarest_first(right, "alias", keys, held)
-
-    def typical(df: DataFrame, column: str) -> DataFrame:
-        # the common words have 2 c >= t (c + n): the others, each with a space, are at most n - c long
-        before = F.transform("words", lambda w, i: F.struct(w.alias("w"), F.aggregate(F.slice("words", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("s")))
-        return df.select(column, F.explode(F.filter(before, lambda x: x["s"] <= F.col("n") * (2 * (1 - t) / (2 - t)) + 1e-6)).alias("x")).select(column, F.col("x.w").alias("key"))
-
-    every = lambda df, column: df.select(column, F.explode("words").alias("key"))
-    pairs = typical(left, "name").join(every(right, "alias"), "key").unionByName(every(left, "name").join(typical(right, "alias"), "key")).select("name", "alias")
+    lengths = [{r["n"] for r in df.select("n").distinct().collect()} for df in (left, right)]
+    shared = lambda a, b: -int(-((a + b) * (t / 2) - 1e-6) // 1)
+    met = [(a, b) for a in lengths[0] for b in lengths[1] if (m := shared(a, b)) <= min(a, b) and max(a, b) - m > 1]
+    kept = right.drop("n")
+    if not met:
+        return left.select("name").join(kept, F.lit(False))
+    left, right = (df.select(c, "n", name_grams(c).alias("grams")) for df, c in ((left, "name"), (right, "alias")))
+    held = F.broadcast(right.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_held")).orderBy(F.col("n_held").desc(), "key").limit(FREQUENT))
+    left, right = _rarest_first(left, "name", "grams", held), _rarest_first(right, "alias", "grams", held)
 
     def prefixes(df: DataFrame, column: str, own: str, other: str) -> DataFrame:
         # m common characters of own + other have 2 m >= t (own + other); one that own lacks in other spoils two of its pairs,
-        # one that is put in spoils one
-        lengths = F.sequence(F.ceil(F.col("n") * (t / (2 - t)) - 1e-6), F.floor(F.col("n") * ((2 - t) / t) + 1e-6))
-        df = df.withColumn("o", F.explode(lengths)).withColumn("m", F.ceil((F.col("n") + F.col("o")) * (t / 2) - 1e-6))
-        spoilt = (2 * F.col("n") + F.col("o") - 3 * F.col("m")).cast("int")
-        # where a character less on each side makes equal, the cuts below find the pair
-        df = df.where((F.col("m") <= F.col("n")) & (F.col("m") <= F.col("o")) & ((F.col("n") - F.col("m") > 1) | (F.col("o") - F.col("m") > 1)))
-        return df.select(column, F.col("n").cast("long").alias(own), F.col("o").alias(other), F.col("grams").alias(f"{column}_grams"), F.explode(F.slice("grams", F.lit(1), spoilt + 1)).alias("key"))
-
-    keyed = prefixes(left, "name", "a", "b").drop("name_grams").join(prefixes(right, "alias", "b", "a").drop("alias_grams"), ["key", "a", "b"]).select("name", "alias", "a", "b").distinct()
-    keyed = keyed.join(left.select("name", F.col("grams").alias("x")), "name").join(right.select("alias", F.col("grams").alias("y")), "alias")
+        # one that is put in spoils one; where a character less on each side makes equal, the cuts find the pair
+        pairs = df.sparkSession.createDataFrame(met, "a int, b int")
+        df = df.join(F.broadcast(pairs.select(F.col(own).alias("n"), F.col(other).alias("o"))), "n")
+        m = F.ceil((F.col("n") + F.col("o")) * (t / 2) - 1e-6)
+        spoilt = (2 * F.col("n") + F.col("o") - 3 * m).cast("int")
+        return df.select(column, F.col("n").alias(own), F.col("o").alias(other), F.explode(F.slice("grams", F.lit(1), spoilt + 1)).alias("key"))
+
+    keyed = prefixes(left, "name", "a", "b").hint("merge").join(prefixes(right, "alias", "b", "a").hint("merge"), ["key", "a", "b"]).select("name", "alias", "a", "b").distinct()
+    keyed = keyed.join(left.select("name", F.col("grams").alias("x")).hint("merge"), "name").join(right.select("alias", F.col("grams").alias("y")).hint("merge"), "alias")
     m = F.ceil((F.col("a") + F.col("b")) * (t / 2) - 1e-6)
     near = keyed.where(F.size(F.array_intersect("x", "y")) >= F.col("a") + 1 - (2 * F.col("a") + F.col("b") - 3 * m)).select("name", "alias")
-    cut = lambda df, column: df.select(column, F.explode(name_cuts(column)).alias("key"))
-    one = cut(left, "name").join(cut(right, "alias"), "key").select("name", "alias")
-    return pairs.unionByName(near).unionByName(one).distinct()
+    return near.join(kept.hint("merge"), "alias").select("name", *kept.columns)
+
+
+def _candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, columns of right): all pairs that can score `least`, by prefix filters, some more than once; see scored_names."""
+    return _by_words(left, right, least, cuts=True).unionByName(_by_grams(left, right, least))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """pairs, each once, with their score. A filter on it would be worked out before they are dealt, and a second time: that
+    belongs behind an aggregation."""
+    # pairs are few bytes and much work: a given number of parts is not joined into fewer
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts, "name").dropDuplicates(["name", "alias"]).withColumn("score", token_set_ratio("name", "alias"))
 
 
 def scored_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -> DataFrame:
@@ -76,12 +105,30 @@ def scored_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -
     """
     if least < 70:
         raise ValueError("pairs of characters find scores of 70 and more")
-    left = _prepared(names.where("name is not null"), "name")
+    left, _ = settled(_prepared(names.where("name is not null"), "name"), "names")
     right = aliases.select("entity", "alias").where("entity is not null and alias is not null").distinct()
-    # pairs are few bytes and much work: a given number of parts is not joined into fewer
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = _candidates(left, _prepared(right, "alias"), least).repartition(parts, "name", "alias").withColumn("score", token_set_ratio("name", "alias")).where(F.col("score") >= least)
-    return pairs.join(right, "alias").groupBy("name", "entity").agg(F.max("score").alias("score"))
+    texts, _ = settled(_prepared(right, "alias"), "aliases")
+    pairs = _scored(_candidates(left, texts, least))
+    return pairs.join(right.hint("merge"), "alias").groupBy("name", "entity").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+
+
+def best_names(names: DataFrame, aliases: DataFrame, *, least: float = 87.0) -> DataFrame:
+    """(name, entity, score): each distinct name with the entity that scores best, `least` at least; ties go to the least
+    entity. The same as the first of scored_names, with fewer pairs: an alias stands for its least entity, and a name with a
+    score of 100, which takes words alone, is compared no further."""
+    if least < 70:
+        raise ValueError("pairs of characters find scores of 70 and more")
+    left, _ = settled(_prepared(names.where("name is not null"), "name"), "names")
+    first = aliases.where("entity is not null and alias is not null").groupBy("alias").agg(F.min("entity").alias("entity"))
+    right, _ = settled(_prepared(first, "alias", "entity"), "aliases")
+
+    def best(pairs: DataFrame, least: float) -> DataFrame:
+        own = _scored(pairs).groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "entity")).alias("_b"))
+        return own.select("name", "_b.entity", (-F.col("_b.s")).alias("score")).where(F.col("score") >= least)
+
+    whole, _ = settled(best(_by_words(left, right, least, cuts=False), 100.0), "whole")
+    rest, _ = settled(left.join(whole.hint("merge"), "name", "left_anti"), "names")
+    return whole.unionByName(best(_candidates(rest, right, least), least))
 
 
 def matched_names(names: DataFrame, aliases: DataFrame, *, floor: float = 90.0, margin: float = 3.0) -> DataFrame:

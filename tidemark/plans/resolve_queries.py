@@ -88,8 +88,8 @@ def token_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer with the supplier whose alias scores best, 90 at least, or NULL: no SQL; tested on worked pairs."""
     customer = S.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
     aliases = S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.concat(F.lit("customer "), F.regexp_extract("s_name", "([0-9]+)$", 1)).alias("alias"))
-    best = R.first_by(N.scored_names(customer, aliases, least=90.0), ["name"], [F.col("score").desc(), F.col("entity")])
-    return customer.join(best, "name", "left").select("c_custkey", F.col("entity").alias("s_suppkey"), r6("score").alias("score"))
+    best = N.best_names(customer, aliases, least=90.0)
+    return customer.hint("merge").join(best.hint("merge"), "name", "left").select("c_custkey", F.col("entity").alias("s_suppkey"), r6("score").alias("score"))
 
 
 @query(None)
